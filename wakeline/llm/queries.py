@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import classifier, fingerprints, line_dedup, mixing, packing, quality_rules, simhash, url_filter
+from . import classifier, fingerprints, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v2").alias("kept"), "failed")
@@ -38,6 +42,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 SITE_RULES = tuple(url_filter.site_rule(name, verdict) for name, verdict in (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")))
 
 
@@ -58,7 +66,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op4_quality_classifier, op5_simhash_near_dedup, op7_url_filter, op8_document_fingerprints, op9_source_mixing, op10_best_fit_packing)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_line_dedup, op4_quality_classifier, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filter, op8_document_fingerprints, op9_source_mixing, op10_best_fit_packing)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL: dict[str, str] = {}
