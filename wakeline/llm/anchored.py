@@ -160,21 +160,20 @@ def slices(ids: list[int], raws: list[bytes], kind: Kind) -> Iterator[tuple[np.n
         yield out()
 
 
-def arrow_texts(batch: pa.RecordBatch, where: np.ndarray | None = None) -> Iterator[tuple[list[int], list[bytes]]]:
+def arrow_texts(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
     """(ids, texts) of a batch, a slice's bytes at a time."""
     ids, column = batch.column("doc_id"), batch.column("text").cast(pa.large_binary())
     sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    rows = np.arange(len(ids)) if where is None else where
-    parts = np.cumsum(sizes[rows]) // SLICE
-    for part in np.split(rows, np.flatnonzero(np.diff(parts)) + 1) if len(rows) else []:
+    parts = np.cumsum(sizes) // SLICE
+    for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(parts)) + 1) if len(ids) else []:
         take = pa.array(part)
         yield ids.take(take).to_pylist(), column.take(take).to_pylist()
 
 
-# Packed rows: ``to`` the partition key, ``kind`` what the row holds, four columns of bytes.
+# Packed rows: ``to`` the partition, ``kind`` what the row holds, four columns of bytes.
 ENTRY, VERDICT, WANTED, FETCHED, TEXT = 0, 1, 2, 3, 4
-PACKED = "to int, kind int, doc_id long, text string, a binary, b binary, c binary, d binary"
-_SCHEMA = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+PACKED = "to int, kind int, a binary, b binary, c binary, d binary"
+_SCHEMA = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 
 
 def pack48(x: np.ndarray) -> bytes:
@@ -200,7 +199,7 @@ def packed_rows(kind: int, to: np.ndarray, *columns: tuple[np.ndarray, Callable[
         sorted_ = values[order]
         data.append([encode(sorted_[x:y]) for x, y in spans])
     data += [[None] * len(spans)] * (4 - len(data))
-    yield pa.RecordBatch.from_arrays([pa.array(dest[cutoff[:-1]], pa.int32()), pa.array([kind] * len(spans), pa.int32()), pa.nulls(len(spans), pa.int64()), pa.nulls(len(spans), pa.string()), *(pa.array(d, pa.binary()) for d in data)], schema=_SCHEMA)
+    yield pa.RecordBatch.from_arrays([pa.array(dest[cutoff[:-1]], pa.int32()), pa.array([kind] * len(spans), pa.int32()), *(pa.array(d, pa.binary()) for d in data)], schema=_SCHEMA)
 
 
 def raw64(x: np.ndarray) -> bytes:
@@ -223,9 +222,9 @@ class Deal:
     def documents(self, doc: np.ndarray) -> np.ndarray:
         return (mix(doc.astype(np.int64).view(_U)) % _U(self.n)).astype(np.int32)
 
-    def exchange(self, df: DataFrame, spark) -> DataFrame:
+    def exchange(self, df: DataFrame) -> DataFrame:
         """Rows of a destination together, texts after everything else."""
-        return df.repartition(shuffle_partitions(spark), "to").sortWithinPartitions("kind")
+        return df.repartitionById(self.n, "to").sortWithinPartitions("kind")
 
 
 def verdict_rows(deal: Deal, doc, content, first, last) -> Iterator[pa.RecordBatch]:
@@ -271,7 +270,8 @@ def _scanned(key, content, doc, kind: Kind, deal: Deal) -> Iterator[pa.RecordBat
     done = settled & first_of_doc
     yield from verdict_rows(deal, doc[done], content[done], np.zeros(int(done.sum()), np.int64), np.full(int(done.sum()), ALL))
     many = (sizes > 1).astype(np.int32) if kind.anywhere else np.zeros(len(groups), np.int32)
-    send = groups
+    send = groups[np.argsort(doc[groups], kind="stable")]  # runs of a document compress well
+    many = many[np.argsort(doc[groups], kind="stable")]
     yield from packed_rows(ENTRY, deal.anchors(key[send]), (key[send], pack48), (content[send], pack48), (doc[send], raw64), (many, lambda m: np.packbits(m.astype(bool)).tobytes()))
 
 
@@ -298,7 +298,7 @@ def settle(scanned: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
         if held:
             yield from _settled(*_entries(held), kind, deal)
 
-    return deal.exchange(scanned, scanned.sparkSession).mapInArrow(run, PACKED)
+    return deal.exchange(scanned).mapInArrow(run, PACKED)
 
 
 def _settled(key, content, doc, many, kind: Kind, deal: Deal) -> Iterator[pa.RecordBatch]:
@@ -327,15 +327,27 @@ def _settled(key, content, doc, many, kind: Kind, deal: Deal) -> Iterator[pa.Rec
 
 def with_texts(rows_: DataFrame, kinds: tuple[int, ...], docs: DataFrame, deal: Deal) -> DataFrame:
     """Packed rows of some kinds and the texts, each with the partition of its document."""
-    text_schema = _SCHEMA
-
     def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(deal.documents(b.column("doc_id").to_numpy()), pa.int32()), pa.array(np.full(n, TEXT), pa.int32()), b.column("doc_id"), b.column("text").cast(pa.string()), *[pa.nulls(n, pa.binary())] * 4], schema=text_schema)
+        import zstandard
+
+        pressed = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for ids, raws in arrow_texts(batch):
+                doc, sizes = np.array(ids, np.int64), np.fromiter(map(len, raws), np.int64, len(raws))
+                yield from packed_rows(TEXT, deal.documents(doc), (doc, raw64), (sizes, raw64), (np.arange(len(raws)), lambda at, raws=raws: pressed.compress(b"".join([raws[i] for i in at.tolist()]))))
+
+    return deal.exchange(rows_.filter(F.col("kind").isin(*kinds)).unionByName(texts(docs).mapInArrow(addressed, PACKED)))
+
+
+def unpacked_texts(batch: pa.RecordBatch, at: np.ndarray) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(ids, texts) of the TEXT rows at some places of a batch, one row at a time."""
+    import zstandard
 
-    own = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    return deal.exchange(rows_.filter(F.col("kind").isin(*kinds)).unionByName(own.mapInArrow(addressed, PACKED)), docs.sparkSession)
+    for i in at.tolist():
+        ids, sizes = np.frombuffer(batch.column("a")[i].as_py(), "<i8"), np.frombuffer(batch.column("b")[i].as_py(), "<i8")
+        flat = zstandard.ZstdDecompressor().decompress(batch.column("c")[i].as_py(), max_output_size=max(int(sizes.sum()), 1))
+        ends = np.cumsum(sizes)
+        yield ids.tolist(), [flat[x:y] for x, y in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
 class Lookup:
@@ -383,8 +395,9 @@ def fetch(settled: DataFrame, docs: DataFrame, kind: Kind, deal: Deal) -> DataFr
                 flags = np.concatenate([np.frombuffer(w[3], np.int8) for w in wanted])
                 lookup = Lookup(wanted_docs, np.concatenate([unpack48(w[2]) for w in wanted]))
                 wanted_docs = np.unique(wanted_docs)
-            at = at[np.isin(batch.column("doc_id").take(pa.array(at)).to_numpy(), wanted_docs)]
-            for ids, raws in arrow_texts(batch, at):
+            for ids, raws in unpacked_texts(batch, at):
+                asked_for = np.isin(np.array(ids, np.int64), wanted_docs).tolist()
+                ids, raws = [x for x, y in zip(ids, asked_for, strict=True) if y], [x for x, y in zip(raws, asked_for, strict=True) if y]
                 for doc_ids, pieces, bounds, _ in slices(ids, raws, kind):
                     f = cut(kind.values(pieces), bounds, kind)
                     asked, named = lookup.pairs(doc_ids[f.text], f.content)
@@ -410,7 +423,7 @@ def _fetched(f: Fragments, asked, flags, doc_ids, pieces, bounds, kind: Kind, de
     if out:
         dest, a, b, c, d = zip(*out, strict=True)
         n = len(out)
-        yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array([FETCHED] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), *(pa.array(x, pa.binary()) for x in (a, b, c, d))], schema=_SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array([FETCHED] * n, pa.int32()), *(pa.array(x, pa.binary()) for x in (a, b, c, d))], schema=_SCHEMA)
 
 
 @dataclass
@@ -447,7 +460,7 @@ def decided(fetched: DataFrame, decide: Decide, deal: Deal) -> DataFrame:
         for at, first, last in decide(some):
             yield from verdict_rows(deal, some.doc[at], some.content[at], first, last)
 
-    return deal.exchange(fetched, fetched.sparkSession).mapInArrow(run, PACKED)
+    return deal.exchange(fetched).mapInArrow(run, PACKED)
 
 
 def covered(verdicts: DataFrame, docs: DataFrame, kind: Kind, deal: Deal, finish: Callable, columns: str, schema: pa.Schema) -> DataFrame:
@@ -468,7 +481,7 @@ def covered(verdicts: DataFrame, docs: DataFrame, kind: Kind, deal: Deal, finish
                 join = lambda i, f, none: np.concatenate([f(h[i]) for h in held]) if held else np.zeros(0, none)
                 lookup = Lookup(join(0, lambda x: np.frombuffer(x, "<i8"), np.int64), join(1, unpack48, _U))
                 first, last = (join(i, lambda x: np.frombuffer(x, "<i4").astype(np.int64), np.int64) for i in (2, 3))
-            for ids, raws in arrow_texts(batch, at):
+            for ids, raws in unpacked_texts(batch, at):
                 yield _finished(ids, raws, lookup, first, last, kind, finish, schema)
 
     out = with_texts(verdicts, (VERDICT,), docs, deal).mapInArrow(run, columns)
@@ -498,7 +511,7 @@ def _finished(ids, raws, lookup: Lookup, first, last, kind: Kind, finish, schema
 
 def remove_repeats(docs: DataFrame, kind: Kind, decide: Decide, finish: Callable, columns: str, schema: pa.Schema) -> DataFrame:
     """All steps; two shuffles of the texts, one of their fragments' hashes, and small ones."""
-    deal = Deal(shuffle_partitions(docs.sparkSession) * 4)
+    deal = Deal(shuffle_partitions(docs.sparkSession))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), "text")
     settled = settle(scan(own, kind, deal), kind, deal)
     fetched = fetch(settled, own, kind, deal)
