@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 DIVISOR = 3
 
 
@@ -48,7 +50,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     pieces = pieces.filter((F.col("chunk.lines") > 1) & F.col("chunk.body").rlike(r"[^\x20\x09-\x0D]")).select("_doc", "_n", "k", F.col("chunk.body").alias("body"))
     pieces = pieces.withColumn("h", F.xxhash64("body"))
     first = pieces.groupBy("h").agg(F.min(F.struct("_doc", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    again = pieces.join(first, "h")
+    again = checkpointed(pieces.join(first, "h"))  # read twice below, and only repeated chunks are left
     is_first = (F.col("_doc") == F.col("first._doc")) & (F.col("k") == F.col("first.k"))
     kept = again.filter(is_first).groupBy("h").agg(F.min("body").alias("kept"))
     later = again.filter(~is_first).join(kept, "h").filter(F.col("body") == F.col("kept"))
