@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from . import classifier, fingerprints, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401  read by __spark_entry__
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +69,3 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_line_dedup, op4_quality_classifier, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filter, op8_document_fingerprints, op9_source_mixing, op10_best_fit_packing)
 } | {"pipeline": corpus_pipeline.run}
-
-ORACLE_SQL: dict[str, str] = {}
