@@ -1,7 +1,9 @@
 """Removal of repeated multi-line chunks, cut where the content says so. DataFrame functions only.
 
 A text's lines are hashed; a rolling hash over each line and the two before it ends a chunk where it is divisible by
-``DIVISOR``. Boundaries depend on three lines alone, so lines put in or taken out shift only the chunks around them.
+``DIVISOR`` and the one before was not. Boundaries depend on four lines alone, so lines put in or taken out shift only the
+chunks around them. No boundary stands after the first line or before the last, so every chunk of a longer text has two
+lines or more, and a copy of a text goes as a whole.
 Chunks of two or more lines (one of them with a word) that occur before, in a document with a smaller doc_id or earlier
 in the same one, are removed, once their bytes have been compared with those of the first occurrence.
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-DIVISOR = 3
+DIVISOR = 2
 
 
 def _lines(text: Column) -> Column:
@@ -35,7 +37,8 @@ def chunked(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The input and ``_chunks``: array of struct(body, lines) covering the whole text."""
     lines, hashes = F.col("_lines"), F.col("_hashes")
     at = lambda i: F.when(i >= 0, F.element_at(hashes, i + 1)).otherwise(F.lit(0))
-    ends_here = lambda i: (i == F.size(lines) - 1) | ((at(i) + 31 * at(i - 1) + 961 * at(i - 2)) % DIVISOR == 0)
+    even = lambda i: (at(i) + 31 * at(i - 1) + 961 * at(i - 2)) % DIVISOR == 0
+    ends_here = lambda i: (i == F.size(lines) - 1) | ((i > 0) & (i < F.size(lines) - 2) & even(i) & ~even(i - 1))
     ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), ends_here)
     start = lambda k: F.when(k > 0, F.element_at(F.col("_ends"), k) + 1).otherwise(F.lit(0))
     piece = lambda end, k: F.struct(F.array_join(F.slice(lines, start(k) + 1, end - start(k) + 1), "\n").alias("body"), (end - start(k) + 1).alias("lines"))
@@ -62,9 +65,10 @@ def _key() -> Column:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """The input with ``_chunks``, ``_gone`` (never null) and ``_n`` (null if nothing goes)."""
-    gone = repeated_chunks(docs)
-    joined = docs.withColumn("_doc", _key()).join(gone.hint("shuffle_hash"), "_doc", "left")
+    """doc_id, text, ``_row`` (the whole input row), ``_chunks``, ``_gone`` (never null) and ``_n`` (null if nothing goes)."""
+    own = docs.select(_key(), "doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    gone = repeated_chunks(own)
+    joined = own.join(gone.hint("shuffle_hash"), "_doc", "left")
     return chunked(joined.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))).drop("_doc")
 
 
@@ -87,7 +91,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without repeated chunks; one that loses all its chunks goes. n_chars, if there, follows the text."""
     left = marked(docs).filter(F.col("_n").isNull() | (F.size("_gone") < F.col("_n")))
     changed = F.size("_gone") > 0
-    out = left.withColumn("text", F.when(changed, _kept_text()).otherwise(F.col("text")))
+    text = left.select("_row", changed.alias("_changed"), F.when(changed, _kept_text()).otherwise(F.col("text").cast("string")).alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_changed"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return text.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))

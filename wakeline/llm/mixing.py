@@ -79,8 +79,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Documents with equal doc_ids share one id-keyed plan row, so ids should be unique here; other columns pass unchanged.
     """
-    planned = plan(docs, **options).select("doc_id", "epochs", "part", F.col("size").alias("_size")).groupBy(F.col("doc_id").alias("_doc")).agg(F.first("epochs").alias("_epochs"), F.max("part").alias("_part"), F.first("_size").alias("_size"))
-    joined = docs.join(planned, docs["doc_id"].eqNullSafe(planned["_doc"]))
+    planned = plan(docs, **options).groupBy(F.col("doc_id").alias("_doc")).agg(F.first("epochs").alias("_epochs"), F.max("part").alias("_part"), F.first("size").alias("_size"))
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    joined = own.join(planned, F.col("_id").eqNullSafe(F.col("_doc")))
     copies = joined.withColumn("_copy", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("_epochs").cast("int")), F.array_repeat(F.lit(True), (F.col("_part") > 0).cast("int")))))
-    cut = F.when(F.col("_copy") & (F.col("_part") < F.col("_size")), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), 1, F.greatest(F.col("_part"), F.lit(1)).cast("int")), " ")).otherwise(F.col("text"))
-    return copies.withColumn("text", cut).select(*docs.columns)
+    cut = F.when(F.col("_copy") & (F.col("_part") < F.col("_size")), F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(f"({WORD})"), 1), 1, F.greatest(F.col("_part"), F.lit(1)).cast("int")), " ")).otherwise(F.col("_text"))
+    return copies.select(*((cut if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))

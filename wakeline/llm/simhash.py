@@ -12,7 +12,7 @@ tasks; each task goes on splitting its shard the same way. In a dense shard, res
 are linked through it and not compared with each other. Shards emit a spanning forest of their links, never all pairs.
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle are one
-shingle; repeated rows share a component; an empty table gives an empty result; other columns are not read.
+shingle; repeated rows share a component; a null doc_id counts as the smallest; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -223,11 +223,12 @@ def links(marks: DataFrame, most: int = MOST, blocks: int = BLOCKS, shard_size:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) of every row."""
-    own = checkpointed(fingerprints(docs, shingle))
+    none = F.lit(-(2**63)).cast("long")  # stands for a null doc_id
+    own = checkpointed(fingerprints(docs, shingle).withColumn("doc_id", F.coalesce("doc_id", none)))
     marks = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("node")))
     joined = components(links(marks, most))
     of = marks.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return own.join(of, "fp").select("doc_id", "fp", "component_id")
+    return own.join(of, "fp").select(F.nullif("doc_id", none).alias("doc_id"), "fp", F.nullif("component_id", none).alias("component_id"))
 
 
 def hex_fingerprint(fp: str = "fp"):
