@@ -31,6 +31,7 @@ from .common import shuffle_partitions, texts
 
 _U = np.uint64
 SLICE = 1 << 21  # bytes of text handled at once
+HELD = 1 << 20  # entries gathered before they are sent
 _LOW = (1 << 22) - 1
 _MASK48 = _U((1 << 48) - 1)
 _B = 0x9E3779B97F4A7C15
@@ -246,11 +247,17 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def scan(docs: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for ids, raws in arrow_texts(batch):
                 for doc_ids, pieces, bounds, _ in slices(ids, raws, kind):
                     found = cut(kind.values(pieces), bounds, kind)
-                    yield from _scanned(found.key, found.content, doc_ids[found.text], kind, deal)
+                    held.append((found.key, found.content, doc_ids[found.text]))
+                    if sum(len(h[0]) for h in held) >= HELD:
+                        yield from _scanned(*map(np.concatenate, zip(*held, strict=True)), kind, deal)
+                        held = []
+        if held:
+            yield from _scanned(*map(np.concatenate, zip(*held, strict=True)), kind, deal)
 
     return texts(docs).mapInArrow(run, PACKED)
 
@@ -382,6 +389,7 @@ def fetch(settled: DataFrame, docs: DataFrame, kind: Kind, deal: Deal) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: list[tuple] = []
         lookup = flags = wanted_docs = None
+        found: list[tuple] = []
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             if (kinds == WANTED).any():
@@ -403,27 +411,30 @@ def fetch(settled: DataFrame, docs: DataFrame, kind: Kind, deal: Deal) -> DataFr
                     asked, named = lookup.pairs(doc_ids[f.text], f.content)
                     _, one = np.unique(np.column_stack([doc_ids[f.text[asked]], f.content[asked].view(np.int64)]), axis=0, return_index=True)  # once per document
                     asked, named = asked[one], named[one]
-                    yield from _fetched(f, asked, flags[named], doc_ids, pieces, bounds, kind, deal)
+                    found.append(_fetched(f, asked, flags[named], doc_ids, pieces, bounds, kind))
+                    if sum(len(x[0]) for x in found) >= HELD // 8:
+                        yield from _sent(found, deal)
+                        found = []
+        yield from _sent(found, deal)
 
     return with_texts(settled, (WANTED,), docs, deal).mapInArrow(run, PACKED)
 
 
-def _fetched(f: Fragments, asked, flags, doc_ids, pieces, bounds, kind: Kind, deal: Deal) -> Iterator[pa.RecordBatch]:
-    to = deal.anchors(f.key[asked])
-    order = np.argsort(to, kind="stable")
-    out = []
-    for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
-        at = asked[part]
-        text = f.text[at]
-        low = f.first[at] - bounds[text]
-        bodies = [_bytes_of(kind, pieces[t], a, a + n) for t, a, n in zip(text.tolist(), low.tolist(), (f.last[at] - f.first[at] + kind.window).tolist(), strict=True)]
-        facts = np.column_stack([doc_ids[text], f.content[at].astype(np.int64), flags[part]]).astype("<i8")
-        sizes = np.column_stack([[len(x) for x in bodies], f.last[at] - f.first[at] + 1, f.anchor[at] - f.first[at]]).astype("<i4")
-        out.append((int(to[part[0]]), pack48(f.key[at]), facts.tobytes(), b"".join(bodies), sizes.tobytes()))
-    if out:
-        dest, a, b, c, d = zip(*out, strict=True)
-        n = len(out)
-        yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array([FETCHED] * n, pa.int32()), *(pa.array(x, pa.binary()) for x in (a, b, c, d))], schema=_SCHEMA)
+def _fetched(f: Fragments, asked, flags, doc_ids, pieces, bounds, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, doc/content/flag, sizes, bodies) of the fragments asked for."""
+    text = f.text[asked]
+    low = f.first[asked] - bounds[text]
+    bodies = np.empty(len(asked), object)
+    bodies[:] = [_bytes_of(kind, pieces[t], a, a + n) for t, a, n in zip(text.tolist(), low.tolist(), (f.last[asked] - f.first[asked] + kind.window).tolist(), strict=True)]
+    facts = np.column_stack([doc_ids[text], f.content[asked].astype(np.int64), flags])
+    sizes = np.column_stack([np.fromiter(map(len, bodies), np.int64, len(bodies)), f.last[asked] - f.first[asked] + 1, f.anchor[asked] - f.first[asked]])
+    return f.key[asked], facts, sizes, bodies
+
+
+def _sent(found: list[tuple], deal: Deal) -> Iterator[pa.RecordBatch]:
+    if found:
+        key, facts, sizes, bodies = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield from packed_rows(FETCHED, deal.anchors(key), (key, pack48), (facts, raw64), (bodies, lambda x: b"".join(x.tolist())), (sizes, raw32))
 
 
 @dataclass
@@ -457,7 +468,9 @@ def decided(fetched: DataFrame, decide: Decide, deal: Deal) -> DataFrame:
         ends = np.cumsum(sizes[:, 0])
         bodies = [flat[a:b] for a, b in zip((ends - sizes[:, 0]).tolist(), ends.tolist(), strict=True)]
         some = Undecided(np.concatenate([unpack48(a) for a, _, _, _ in held]), facts[:, 0], facts[:, 1].astype(_U), facts[:, 2].astype(bool), sizes[:, 1], sizes[:, 2], bodies)
-        for at, first, last in decide(some):
+        parts = list(decide(some))
+        if parts:
+            at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield from verdict_rows(deal, some.doc[at], some.content[at], first, last)
 
     return deal.exchange(fetched).mapInArrow(run, PACKED)
