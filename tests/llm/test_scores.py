@@ -114,7 +114,7 @@ def test_prefix_hashes_answer_spans():
         for i in range(len(text) - n):
             for j in range(len(text) - n):
                 assert (h.span(i, n) == h.span(j, n)) == (text[i : i + n] == text[j : j + n])
-    assert h.extension(0, h, 12) == 11 and h.extension(0, h, 7) == 4 and h.extension(0, h, len(text)) == 0
+    assert h.extension(0, h, 12) == 12 and h.extension(0, h, 7) == 4 and h.extension(0, h, len(text)) == 0
 
 
 def test_mixing_meets_targets(docs, nothing):

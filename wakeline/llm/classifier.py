@@ -99,6 +99,11 @@ def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """A third of all ids, by a checksum; their labels are for measuring, never for fitting."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1
+
+
 def sampled_labels(labels: DataFrame, learnable: Column, max_rows: int, label: str = "quality") -> DataFrame:
     """doc_id, y: one row per labelled id that may be learned from; beyond ``max_rows`` of them a hash picks that many in expectation."""
     usable = labels.filter(learnable & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))

@@ -32,7 +32,7 @@ def n_words(text: str = "text") -> Column:
 def quality_weight(text: str = "text", size: str = "size") -> Column:
     """1 for clean prose, less the more symbols stand among its words."""
     symbols = F.length(F.col(text)) - F.length(F.translate(F.col(text), _SYMBOLS, ""))
-    return F.coalesce(F.col(size) / (F.col(size) + 20 * symbols), F.lit(1.0))
+    return F.coalesce(F.try_divide(F.col(size), F.col(size) + 20 * symbols), F.lit(1.0))
 
 
 def uniform(doc_id: str = "doc_id", seed: int = SEED) -> Column:
