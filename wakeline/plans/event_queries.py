@@ -281,7 +281,7 @@ def double_drag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def double_dragging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole detector with thresholds that random walks can meet; its parts have oracles."""
-    cfg = detectors.DraggingConfig(slow=0.0, fast=20.0, speed_gap=20.0, course_gap=180.0, min_points=5, min_seconds=120.0, max_std=1e9, near=0.0, far=5000.0)
+    cfg = detectors.DraggingConfig(slow=0.0, fast=20.0, speed_gap=20.0, course_gap=180.0, min_points=5, min_seconds=120.0, max_std=1e9, near=0.0, far=600.0, margin=0.0)
     return detectors.double_dragging(walk(spark, sf_dir), cfg)
 
 

@@ -2,7 +2,7 @@
 
 Event time rules: an older report never replaces newer state (it is counted as out of order); the same time with the same payload is a
 duplicate, with another payload a correction; a vessel silent for ``expire_ms`` of event time is removed. Output rows are changes: upsert or
-remove, with a version that grows by one per vessel and change.
+remove, with a version that grows by one per vessel and change. Reports older than the watermark (the delay) never reach the state; Spark counts them.
 """
 
 from __future__ import annotations
