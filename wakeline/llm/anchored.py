@@ -290,25 +290,39 @@ def _entries(batch_rows: list[tuple[bytes, bytes, bytes, bytes]]):
     return key, content, doc, many
 
 
-def settle(scanned: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
-    """Verdicts on equal fragments, and WANTED rows for the fragments whose anchor stands in different ones."""
+def settle(scanned: DataFrame, kind: Kind, deal: Deal, part: int) -> DataFrame:
+    """``part`` VERDICT: verdicts on equal fragments, with those of the scan. WANTED: the fragments whose anchor stands in different ones.
+
+    Both read the same shuffle; each gives only its own rows, one per destination.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        entries: list[tuple] = []
+        verdicts: list[tuple] = []
         for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            if (kinds != ENTRY).any():
-                yield batch.filter(pa.array(kinds != ENTRY)).select(_SCHEMA.names)
-            if (kinds == ENTRY).any():
-                entries = batch.filter(pa.array(kinds == ENTRY))
-                held += zip(*(entries.column(c).to_pylist() for c in "abcd"), strict=True)
-        if held:
-            yield from _settled(*_entries(held), kind, deal)
+            for k, *columns in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "c", "d")), strict=True):
+                if k == ENTRY:
+                    entries.append(tuple(columns))
+                elif part == VERDICT:
+                    verdicts.append(_verdict(columns))
+        if entries:
+            found = _settled(*_entries(entries), kind, deal, part)
+            if part == WANTED:
+                yield from found
+            else:
+                verdicts.append(found)
+        if verdicts:
+            yield from verdict_rows(deal, *(np.concatenate(x) for x in zip(*verdicts, strict=True)))
 
     return deal.exchange(scanned).mapInArrow(run, PACKED)
 
 
-def _settled(key, content, doc, many, kind: Kind, deal: Deal) -> Iterator[pa.RecordBatch]:
+def _verdict(columns) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    a, b, c, d = columns
+    return np.frombuffer(a, "<i8"), unpack48(b), np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(d, "<i4").astype(np.int64)
+
+
+def _settled(key, content, doc, many, kind: Kind, deal: Deal, part: int):
     order = np.lexsort((doc, content, key))
     key, content, doc, many = key[order], content[order], doc[order], many[order]
     new = np.ones(len(key), bool)
@@ -317,8 +331,9 @@ def _settled(key, content, doc, many, kind: Kind, deal: Deal) -> Iterator[pa.Rec
     sizes = np.diff(np.append(groups, len(key)))
     group = np.repeat(np.arange(len(groups)), sizes)
     settled = (sizes > 1)[group] if kind.anywhere else doc > doc[groups][group]
-    # a slice that held a content more than once has judged its own documents
-    yield from verdict_rows(deal, doc[settled], content[settled], np.zeros(int(settled.sum()), np.int64), np.full(int(settled.sum()), ALL))
+    if part == VERDICT:  # a slice that held a content more than once has judged its own documents
+        n = int(settled.sum())
+        return doc[settled], content[settled], np.zeros(n, np.int64), np.full(n, ALL)
     k, c, d = key[groups], content[groups], doc[groups]  # the smallest document of each content
     new_key = np.ones(len(k), bool)
     new_key[1:] = k[1:] != k[:-1]
@@ -329,11 +344,11 @@ def _settled(key, content, doc, many, kind: Kind, deal: Deal) -> Iterator[pa.Rec
         open_ &= np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
     wanted = np.repeat(open_, held)
     more = np.logical_or.reduceat(many, groups) | (sizes > 1) if len(groups) else many
-    yield from packed_rows(WANTED, deal.documents(d[wanted]), (d[wanted], raw64), (k[wanted], pack48), (c[wanted], pack48), (more[wanted].astype(np.int8), lambda m: m.tobytes()))
+    return packed_rows(WANTED, deal.documents(d[wanted]), (d[wanted], raw64), (k[wanted], pack48), (c[wanted], pack48), (more[wanted].astype(np.int8), lambda m: m.tobytes()))
 
 
-def with_texts(rows_: DataFrame, kinds: tuple[int, ...], docs: DataFrame, deal: Deal) -> DataFrame:
-    """Packed rows of some kinds and the texts, each with the partition of its document."""
+def with_texts(rows_: DataFrame, docs: DataFrame, deal: Deal) -> DataFrame:
+    """Packed rows and the texts, each with the partition of its document."""
     def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -343,7 +358,7 @@ def with_texts(rows_: DataFrame, kinds: tuple[int, ...], docs: DataFrame, deal:
                 doc, sizes = np.array(ids, np.int64), np.fromiter(map(len, raws), np.int64, len(raws))
                 yield from packed_rows(TEXT, deal.documents(doc), (doc, raw64), (sizes, raw64), (np.arange(len(raws)), lambda at, raws=raws: pressed.compress(b"".join([raws[i] for i in at.tolist()]))))
 
-    return deal.exchange(rows_.filter(F.col("kind").isin(*kinds)).unionByName(texts(docs).mapInArrow(addressed, PACKED)))
+    return deal.exchange(rows_.unionByName(texts(docs).mapInArrow(addressed, PACKED)))
 
 
 def unpacked_texts(batch: pa.RecordBatch, at: np.ndarray) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -417,7 +432,7 @@ def fetch(settled: DataFrame, docs: DataFrame, kind: Kind, deal: Deal) -> DataFr
                         found = []
         yield from _sent(found, deal)
 
-    return with_texts(settled, (WANTED,), docs, deal).mapInArrow(run, PACKED)
+    return with_texts(settled, docs, deal).mapInArrow(run, PACKED)
 
 
 def _fetched(f: Fragments, asked, flags, doc_ids, pieces, bounds, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -497,7 +512,7 @@ def covered(verdicts: DataFrame, docs: DataFrame, kind: Kind, deal: Deal, finish
             for ids, raws in unpacked_texts(batch, at):
                 yield _finished(ids, raws, lookup, first, last, kind, finish, schema)
 
-    out = with_texts(verdicts, (VERDICT,), docs, deal).mapInArrow(run, columns)
+    out = with_texts(verdicts, docs, deal).mapInArrow(run, columns)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
 
@@ -526,7 +541,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, decide: Decide, finish: Callable
     """All steps; two shuffles of the texts, one of their fragments' hashes, and small ones."""
     deal = Deal(shuffle_partitions(docs.sparkSession))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), "text")
-    settled = settle(scan(own, kind, deal), kind, deal)
-    fetched = fetch(settled, own, kind, deal)
-    verdicts = settled.filter(F.col("kind") == VERDICT).unionByName(decided(fetched, decide, deal))
+    scanned = scan(own, kind, deal)
+    fetched = fetch(settle(scanned, kind, deal, WANTED), own, kind, deal)
+    verdicts = settle(scanned, kind, deal, VERDICT).unionByName(decided(fetched, decide, deal))
     return covered(verdicts, own, kind, deal, finish, columns, schema)
