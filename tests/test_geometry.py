@@ -120,3 +120,14 @@ def test_event_time_units(spark, raw):
 @pytest.mark.parametrize("hour, start, end, night", [(23, 22, 5, True), (4, 22, 5, True), (5, 22, 5, False), (12, 8, 18, True), (7, 3, 3, True)])
 def test_night(spark, hour, start, end, night):
     assert value(spark, records.at_night(F.lit((hour - 8) * 3600 + 86400), 8, start, end)) is night
+
+
+def test_overridden_configurations():
+    from wakeline.plans.config import overridden
+    from wakeline.plans.detectors import WanderingConfig
+
+    cfg = overridden(WanderingConfig(), {"min_turns": 6.0, "max_directness": 7, "min_path": -3})
+    assert (cfg.min_turns, cfg.max_directness, cfg.min_path, cfg.grid) == (6, 1.0, 0.0, 200.0)
+    for bad in ({"nothing": 1}, {"grid": "x"}, {"grid": float("nan")}, {"grid": True}):
+        with pytest.raises(ValueError):
+            overridden(WanderingConfig(), bad)

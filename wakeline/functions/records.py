@@ -119,3 +119,22 @@ def matches_text(query: str, *columns: str) -> Column:
 def safe_cell(c: Column) -> Column:
     """Text that a spreadsheet would take for a formula gets a quote in front."""
     return F.when(F.ltrim(c).rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+# Fixed values of the reporting standard: (speed up to, seconds, seconds while turning); beyond the last row the fallback.
+_CLASS_A = ((14.0, 10.0, 10.0 / 3.0), (23.0, 6.0, 2.0))
+_CLASS_B = ((2.0, 180.0, 180.0), (14.0, 30.0, 30.0), (23.0, 15.0, 5.0))
+
+
+def reporting_interval(msg_type: Column, speed: Column, nav_status: Column, rot: Column) -> Column:
+    """Nominal seconds between a vessel's position reports, by message class, speed, status and turning; an unknown speed counts as slow."""
+    turning, knots = F.coalesce(F.abs(rot) > 1e-9, F.lit(False)), F.coalesce(speed, F.lit(0.0))
+
+    def ladder(steps: tuple[tuple[float, float, float], ...], beyond: float) -> Column:
+        out = F.lit(beyond)
+        for most, steady, turned in reversed(steps):
+            out = F.when(knots <= most, F.when(turning, turned).otherwise(steady)).otherwise(out)
+        return out
+
+    moored = nav_status.isin(1, 5) & (knots <= 3)
+    return F.when(msg_type == 27, 180.0).when(msg_type.isin(18, 19), ladder(_CLASS_B, 5.0)).when(moored, 180.0).otherwise(ladder(_CLASS_A, 2.0))

@@ -318,12 +318,9 @@ def double_dragging(fixes: DataFrame, cfg: DraggingConfig = DraggingConfig(), mo
     pairs = near.filter(close).select(F.col("mmsi").alias("mmsi_a"), "mmsi_b")
     ref = fixes.agg(F.max("t").alias("_ref"))
     recent = fixes.crossJoin(F.broadcast(ref)).filter(F.col("t") >= F.col("_ref") - cfg.window).drop("_ref")  # one row
-    columns = ("t", "lon", "lat", "speed", "course")
-    sides = {s: recent.select(F.col("mmsi").alias(f"mmsi_{s}"), *(F.col(c).alias("t" if c == "t" else f"{c}_{s}") for c in columns)) for s in "ab"}
-    tracks_a, tracks_b = (pairs.join(sides[s], f"mmsi_{s}") for s in "ab")
-    on = ["mmsi_a", "mmsi_b"]
-    aligned = temporal.align(tracks_a, tracks_b, on, cfg.tolerance)
-    both = aligned.join(tracks_a.withColumnRenamed("t", "t_a"), [*on, "t_a"]).join(tracks_b.withColumnRenamed("t", "t_b"), [*on, "t_b"]).withColumn("t", F.greatest("t_a", "t_b"))
+    on, columns = ["mmsi_a", "mmsi_b"], ("lon", "lat", "speed", "course")
+    side = lambda s: pairs.join(recent.select(F.col("mmsi").alias(f"mmsi_{s}"), "t", *columns), f"mmsi_{s}")
+    both = temporal.align(side("a"), side("b"), on, cfg.tolerance, columns).withColumn("t", F.greatest("t_a", "t_b"))
     f = tracks.pair_features(both, on, cfg.near, cfg.far, cfg.slow, cfg.fast, cfg.course_gap, 30.0, cfg.speed_gap)
     return f.filter(
         (F.col("n_points") >= cfg.min_points) & (F.col("duration") >= cfg.min_seconds) & F.col("both_in_speed") & (F.col("in_range") >= 0.8) & (F.col("same_course") >= 0.8)

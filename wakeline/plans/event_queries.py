@@ -111,6 +111,52 @@ def semi_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").filter("o_totalprice > 400000").select("o_orderkey").join(returned, "o_orderkey", "left").select("o_orderkey", F.col("_hit").isNotNull().alias("shipped"))
 
 
+@query(f"""WITH {_DETECTIONS_SQL}, e AS (SELECT user_id, feature_id, max(detected_at) AS last_detected_at, count(*) AS occurrences FROM det GROUP BY 1, 2)
+SELECT user_id, feature_id, last_detected_at, occurrences FROM e WHERE feature_id = 'error' AND CAST(user_id AS VARCHAR) LIKE '%1%' AND last_detected_at >= 1704067200 AND last_detected_at < 1706659200 ORDER BY last_detected_at DESC, user_id LIMIT 20""")
+def violation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of an event search by feature, target text and time."""
+    found = events.deduplicated(_detections(spark, sf_dir), ["user_id", "feature_id"], ["v"]).select("user_id", "feature_id", "last_detected_at", "occurrences")
+    hits = events.search(found, "error", "1", ("user_id",), F.lit(1704067200), F.lit(1706659200))
+    return events.page(hits, [F.desc("last_detected_at"), F.col("user_id")], 1, 20)
+
+
+@query(f"""WITH {WALK_SQL}, e AS (SELECT c_custkey % 150 AS k, c_custkey AS event FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_custkey % 150 < 20)
+SELECT DISTINCT f.mmsi, f.t, f.lon, f.lat FROM fixes f JOIN e ON f.mmsi = 412000000 + e.k WHERE f.t BETWEEN 600 AND 3000 ORDER BY f.t DESC, f.mmsi DESC LIMIT 50""")
+def ship_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the vessels of some events, distinct, the newest fifty in time order."""
+    chosen = read(spark, sf_dir, "customer").filter("c_mktsegment = 'HOUSEHOLD' and c_custkey % 150 < 20").select((F.lit(412000000) + F.col("c_custkey") % 150).cast("long").alias("mmsi"))
+    points = walk(spark, sf_dir).filter(F.col("t").between(600, 3000)).join(chosen, "mmsi").select("mmsi", "t", "lon", "lat").distinct()
+    return events.newest_page(points, 50, tie="mmsi")
+
+
+@query(f"""WITH {FIXES_SQL} SELECT seconds, count(*) AS n FROM (SELECT CASE WHEN id % 30 = 27 THEN 180e0 WHEN id % 30 IN (18, 19) THEN CASE WHEN s <= 2 THEN 180e0 WHEN s <= 14 THEN 30e0 WHEN s <= 23 THEN CASE WHEN turning THEN 5e0 ELSE 15e0 END ELSE 5e0 END
+  WHEN nav_status IN (1, 5) AND s <= 3 THEN 180e0 WHEN s <= 14 THEN CASE WHEN turning THEN round(10e0 / 3, 3) ELSE 10e0 END WHEN s <= 23 THEN CASE WHEN turning THEN 2e0 ELSE 6e0 END ELSE 2e0 END AS seconds FROM (SELECT *, speed * 8 AS s, id % 3 = 0 AS turning FROM fixes)) GROUP BY seconds""")
+def reporting_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fixes(spark, sf_dir)
+    rate = records.reporting_interval(F.col("id") % 30, F.col("speed") * 8, F.col("nav_status"), F.when(F.col("id") % 3 == 0, 4.0))
+    return f.groupBy(F.round(rate, 3).alias("seconds")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {WALK_SQL}, c AS (SELECT mmsi, t, CASE nav_status WHEN 0 THEN 'enter' WHEN 1 THEN 'exit' ELSE 'none' END AS d FROM fixes), x AS (SELECT mmsi, t, (SELECT min(o.t) FROM c o WHERE o.mmsi = c.mmsi AND o.t > c.t AND o.d = 'exit' AND o.t - c.t <= 86400) AS leave FROM c WHERE d = 'enter'),
+f AS (SELECT mmsi, min(t) AS t FROM x GROUP BY mmsi), k AS (SELECT x.mmsi, x.leave FROM x JOIN f ON f.mmsi = x.mmsi AND f.t = x.t) SELECT p.mmsi, p.t FROM fixes p JOIN k ON k.mmsi = p.mmsi WHERE k.leave IS NULL OR p.t <= k.leave""")
+def trimmed_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points up to the exit that follows each vessel's first entry."""
+    w = walk(spark, sf_dir)
+    kind = F.when(F.col("nav_status") == 0, "enter").when(F.col("nav_status") == 1, "exit").otherwise("none")
+    cut = events.cutoff(w.select("mmsi", "t", kind.alias("direction"), F.lit("f").alias("fence")))
+    first = events.keep_one(cut.select("mmsi", "t", "leaves_at"), ["mmsi"], "t").select("mmsi", "leaves_at")
+    return events.trimmed(w.select("mmsi", "t").join(first.select("mmsi"), "mmsi", "left_semi"), first, ["mmsi"])
+
+
+@query(f"""WITH {ZONES_SQL} SELECT rank, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' AS head, count(*) + 1 AS n_points FROM edges GROUP BY rank""")
+def zone_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON features; the oracle compares how they begin and how many points their ring has."""
+    z = zones(spark, sf_dir).select("rank", "zone", "vertices")
+    feature = events.geojson(z)
+    parsed = F.from_json("feature", "geometry struct<coordinates: array<array<array<double>>>>, properties struct<rank: bigint>")
+    return feature.select(parsed.alias("p"), F.substring("feature", 1, 63).alias("head")).select(F.col("p.properties.rank").alias("rank"), "head", F.size(F.col("p.geometry.coordinates")[0]).cast("long").alias("n_points"))
+
+
 # --- association of two sensors -------------------------------------------------------------------------------------
 
 
@@ -281,7 +327,7 @@ def double_drag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def double_dragging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole detector with thresholds that random walks can meet; its parts have oracles."""
-    cfg = detectors.DraggingConfig(slow=0.0, fast=20.0, speed_gap=20.0, course_gap=180.0, min_points=5, min_seconds=120.0, max_std=1e9, near=0.0, far=600.0, margin=0.0)
+    cfg = detectors.DraggingConfig(slow=0.0, fast=20.0, speed_gap=20.0, course_gap=180.0, min_points=5, min_seconds=120.0, max_std=1e9, near=0.0, far=2000.0, margin=0.0, loose=0.1)
     return detectors.double_dragging(walk(spark, sf_dir), cfg)
 
 
