@@ -65,6 +65,17 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: list[str], with
     return pairs.withColumn("distance", d).filter(F.col("distance") <= within).groupBy(*key).agg(F.min("distance").alias("distance"))
 
 
+def boxes_meeting(points: DataFrame, by: list[str], zones: DataFrame, key: list[str], margin: float, size: float = 1.0) -> DataFrame:
+    """(by, key) pairs where the box around a track's points meets the box around a zone's vertices, widened by a margin in metres."""
+    track = points.groupBy(*by).agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    b, up = geo.bounds(F.col("vertices")), margin / geo.METRES_PER_DEGREE
+    wide = up / F.greatest(F.cos(F.radians(F.greatest(F.abs(b["min_lat"]), F.abs(b["max_lat"])))), F.lit(0.1))
+    box = zones.select(*key, (b["min_lon"] - wide).alias("zx0"), (b["max_lon"] + wide).alias("zx1"), (b["min_lat"] - up).alias("zy0"), (b["max_lat"] + up).alias("zy1"))
+    spread = lambda df, p: df.withColumn("_cx", F.explode(F.sequence(cell(F.col(f"{p}x0"), size), cell(F.col(f"{p}x1"), size)))).withColumn("_cy", F.explode(F.sequence(cell(F.col(f"{p}y0"), size), cell(F.col(f"{p}y1"), size))))
+    pairs = spread(track, "").join(spread(box, "z"), ["_cx", "_cy"]).filter("x0 <= zx1 and x1 >= zx0 and y0 <= zy1 and y1 >= zy0")
+    return pairs.select(*by, *key).distinct()
+
+
 def cell_degrees(radius: float, most_lat: float) -> float:
     """A cell no smaller than the radius, in degrees of longitude at the highest latitude, with a little slack."""
     return 1.001 * radius / (geo.METRES_PER_DEGREE * max(math.cos(math.radians(most_lat)), 0.01)) * (geo.METRES_PER_DEGREE / (math.radians(1) * geo.EARTH_M))

@@ -142,9 +142,11 @@ def fence_crossings(fixes: DataFrame, fences: DataFrame, tolerance: float = 10.0
     """enter, exit and transit events of vessels at fences (fence, mode, vertices): mmsi, t, fence, direction.
 
     Between stable sides the boundary keeps the last one; a first stable side is only taken note of. A leg between two outside fixes that cuts the fence twice is a transit.
+    Only fences whose box meets the box of a vessel's track are looked at.
     """
     ringed = fences.select("fence", "mode", geo.edges(F.col("vertices")).alias("ring"))
-    sided = fixes.select("mmsi", "t", "lon", "lat").crossJoin(ringed).withColumn("side", geo.side_of_fence(F.col("lon"), F.col("lat"), F.col("ring"), tolerance))
+    reachable = spatial.boxes_meeting(fixes, ["mmsi"], fences, ["fence"], tolerance)
+    sided = fixes.select("mmsi", "t", "lon", "lat").join(reachable, "mmsi").join(ringed, "fence").withColumn("side", geo.side_of_fence(F.col("lon"), F.col("lat"), F.col("ring"), tolerance))
     by = ("mmsi", "fence")
     stable = F.col("side") != "boundary"
     sided = sequence.carried(sided.withColumn("_at", F.struct("side", "lon", "lat")), "_at", stable, "_before", by)
