@@ -16,17 +16,17 @@ def speed_summary(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def shape(df: DataFrame, by: list[str]) -> DataFrame:
-    """centroid, radius (largest distance to it), path, displacement and their ratio (null for no path)."""
+def shape(df: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """centroid, radius (largest distance to it), path, displacement and their ratio (null for no path), with further aggregates of the same rows."""
     key = Window.partitionBy(*by)
     w = key.orderBy("t")
     staged = df.withColumns({"_clon": F.avg("lon").over(key), "_clat": F.avg("lat").over(key), "_plon": F.lag("lon").over(w), "_plat": F.lag("lat").over(w)})
-    at = lambda c: F.struct("lon", "lat")
+    place = F.struct("lon", "lat")
     agg = staged.groupBy(*by).agg(
         F.first("_clon").alias("centroid_lon"), F.first("_clat").alias("centroid_lat"), F.count("*").alias("n_points"),
         F.max(geo.haversine(F.col("lon"), F.col("lat"), F.col("_clon"), F.col("_clat"))).alias("radius"),
         F.coalesce(F.sum(geo.haversine(F.col("_plon"), F.col("_plat"), F.col("lon"), F.col("lat"))), F.lit(0.0)).alias("path"),
-        F.min_by(at("t"), "t").alias("_a"), F.max_by(at("t"), "t").alias("_b"),
+        F.min_by(place, "t").alias("_a"), F.max_by(place, "t").alias("_b"), *more,
     )
     moved = geo.haversine(F.col("_a.lon"), F.col("_a.lat"), F.col("_b.lon"), F.col("_b.lat"))
     return agg.withColumn("displacement", moved).withColumn("directness", F.when(F.col("path") > 1e-6, F.col("displacement") / F.col("path"))).drop("_a", "_b")

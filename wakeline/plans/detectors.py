@@ -125,7 +125,7 @@ class DeviationConfig:
 def deviation(fixes: DataFrame, routes: DataFrame, cfg: DeviationConfig = DeviationConfig(), search: float = 20_000.0, most_lat: float = 60.0) -> DataFrame:
     """Vessels that were on a route and have left it. Routes: lon, lat, axis, coherence (``spatial.route_grid``)."""
     run = sequence.tail(fixes.filter("eligible"), F.col("speed") >= cfg.min_speed, cfg.max_gap)
-    shape = tracks.shape(run, ["mmsi"]).join(tracks.speed_summary(run, ["mmsi"]).select("mmsi", "duration"), "mmsi")
+    shape = tracks.shape(run, ["mmsi"], (F.max("t") - F.min("t")).alias("duration"))
     able = shape.filter((F.col("n_points") >= cfg.min_points) & (F.col("duration") >= cfg.min_seconds) & (F.col("displacement") >= cfg.min_displacement)).select("mmsi")
     track = run.join(able, "mmsi", "left_semi")
     near = spatial.nearest_point(track.select("mmsi", "t", "lon", "lat"), routes.select("lon", "lat", "axis", "coherence"), ["mmsi", "t"], search, most_lat)
