@@ -158,15 +158,15 @@ def test_double_dragging_finds_a_towing_pair(spark):
 
 def test_wandering_square_but_not_straight(spark):
     loop = [(0, 0), (0.003, 0), (0.003, 0.003), (0, 0.003)]
-    rows = [(1, 120 * i, 113 + loop[i % 4][0], 22 + loop[i % 4][1], 5.0, [90.0, 0.0, 270.0, 180.0][i % 4]) for i in range(17)]
-    rows += [(2, 120 * i, 113 + 0.001 * i, 22.0, 5.0, 90.0) for i in range(17)]
+    rows = [(1, 120 * i, 113.0 + loop[i % 4][0], 22.0 + loop[i % 4][1], 5.0, [90.0, 0.0, 270.0, 180.0][i % 4]) for i in range(17)]
+    rows += [(2, 120 * i, 113.0 + 0.001 * i, 22.0, 5.0, 90.0) for i in range(17)]
     df = spark.createDataFrame(rows, "mmsi long, t long, lon double, lat double, speed double, course double")
     assert [r["mmsi"] for r in detectors.wandering(df).collect()] == [1]
 
 
 def test_deviation_after_route(spark):
-    routes = spark.createDataFrame([(113 + 0.002 * i, 22.0, 90.0, 1.0) for i in range(100)], "lon double, lat double, axis double, coherence double")
+    routes = spark.createDataFrame([(113.0 + 0.002 * i, 22.0, 90.0, 1.0) for i in range(100)], "lon double, lat double, axis double, coherence double")
     off = [0.0] * 6 + [0.02, 0.025, 0.03, 0.035]
-    rows = [(1, 60 * i, 113.01 + 0.004 * i, 22 + dy, 10.0, 90.0, True) for i, dy in enumerate(off)] + [(2, 60 * i, 113.01 + 0.004 * i, 22.0, 10.0, 90.0, True) for i in range(10)]
+    rows = [(1, 60 * i, 113.01 + 0.004 * i, 22.0 + dy, 10.0, 90.0, True) for i, dy in enumerate(off)] + [(2, 60 * i, 113.01 + 0.004 * i, 22.0, 10.0, 90.0, True) for i in range(10)]
     df = spark.createDataFrame(rows, "mmsi long, t long, lon double, lat double, speed double, course double, eligible boolean")
     assert [(r["mmsi"], r["risk"]) for r in detectors.deviation(df, routes).collect()] == [(1, "high")]

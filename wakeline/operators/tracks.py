@@ -98,9 +98,9 @@ def pair_features(aligned: DataFrame, by: list[str], near: float = 100.0, far: f
         F.avg("distance").alias("mean_distance"), F.coalesce(F.stddev_samp("distance"), F.lit(0.0)).alias("std_distance"),
         share(F.col("distance").between(near, far)).alias("in_range"), share(F.col("_turn") <= course_gap).alias("same_course"), share(F.abs(F.col("_side") - 90) <= lateral_gap).alias("lateral"),
         share(F.abs(F.col("speed_a") - F.col("speed_b")) <= speed_gap).alias("same_speed"),
-        F.corr("speed_a", "speed_b").alias("_corr"), F.stddev_pop("speed_a").alias("_sa"), F.stddev_pop("speed_b").alias("_sb"),
+        F.covar_pop("speed_a", "speed_b").alias("_cov"), F.stddev_pop("speed_a").alias("_sa"), F.stddev_pop("speed_b").alias("_sb"),
     )
     flat = (F.col("_sa") < 1e-9) | (F.col("_sb") < 1e-9)
-    correlation = F.when(flat, F.when(F.abs(F.col("mean_speed_a") - F.col("mean_speed_b")) <= 1e-9, 1.0).otherwise(0.0)).otherwise(F.col("_corr"))
+    correlation = F.when(flat, F.when(F.abs(F.col("mean_speed_a") - F.col("mean_speed_b")) <= 1e-9, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.col("_cov"), F.col("_sa") * F.col("_sb")))
     together = F.col("mean_speed_a").between(slow, fast) & F.col("mean_speed_b").between(slow, fast)
-    return agg.withColumns({"speed_correlation": correlation, "both_in_speed": together}).drop("_corr", "_sa", "_sb")
+    return agg.withColumns({"speed_correlation": correlation, "both_in_speed": together}).drop("_cov", "_sa", "_sb")
