@@ -170,3 +170,17 @@ def test_deviation_after_route(spark):
     rows = [(1, 60 * i, 113.01 + 0.004 * i, 22.0 + dy, 10.0, 90.0, True) for i, dy in enumerate(off)] + [(2, 60 * i, 113.01 + 0.004 * i, 22.0, 10.0, 90.0, True) for i in range(10)]
     df = spark.createDataFrame(rows, "mmsi long, t long, lon double, lat double, speed double, course double, eligible boolean")
     assert [(r["mmsi"], r["risk"]) for r in detectors.deviation(df, routes).collect()] == [(1, "high")]
+
+
+def test_parking_anchoring_and_staying(spark):
+    rows = [(m, 60 * i, 113.0, 22.0, 0.1, 10.0 + turn * i, nav, False, m == 1, False) for m, turn, nav in ((1, 0.0, None), (2, 0.0, 1), (3, 0.0, None)) for i in range(40)]
+    fixes = spark.createDataFrame(rows, FIX)
+    kinds = behavior.classify(fixes)
+    assert {r["mmsi"]: r["behavior"] for r in kinds.collect()} == {1: "berthing", 2: "anchoring", 3: "staying"}
+    latest = spark.createDataFrame([(1, True, False), (2, True, False)], "mmsi long, near_facility boolean, authorised boolean")
+    assert [(r["mmsi"], r["reason"]) for r in detectors.parking(kinds, latest, fixes.limit(0)).collect()] == [(1, "berthed")]
+    assert detectors.parking(kinds, latest.withColumn("authorised", F.lit(True)), fixes.limit(0)).count() == 0
+    placed = fixes.withColumns({"state": F.lit("prohibited"), "place": F.lit("x"), "area": F.lit("zone")})
+    assert [(r["mmsi"], r["risk"]) for r in detectors.anchoring(placed, kinds).collect()] == [(2, "high")]
+    assert detectors.anchoring(placed.withColumn("state", F.lit("outside")), kinds).count() == 0
+    assert sorted(r["mmsi"] for r in detectors.staying(placed, kinds).collect()) == [2, 3]
