@@ -12,15 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import classifier, line_dedup, mixing, packing, simhash
+from wakeline.llm import classifier, line_dedup, mixing, near_sets, packing
 from wakeline.llm.common import table
 
 
-#: Looser than the operator's default of 4: the search costs the same up to 7 (one differing bit in one of four parts), and copies with a few
-#: per cent of their words changed differ in five or six bits. Unrelated texts come this near once in some 2 * 10**11 pairs.
-NEAR_BITS = 6
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; held-out labels stay unused here too."""
     model = classifier.fit(docs, table(spark, sf_dir, "labels"), ~classifier.held_out())
@@ -34,10 +29,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs, most=NEAR_BITS)
-    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """Of each group linked by a 5-word Jaccard index of 0.8 or more one row stays, that with the smallest doc_id."""
+    return near_sets.deduplicated(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

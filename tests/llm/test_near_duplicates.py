@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import SCHEMA, odd_rows, prose
-from wakeline.llm import simhash
+from wakeline.llm import near_sets, simhash
 from wakeline.llm.components import components, local_forest
 
 
@@ -109,6 +109,49 @@ def test_components_of_chains_stars_and_noise(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def slow_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def edited(rng, text, n):
+    words = text.split(" ")
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    """Copies on both sides of Jaccard 0.8, far beyond 6 bits and within them, and short texts."""
+    rng = random.Random(5)
+    bases = [prose(rng, n) for n in (60, 150, 150, 400, 800)]
+    texts = [*bases, *(edited(rng, b, k) for b in bases for k in range(1, len(b.split()) // 20) for _ in range(2))][:200]
+    texts += [f"a b c d {w}" for w in "efghij"] + [f"one two three four five {w}" for w in "efghij"] + [prose(rng, 5) for _ in range(40)]
+    sets = [slow_set(t) for t in texts]
+    linked = [(x, y) for x in range(len(texts)) for y in range(x) if alike(sets[x], sets[y])]
+    at = roots(len(texts), linked)
+    far = [p for p in linked if (slow_fingerprint(texts[p[0]]) ^ slow_fingerprint(texts[p[1]])).bit_count() > 6]
+    assert len(far) > 50
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame([(i, texts[i], "en", "a", 0) for i in order], SCHEMA).repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(at))
+
+
+def test_buckets_are_compared_until_connected(spark):
+    """A chain in one bucket, where each is alike its neighbours only, and a bucket of unlike sets."""
+    sets = [(i, list(range(i, i + 10))) for i in range(100, 140)] + [(i, [i]) for i in range(60)]
+    df = spark.createDataFrame(sets, "node long, hashes array<long>")
+    members = spark.createDataFrame([(1, i) for i, _ in sets] + [(2, i) for i in range(60)], "bucket long, node long")
+    got = near_sets.set_components(members, df, spark.createDataFrame([], "a long, b long")).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(i, 100) for i in range(100, 140)}
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on all its predecessor kept; columns stay; the result holds every kept word's tokens."""
     rng = random.Random(9)
