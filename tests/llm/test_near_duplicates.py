@@ -152,6 +152,16 @@ def test_buckets_are_compared_until_connected(spark):
     assert {(r["node"], r["component"]) for r in got} == {(i, 100) for i in range(100, 140)}
 
 
+def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a), (None, a), (None, edited(rng, a, 1)), (2, a), (3, b), (3, b), (3, c), (4, c), (5, b), (None, d), (None, d), (6, None), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(got, key=repr) in [sorted([(None, k), (3, b), (3, c), (None, d), (6, None)], key=repr) for k in (a, rows[2][1])]
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on all its predecessor kept; columns stay; the result holds every kept word's tokens."""
     rng = random.Random(9)
