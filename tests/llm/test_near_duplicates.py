@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -143,6 +144,13 @@ def test_near_duplicate_stage_equals_brute_force(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(at))
 
 
+def test_documents_of_one_fingerprint_stay_without_common_shingles(spark, monkeypatch):
+    """Links of the trees are checked by the sets before a document goes."""
+    monkeypatch.setattr(simhash, "links", lambda marks, *a: marks.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy(F.lit(1))).alias("b")))
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 5), "en", "a", 0) for i in range(20)], SCHEMA)
+    assert corpus_pipeline.near_duplicate_stage(spark, docs, "").count() == 20
+
+
 def test_buckets_are_compared_until_connected(spark):
     """A chain in one bucket, where each is alike its neighbours only, and a bucket of unlike sets."""
     sets = [(i, list(range(i, i + 10))) for i in range(100, 140)] + [(i, [i]) for i in range(60)]
