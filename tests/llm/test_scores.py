@@ -192,6 +192,17 @@ def test_ids_equal_the_json_vocabulary(text):
     assert packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_token_in_a_text(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|> x", "<|endoftext|><|endoftext|>", " <|endoftext|>\n\n<|endoftext|", "x  <|endoftext|>  y", "<|ENDOFTEXT|>"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins = packing.BestFit(10, open_bins=2)
     assert [bins.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]

@@ -9,7 +9,7 @@ A document is its token ids and the separator id. Longer documents are cut so th
 ``length`` tokens: only the first, shorter one needs a best fit.
 
 Edge cases: a null or empty text is the separator alone; repeated rows are packed each; an empty table gives no pieces;
-other columns are not read; special-token strings inside a text are ordinary text.
+other columns are not read; a literal ``<|endoftext|>`` in a text is the vocabulary's added token, as in the JSON file.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from .common import rows, text_batches, texts
 
 LENGTH, SEPARATOR, OPEN_BINS = 1024, 2, 512
+ADDED = {"<|endoftext|>": 50256}  # the added token of byte_bpe_50k.json; the ranks file has only the others
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -72,7 +73,7 @@ def encoder(ranks_path: str):
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def cuts(n: int, length: int) -> list[int]:
@@ -96,7 +97,7 @@ def pack(docs: DataFrame, ranks_path: str | None = None, length: int = LENGTH, s
         for ids, raws in text_batches(batches):
             out: list[tuple] = []
             for doc_id, raw in zip(ids, raws, strict=True):
-                tokens = np.append(encode(raw.decode("utf-8", "replace"), disallowed_special=()).astype("<u4"), np.uint32(separator))
+                tokens = np.append(encode(raw.decode("utf-8", "replace"), allowed_special="all").astype("<u4"), np.uint32(separator))
                 starts = cuts(len(tokens), length)
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(tokens)], strict=True)):
                     piece = tokens[a:b]
