@@ -64,7 +64,7 @@ def test_suffix_dedup(docs, nothing):
 def test_substring_dedup(docs, nothing):
     assert result(substring_dedup.deduplicated(docs)) == brute_words(odd_rows())
     assert substring_dedup.deduplicated(nothing).count() == 0
-    assert substring_dedup.lengths() == [9, 18, 35]
+    assert substring_dedup.lengths() == [1, 2, 4, 8, 16, 32, 35]
 
 
 def test_long_texts_are_cut_into_overlapping_slices(docs, monkeypatch):
@@ -77,7 +77,7 @@ def test_long_texts_are_cut_into_overlapping_slices(docs, monkeypatch):
             symbols = kind.symbols(raw)
             f = anchored.cut(kind.values([symbols]), np.array([0, len(symbols)]), kind)
             whole.update((i, w) for a, b in zip(f.first.tolist(), f.last.tolist(), strict=True) for w in range(a, b + 1))
-        for ids, parts, bounds, starts in anchored.slices(list(range(len(raws))), raws, kind):
+        for ids, parts, bounds, starts in anchored.slices(raws, kind):
             f = anchored.cut(kind.values(parts), bounds, kind)
             pieces.update((int(ids[t]), w - int(bounds[t]) + int(starts[t])) for a, b, t in zip(f.first.tolist(), f.last.tolist(), f.text.tolist(), strict=True) for w in range(a, b + 1))
         assert whole == pieces and set(whole.values()) <= {1}
@@ -96,18 +96,58 @@ def test_suffix_arrays_equal_sorting(seed):
     assert len(suffix_arrays(np.zeros(0), np.zeros(0, int))) == 0
 
 
-def test_large_classes_are_parted_without_loss():
-    """Many fragments of one anchor, with two shared windows among them: the same windows as by comparing all."""
-    rng = random.Random(3)
-    gram = bytes(rng.choices(b"abcd", k=20))
-    shared = [bytes(rng.choices(b"abcd", k=15)) for _ in range(3)]
-    bodies = [(rng.choice(shared) if rng.random() < 0.6 else bytes(rng.choices(b"abcd", k=15))) + gram + (rng.choice(shared) if rng.random() < 0.6 else bytes(rng.choices(b"abcd", k=15))) + bytes(rng.choices(b"ab", k=4)) for _ in range(120)]
-    bodies = list(dict.fromkeys(bodies))
+def passages(bodies, docs, places, windows, times=None):
     n = len(bodies)
-    some = anchored.Undecided(np.zeros(n, np.uint64), np.arange(n) % 50, np.arange(n).astype(np.uint64), np.zeros(n, bool), np.full(n, 5), np.full(n, 15), bodies)
-    want = {(i, k) for i in range(n) for k in range(5) if any(some.doc[j] < some.doc[i] and bodies[j][k : k + 50] == bodies[i][k : k + 50] for j in range(n))}
+    return anchored.Passages(np.array(places, np.uint64), np.array(docs), np.ones(n, np.int64) if times is None else np.array(times), np.array(windows), bodies)
+
+
+def test_suffix_arrays_decide_as_comparing_all():
+    rng = random.Random(3)
+    shared = [bytes(rng.choices(b"abcd", k=60)) for _ in range(3)]
+    bodies = [bytes(rng.choices(b"ab", k=rng.randint(0, 30))) + rng.choice(shared) + bytes(rng.choices(b"ab", k=rng.randint(0, 30))) for _ in range(120)]
+    some = passages(bodies, [i % 50 for i in range(120)], [i % 7 for i in range(120)], [len(b) - 49 for b in bodies])
+    want = {
+        (i, k) for i in range(120) for k in range(len(bodies[i]) - 49)
+        if any(some.doc[j] < some.doc[i] and some.place[i] == some.place[j] and bodies[i][k : k + 50] in bodies[j] for j in range(120))
+    }
     got = {(int(i), int(w)) for at, first, last in suffix_dedup.decide(some) for i, a, b in zip(at, first, last, strict=True) for w in range(a, b + 1)}
     assert want and got == want
+    assert not list(suffix_dedup.decide(passages([], [], [], [])))
+
+
+def test_levels_decide_as_comparing_all():
+    rng = random.Random(4)
+    shared = [[rng.choice([b"a", b"b", b"c"]) for _ in range(40)] for _ in range(3)]
+    lists = [[rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, 9))] + rng.choice(shared) + [rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, 9))] for _ in range(60)]
+    times = [2 if i == 5 else 1 for i in range(60)]
+    some = passages([b" ".join(x) for x in lists], list(range(60)), [i % 9 for i in range(60)], [len(x) - 34 for x in lists], times)
+    seen = collections.Counter()
+    for i, x in enumerate(lists):
+        for k in range(len(x) - 34):
+            seen[i % 9, tuple(x[k : k + 35])] += times[i]
+    want = {(i, k) for i, x in enumerate(lists) for k in range(len(x) - 34) if seen[i % 9, tuple(x[k : k + 35])] > 1}
+    got = {(int(i), int(w)) for at, first, last in substring_dedup.decide(some) for i, a, b in zip(at, first, last, strict=True) for w in range(a, b + 1)}
+    assert want and got == want
+    assert not list(substring_dedup.decide(passages([], [], [], [])))
+
+
+@pytest.fixture
+def hot_rows():
+    """A line between different texts in very many documents, a passage in many, and copies: more than ``FEW`` of each."""
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line, passage, copy = some(70), some(400), " ".join(some(5).replace(" ", "x") for _ in range(90))
+    rows = [(i, some(90) + line + some(90)) for i in range(150)] + [(200 + i, some(9) + passage + some(9)) for i in range(100)] + [(400 + i, copy) for i in range(90)]
+    words = " ".join(f"w{i}" for i in range(40))
+    rows += [(600 + i, f"{i} {i + 1} {words} {i + 2} {' '.join(f'v{i}-{k}' for k in range(40))}") for i in range(90)]
+    rng.shuffle(rows)
+    return [*rows, rows[0], (rows[1][0], rows[2][1])]
+
+
+def test_hot_anchors_lose_nothing(spark, hot_rows):
+    df = spark.createDataFrame(hot_rows, "doc_id long, text string").repartition(5)
+    assert result(suffix_dedup.deduplicated(df)) == brute_bytes(hot_rows)
+    assert result(substring_dedup.deduplicated(df)) == brute_words(hot_rows)
 
 
 def brute_chunks(text):

@@ -1,20 +1,22 @@
-"""Repeated windows of fixed length over a whole corpus, found by anchors.
+"""Where repeated windows of a fixed length can meet, for a whole corpus; an operator's own method then decides them.
 
 A text is a sequence of symbols (bytes or words). Of each window of ``window`` symbols, the ``gram``-symbol string inside
-it with the smallest hash is its anchor, so equal windows have equal anchors at equal places. The windows of one anchor
-are neighbours; the symbols they cover are a *fragment*. About one position in ``(window - gram) / 2`` is an anchor.
-
-1. ``scan``: each task cuts its texts into fragments and sends (anchor, content) hashes, packed by arrays into one row per
-   slice and bucket. Fragments equal to one of the same slice are settled there, so however often a passage repeats, a task
-   sends it once.
-2. ``settle``: equal fragments are decided by their hashes. What is left are fragments whose anchor also stands in a
-   different fragment: the ends of repeated passages. They are asked for.
-3. ``fetch``: the symbols of those fragments are read from the texts and sent to their anchor's bucket.
-4. An operator's own method decides their windows (``decide``).
-5. ``apply_verdicts``: verdicts go to the partitions of their documents, where the fragments are cut again.
-
-Hashes of 48 bits for the anchor and 48 for the content have to agree together. Windows never cross texts.
-Texts longer than a slice are cut into overlapping slices, so memory is bounded by ``SLICE`` symbols.
+it with the smallest hash is its anchor, so equal windows have equal anchors. Anchors deal work out, and nothing else:
+no window is removed because hashes agree.
+
+1. ``scan``: each task cuts its texts into fragments (neighbouring windows of one anchor) and sends which documents have
+   which anchors, once per document.
+2. ``meet``: an anchor that only one document has is done with. Else its windows meet at the smallest of its documents,
+   in the section of it where the anchor stands; documents are told so. An anchor that more than ``FEW`` documents have is hot.
+3. ``fetch``: documents cut out the passages that were asked for and send their symbols to the meeting place; neighbouring
+   fragments with one meeting place travel as one passage. Windows of a hot anchor are dealt by what they hold: windows
+   whose anchor stands at four neighbouring places share all but six of their symbols, and the hash of these is their
+   meeting place, so that only windows that can be equal meet. Equal pieces of one task are combined there, after comparing them.
+4. ``decided``: the method of the operator gets the passages of each meeting place and names the windows to remove.
+5. ``covered``: documents get the spans to remove.
+
+Hashes that collide bring windows together that differ, which costs time but changes nothing. Texts longer than a slice
+are cut into overlapping slices, so memory is bounded by ``SLICE`` symbols. A row is named by its document and its text.
 """
 
 from __future__ import annotations
@@ -27,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, texts
+from .common import partitions_for, texts
 
 _U = np.uint64
 SLICE = 1 << 21  # bytes of text handled at once
 HELD = 1 << 20  # entries gathered before they are sent
+FEW = 64  # documents of an anchor that meet at one of them
+PLACES = 4  # neighbouring places of a hot anchor that are dealt together
+LONGEST = 4096  # windows in a passage
+HOT = 0
 _LOW = (1 << 22) - 1
 _MASK48 = _U((1 << 48) - 1)
 _B = 0x9E3779B97F4A7C15
@@ -81,12 +87,16 @@ class Sums:
 
 @dataclass(frozen=True)
 class Kind:
-    """What is sought: windows of ``window`` symbols that also start in a smaller document, or (``anywhere``) anywhere else."""
+    """What is sought: windows of ``window`` symbols that also start in a smaller document, or (``anywhere``) anywhere else.
+
+    ``section``: symbols of the smallest document that make one meeting place.
+    """
 
     words: bool
     window: int
     gram: int
     anywhere: bool
+    section: int
 
     def symbols(self, raw: bytes) -> list[bytes] | bytes:
         return raw.split() if self.words else raw
@@ -101,26 +111,29 @@ class Kind:
             return np.array([known.get(w) or known.setdefault(w, digest(w) | 1) for p in pieces for w in p], _U)
         return _Tables.bytes_[np.frombuffer(b"".join(pieces), np.uint8)]
 
+    def body(self, piece, a: int, b: int) -> bytes:
+        return b" ".join(piece[a:b]) if self.words else piece[a:b]
+
 
 @dataclass
 class Fragments:
-    """Arrays with one entry per fragment: first and last window start, anchor start, hashes, and the text's index."""
+    """Arrays with one entry per fragment: first and last window start, the anchor's start and hash, and the text's index."""
 
     first: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
     key: np.ndarray
-    content: np.ndarray
     text: np.ndarray
+    sums: Sums
 
 
 def cut(values: np.ndarray, bounds: np.ndarray, kind: Kind) -> Fragments:
     """The fragments of the texts ``values[bounds[i]:bounds[i + 1]]``."""
     w, k, n = kind.window, kind.gram, len(values)
     none = np.zeros(0, np.int64)
-    if n < w:
-        return Fragments(none, none, none, none.astype(_U), none.astype(_U), none)
     sums = Sums(values)
+    if n < w:
+        return Fragments(none, none, none, none.astype(_U), none, sums)
     grams = mix((sums.sums[k:] - sums.sums[:-k]) * sums.inverse[: n - k + 1])
     least = (grams & ~_U(_LOW)) | np.arange(len(grams), dtype=_U)
     reach, wide = 1, w - k + 1
@@ -136,18 +149,19 @@ def cut(values: np.ndarray, bounds: np.ndarray, kind: Kind) -> Fragments:
     new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
     begin = np.flatnonzero(new)
     first, last, anchor = start[begin], start[np.append(begin[1:], len(start)) - 1] if len(start) else none, at[begin]
-    return Fragments(first, last, anchor, grams[anchor] & _MASK48, sums.spans(first, last + w) & _MASK48, text[first] if len(first) else none)
+    return Fragments(first, last, anchor, grams[anchor] & _MASK48, text[first] if len(first) else none, sums)
 
 
-def slices(ids: list[int], raws: list[bytes], kind: Kind) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
-    """(doc_ids, symbols per piece, bounds, start of each piece in its document) of at most about SLICE symbols."""
+def slices(raws: list[bytes], kind: Kind) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:
+    """(index of the text, symbols per piece, bounds, start of each piece in its text) of at most about SLICE symbols."""
     held: list[tuple[int, object, int]] = []
     size = 0
 
     def out():
-        return np.array([h[0] for h in held], np.int64), [h[1] for h in held], np.cumsum([0] + [len(h[1]) for h in held]), np.array([h[2] for h in held], np.int64)
+        bounds = np.cumsum([0] + [len(h[1]) for h in held])
+        return np.array([h[0] for h in held], np.int64), [h[1] for h in held], bounds, np.array([h[2] for h in held], np.int64)
 
-    for doc_id, raw in zip(ids, raws, strict=True):
+    for i, raw in enumerate(raws):
         symbols = kind.symbols(raw)
         step = SLICE - kind.window + 1
         for at in range(0, max(len(symbols) - kind.window + 1, 1), step):
@@ -155,7 +169,7 @@ def slices(ids: list[int], raws: list[bytes], kind: Kind) -> Iterator[tuple[np.n
             if held and size + len(piece) > SLICE:
                 yield out()
                 held, size = [], 0
-            held.append((doc_id, piece, at))
+            held.append((i, piece, at))
             size += len(piece)
     if held:
         yield out()
@@ -171,8 +185,15 @@ def arrow_texts(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]
         yield ids.take(take).to_pylist(), column.take(take).to_pylist()
 
 
+def row_names(ids: list[int], raws: list[bytes]) -> np.ndarray:
+    """Rows of one document with different texts have different names; rows that repeat share theirs, and their spans."""
+    import xxhash
+
+    return mix(np.array(ids, np.int64).view(_U)) ^ np.array([xxhash.xxh64_intdigest(r) for r in raws], _U)
+
+
 # Packed rows: ``to`` the partition, ``kind`` what the row holds, four columns of bytes.
-ENTRY, VERDICT, WANTED, FETCHED, TEXT = 0, 1, 2, 3, 4
+ENTRY, VERDICT, WANTED, PASSAGE, TEXT = 0, 1, 2, 3, 4
 PACKED = "to int, kind int, a binary, b binary, c binary, d binary"
 _SCHEMA = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 
@@ -200,24 +221,46 @@ def packed_rows(kind: int, to: np.ndarray, *columns: tuple[np.ndarray, Callable[
         sorted_ = values[order]
         data.append([encode(sorted_[x:y]) for x, y in spans])
     data += [[None] * len(spans)] * (4 - len(data))
-    yield pa.RecordBatch.from_arrays([pa.array(dest[cutoff[:-1]], pa.int32()), pa.array([kind] * len(spans), pa.int32()), *(pa.array(d, pa.binary()) for d in data)], schema=_SCHEMA)
+    places, kinds = pa.array(dest[cutoff[:-1]], pa.int32()), pa.array([kind] * len(spans), pa.int32())
+    yield pa.RecordBatch.from_arrays([places, kinds, *(pa.array(d, pa.binary()) for d in data)], schema=_SCHEMA)
 
 
 def raw64(x: np.ndarray) -> bytes:
-    return x.astype("<i8").tobytes()
+    return np.ascontiguousarray(x).astype("<i8").tobytes()
 
 
 def raw32(x: np.ndarray) -> bytes:
-    return x.astype("<i4").tobytes()
+    return np.ascontiguousarray(x).astype("<i4").tobytes()
+
+
+def raw8(x: np.ndarray) -> bytes:
+    return x.astype(np.uint8).tobytes()
+
+
+def _int64(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i8")
+
+
+def _int32(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i4").astype(np.int64)
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "c", "d")), strict=True)
+
+
+def _joined(parts: list[tuple]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 class Deal:
-    """Where things go: anchors to buckets by hash, documents to partitions by id."""
+    """Where things go: anchors and meeting places by their hash, documents by their id."""
 
     def __init__(self, n: int):
         self.n = n
 
-    def anchors(self, key: np.ndarray) -> np.ndarray:
+    def hashed(self, key: np.ndarray) -> np.ndarray:
         return (key % _U(self.n)).astype(np.int32)
 
     def documents(self, doc: np.ndarray) -> np.ndarray:
@@ -227,128 +270,102 @@ class Deal:
         """Rows of a destination together, texts after everything else."""
         return df.repartitionById(self.n, "to").sortWithinPartitions("kind")
 
+    def verdicts(self, doc: np.ndarray, name: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Symbols start..end of the rows of that name go."""
+        yield from packed_rows(VERDICT, self.documents(doc), (doc, raw64), (name.view(np.int64), raw64), (start, raw32), (end, raw32))
 
-def verdict_rows(deal: Deal, doc, content, first, last) -> Iterator[pa.RecordBatch]:
-    """Windows first..last (relative to the fragment's first) of the fragments with that content in that document go."""
-    yield from packed_rows(VERDICT, deal.documents(doc), (doc, raw64), (content, pack48), (first, raw32), (last, raw32))
+    def wanted(self, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from packed_rows(WANTED, self.documents(doc), (doc, raw64), (key, pack48), (place, pack48))
 
 
-ALL = (1 << 31) - 1
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Flags of the rows that differ from the one before in any of the columns."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
 
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first-of-its-kind flags in that order) of rows sorted by the columns, the first weighs most."""
-    order = np.lexsort(columns[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
-    return order, new
+def _counts(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(new)))
 
 
 def scan(docs: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
+    """ENTRY rows (a anchor, b document, c section, d flags: 1 more than once in the document, 2 hot), to the anchor's partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for ids, raws in arrow_texts(batch):
-                for doc_ids, pieces, bounds, _ in slices(ids, raws, kind):
+                doc = np.array(ids, np.int64)
+                for row, pieces, bounds, starts in slices(raws, kind):
                     found = cut(kind.values(pieces), bounds, kind)
-                    held.append((found.key, found.content, doc_ids[found.text]))
-                    if sum(len(h[0]) for h in held) >= HELD:
-                        yield from _scanned(*map(np.concatenate, zip(*held, strict=True)), kind, deal)
-                        held = []
+                    place = found.anchor - bounds[found.text] + starts[found.text]
+                    held.append((found.key, doc[row[found.text]], place // kind.section))
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield from _scanned(*_joined(held), deal)
+                    held = []
         if held:
-            yield from _scanned(*map(np.concatenate, zip(*held, strict=True)), kind, deal)
+            yield from _scanned(*_joined(held), deal)
 
     return texts(docs).mapInArrow(run, PACKED)
 
 
-def _scanned(key, content, doc, kind: Kind, deal: Deal) -> Iterator[pa.RecordBatch]:
-    if not len(key):
-        return
-    order, new = _distinct(key, content)
-    order = order[np.lexsort((doc[order], np.cumsum(new)))]
-    key, content, doc = key[order], content[order], doc[order]
-    groups = np.flatnonzero(new)
-    sizes = np.diff(np.append(groups, len(key)))
-    group = np.repeat(np.arange(len(groups)), sizes)
-    first_of_doc = np.ones(len(key), bool)
-    first_of_doc[1:] = new[1:] | (doc[1:] != doc[:-1])
-    settled = (sizes > 1)[group] if kind.anywhere else doc > doc[groups][group]
-    done = settled & first_of_doc
-    yield from verdict_rows(deal, doc[done], content[done], np.zeros(int(done.sum()), np.int64), np.full(int(done.sum()), ALL))
-    many = (sizes > 1).astype(np.int32) if kind.anywhere else np.zeros(len(groups), np.int32)
-    send = groups[np.argsort(doc[groups], kind="stable")]  # runs of a document compress well
-    many = many[np.argsort(doc[groups], kind="stable")]
-    yield from packed_rows(ENTRY, deal.anchors(key[send]), (key[send], pack48), (content[send], pack48), (doc[send], raw64), (many, lambda m: np.packbits(m.astype(bool)).tobytes()))
-
-
-def _entries(batch_rows: list[tuple[bytes, bytes, bytes, bytes]]):
-    key = np.concatenate([unpack48(a) for a, _, _, _ in batch_rows])
-    content = np.concatenate([unpack48(b) for _, b, _, _ in batch_rows])
-    doc = np.concatenate([np.frombuffer(c, "<i8") for _, _, c, _ in batch_rows])
-    many = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8), count=len(c) // 8) for _, _, c, d in batch_rows]).astype(bool)
-    return key, content, doc, many
-
-
-def settle(scanned: DataFrame, kind: Kind, deal: Deal, part: int) -> DataFrame:
-    """``part`` VERDICT: verdicts on equal fragments, with those of the scan. WANTED: the fragments whose anchor stands in different ones.
-
-    Both read the same shuffle; each gives only its own rows, one per destination.
-    """
+def _scanned(key, doc, section, deal: Deal) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((section, doc, key))
+    key, doc, section = key[order], doc[order], section[order]
+    once, times = _counts(_starts(key, doc))
+    key, doc, section = key[once], doc[once], section[once]
+    groups, sizes = _counts(_starts(key))
+    hot = np.repeat(sizes > FEW, sizes)
+    yield from deal.wanted(doc[hot], key[hot], np.full(int(hot.sum()), HOT, _U))  # known here already
+    flags = (times > 1) + 2 * hot
+    hot[groups] = False  # one entry tells the others
+    send = np.flatnonzero(~hot)
+    send = send[np.argsort(doc[send], kind="stable")]  # runs of a document compress well
+    yield from packed_rows(ENTRY, deal.hashed(key[send]), (key[send], pack48), (doc[send], raw64), (section[send], raw32), (flags[send], raw8))
+
+
+def meet(scanned: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
+    """WANTED rows (a document, b anchor, c meeting place) to the documents' partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[tuple] = []
-        verdicts: list[tuple] = []
-        for batch in batches:
-            for k, *columns in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "c", "d")), strict=True):
-                if k == ENTRY:
-                    entries.append(tuple(columns))
-                elif part == VERDICT:
-                    verdicts.append(_verdict(columns))
-        if entries:
-            found = _settled(*_entries(entries), kind, deal, part)
-            if part == WANTED:
-                yield from found
+        told: list[tuple] = []
+        for k, a, b, c, d in _columns(batches):
+            if k == ENTRY:
+                entries.append((unpack48(a), _int64(b), _int32(c), np.frombuffer(d, np.uint8)))
             else:
-                verdicts.append(found)
-        if verdicts:
-            yield from verdict_rows(deal, *(np.concatenate(x) for x in zip(*verdicts, strict=True)))
+                told.append((_int64(a), unpack48(b), unpack48(c)))
+        if entries:
+            told.append(_met(*_joined(entries), kind))
+        if told:
+            yield from deal.wanted(*_joined(told))
 
     return deal.exchange(scanned).mapInArrow(run, PACKED)
 
 
-def _verdict(columns) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    a, b, c, d = columns
-    return np.frombuffer(a, "<i8"), unpack48(b), np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(d, "<i4").astype(np.int64)
-
-
-def _settled(key, content, doc, many, kind: Kind, deal: Deal, part: int):
-    order = np.lexsort((doc, content, key))
-    key, content, doc, many = key[order], content[order], doc[order], many[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-    groups = np.flatnonzero(new)
-    sizes = np.diff(np.append(groups, len(key)))
-    group = np.repeat(np.arange(len(groups)), sizes)
-    settled = (sizes > 1)[group] if kind.anywhere else doc > doc[groups][group]
-    if part == VERDICT:  # a slice that held a content more than once has judged its own documents
-        n = int(settled.sum())
-        return doc[settled], content[settled], np.zeros(n, np.int64), np.full(n, ALL)
-    k, c, d = key[groups], content[groups], doc[groups]  # the smallest document of each content
-    new_key = np.ones(len(k), bool)
-    new_key[1:] = k[1:] != k[:-1]
-    starts = np.flatnonzero(new_key)
-    held = np.diff(np.append(starts, len(k)))
-    open_ = held > 1
-    if not kind.anywhere and len(starts):
-        open_ &= np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
-    wanted = np.repeat(open_, held)
-    more = np.logical_or.reduceat(many, groups) | (sizes > 1) if len(groups) else many
-    return packed_rows(WANTED, deal.documents(d[wanted]), (d[wanted], raw64), (k[wanted], pack48), (c[wanted], pack48), (more[wanted].astype(np.int8), lambda m: m.tobytes()))
+def _met(key, doc, section, flags, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((section, doc, key))
+    key, doc, section, flags = key[order], doc[order], section[order], flags[order]
+    groups, sizes = _counts(_starts(key))
+    new_doc = _starts(key, doc)
+    n_docs = np.add.reduceat(new_doc.astype(np.int64), groups)
+    any_flag = np.bitwise_or.reduceat(flags, groups)
+    hot = (n_docs > FEW) | (any_flag & 2 > 0)
+    wanted = hot | (n_docs > 1)
+    if kind.anywhere:
+        wanted |= (any_flag & 1 > 0) | (sizes > 1)
+    place = mix(mix(doc[groups].view(_U)) + section[groups].astype(_U)) & _MASK48 | _U(1)
+    place = np.where(hot, _U(HOT), place)
+    keep = np.repeat(wanted, sizes) & new_doc
+    return doc[keep], key[keep], np.repeat(place, sizes)[keep]
 
 
 def with_texts(rows_: DataFrame, docs: DataFrame, deal: Deal) -> DataFrame:
     """Packed rows and the texts, each with the partition of its document."""
+
     def addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -356,37 +373,30 @@ def with_texts(rows_: DataFrame, docs: DataFrame, deal: Deal) -> DataFrame:
         for batch in batches:
             for ids, raws in arrow_texts(batch):
                 doc, sizes = np.array(ids, np.int64), np.fromiter(map(len, raws), np.int64, len(raws))
-                yield from packed_rows(TEXT, deal.documents(doc), (doc, raw64), (sizes, raw64), (np.arange(len(raws)), lambda at, raws=raws: pressed.compress(b"".join([raws[i] for i in at.tolist()]))))
+                body = lambda at, raws=raws: pressed.compress(b"".join([raws[i] for i in at.tolist()]))
+                yield from packed_rows(TEXT, deal.documents(doc), (doc, raw64), (sizes, raw64), (np.arange(len(raws)), body))
 
     return deal.exchange(rows_.unionByName(texts(docs).mapInArrow(addressed, PACKED)))
 
 
-def unpacked_texts(batch: pa.RecordBatch, at: np.ndarray) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(ids, texts) of the TEXT rows at some places of a batch, one row at a time."""
+def _unpacked_text(a: bytes, b: bytes, c: bytes) -> tuple[list[int], list[bytes]]:
     import zstandard
 
-    for i in at.tolist():
-        ids, sizes = np.frombuffer(batch.column("a")[i].as_py(), "<i8"), np.frombuffer(batch.column("b")[i].as_py(), "<i8")
-        flat = zstandard.ZstdDecompressor().decompress(batch.column("c")[i].as_py(), max_output_size=max(int(sizes.sum()), 1))
-        ends = np.cumsum(sizes)
-        yield ids.tolist(), [flat[x:y] for x, y in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    ids, sizes = _int64(a), _int64(b)
+    flat = zstandard.ZstdDecompressor().decompress(c, max_output_size=max(int(sizes.sum()), 1))
+    ends = np.cumsum(sizes)
+    return ids.tolist(), [flat[x:y] for x, y in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
 class Lookup:
-    """Which (document, content) are named, and their row numbers, by binary search."""
-
-    def __init__(self, doc: np.ndarray, content: np.ndarray):
-        self.keys = self.join(doc, content)
-        self.order = np.argsort(self.keys, kind="stable")
-        self.sorted = self.keys[self.order]
+    """Rows by a 64-bit key, by binary search."""
 
-    @staticmethod
-    def join(doc: np.ndarray, content: np.ndarray) -> np.ndarray:
-        return mix(mix(doc.astype(np.int64).view(_U)) ^ content * _U(0xBF58476D1CE4E5B9))
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, kind="stable")
+        self.sorted = keys[self.order]
 
-    def pairs(self, doc: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(asked, named): all pairs of equal keys."""
-        keys = self.join(doc, content)
         lo, hi = np.searchsorted(self.sorted, keys, "left"), np.searchsorted(self.sorted, keys, "right")
         n = hi - lo
         asked = np.repeat(np.arange(len(keys)), n)
@@ -394,99 +404,179 @@ class Lookup:
         return asked, self.order[np.arange(int(n.sum())) + np.repeat(lo - (ends - n), n)]
 
 
-def _bytes_of(kind: Kind, piece, a: int, b: int) -> bytes:
-    return b" ".join(piece[a:b]) if kind.words else piece[a:b]
+def _doc_key(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.int64).view(_U)) ^ key * _U(0xBF58476D1CE4E5B9))
+
 
+class _Sent:
+    """Passages on their way to their meeting places; equal ones of hot anchors are combined until the next flush."""
 
-def fetch(settled: DataFrame, docs: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
-    """FETCHED rows: the symbols of the wanted fragments, by anchor: a keys, b doc/content/flags, c bytes, d sizes."""
+    def __init__(self, kind: Kind, deal: Deal):
+        self.kind, self.deal = kind, deal
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: list[np.ndarray] = []
+        self.facts: list[np.ndarray] = []  # document, row name, start, times
+        self.shapes: list[np.ndarray] = []  # bytes, windows
+        self.bodies: list[bytes] = []
+        self.hot: dict[tuple[int, bytes], list[list[int]]] = {}
+        self.gone: list[tuple[int, int, int, int]] = []
+
+    def add(self, f: Fragments, asked, place, row, doc, name, pieces, bounds, starts) -> None:
+        cold = place != HOT
+        self._passages(f, asked[cold], place[cold], row, doc, name, pieces, bounds, starts)
+        if not cold.all():
+            self._hot(f, asked[~cold], row, doc, name, pieces, bounds, starts)
+
+    def _bodies(self, text, first, last, pieces, bounds) -> list[bytes]:
+        low, high = first - bounds[text], last - bounds[text] + self.kind.window
+        return [self.kind.body(pieces[t], a, b) for t, a, b in zip(text.tolist(), low.tolist(), high.tolist(), strict=True)]
+
+    def _passages(self, f, asked, place, row, doc, name, pieces, bounds, starts) -> None:
+        if not len(asked):
+            return
+        text = f.text[asked]
+        new = _starts(place, text)
+        new[1:] |= f.first[asked[1:]] != f.last[asked[:-1]] + 1
+        at = np.flatnonzero(new)
+        first, last = f.first[asked[at]], f.last[asked[np.append(at[1:], len(asked)) - 1]]
+        parts = (last - first) // LONGEST + 1  # windows of long passages are dealt to several
+        which = np.repeat(np.arange(len(at)), parts)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+        text, place = text[at][which], place[at][which]
+        first, last = first[which] + nth * LONGEST, np.minimum(first[which] + (nth + 1) * LONGEST - 1, last[which])
+        bodies = self._bodies(text, first, last, pieces, bounds)
+        start = first - bounds[text] + starts[text]
+        self.places.append(place)
+        self.facts.append(np.column_stack([doc[row[text]], name[row[text]].view(np.int64), start, np.ones(len(text), np.int64)]))
+        self.shapes.append(np.column_stack([np.fromiter(map(len, bodies), np.int64, len(bodies)), last - first + 1]))
+        self.bodies += bodies
+
+    def _hot(self, f, asked, row, doc, name, pieces, bounds, starts) -> None:
+        window, wide = self.kind.window, self.kind.window - self.kind.gram
+        for a in range(0, wide + 1, PLACES):
+            b = min(a + PLACES - 1, wide)  # the anchor stands a..b symbols right of the window's start
+            first, last = np.maximum(f.first[asked], f.anchor[asked] - b), np.minimum(f.last[asked], f.anchor[asked] - a)
+            some = np.flatnonzero(first <= last)
+            at, first, last = asked[some], first[some], last[some]
+            shared = f.sums.spans(f.anchor[at] - a, f.anchor[at] - b + window)
+            place = mix(shared ^ f.key[at] + _U(a)) & _MASK48 | _U(1)
+            text = f.text[at]
+            bodies = self._bodies(text, first, last, pieces, bounds)
+            facts = zip(doc[row[text]].tolist(), name[row[text]].view(np.int64).tolist(), (first - bounds[text] + starts[text]).tolist(), (last - first + 1).tolist(), strict=True)
+            for key, (d, n, s, w) in zip(zip(place.tolist(), bodies, strict=True), facts, strict=True):
+                self._combine(key, d, n, s, w)
+
+    def _combine(self, key: tuple[int, bytes], doc: int, name: int, start: int, windows: int) -> None:
+        """Of equal pieces the smallest document's are sent on (anywhere: the first, as two); the rest go."""
+        mine = [doc, name, start, windows, 1]
+        kept = self.hot.setdefault(key, [])
+        span = lambda x: (x[0], x[1], x[2], x[2] + x[3] + self.kind.window - 1)
+        if not kept:
+            kept.append(mine)
+        elif self.kind.anywhere:
+            kept[0][4] = 2
+            self.gone.append(span(mine))
+        elif doc == kept[0][0]:
+            kept.append(mine)
+        elif doc > kept[0][0]:
+            self.gone.append(span(mine))
+        else:
+            self.gone += map(span, kept)
+            self.hot[key] = [mine]
+
+    def size(self) -> int:
+        return len(self.bodies) + len(self.hot) + len(self.gone)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.hot:
+            flat = [(place, body, x) for (place, body), kept in self.hot.items() for x in kept]
+            self.places.append(np.array([x[0] for x in flat], _U))
+            self.facts.append(np.array([[x[2][0], x[2][1], x[2][2], x[2][4]] for x in flat], np.int64))
+            self.shapes.append(np.array([[len(x[1]), x[2][3]] for x in flat], np.int64))
+            self.bodies += [x[1] for x in flat]
+        if self.places:
+            bodies = np.empty(len(self.bodies), object)
+            bodies[:] = self.bodies
+            place = np.concatenate(self.places)
+            shapes, join = np.concatenate(self.shapes), lambda x: b"".join(x.tolist())
+            yield from packed_rows(PASSAGE, self.deal.hashed(place), (place, pack48), (np.concatenate(self.facts), raw64), (bodies, join), (shapes, raw32))
+        if self.gone:
+            doc, name, start, end = np.array(self.gone, np.int64).T
+            yield from self.deal.verdicts(doc, np.ascontiguousarray(name), start, end)
+        self.clear()
+
+
+def fetch(met: DataFrame, docs: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
+    """PASSAGE rows (a meeting places, b document, row name, start and times, c symbols, d sizes), and verdicts on combined ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: list[tuple] = []
-        lookup = flags = wanted_docs = None
-        found: list[tuple] = []
-        for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            if (kinds == WANTED).any():
-                some = batch.filter(pa.array(kinds == WANTED))
-                wanted += zip(*(some.column(c).to_pylist() for c in "abcd"), strict=True)
-            at = np.flatnonzero(kinds == TEXT)
-            if not len(at) or not wanted:
+        told: list[tuple] = []
+        lookup = places = asking = None
+        sent = _Sent(kind, deal)
+        for k, a, b, c, _ in _columns(batches):
+            if k == WANTED:
+                told.append((_int64(a), unpack48(b), unpack48(c)))
+                continue
+            if not told:
                 continue
             if lookup is None:  # texts come after all that is wanted of them
-                wanted_docs = np.concatenate([np.frombuffer(w[0], "<i8") for w in wanted])
-                flags = np.concatenate([np.frombuffer(w[3], np.int8) for w in wanted])
-                lookup = Lookup(wanted_docs, np.concatenate([unpack48(w[2]) for w in wanted]))
-                wanted_docs = np.unique(wanted_docs)
-            for ids, raws in unpacked_texts(batch, at):
-                asked_for = np.isin(np.array(ids, np.int64), wanted_docs).tolist()
-                ids, raws = [x for x, y in zip(ids, asked_for, strict=True) if y], [x for x, y in zip(raws, asked_for, strict=True) if y]
-                for doc_ids, pieces, bounds, _ in slices(ids, raws, kind):
-                    f = cut(kind.values(pieces), bounds, kind)
-                    asked, named = lookup.pairs(doc_ids[f.text], f.content)
-                    _, one = np.unique(np.column_stack([doc_ids[f.text[asked]], f.content[asked].view(np.int64)]), axis=0, return_index=True)  # once per document
-                    asked, named = asked[one], named[one]
-                    found.append(_fetched(f, asked, flags[named], doc_ids, pieces, bounds, kind))
-                    if sum(len(x[0]) for x in found) >= HELD // 8:
-                        yield from _sent(found, deal)
-                        found = []
-        yield from _sent(found, deal)
-
-    return with_texts(settled, docs, deal).mapInArrow(run, PACKED)
-
-
-def _fetched(f: Fragments, asked, flags, doc_ids, pieces, bounds, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, doc/content/flag, sizes, bodies) of the fragments asked for."""
-    text = f.text[asked]
-    low = f.first[asked] - bounds[text]
-    bodies = np.empty(len(asked), object)
-    bodies[:] = [_bytes_of(kind, pieces[t], a, a + n) for t, a, n in zip(text.tolist(), low.tolist(), (f.last[asked] - f.first[asked] + kind.window).tolist(), strict=True)]
-    facts = np.column_stack([doc_ids[text], f.content[asked].astype(np.int64), flags])
-    sizes = np.column_stack([np.fromiter(map(len, bodies), np.int64, len(bodies)), f.last[asked] - f.first[asked] + 1, f.anchor[asked] - f.first[asked]])
-    return f.key[asked], facts, sizes, bodies
-
-
-def _sent(found: list[tuple], deal: Deal) -> Iterator[pa.RecordBatch]:
-    if found:
-        key, facts, sizes, bodies = (np.concatenate(x) for x in zip(*found, strict=True))
-        yield from packed_rows(FETCHED, deal.anchors(key), (key, pack48), (facts, raw64), (bodies, lambda x: b"".join(x.tolist())), (sizes, raw32))
+                doc, key, place = _joined(told)
+                names, at = np.unique(_doc_key(doc, key), return_index=True)
+                lookup, places, asking = Lookup(names), place[at], np.unique(doc)
+            ids, raws = _unpacked_text(a, b, c)
+            mine = np.flatnonzero(np.isin(np.array(ids, np.int64), asking)).tolist()
+            ids, raws = [ids[i] for i in mine], [raws[i] for i in mine]
+            doc, name = np.array(ids, np.int64), row_names(ids, raws)
+            for row, pieces, bounds, starts in slices(raws, kind):
+                f = cut(kind.values(pieces), bounds, kind)
+                asked, named = lookup.pairs(_doc_key(doc[row[f.text]], f.key))
+                sent.add(f, asked, places[named], row, doc, name, pieces, bounds, starts)
+            if sent.size() >= HELD // 4:
+                yield from sent.flush()
+        yield from sent.flush()
+
+    return with_texts(met, docs, deal).mapInArrow(run, PACKED)
 
 
 @dataclass
-class Undecided:
-    """Fragments of the anchors of one task, different per anchor: arrays, and the bytes of each."""
+class Passages:
+    """The passages of the meeting places of one task."""
 
-    key: np.ndarray
+    place: np.ndarray
     doc: np.ndarray
-    content: np.ndarray
-    more: np.ndarray  # the fragment as a whole is repeated
+    times: np.ndarray  # how often a piece of a hot anchor stood in its task, at most 2
     windows: np.ndarray  # how many window starts
-    anchor: np.ndarray  # the anchor's place in the fragment
     bodies: list[bytes]
 
 
-Decide = Callable[[Undecided], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+Decide = Callable[[Passages], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
-def decided(fetched: DataFrame, decide: Decide, deal: Deal) -> DataFrame:
-    """``decide`` gives (fragment, first, last window) to remove; they come out as verdicts."""
+def decided(fetched: DataFrame, decide: Decide, kind: Kind, deal: Deal) -> DataFrame:
+    """``decide`` gives (passage, first, last window) to remove; they come out as verdicts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in "abcd"), strict=True)
-        if not held:
-            return
-        facts = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 3) for _, b, _, _ in held])
-        sizes = np.concatenate([np.frombuffer(d, "<i4").reshape(-1, 3) for _, _, _, d in held]).astype(np.int64)
-        flat = b"".join(c for _, _, c, _ in held)
-        ends = np.cumsum(sizes[:, 0])
-        bodies = [flat[a:b] for a, b in zip((ends - sizes[:, 0]).tolist(), ends.tolist(), strict=True)]
-        some = Undecided(np.concatenate([unpack48(a) for a, _, _, _ in held]), facts[:, 0], facts[:, 1].astype(_U), facts[:, 2].astype(bool), sizes[:, 1], sizes[:, 2], bodies)
-        parts = list(decide(some))
-        if parts:
-            at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield from verdict_rows(deal, some.doc[at], some.content[at], first, last)
+        verdicts: list[tuple] = []
+        for k, a, b, c, d in _columns(batches):
+            if k == VERDICT:
+                verdicts.append((_int64(a), _int64(b), _int32(c), _int32(d)))
+            else:
+                held.append((a, b, c, d))
+        if held:
+            facts = np.concatenate([_int64(b).reshape(-1, 4) for _, b, _, _ in held])
+            shapes = np.concatenate([_int32(d).reshape(-1, 2) for _, _, _, d in held])
+            flat = b"".join(c for _, _, c, _ in held)
+            ends = np.cumsum(shapes[:, 0])
+            bodies = [flat[x:y] for x, y in zip((ends - shapes[:, 0]).tolist(), ends.tolist(), strict=True)]
+            some = Passages(np.concatenate([unpack48(a) for a, _, _, _ in held]), facts[:, 0], facts[:, 3], shapes[:, 1], bodies)
+            held, flat = [], b""
+            for at, first, last in decide(some):
+                verdicts.append((facts[at, 0], facts[at, 1], facts[at, 2] + first, facts[at, 2] + last + kind.window))
+        if verdicts:
+            yield from deal.verdicts(*_joined(verdicts))
 
     return deal.exchange(fetched).mapInArrow(run, PACKED)
 
@@ -496,52 +586,36 @@ def covered(verdicts: DataFrame, docs: DataFrame, kind: Kind, deal: Deal, finish
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        lookup = first = last = None
-        for batch in batches:
-            kinds = batch.column("kind").to_numpy()
-            if (kinds == VERDICT).any():
-                some = batch.filter(pa.array(kinds == VERDICT))
-                held += zip(*(some.column(c).to_pylist() for c in "abcd"), strict=True)
-            at = np.flatnonzero(kinds == TEXT)
-            if not len(at):
+        lookup = None
+        for k, a, b, c, d in _columns(batches):
+            if k == VERDICT:
+                held.append((_int64(b).view(_U), _int32(c), _int32(d)))
                 continue
             if lookup is None:
-                join = lambda i, f, none: np.concatenate([f(h[i]) for h in held]) if held else np.zeros(0, none)
-                lookup = Lookup(join(0, lambda x: np.frombuffer(x, "<i8"), np.int64), join(1, unpack48, _U))
-                first, last = (join(i, lambda x: np.frombuffer(x, "<i4").astype(np.int64), np.int64) for i in (2, 3))
-            for ids, raws in unpacked_texts(batch, at):
-                yield _finished(ids, raws, lookup, first, last, kind, finish, schema)
+                name, start, end = _joined(held) if held else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                lookup, held = Lookup(name), []
+            ids, raws = _unpacked_text(a, b, c)
+            asked, named = lookup.pairs(row_names(ids, raws))
+            edges = np.searchsorted(asked, np.arange(len(ids) + 1)).tolist()
+            rows_ = []
+            for i, raw in enumerate(raws):
+                gone = np.zeros(len(raw.split()) if kind.words else len(raw), bool)
+                if edges[i] < edges[i + 1]:
+                    mine = named[edges[i] : edges[i + 1]]
+                    steps = np.zeros(len(gone) + 1, np.int64)
+                    np.add.at(steps, start[mine], 1)
+                    np.add.at(steps, end[mine], -1)
+                    gone = np.cumsum(steps[:-1]) > 0
+                rows_.append((ids[i], *finish(raw, gone)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows_, strict=True), schema, strict=True)], schema=schema)
 
     out = with_texts(verdicts, docs, deal).mapInArrow(run, columns)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
 
-def _finished(ids, raws, lookup: Lookup, first, last, kind: Kind, finish, schema) -> pa.RecordBatch:
-    gone = [np.zeros(len(raw.split()) if kind.words else len(raw), bool) for raw in raws]
-    position = 0
-    for doc_ids, pieces, bounds, starts in slices(ids, raws, kind):
-        f = cut(kind.values(pieces), bounds, kind)
-        asked, named = lookup.pairs(doc_ids[f.text], f.content)
-        edges = np.zeros(bounds[-1] + 1, np.int64)
-        np.add.at(edges, f.first[asked] + first[named], 1)
-        np.add.at(edges, np.minimum(f.first[asked] + last[named], f.last[asked]) + kind.window, -1)
-        hit = np.cumsum(edges[:-1]) > 0
-        for i, piece in enumerate(pieces):
-            if starts[i] == 0:
-                current = position
-                position += 1
-            else:
-                current = position - 1
-            gone[current][starts[i] : starts[i] + len(piece)] |= hit[bounds[i] : bounds[i + 1]]
-    rows_ = [(i, *finish(raw, g)) for i, raw, g in zip(ids, raws, gone, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_, strict=True), schema, strict=True)], schema=schema)
-
-
 def remove_repeats(docs: DataFrame, kind: Kind, decide: Decide, finish: Callable, columns: str, schema: pa.Schema) -> DataFrame:
-    """All steps; two shuffles of the texts, one of their fragments' hashes, and small ones."""
-    deal = Deal(shuffle_partitions(docs.sparkSession))
+    """All steps: two shuffles of the texts, one of who has which anchor, one of the passages that can repeat, and small ones."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), "text")
-    scanned = scan(own, kind, deal)
-    fetched = fetch(settle(scanned, kind, deal, WANTED), own, kind, deal)
-    verdicts = settle(scanned, kind, deal, VERDICT).unionByName(decided(fetched, decide, deal))
-    return covered(verdicts, own, kind, deal, finish, columns, schema)
+    deal = Deal(partitions_for(own))
+    met = meet(scan(own, kind, deal), kind, deal)
+    return covered(decided(fetch(met, own, kind, deal), decide, kind, deal), own, kind, deal, finish, columns, schema)

@@ -24,17 +24,36 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the session names; a folder of our own is taken only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Cut the lineage with a reliable checkpoint in the shared folder that the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder that driver and executors share; a local master may use a folder of its own, a cluster has to name one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(named)
+    return named
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 32_000_000) -> int:
+    """The session's number of shuffle partitions, or more if Spark's estimate of the input's size asks for more."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_partitions(df.sparkSession), size // bytes_each if size < 1 << 55 else 0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """(doc_ids, texts as UTF-8 bytes) in slices of about ``most_bytes``; one longer text makes a slice of its own."""
     for batch in batches:

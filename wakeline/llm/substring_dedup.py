@@ -1,9 +1,8 @@
 """Removal of repeated word windows by level-wise doubling.
 
-Level one takes ``FIRST``-word windows, the least of each ``WINDOW`` by hash (``anchored``): one that stands nowhere else
-ends there. Windows around those that do repeat go on: of those in unequal surroundings, ``FIRST``-word windows at the
-start of each candidate are compared, the repeated ones extended to twice the length, and so on until the length is
-``WINDOW``; a level looks only at what survived the one before.
+``anchored`` brings passages that can share windows to meeting places. There, words that stand more than once are
+extended to pairs, repeated pairs to four words, and so on until the length is ``WINDOW``; a level looks only at what
+survived the one before, and compares exactly, as a window is the pair of two shorter ones that have been compared.
 
 Edge cases: a null text has no words; texts with fewer words than a window lose nothing; rows of equal doc_id count as
 occurrences of their own; a null doc_id counts as the smallest; an empty table gives an empty result; other columns are
@@ -19,47 +18,72 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchored import Kind, Sums, Undecided, mix, remove_repeats
+from .anchored import Kind, Passages, remove_repeats
 from .suffix_dedup import runs
 
-WINDOW, FIRST = 35, 9
-KIND = Kind(words=True, window=WINDOW, gram=FIRST, anywhere=True)
-CHUNK = 1 << 22
-_U = np.uint64
+WINDOW, GRAM = 35, 9
+KIND = Kind(words=True, window=WINDOW, gram=GRAM, anywhere=True, section=256)
+BATCH = 1 << 20  # words compared together
 
 
-def lengths(window: int = WINDOW, first: int = FIRST) -> list[int]:
-    """first, twice that, ..., window."""
-    out = [first]
+def lengths(window: int = WINDOW) -> list[int]:
+    """1, 2, 4, ..., window."""
+    out = [1]
     while out[-1] < window:
         out.append(min(2 * out[-1], window))
     return out
 
 
-def decide(some: Undecided, kind: Kind = KIND) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(fragment, first, last window) runs that repeat in another fragment of the same anchor."""
-    order = np.argsort(some.key, kind="stable")
-    sizes = np.fromiter(map(len, some.bodies), np.int64, len(some.bodies))[order]
-    new = np.append(True, some.key[order][1:] != some.key[order][:-1])
-    chunk = (np.cumsum(sizes) // CHUNK)[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    for part in np.split(order, np.flatnonzero(np.diff(chunk)) + 1):
-        words = [some.bodies[i].split() for i in part]
-        sums = Sums(kind.values(words))
-        base = np.cumsum([0] + [len(w) for w in words])[:-1]
-        n = some.windows[part]
-        fragment = np.repeat(np.arange(len(part)), n)
-        window = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        place = (some.anchor[part][fragment] - window).astype(_U)  # equal windows have their anchor at the same place
-        surroundings = mix(some.key[part][fragment] ^ mix(place + _U(1)))
-        for length in lengths(kind.window, kind.gram):
-            start = base[fragment] + window
-            marks = mix(sums.spans(start, start + length) ^ surroundings)
-            _, at, times = np.unique(marks, return_inverse=True, return_counts=True)
-            on = times[at] > 1
-            fragment, window, surroundings = fragment[on], window[on], surroundings[on]
-        new_ = ~some.more[part][fragment]
-        owner, first, last = runs(fragment[new_], window[new_])
-        yield part[owner], first, last
+def decide(some: Passages, kind: Kind = KIND) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, first, last window) runs that stand more than once at their meeting place."""
+    if not some.bodies:
+        return
+    order = np.argsort(some.place, kind="stable")
+    new = np.append(True, some.place[order][1:] != some.place[order][:-1])
+    words = np.cumsum(some.windows[order] + kind.window - 1)
+    batch = (words // BATCH)[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # a meeting place stays together
+    for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(batch)) + 1):
+        who = order[part]
+        at, window = repeated([some.bodies[i].split() for i in who.tolist()], np.cumsum(new[part]), some.times[who], kind.window)
+        if len(at):
+            passage, first, last = runs(at, window)
+            yield who[passage], first, last
+
+
+def repeated(passages: list[list[bytes]], names: np.ndarray, times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Among passages of equal names: (passage, place) of the windows that stand there more than once; ``times``: what a passage counts for.
+
+    ``rank``: a number per place that is equal for equal windows of the level's length and the same name, -1 if the
+    window stands only once. A window of the next length is the pair of two that overlap or touch, so ranks are exact.
+    """
+    sizes = np.fromiter(map(len, passages), np.int64, len(passages))
+    passage = np.repeat(np.arange(len(passages)), sizes)
+    ends = np.cumsum(sizes)
+    known: dict[bytes, int] = {}
+    word = np.fromiter((known.setdefault(w, len(known)) for p in passages for w in p), np.int64, len(passage))
+    counts = times[passage]
+    rank, length = _ranks(names[passage], word, counts), 1
+    for longer in lengths(window)[1:]:
+        at = np.flatnonzero((rank >= 0) & (np.arange(len(rank)) + longer <= ends[passage]))
+        at = at[rank[at + longer - length] >= 0]
+        new = np.full(len(rank), -1)
+        new[at] = _ranks(rank[at], rank[at + longer - length], counts[at])
+        rank, length = new, longer
+    at = np.flatnonzero(rank >= 0)
+    return passage[at], at - (ends - sizes)[passage[at]]
+
+
+def _ranks(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A number per pair (a, b), -1 where a pair's counts add up to 1 only."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((b, a))
+    new = np.append(True, (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]))
+    at = np.flatnonzero(new)
+    many = np.add.reduceat(counts[order], at) > 1
+    out = np.empty(len(a), np.int64)
+    out[order] = np.repeat(np.where(many, np.arange(len(at)), -1), np.diff(np.append(at, len(a))))
+    return out
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:

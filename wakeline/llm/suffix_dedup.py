@@ -1,10 +1,9 @@
 """Suffix-array deduplication: bytes covered by a string that also starts in a smaller document are removed.
 
-``anchored`` settles repeated passages except for their ends. There, fragments of one anchor are parted into classes that
-share the bytes all their windows have in common; each class of a few fragments becomes one string, its suffix array is
-built by linear grouping (``linear_grouping``), and neighbouring suffixes that agree in ``LENGTH`` bytes are windows that
-repeat. A class that is large is parted further by how far windows lie left of the anchor, down to one place, where all
-its windows are equal; so strings stay short whatever the size of a class.
+``anchored`` brings passages that can share windows to meeting places. The passages of each place become one string, its
+suffix array is built by linear grouping (``linear_grouping``), and neighbouring suffixes that agree in ``LENGTH`` bytes,
+which are compared, are windows that repeat. Windows of anchors that few documents have are decided by suffix arrays only;
+of those that many have, equal pieces of one task are compared and combined before.
 
 Edge cases: a null text counts as empty; texts shorter than ``LENGTH`` lose nothing; rows of equal doc_id are the same document
 and don't remove each other; a null doc_id counts as the smallest; an empty table gives an empty result; other columns are not read.
@@ -19,72 +18,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchored import Kind, Sums, Undecided, _Tables, mix, remove_repeats
+from .anchored import Kind, Passages, remove_repeats
 from .linear_grouping import suffix_arrays
 
 LENGTH, GRAM = 50, 20
-KIND = Kind(words=False, window=LENGTH, gram=GRAM, anywhere=False)
-FEW, CHUNK, BATCH = 16, 1 << 21, 1 << 18
+KIND = Kind(words=False, window=LENGTH, gram=GRAM, anywhere=False, section=512)
+BATCH = 1 << 20  # bytes sorted together
 _U = np.uint64
 
 
-def decide(some: Undecided, kind: Kind = KIND) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(fragment, first, last window) runs to remove; anchors are taken a chunk of bytes at a time."""
-    order = np.argsort(some.key, kind="stable")
-    sizes = np.fromiter(map(len, some.bodies), np.int64, len(some.bodies))[order]
-    new = np.append(True, some.key[order][1:] != some.key[order][:-1])
-    chunk = (np.cumsum(sizes) // CHUNK)[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # an anchor stays together
-    for part in np.split(order, np.flatnonzero(np.diff(chunk)) + 1):
-        yield from _classes(some, part, kind)
-
-
-def _classes(some: Undecided, part: np.ndarray, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    bodies = [some.bodies[i] for i in part]
-    flat = np.frombuffer(b"".join(bodies), np.uint8)
-    ends = np.cumsum([len(b) for b in bodies])
-    base = ends - np.fromiter(map(len, bodies), np.int64, len(bodies))
-    key, doc, anchor = some.key[part], some.doc[part], some.anchor[part]
-    low, high = np.maximum(anchor - some.windows[part] + 1, 0), anchor  # how far left of the anchor windows start
-    sums = Sums(_Tables.bytes_[flat])
-    ranges = [(0, (kind.window - kind.gram) // 2, np.arange(len(part))), ((kind.window - kind.gram) // 2 + 1, kind.window - kind.gram, np.arange(len(part)))]
-    pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    classes = 0
-    while ranges:
-        a, b, at = ranges.pop()
-        at = at[(np.maximum(low[at], a) <= np.minimum(high[at], b))]
-        shared = mix(sums.spans(base[at] + anchor[at] - a, base[at] + anchor[at] - b + kind.window) ^ key[at])
-        order = np.lexsort((doc[at], shared))
-        at, shared = at[order], shared[order]
-        new = np.ones(len(at), bool)
-        new[1:] = shared[1:] != shared[:-1]
-        firsts = np.flatnonzero(new)
-        size = np.diff(np.append(firsts, len(at)))
-        least = doc[at][firsts]
-        differ = least != doc[at][np.append(firsts[1:], len(at)) - 1] if len(at) else np.zeros(0, bool)
-        if a == b:
-            gone = at[np.repeat(differ, size) & (doc[at] > np.repeat(least, size))]
-            yield part[gone], anchor[gone] - a, anchor[gone] - a
-            continue
-        few = np.repeat(differ & (size <= FEW), size)
-        mine = at[few]
-        if len(mine):
-            names = classes + np.repeat(np.arange(len(size)), size)[few]
-            classes += len(size)
-            pieces.append((names, mine, anchor[mine] - np.minimum(high[mine], b), anchor[mine] - np.maximum(low[mine], a) + kind.window))
-        many = at[np.repeat(differ & (size > FEW), size)]
-        if len(many):
-            half = (a + b) // 2
-            ranges += [(a, half, many), (half + 1, b, many)]
-    if pieces:
-        names, mine, start, end = (np.concatenate(c) for c in zip(*pieces, strict=True))
-        length = end - start + 1  # and a separator
-        order = np.argsort(names, kind="stable")
-        blocks = (np.cumsum(length[order]) // BATCH)[np.maximum.accumulate(np.where(np.append(True, np.diff(names[order]) > 0), np.arange(len(order)), 0))]
-        for block in np.split(order, np.flatnonzero(np.diff(blocks)) + 1):
-            who = mine[block]
-            at, window = repeated(flat, names[block], base[who] + start[block], base[who] + end[block], doc[who], kind.window)
-            fragment, first, last = runs(who[at], window + start[block][at])
-            yield part[fragment], first, last
+def decide(some: Passages, kind: Kind = KIND) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, first, last window) runs to remove; a meeting place of one document has none."""
+    if not some.bodies:
+        return
+    order = np.argsort(some.place, kind="stable")
+    place, doc = some.place[order], some.doc[order]
+    groups = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    sizes = np.diff(np.append(groups, len(order)))
+    differ = np.minimum.reduceat(doc, groups) != np.maximum.reduceat(doc, groups)
+    order, groups = order[np.repeat(differ, sizes)], np.repeat(np.arange(int(differ.sum())), sizes[differ])
+    if not len(order):
+        return
+    length = np.fromiter((len(some.bodies[i]) + 1 for i in order.tolist()), np.int64, len(order))
+    total = np.bincount(groups, weights=length).astype(np.int64)
+    nth = np.argsort(np.argsort(total, kind="stable"), kind="stable")  # strings of like length are sorted together
+    by_length = np.argsort(nth[groups], kind="stable")
+    order, names = order[by_length], nth[groups][by_length]
+    ends = np.cumsum(np.sort(total, kind="stable"))
+    batch = ((ends - 1) // BATCH)[names]
+    for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(batch)) + 1):
+        who = order[part]
+        flat = np.frombuffer(b"".join([some.bodies[i] for i in who.tolist()]), np.uint8)
+        width = length[by_length][part] - 1
+        end = np.cumsum(width)
+        at, window = repeated(flat, names[part], end - width, end, some.doc[who], kind.window)
+        if len(at):
+            passage, first, last = runs(at, window)
+            yield who[passage], first, last
 
 
 def repeated(flat: np.ndarray, names: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
