@@ -85,7 +85,7 @@ def test_shards_find_every_link(depth):
         return out
 
     a, b = [], []
-    for block in range(simhash.BLOCKS):
+    for block in range(3):  # of four parts two are good, so three trees do
         part = simhash._part(fp, block, simhash.BLOCKS)
         lived = np.zeros(len(fp), int)
         for _, at, lives in simhash.route(simhash.build_tree(np.unique(part[:500]), depth, block + 1), part, 1):
@@ -94,9 +94,31 @@ def test_shards_find_every_link(depth):
             a.append(at[u])
             b.append(at[v])
         assert (lived == 1).all()
+    assert (simhash._good_parts(4, 4), simhash._good_parts(7, 4)) == (2, 1)
     assert (labels(np.concatenate(a), np.concatenate(b)) == labels(x[x < y], y[x < y])).all()
 
 
+def test_a_crowded_part_is_split_by_later_ones():
+    """Thousands of fingerprints share their first part: the shard goes on with the others and finds every link."""
+    rng = np.random.default_rng(1)
+    fp = rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64) & ~np.uint64(0xFFFF)
+    near = fp[:1500].copy()
+    for i in range(len(near)):
+        for b in rng.choice(64, rng.integers(1, 5), replace=False):
+            near[i] ^= np.uint64(1 << int(b))
+    fp = np.unique(np.concatenate([fp, near]))
+    x, y = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= 4)
+    want = {(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True) if a < b}
+    found = set()
+    for block in range(3):
+        u, v = simhash.shard_links(fp, np.ones(len(fp), bool), block)
+        found |= {(min(a, b), max(a, b)) for a, b in zip(u.tolist(), v.tolist(), strict=True)}
+    at = lambda pairs: np.array(sorted(pairs)).T
+    nodes, low = local_forest(*at(want))
+    nodes2, low2 = local_forest(*at(found))
+    assert len(want) > 1000 and nodes.tolist() == nodes2.tolist() and low.tolist() == low2.tolist()
+
+
 def test_components_of_chains_stars_and_noise(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)] + [(7, 7)]

@@ -153,7 +153,7 @@ def test_hot_anchors_lose_nothing(spark, hot_rows):
 def brute_chunks(text):
     lines, out, now = (text or "").split("\n"), [], []
     hashes = [0, 0] + [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    even = [(hashes[i + 2] + 31 * hashes[i + 1] + 961 * hashes[i]) % line_dedup.DIVISOR == 0 for i in range(len(lines))]
+    even = [(hashes[i + 2] + 69_069 * hashes[i + 1] + 69_069**2 % (2**31 - 1) * hashes[i]) % (2**31 - 1) % 3 == 0 for i in range(len(lines))]
     for i, line in enumerate(lines):
         now.append(line)
         if i == len(lines) - 1 or 0 < i < len(lines) - 2 and even[i] and not even[i - 1]:

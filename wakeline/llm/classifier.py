@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import rows, text_batches, texts
 
@@ -170,3 +171,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield rows(schema, ids, shared.value.score(np.array([text_statistics(r) for r in raws])))
 
     return texts(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def scored_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """``_row`` (the whole input row) and its score: each row for itself, whatever its doc_id; one pass, no shuffle."""
+    whole = StructType([StructField("_row", docs.schema, False), StructField("score", DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts_ = batch.column(0).field(at).cast(pa.large_binary())
+            for start in range(0, batch.num_rows, 512):
+                raws = [x or b"" for x in texts_.slice(start, 512).to_pylist()]
+                found = shared.value.score(np.array([text_statistics(r) for r in raws]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 512), pa.array(found)], ["_row", "score"])
+
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).mapInArrow(run, whole)

@@ -1,14 +1,15 @@
 """Removal of repeated multi-line chunks, cut where the content says so. DataFrame functions only.
 
-A text's lines are hashed; a rolling hash over each line and the two before it ends a chunk where it is divisible by
-``DIVISOR`` and the one before was not. Boundaries depend on four lines alone, so lines put in or taken out shift only the
-chunks around them. No boundary stands after the first line or before the last, so every chunk of a longer text has two
-lines or more, and a copy of a text goes as a whole.
+A text's lines are hashed; a rolling hash, a polynomial modulo a prime over the hashes of ``WINDOW`` lines, ends a chunk
+where it is divisible by ``DIVISOR`` and was not the line before. Boundaries depend on four lines alone, so lines put in or
+taken out shift only the chunks around them. No boundary stands after the first line or before the last, so every chunk of
+a longer text has two lines or more, and a copy of a text goes as a whole.
 Chunks of two or more lines (one of them with a word) that occur before, in a document with a smaller doc_id or earlier
 in the same one, are removed, once their bytes have been compared with those of the first occurrence.
 
-Only hashes are counted; texts are shuffled once by chunk hash for the comparison and once by doc_id for the result. Counts are
-pre-aggregated, and both joins can be split by Spark where one chunk is in a third of all documents.
+Only hashes are counted, with partial sums; texts are shuffled once by chunk hash for the comparison and once by doc_id for
+the result. What repeats is written down before it is joined, so that both sides of these joins are plain shuffles and
+Spark's skew join splits a chunk that is in a third of all documents.
 
 Edge cases: a null text counts as empty; an empty text is one empty line, never removed; rows of equal doc_id are the same document
 and judged alike; a null doc_id counts as the smallest; an empty table gives an empty result; columns besides text and n_chars
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-DIVISOR = 2
+# The rolling hash is sum(BASE**k * hash of the line k before) modulo MODULUS; all terms stay below 2**62.
+WINDOW, BASE, MODULUS, DIVISOR = 3, 69_069, 2**31 - 1, 3
 
 
 def _lines(text: Column) -> Column:
@@ -37,8 +39,9 @@ def chunked(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The input and ``_chunks``: array of struct(body, lines) covering the whole text."""
     lines, hashes = F.col("_lines"), F.col("_hashes")
     at = lambda i: F.when(i >= 0, F.element_at(hashes, i + 1)).otherwise(F.lit(0))
-    even = lambda i: (at(i) + 31 * at(i - 1) + 961 * at(i - 2)) % DIVISOR == 0
-    ends_here = lambda i: (i == F.size(lines) - 1) | ((i > 0) & (i < F.size(lines) - 2) & even(i) & ~even(i - 1))
+    rolling = lambda i: sum((at(i - k) * pow(BASE, k, MODULUS) for k in range(1, WINDOW)), at(i)) % MODULUS
+    marks = lambda i: rolling(i) % DIVISOR == 0
+    ends_here = lambda i: (i == F.size(lines) - 1) | ((i > 0) & (i < F.size(lines) - 2) & marks(i) & ~marks(i - 1))
     ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), ends_here)
     start = lambda k: F.when(k > 0, F.element_at(F.col("_ends"), k) + 1).otherwise(F.lit(0))
     piece = lambda end, k: F.struct(F.array_join(F.slice(lines, start(k) + 1, end - start(k) + 1), "\n").alias("body"), (end - start(k) + 1).alias("lines"))
@@ -53,9 +56,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     pieces = pieces.filter((F.col("chunk.lines") > 1) & F.col("chunk.body").rlike(r"[^\x20\x09-\x0D]")).select("_doc", "_n", "k", F.col("chunk.body").alias("body"))
     pieces = pieces.withColumn("h", F.xxhash64("body"))
     first = pieces.groupBy("h").agg(F.min(F.struct("_doc", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
-    again = checkpointed(pieces.join(first, "h"))  # read twice below, and only repeated chunks are left
+    again = checkpointed(pieces.join(checkpointed(first), "h"))  # read twice below, and only repeated chunks are left
     is_first = (F.col("_doc") == F.col("first._doc")) & (F.col("k") == F.col("first.k"))
-    kept = again.filter(is_first).groupBy("h").agg(F.min("body").alias("kept"))
+    kept = checkpointed(again.filter(is_first).groupBy("h").agg(F.min("body").alias("kept")))
     later = again.filter(~is_first).join(kept, "h").filter(F.col("body") == F.col("kept"))
     return later.groupBy("_doc").agg(F.collect_set("k").alias("_gone"), F.max("_n").alias("_n"))  # at most a document's own chunks
 

@@ -23,7 +23,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 OP3 = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
-v AS (SELECT *, (h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 2 = 0 AS even, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+v AS (SELECT *, (h + 69069 * coalesce(lag(h, 1) OVER w, 0) + 475559467 * coalesce(lag(h, 2) OVER w, 0)) % 2147483647 % 3 = 0 AS even, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 e AS (SELECT *, i1 IS NULL OR (i > 1 AND i2 IS NOT NULL AND even AND NOT lag(even) OVER (PARTITION BY doc_id ORDER BY i)) AS ends FROM v),
 k AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
 c AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, k),

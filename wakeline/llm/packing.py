@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences, bounded-space and online.
 
 Each task packs the pieces of its own partition as they come, so there is no shuffle and a lost executor only repeats its
-partitions. ``BestFit`` keeps a fixed number of bins open; a bitset with one bit per amount of free space finds the
+partitions. Bins don't outlive their task, so small partitions are joined to ones of ``BYTES`` of text at least. ``BestFit`` keeps a fixed number of bins open; a bitset with one bit per amount of free space finds the
 fullest bin that still takes a piece with two integer operations. If nothing fits and all bins are open, the fullest one
 closes. A place is known as soon as a piece comes, so pieces stream out and nothing waits in memory.
 
@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import rows, text_batches, texts
 
 LENGTH, SEPARATOR, OPEN_BINS = 1024, 2, 512
+BYTES = 24_000_000  # of text in a task, if there is so much
 ADDED = {"<|endoftext|>": 50256}  # the added token of byte_bpe_50k.json; the ranks file has only the others
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -106,5 +108,7 @@ def pack(docs: DataFrame, ranks_path: str | None = None, length: int = LENGTH, s
             if out:
                 yield rows(schema, *zip(*out, strict=True))
 
+    own = texts(docs)
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return texts(docs).mapInArrow(run, kinds + ", ids array<int>" * with_ids)
+    return own.coalesce(max(1, round(size / BYTES))).mapInArrow(run, kinds + ", ids array<int>" * with_ids)

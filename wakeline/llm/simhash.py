@@ -2,8 +2,10 @@
 
 Fingerprints are 64-bit SimHashes of word shingles; two documents are linked at ``most`` or fewer differing bits. Equal
 fingerprints collapse first. The 64 bits are viewed as ``BLOCKS`` equal parts: of a linked pair at least one part differs
-in at most ``most // BLOCKS`` bits, so each part gets a vantage-point tree over Hamming distance with that small radius
-instead of one tree with the whole radius, which would prune next to nothing.
+in at most ``most // BLOCKS`` bits, so a part gets a vantage-point tree over Hamming distance with that small radius
+instead of one tree with the whole radius, which would prune next to nothing. At 4 bits two of the four parts differ in at
+most one, so three trees find every pair, and a shard that its own part can't split any more is split on by a later part:
+the keys of 32 bits that this makes let shards stay small as fingerprints grow.
 
 A tree's node splits by the distance to a vantage point at the median. Every fingerprint lives in one leaf (shard) per
 tree and visits those that its ball overlaps by the triangle inequality; a shard compares its visitors with its residents
@@ -62,6 +64,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def _good_parts(most: int, blocks: int) -> int:
+    """How many parts of a linked pair differ in at most ``most // blocks`` bits, at least."""
+    return blocks - most // (most // blocks + 1)
+
+
 def _part(fp: np.ndarray, block: int, blocks: int) -> np.ndarray:
     width = 64 // blocks
     return (fp >> _U(block * width)) & _U((1 << width) - 1)
@@ -150,27 +157,32 @@ class _Shard:
             residents = residents[dr > half]
         self.compare(residents, visitors)
 
-    def search(self, part: np.ndarray, radius: int) -> None:
-        """Split on as the upper tree did, by one part of the bits, until shards are small."""
-        pending = [(np.arange(len(part)), self.lives, 0)]
+    def search(self, block: int, blocks: int) -> None:
+        """Split on as the upper tree did, by one part of the bits and then by later ones, until shards are small."""
+        radius, several = self.most // blocks, _good_parts(self.most, blocks) > 1
+        parts = {b: _part(self.fp, b, blocks) for b in range(block, blocks)}
+        pending = [(np.arange(len(self.fp)), self.lives, 0, block)]
         while pending:
-            at, lives, depth = pending.pop()
-            residents = at[lives]
+            at, lives, depth, b = pending.pop()
+            residents, part = at[lives], parts[b]
             if not len(residents):
                 continue
             cut = _split(part[residents], depth * 7 + 3) if len(residents) > LEAF else None
+            if cut is None and several and b == block and len(residents) > LEAF:
+                pending += [(at, lives, depth, later) for later in range(block + 1, blocks)]
+                continue
             if cut is None:
                 (self.dense if len(residents) > 512 else self.compare)(residents, at)
                 continue
             d = np.bitwise_count(part[at] ^ _U(cut[0])).astype(np.int16)
             near, far = d - radius <= cut[1], d + radius > cut[1]
-            pending += [(at[near], lives[near] & (d[near] <= cut[1]), depth + 1), (at[far], lives[far] & (d[far] > cut[1]), depth + 1)]
+            pending += [(at[near], lives[near] & (d[near] <= cut[1]), depth + 1, b), (at[far], lives[far] & (d[far] > cut[1]), depth + 1, b)]
 
 
 def shard_links(fp: np.ndarray, lives: np.ndarray, block: int, most: int = MOST, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
     shard = _Shard(fp, most)
     shard.lives = lives
-    shard.search(_part(fp, block, blocks), most // blocks)
+    shard.search(block, blocks)
     return shard.thin()
 
 
@@ -180,7 +192,8 @@ def links(marks: DataFrame, most: int = MOST, blocks: int = BLOCKS, shard_size:
     n = marks.count()
     sample = np.array([r["fp"] for r in marks.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(_U)  # bounded by SAMPLE
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard_size))))
-    trees = [build_tree(np.unique(_part(sample, b, blocks)), depth, seed=b + 1) for b in range(blocks)] if depth else [None] * blocks
+    needed = blocks - _good_parts(most, blocks) + 1  # of these one part is good in every pair
+    trees = [build_tree(np.unique(_part(sample, b, blocks)), depth, seed=b + 1) if depth else None for b in range(needed)]
     radius = most // blocks
     dealt = pa.schema([("shard", pa.int64()), ("lives", pa.bool_()), ("fp", pa.int64()), ("node", pa.int64())])
 
