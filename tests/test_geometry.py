@@ -82,7 +82,10 @@ def test_heading_arc(spark, headings, arc):
     assert df.select(geo.heading_arc(F.col("h")).alias("v")).first()["v"] == arc
 
 
-@pytest.mark.parametrize("text, n", [("POLYGON((0 0, 1 0, 1 1, 0 0))", 3), ("[[0,0],[1,0],[1,1]]", 3), ('{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}', 3), ("nothing", None), ("1 2 3", None)])
+@pytest.mark.parametrize("text, n", [("POLYGON((0 0, 1 0, 1 1, 0 0))", 3), ("[[0,0],[1,0],[1,1]]", 3), ('{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}', 3), ("nothing", None), ("1 2 3", None),
+    ("0 0; 1 0; 1,1", 3), ("((0, 0), (1, 0), (1, 1))", 3), ("polygon (( 0 0,1 0,1 1,0 1,0 0 ))", 4), ("POLYGON((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))", None), ("MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0)))", None),
+    ("POLYGON((0 0 1, 1 0 1, 1 1 1, 0 0 1))", None), ('{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]]]}', None), ('{"type":"Polygon","coordinates":[[[0,0],[9,0],[9,9],[0,0]],[[1,1],[2,1],[2,2],[1,1]]]}', None),
+    ("[[0,0],[1,0,5],[1,1]]", None), ("[[0,0],[true,0],[1,1]]", None), ("", None)])
 def test_rings_from_text(spark, text, n):
     got = value(spark, geo.parse_ring(F.lit(text)))
     assert (len(got) if got else None) == n
@@ -90,7 +93,7 @@ def test_rings_from_text(spark, text, n):
 
 @pytest.mark.parametrize("points, fault", [
     (SQUARE, None), (((0, 0), (1, 1)), "too few vertices"), (((0, 0), (200, 0), (1, 1)), "out of range"), (((0, 0), (0, 0), (1, 0), (1, 1)), "repeated neighbour"),
-    (((0, 0), (2, 2), (2, 0), (0, 2)), "edges cross"), (((0, 0), (1, 0), (2, 0)), "no area"), (((-170, 0), (170, 0), (0, 5)), "crosses the antimeridian"),
+    (((0, 0), (2, 2), (2, 0), (0, 3)), "edges cross"), (((0, 0), (4, 0), (4, 4), (2, 0), (0, 4)), "edges cross"), (((0, 0), (1, 0), (100, 50), (-100, 50)), "crosses the antimeridian"), (((0, 0), (2, 2), (2, 0), (0, 2)), "no area"), (((0, 0), (1, 0), (2, 0)), "no area"), (((-170, 0), (170, 0), (0, 5)), "crosses the antimeridian"),
 ])
 def test_ring_faults(spark, points, fault):
     assert value(spark, geo.ring_fault(ring(*points))) == fault
@@ -104,6 +107,23 @@ def test_coercion(spark):
     assert [r[0] for r in flags.select(records.truth(F.col("x"))).collect()] == [True, True, True, False, None, None]
 
 
+def test_identity_mismatch(spark):
+    rows = [("412000001", "HKG", None), ("412000001", "", "Hong Kong"), ("412000001", "CHN", "HKG"), ("477000001", None, "中国"), ("477000001", "hkg", ""), ("235000001", "CHN", ""), ("412000001", "GBR", ""), (None, None, None)]
+    df = spark.createDataFrame(rows, "m string, i string, f string")
+    assert [r[0] for r in df.select(records.identity_mismatch(F.col("m"), F.col("i"), F.col("f"))).collect()] == [True, True, False, True, False, False, False, False]
+
+
+def test_flags_of_missing_and_invalid_values(spark):
+    rows = [("412000001", "1", "22", "5", "90", "10", "0"), ("412000001", "1", "22", None, "360", "", "-128"), ("412000001", "1", "91", "5", "1", "1", "1"), ("41", "1", "2", "5", "1", "1", "1")]
+    got = records.normalise(spark.createDataFrame(rows, "mmsi string, lon string, lat string, speed string, course string, heading string, rot string")).collect()
+    assert [r["quality_flags"] for r in got] == [[], ["speed_unavailable", "course_unavailable", "heading_unavailable", "rot_unavailable"]]
+
+
+def test_distance_of_a_missing_point_is_missing(spark):
+    assert value(spark, geo.haversine(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0), F.lit(1.0))) is None
+    assert value(spark, geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(180.0), F.lit(0.0))) == pytest.approx(3.141592653589793 * geo.EARTH_M)
+
+
 def test_identity_and_kind(spark):
     got = spark.createDataFrame([Row(m=v) for v in ("412000001", "477000001", "112000001", "41200000", None)])
     assert [r[0] for r in got.select(records.registry(F.col("m"))).collect()] == ["chinese", "foreign", None, None, None]

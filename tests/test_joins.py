@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -75,6 +76,29 @@ def test_collision_scenarios(spark):
     assert detectors.collision(spark.createDataFrame([], SHIP)).count() == 0
 
 
+@pytest.mark.parametrize("lat", [0.0, 60.0, 75.0, 89.5])
+def test_near_pairs_anywhere_on_the_globe(spark, lat):
+    rng = random.Random(int(lat))
+    points = [(i, rng.choice([0.0, 179.99, -179.99, 37.0]) + rng.uniform(-0.02, 0.02) / max(math.cos(math.radians(lat)), 0.01), lat + rng.uniform(-0.02, 0.02)) for i in range(150)]
+    points = [(i, (x + 180) % 360 - 180, y) for i, x, y in points]
+    df = spark.createDataFrame(points, "k long, lon double, lat double")
+    want = {(a[0], b[0]) for a in points for b in points if metres(a[1:], b[1:]) <= 800}
+    got = [(r["k"], r["k_b"]) for r in spatial.near_pairs(df, df, 800.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+
+
+def test_collision_looks_far_for_fast_vessels_only(spark):
+    """Fast and slow ones meet, whichever has the larger number, also across 180 degrees."""
+    rows = [(1, 0, 113.0, 22.0, 60.0, 90.0, 50.0), (2, 0, 113.2, 22.0, 0.5, 0.0, 50.0), (8, 0, 179.95, 10.0, 0.5, 0.0, 50.0), (7, 0, -179.9, 10.0, 40.0, 270.0, 50.0), (9, 0, 113.0, 22.3, 100.0, 0.0, 50.0), (10, 0, 113.0, 23.5, 3000.0, 180.0, 50.0)]
+    got = detectors.collision(spark.createDataFrame(rows, SHIP)).collect()
+    assert sorted((r["mmsi_a"], r["mmsi_b"]) for r in got) == [(1, 2), (7, 8)]
+
+
+def test_states_of_alerts(spark):
+    runs = spark.createDataFrame([(1, 2, 90, 60), (1, 3, 90, 90), (1, 4, 10, 5)], "mmsi_a long, mmsi_b long, last_seen long, confirmed_at long")
+    assert {r["mmsi_b"]: r["state"] for r in detectors.alert_states(runs, 100, 30).collect()} == {2: "continuing", 3: "new", 4: "recovered"}
+
+
 def test_high_speed_bounds(spark):
     run = lambda m, speed, n, gap=60: [(m, 1000 - i * gap, 113.0, 22.0, speed, 0.0, 10.0) for i in range(n)]
     ships = run(1, 40.0, 6) + run(2, 30.0, 9) + run(3, 35.0, 5) + run(4, 31.0, 6) + run(5, 50.0, 6, 91)
@@ -107,6 +131,14 @@ def test_fence_crossings(spark):
     assert sorted(r["direction"] for r in entries) == ["enter", "transit"]
 
 
+def test_crossings_after_time_far_away(spark):
+    """A vessel leaves, sails far off and passes by later: what lies between makes no event, and a jump through the fence is a transit."""
+    fence = spark.createDataFrame([("f", "both", [(113.0, 22.0), (113.01, 22.0), (113.01, 22.01), (113.0, 22.01)])], "fence string, mode string, vertices array<struct<lon: double, lat: double>>")
+    path = [(113.005, 22.005), (113.02, 22.005), (114.0, 23.0), (112.9, 23.0), (112.9, 22.005), (112.95, 22.005), (113.05, 22.005), (113.05, 25.0)]
+    fixes = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(path)], "mmsi long, t long, lon double, lat double")
+    assert sorted((r["t"], r["direction"]) for r in detectors.fence_crossings(fixes, fence).collect()) == [(1, "exit"), (6, "transit")]
+
+
 def test_transfer_and_plans(spark):
     frames = [(60 * i, m, 60 * i, 113.0 + 0.0001 * (m - 1), 22.0, 3.0, 90.0, 100.0) for i in range(4) for m in (1, 2)]
     ships = spark.createDataFrame(frames, "frame long, mmsi long, t long, lon double, lat double, speed double, course double, length double")
@@ -129,11 +161,23 @@ def test_berthing_permits(spark):
 
 
 def test_voyage_from_origin_to_shore(spark):
-    track = [(1, 30 * i, "origin", False, False) for i in range(4)] + [(1, 200, None, False, False), (1, 300, None, True, False)]
-    port = [(2, 30 * i, "origin", False, False) for i in range(4)] + [(2, 200, None, False, True), (2, 300, None, True, False)]
-    short = [(3, 0, "origin", False, False), (3, 300, None, True, False)]
-    df = spark.createDataFrame(track + port + short, "mmsi long, t long, origin string, near_coast boolean, near_port boolean")
-    assert [(r["mmsi"], r["departed_at"], r["n_shore"]) for r in detectors.voyages(df).collect()] == [(1, 90, 1)]
+    """Score and facts of a voyage; a port call ends it, a short stay starts none, and registries that differ count."""
+    point = lambda m, t, origin=None, coast=False, port=False, speed=8.0, draught=5.0, iso="CHN": (m, t, speed, draught, 30.0, 0, False, iso, None, origin, coast, port)
+    origin = lambda m: [point(m, 30 * i, "hk") for i in range(4)]
+    noon = 4 * 3600  # UTC, so midday in the voyages' zone
+    track = [(*r[:1], r[1] + noon, *r[2:]) for r in [*origin(1), point(1, 200), point(1, 300, coast=True, draught=5.6), point(1, 650, coast=True, speed=1.0), point(1, 800, coast=True, speed=1.0), point(1, 960, coast=True, speed=1.0, iso="HKG")]]
+    port = [*origin(2), point(2, 200), point(2, 250, port=True), point(2, 300, coast=True)]
+    short = [point(3, 0, "hk"), point(3, 300, coast=True), point(3, 400, coast=True)]
+    names = "mmsi long, t long, speed double, draught double, length double, nav_status int, at_dock boolean, iso3 string, flag string, origin string, near_coast boolean, near_port boolean"
+    df = spark.createDataFrame([(412000000 + r[0], *r[1:]) for r in track + port + short], names)
+    got = detectors.voyages(df).orderBy("t").collect()
+    assert [(r["mmsi"], r["t"] - noon, r["departed_at"] - noon, r["landed"], r["max_gap"], round(r["draught_change"], 3), r["mismatch"]) for r in got] == [
+        (412000001, 300, 200, False, 100, 0.6, False), (412000001, 650, 200, False, 350, 0.6, False), (412000001, 800, 200, False, 350, 0.6, False), (412000001, 960, 200, True, 350, 0.6, True),
+    ]
+    best = detectors.smuggling(df).collect()
+    assert [(r["n_shore"], r["score"], r["scored_at"] - noon, r["risk"]) for r in best] == [(4, 40 + 20 + 15 + 15 + 10, 960, "high")]
+    night = detectors.voyages(df.withColumn("t", F.col("t") + 10 * 3600)).first()
+    assert night["night_departure"] and not got[0]["night_departure"]
 
 
 def test_overload_needs_three_frames(spark):

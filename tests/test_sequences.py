@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 
@@ -68,21 +69,19 @@ def test_folds_equal_loops(spark, seed):
         s = b[1] - a[1]
         return s <= 0 or (metres(a[2:4], b[2:4]) >= 500 and metres(a[2:4], b[2:4]) / s * 1.943844492 > 80)
 
+    def sound(track):
+        out = track[:1]
+        for here, after in zip(track[1:], track[2:], strict=False):
+            if (bad(out[-1], here), bad(here, after), bad(out[-1], after)) != (True, True, False):
+                out.append(here)
+        return out + track[-1:]
+
+    def reachable(points):
+        return functools.reduce(lambda kept, p: kept if bad(kept[-1], p) else [*kept, p], points[1:], points[:1])
+
     clean, thin, turned = set(), set(), {}
     for m, track in by_vessel(rows).items():
-        if len(track) < 3:
-            kept = track
-        else:
-            once = [track[0]]
-            for i in range(1, len(track) - 1):
-                if not (bad(once[-1], track[i]) and bad(track[i], track[i + 1]) and not bad(once[-1], track[i + 1])):
-                    once.append(track[i])
-            once.append(track[-1])
-            kept = once[:1]
-            for r in once[1:]:
-                if not bad(kept[-1], r):
-                    kept.append(r)
-        clean |= {(m, r[1]) for r in kept}
+        clean |= {(m, r[1]) for r in (track if len(track) < 3 else reachable(sound(track)))}
         thinned = track[:1]
         for r in track[1:]:
             if metres(thinned[-1][2:4], r[2:4]) >= 40:
@@ -105,6 +104,11 @@ def test_latest_ties(spark):
     assert sequence.latest(df, tie="k", last_wins=False).first()["k"] == 2
 
 
+def test_latest_of_text_ties(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 2, "b"), ("a", 1, "a")], "mmsi string, t long, k string")
+    assert sequence.latest(df, tie="k", last_wins=False).first()["k"] == "b" and sequence.latest(df, tie="k").first()["k"] == "x"
+
+
 def test_sessions_split_only_above_the_gap(spark):
     df = spark.createDataFrame([("a", t) for t in (0, 300, 601)], "mmsi string, t long")
     assert [r["session"] for r in sequence.sessions(df, 300).orderBy("t").collect()] == [0, 0, 1]
@@ -122,6 +126,28 @@ def test_intervals_merge(spark):
     assert [(r["group_start"], r["group_end"], r["n"]) for r in got] == [(0, 20, 3), (40, 41, 1)]
 
 
+def test_stored_points_take_part_in_sampling(spark):
+    points = lambda *ts: spark.createDataFrame([("a", t, 113.0 + 1e-5 * t, 22.0) for t in ts], "mmsi string, t long, lon double, lat double")
+    new, stored = points(0, 5, 10, 20, 30, 300), points(10, 28)
+    assert sorted(r["t"] for r in folds.samples(new, 10.0, 180.0, ["mmsi"], stored).collect()) == [0, 20, 300]
+    assert sorted(r["t"] for r in folds.samples(new, 10.0, 180.0, ["mmsi"]).collect()) == [0, 10, 20, 30, 300]
+
+
+def test_episodes_part_intervals(spark):
+    rows = [("a", 0, 10, None), ("a", 12, 15, "x"), ("a", 16, 18, None), ("a", 19, 40, "y"), ("a", 41, 42, "y"), ("a", 60, 61, "y"), ("b", 0, 1, "x")]
+    df = spark.createDataFrame(rows, "k string, s long, e long, w string")
+    got = sorted(map(tuple, folds.merged_episodes(df, "s", "e", "w", 5, ["k"]).collect()))
+    assert got == [("a", 0, 18, 3, "x"), ("a", 19, 42, 2, "y"), ("a", 60, 61, 1, "y"), ("b", 0, 1, 1, "x")]
+    assert folds.merged_episodes(df.limit(0), "s", "e", "w", 5, ["k"]).count() == 0
+
+
+def test_interpolation_keeps_to_what_is_possible(spark):
+    df = spark.createDataFrame([("a", 0, 179.9, 0.0, None), ("a", 100, -179.9, 0.0, 10.0), ("a", 200, -170.0, 0.0, 10.0)], "mmsi string, t long, lon double, lat double, course double")
+    got = sequence.interpolated(df, F.lit(50), 600, circular=("course",), most_knots=500.0).orderBy("t").collect()
+    assert [r["t"] for r in got] == [0, 50, 100, 200]  # the last leg is too fast
+    assert abs(got[1]["lon"]) == pytest.approx(180.0) and got[1]["course"] == 10.0 and got[0]["course"] is None
+
+
 def test_interpolation_takes_the_short_way_round(spark):
     df = spark.createDataFrame([("a", 0, 0.0, 0.0, 350.0), ("a", 40, 4.0, 0.0, 10.0), ("a", 5000, 9.0, 9.0, 0.0)], "mmsi string, t long, lon double, lat double, course double")
     got = sequence.interpolated(df, F.lit(10), 600, circular=("course",)).orderBy("t").collect()
@@ -139,19 +165,15 @@ def test_diameter_is_exact(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_alignment_equals_two_pointers(spark, seed):
+def test_alignment_is_one_to_one_in_order(spark, seed):
     rng = random.Random(seed)
     a, b = (sorted({rng.randint(0, 2000) for _ in range(40)}) for _ in range(2))
-    i = j = 0
-    want = []
-    while i < len(a) and j < len(b):
-        if abs(a[i] - b[j]) <= 30:
-            want.append((a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
+    want, free = [], list(b)
+    for x in a:  # the oldest that is free, near enough and not before one that is taken
+        partner = next((y for y in free if abs(x - y) <= 30), None)
+        if partner is not None:
+            want.append((x, partner))
+            free = [y for y in free if y > partner]
     side = lambda x: spark.createDataFrame([("p", t) for t in x], "pair string, t long")
     assert sorted((r["t_a"], r["t_b"]) for r in temporal.align(side(a), side(b), ["pair"], 30).collect()) == want
 

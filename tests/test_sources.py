@@ -27,7 +27,7 @@ def test_report_folder(spark, tmp_path):
     csv(tmp_path / "in/b/x.csv", HEADER + "2026-08-23 08:00:00,4120,1,22.4,113.7,10,90,1,bad id\n2026-08-23 08:00:00,412000002,5,,,,,,B\n2026-08-23 08:00:00,412000003,9,22,113,1,1,0,unsupported\n")
     positions, particulars = files.load_reports(spark, str(tmp_path / "in"))
     got = sorted((r["t"], r["speed"], r["course"], r["nav_status"], r["name"], r["quality_flags"]) for r in positions.collect())
-    assert got == [(1787472000.0, 10.0, 90.0, 1, "未知目标", []), (1787472060.0, None, None, 0, "A", ["invalid_speed", "invalid_course"])]
+    assert got == [(1787472000.0, 10.0, 90.0, 1, "未知目标", ["heading_unavailable", "rot_unavailable"]), (1787472060.0, None, None, 0, "A", ["speed_unavailable", "course_unavailable", "heading_unavailable", "rot_unavailable"])]
     assert [r["mmsi"] for r in particulars.collect()] == ["412000002"]
     raw = files.report_folder(spark, str(tmp_path / "in"))
     done = raw.filter(F.col("file").contains("/a/")).select("file", "signature")
@@ -63,9 +63,12 @@ def test_coastline_and_windows(spark, tmp_path):
 def test_zone_file(spark, tmp_path):
     csv(tmp_path / "zones.csv", 'AOI_Name,type,geometry,is_active\nA,PRT,"POLYGON((0 0, 1 0, 1 1, 0 0))",1\n=B,PRT,"POLYGON((0 0, 1 0, 1 1))",\nC,ANC,"POLYGON((0 0, 1 1, 1 0, 0 1))",no\n')
     got = {r["name"]: (r["fault"], r["is_active"]) for r in files.zone_file(spark, str(tmp_path / "zones.csv")).collect()}
-    assert got == {"A": (None, True), "=B": ("formula", True), "C": ("edges cross", False)}
-    with pytest.raises(ValueError, match="rows"):
-        files.zone_file(spark, str(tmp_path / "zones.csv"), most_rows=2)
+    assert got == {"A": (None, True), "=B": ("formula", True), "C": ("no area", False)}
+    few = {r["name"]: r["fault"] for r in files.zone_file(spark, str(tmp_path / "zones.csv"), most_rows=2).collect()}
+    assert few == {"A": None, "=B": "formula", "C": "too many rows"}
+    csv(tmp_path / "odd.csv", "X,Y,true_heading,rate_of_turn,message_type,draft,vessel_type,MMSI,time\n22.5,113.5,90,3,1,4.5,cargo,412000001,1700000000\n")
+    row = files.canonical(spark.read.option("header", True).csv(str(tmp_path / "odd.csv"))).first()
+    assert (row["lat"], row["lon"], row["heading"], row["rot"], row["msg_type"], row["draught"], row["ship_type"]) == ("22.5", "113.5", "90", "3", 1, 4.5, "cargo")
 
 
 def test_feeds(spark):
@@ -96,6 +99,56 @@ def test_store(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["a"] == "'=1"
 
 
+def test_store_survives_a_write_that_dies(spark, tmp_path, monkeypatch):
+    """Killed before the rename, or with half a generation written, the store is what it was; the next write goes on from there."""
+    table = str(tmp_path / "store")
+    one = lambda *rows: events.deduplicated(spark.createDataFrame(rows, "k string, detected_at long, detection_id long, v long"), ["k"], ["v"])
+    rows = lambda: {tuple(r) for r in sinks.load(spark, table).collect()}
+    sinks.upsert_events(one(*((f"k{i}", i, i, i) for i in range(40))), table, ["k"], ["v"], batch=0)
+    before = rows()
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:
+        broken.setattr(sinks, "_point", dies)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.upsert_events(one(("k1", 99, 99, 99)), table, ["k"], ["v"], batch=1)
+    assert rows() == before
+    stale = sinks._pointer(spark, table)
+    sinks.upsert_events(one(("k1", 99, 99, 99)), table, ["k"], ["v"], batch=1)
+    assert rows() - before == {("k1", 1, 99, 2, 99)} and len(rows()) == 40
+    now = sinks._pointer(spark, table).generations
+    assert sum(now[b] != g for b, g in stale.generations.items()) == 1  # one bucket was written
+    with pytest.raises(RuntimeError):
+        sinks._store(spark, table, None, stale, ("k",), set(), 1)  # another writer was first
+    for n in range(2, 8):
+        sinks.upsert_events(one(("k2", 100 + n, n, n)), table, ["k"], ["v"], batch=n)
+    assert len(list((tmp_path / "store" / "_pointers").glob("[0-9]*"))) == sinks.KEPT_POINTERS
+    assert len(rows()) == 40 and len(list((tmp_path / "store").glob("generation-*"))) <= 6
+
+
+def test_retention_by_vessel(spark, tmp_path):
+    points = str(tmp_path / "points")
+    sinks.append_new(spark.createDataFrame([("a", 0), ("a", 100), ("b", 500), ("b", 1000)], "k string, t long"), points, ["k", "t"])
+    sinks.retain(points, spark, 300, by="k")
+    assert sorted(map(tuple, sinks.load(spark, points).collect())) == [("a", 0), ("a", 100), ("b", 1000)]
+
+
+def test_cutoffs_and_artifacts(spark):
+    rows = [("v", "f", 0, "enter"), ("v", "f", 50, "exit"), ("v", "f", 60, "enter"), ("v", "g", 70, "transit"), ("v", "f", 80, "none")]
+    got = events.cutoff(spark.createDataFrame(rows, "mmsi string, fence string, t long, direction string"))
+    assert {(r["fence"], r["t"]): r["leaves_at"] for r in got.collect()} == {("f", 0): 50, ("f", 50): 50, ("f", 60): None, ("g", 70): 70}
+    points = spark.createDataFrame([(1, "CrossingBoundary", None, ""), (2, "CrossingBoundary", "t", None), (3, None, None, None)], "k int, event string, timestamp string, time string")
+    assert sorted(r["k"] for r in events.without_artifacts(points).collect()) == [2, 3]
+
+
+def test_zone_search(spark):
+    zones = spark.createDataFrame([("Port A", "port", "x", True), ("Bay", "bay", "x", True), ("Port B", "port", "y", False)], "name string, zone_type string, region string, is_active boolean")
+    names = lambda **k: sorted(r["name"] for r in events.zone_search(zones, **k).collect())
+    assert names() == ["Bay", "Port A"] and names(kinds=("port",), active=None) == ["Port A", "Port B"] and names(text="PORT", region="x") == ["Port A"]
+
+
 def test_stream_of_reports_keeps_state(spark, tmp_path):
     """Older reports are counted, equal ones ignored, corrections and particulars accepted; silence removes a vessel."""
     folder = tmp_path / "in"

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 EARTH_M = 6_371_000.0
 KNOT_MPS = 0.514444
 METRES_PER_DEGREE = 111_320.0
+PARALLEL = 1e-12  # square degrees: legs whose cross product is smaller don't cross
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_M) * F.nanvl(F.asin(F.sqrt(a)), F.lit(math.pi / 2))  # no number where rounding makes a larger than 1; null if a coordinate is
 
 
 def bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -125,9 +126,9 @@ def crossing_places(lon1: Column, lat1: Column, lon2: Column, lat2: Column, ring
     def place(e: Column) -> Column:
         rx, ry, sx, sy = lon2 - lon1, lat2 - lat1, e["x2"] - e["x1"], e["y2"] - e["y1"]
         det = rx * sy - ry * sx
-        safe = F.when(F.abs(det) > 1e-18, det).otherwise(F.lit(1.0))
+        safe = F.when(F.abs(det) > PARALLEL, det).otherwise(F.lit(1.0))
         t, u = ((e["x1"] - lon1) * sy - (e["y1"] - lat1) * sx) / safe, ((e["x1"] - lon1) * ry - (e["y1"] - lat1) * rx) / safe
-        return F.when((F.abs(det) > 1e-18) & t.between(0, 1) & u.between(0, 1), F.round(t, 10))
+        return F.when((F.abs(det) > PARALLEL) & t.between(0, 1) & u.between(0, 1), F.round(t, 10))
 
     return F.array_distinct(F.array_compact(F.transform(ring, place)))
 
@@ -200,40 +201,85 @@ def to_gcj02(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.when(inside, lon + dx).otherwise(lon), F.when(inside, lat + dy).otherwise(lat)
 
 
-def from_gcj02(lon: Column, lat: Column, rounds: int = 3) -> tuple[Column, Column]:
-    """The inverse by fixed-point rounds; three leave well under a centimetre."""
-    x, y = lon, lat
-    for _ in range(rounds):
-        gx, gy = to_gcj02(x, y)
-        x, y = x + (lon - gx), y + (lat - gy)
-    return x, y
+def from_gcj02(lon: Column, lat: Column, rounds: int = 5) -> tuple[Column, Column]:
+    """The inverse by fixed-point rounds; five leave well under a millimetre."""
+
+    def closer(at: Column, _: Column) -> Column:
+        gx, gy = to_gcj02(at["lon"], at["lat"])
+        return F.struct((at["lon"] + (lon - gx)).alias("lon"), (at["lat"] + (lat - gy)).alias("lat"))
+
+    start = F.struct(lon.cast("double").alias("lon"), lat.cast("double").alias("lat"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, closer)
+    return found["lon"], found["lat"]
+
+
+def _pairs(points: Column) -> Column:
+    """array of struct(lon, lat) from an array of arrays; null unless each has exactly two numbers."""
+    ok = F.forall(points, lambda p: F.coalesce((F.size(p) == 2) & p[0].isNotNull() & p[1].isNotNull(), F.lit(False)))
+    return F.when(ok, F.transform(points, lambda p: F.struct(p[0].cast("double").alias("lon"), p[1].cast("double").alias("lat"))))
+
+
+def _numbers(rows: Column, separator: str) -> Column:
+    return F.transform(rows, lambda r: F.transform(F.split(F.trim(r), separator), lambda x: F.trim(x).try_cast("double")))
 
 
 def parse_ring(text: Column) -> Column:
-    """Vertices of a 2-D polygon without holes from WKT, GeoJSON or a list of pairs: numbers in order, the closing vertex dropped."""
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"), 1), lambda x: x.cast("double"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(numbers) - 1, F.lit(1)), F.lit(2)), lambda i: F.struct(F.element_at(numbers, i).alias("lon"), F.element_at(numbers, i + 1).alias("lat")))
-    closed = (F.size(pairs) > 1) & (F.element_at(pairs, 1) == F.element_at(pairs, -1))
-    return F.when((F.size(numbers) >= 6) & (F.size(numbers) % 2 == 0), F.when(closed, F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(1)))).otherwise(pairs))
+    """Vertices of a 2-D polygon of one ring, the closing vertex dropped; null for anything else.
+
+    Taken: WKT POLYGON, a GeoJSON Polygon, a list of pairs in brackets, or lines (or semicolons) of two numbers. Holes, several
+    polygons, a third dimension and truth values as numbers are refused.
+    """
+    plain = F.trim(text)
+    wkt = F.regexp_extract(plain, r"(?is)^POLYGON\s*\(\s*\(([^()]*)\)\s*\)$", 1)
+    feature = F.from_json(plain, "type string, coordinates array<array<array<double>>>", {"allowNonNumericNumbers": "false"})
+    rings = feature["coordinates"]
+    listed = F.from_json(F.translate(plain, "()", "[]"), "array<array<double>>", {"allowNonNumericNumbers": "false"})
+    lines = F.filter(F.split(plain, r"[;；\n]+"), lambda r: F.trim(r) != "")
+    points = (
+        F.when(plain.rlike("(?i)^POLYGON"), F.when(wkt != "", _pairs(_numbers(F.split(wkt, ","), r"\s+"))))
+        .when(plain.startswith("{"), F.when((feature["type"] == "Polygon") & (F.size(rings) == 1), _pairs(rings[0])))
+        .when(plain.rlike(r"^[\[(]"), _pairs(listed))
+        .otherwise(_pairs(_numbers(lines, r"[\s,，]+")))
+    )
+    closed = (F.size(points) > 1) & (F.element_at(points, 1) == F.element_at(points, -1))
+    return F.when(F.size(points) > 0, F.when(closed, F.slice(points, 1, F.size(points) - 1)).otherwise(points))
 
 
-def ring_fault(vertices: Column, most: int = 500) -> Column:
-    """Why vertices make no valid polygon, or null: number, range, repeated neighbours, antimeridian, crossing edges, no area."""
-    ring = edges(vertices)
-    distinct = F.size(F.array_distinct(vertices))
-    side = lambda ax, ay, bx, by, cx, cy: (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+def _turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, slack: float) -> Column:
+    """1 left, -1 right, 0 straight on."""
+    cross = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return F.when(F.abs(cross) <= slack, 0).when(cross > 0, 1).otherwise(-1)
+
+
+def segments_meet(e: Column, f: Column) -> Column:
+    """Whether two segments cross or touch, ends included."""
+    turn = lambda s, x, y, slack: _turn(s["x1"], s["y1"], s["x2"], s["y2"], x, y, slack)
+
+    def touches(s: Column, x: Column, y: Column) -> Column:
+        wide = lambda a, b, v: v.between(F.least(a, b) - 1e-10, F.greatest(a, b) + 1e-10)
+        return (turn(s, x, y, 1e-12) == 0) & wide(s["x1"], s["x2"], x) & wide(s["y1"], s["y2"], y)
 
-    def cross(e: Column, f: Column) -> Column:
-        a, b = side(e["x1"], e["y1"], e["x2"], e["y2"], f["x1"], f["y1"]), side(e["x1"], e["y1"], e["x2"], e["y2"], f["x2"], f["y2"])
-        c, d = side(f["x1"], f["y1"], f["x2"], f["y2"], e["x1"], e["y1"]), side(f["x1"], f["y1"], f["x2"], f["y2"], e["x2"], e["y2"])
-        return (a * b < 0) & (c * d < 0)
+    apart = lambda s, o: turn(s, o["x1"], o["y1"], 1e-12) != turn(s, o["x2"], o["y2"], 1e-12)
+    ends = [touches(e, f["x1"], f["y1"]), touches(e, f["x2"], f["y2"]), touches(f, e["x1"], e["y1"]), touches(f, e["x2"], e["y2"])]
+    return (apart(e, f) & apart(f, e)) | ends[0] | ends[1] | ends[2] | ends[3]
 
+
+def ring_fault(vertices: Column, most: int = 500) -> Column:
+    """Why vertices make no valid polygon, or null: number, range, repeated neighbours, width, no area, edges that cross or touch."""
+    ring, n = edges(vertices), F.size(vertices)
+    distinct = F.size(F.array_distinct(vertices))
+    lons = F.transform(vertices, lambda v: v["lon"])
+    at = lambda i: F.element_at(ring, i + 1)
+    later = lambda i: F.sequence(i + 2, n - F.when(i == 0, 2).otherwise(1))  # noqa: E731  edges that share no vertex with edge i
+    meets = F.exists(F.sequence(F.lit(0), n - 3), lambda i: F.when(i + 2 <= n - F.when(i == 0, 2).otherwise(1), F.exists(later(i), lambda j: segments_meet(at(i), at(j)))).otherwise(False))
+    strange = lambda v: v["lon"].isNull() | v["lat"].isNull() | F.isnan(v["lon"]) | F.isnan(v["lat"]) | ~v["lon"].between(-180, 180) | ~v["lat"].between(-90, 90)
     return (
-        F.when(vertices.isNull() | (F.size(vertices) < 3) | (distinct < 3), "too few vertices")
-        .when(F.size(vertices) > most, "too many vertices")
-        .when(F.exists(vertices, lambda v: v["lon"].isNull() | v["lat"].isNull() | F.isnan(v["lon"]) | F.isnan(v["lat"]) | ~v["lon"].between(-180, 180) | ~v["lat"].between(-90, 90)), "out of range")
+        F.when(vertices.isNull(), "too few vertices")
+        .when(n > most, "too many vertices")
+        .when(F.exists(vertices, strange), "out of range")
+        .when((n < 3) | (distinct < 3), "too few vertices")
         .when(F.exists(ring, lambda e: (e["x1"] == e["x2"]) & (e["y1"] == e["y2"])), "repeated neighbour")
-        .when(F.exists(ring, lambda e: F.abs(e["x2"] - e["x1"]) > 180), "crosses the antimeridian")
-        .when(F.exists(ring, lambda e: F.exists(ring, lambda f: cross(e, f))), "edges cross")
+        .when(F.array_max(lons) - F.array_min(lons) > 180, "crosses the antimeridian")
         .when(ring_area(ring) <= 1e-12, "no area")
+        .when(meets, "edges cross")
     )

@@ -74,18 +74,28 @@ def event_time(c: Column) -> Column:
 
 
 def normalise(reports: DataFrame) -> DataFrame:
-    """Position reports with coerced fields; values out of range turn null and leave a flag. Needs mmsi, t, lon, lat, speed, course, heading, rot.
+    """Position reports with coerced fields; a value that is missing or out of range is null and leaves a flag. Needs mmsi, t, lon, lat, speed, course, heading, rot.
 
     Rows without a valid mmsi or position are dropped, as nothing can be placed without them.
     """
-    flags = {
-        "speed": ("invalid_speed", lambda x: x.between(0, 102.2)), "course": ("invalid_course", lambda x: (x >= 0) & (x < 360)),
-        "heading": ("invalid_heading", lambda x: (x >= 0) & (x < 360)), "rot": ("rot_unavailable", lambda x: x != -128),
+    valid = {
+        "speed": lambda x: x.between(0, 102.2), "course": lambda x: (x >= 0) & (x < 360),
+        "heading": lambda x: (x >= 0) & (x < 360), "rot": lambda x: x != -128,
     }
-    out = reports.withColumns({"mmsi": valid_mmsi(F.col("mmsi")), **{c: finite(F.col(c)) for c in ("lon", "lat", *flags)}})
+    out = reports.withColumns({"mmsi": valid_mmsi(F.col("mmsi")), **{c: finite(F.col(c)) for c in ("lon", "lat", *valid)}})
     out = out.filter(F.col("mmsi").isNotNull() & F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90))
-    bad = F.array_compact(F.array(*(F.when(F.col(c).isNotNull() & ~ok(F.col(c)), flag) for c, (flag, ok) in flags.items())))
-    return out.withColumn("quality_flags", bad).withColumns({c: F.when(ok(F.col(c)), F.col(c)) for c, (_, ok) in flags.items()})
+    missing = F.array(*(F.when(~F.coalesce(ok(F.col(c)), F.lit(False)), f"{c}_unavailable") for c, ok in valid.items()))
+    return out.withColumn("quality_flags", F.array_compact(missing)).withColumns({c: F.when(ok(F.col(c)), F.col(c)) for c, ok in valid.items()})
+
+
+def identity_mismatch(mmsi: Column, iso3: Column, flag: Column) -> Column:
+    """Whether the country digits say China or Hong Kong and the stated registry the other one; an unknown side is no mismatch."""
+    expected = F.when(F.substring(mmsi.cast("string"), 1, 3) == "477", "HKG").when(F.substring(mmsi.cast("string"), 1, 3).isin(*HOME_PREFIXES), "CHN")
+    code, words = F.upper(F.coalesce(iso3, F.lit(""))), F.upper(F.coalesce(flag, F.lit("")))
+    # How a flag field names the two registries.
+    by_flag = F.when(words.isin("CHINA", "CN", "CHN", "中国"), "CHN").when(words.isin("HONG KONG", "HKG", "香港"), "HKG")
+    stated = F.when(code == "", by_flag).otherwise(code)
+    return F.coalesce(stated.isin("CHN", "HKG") & (expected != stated), F.lit(False))
 
 
 def split_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:

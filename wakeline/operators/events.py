@@ -72,10 +72,21 @@ def search(events: DataFrame, feature: str | None = None, text: str | None = Non
 
 
 def cutoff(crossings: DataFrame, within: float = 86400.0) -> DataFrame:
-    """For each entry the time of the next exit or transit of the same vessel and fence within a day."""
+    """When a crossing's trajectory ends (``leaves_at``): an exit's and a transit's own time, and for an entry the time of the
+    next exit or transit of the same vessel and fence within a day, null if there is none. Other rows go."""
+    moves = crossings.filter(F.col("direction").isin("enter", "exit", "transit"))
+    out = F.col("direction") != "enter"
     w = Window.partitionBy("mmsi", "fence").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
-    leave = F.first(F.when(F.col("direction").isin("exit", "transit"), F.col("t")), ignorenulls=True).over(w)
-    return crossings.withColumn("leaves_at", F.when(leave - F.col("t") <= within, leave)).filter("direction = 'enter'")
+    leave = F.first(F.when(out, F.col("t")), ignorenulls=True).over(w)
+    return moves.withColumn("leaves_at", F.when(out, F.col("t")).when(leave - F.col("t") <= within, leave))
+
+
+def without_artifacts(points: DataFrame, event: str = "event", times: tuple[str, ...] = ("timestamp", "time")) -> DataFrame:
+    """Trajectory points that are no detector results stored by mistake: those name a crossing event and have no report time."""
+    has_time = F.lit(False)
+    for c in times:
+        has_time = has_time | (F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+    return points.filter(~F.coalesce(F.col(event) == "CrossingBoundary", F.lit(False)) | has_time)
 
 
 def trimmed(points: DataFrame, cutoffs: DataFrame, on: list[str]) -> DataFrame:
@@ -98,6 +109,18 @@ def confirmed(df: DataFrame, by: list[str], label: str, order: str, times: int)
     return runs.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_run").orderBy(order))).filter(F.col("_nth") == times).drop("_new", "_run", "_nth")
 
 
+def zone_search(zones: DataFrame, kinds: tuple[str, ...] = (), region: str | None = None, text: str | None = None, active: bool | None = True) -> DataFrame:
+    """Filters of the zone list: types, region, text in the name, and whether in use (None: either)."""
+    out = zones
+    if kinds:
+        out = out.filter(F.col("zone_type").isin(*kinds))
+    if region is not None:
+        out = out.filter(F.col("region") == region)
+    if text:
+        out = out.filter(F.lower("name").contains(text.lower()))
+    return out if active is None else out.filter(F.col("is_active") == active)
+
+
 def geojson(zones: DataFrame) -> DataFrame:
     """One GeoJSON feature per zone (name, zone_type, region, vertices)."""
     ring = F.transform(F.concat("vertices", F.slice("vertices", 1, 1)), lambda v: F.array(v["lon"], v["lat"]))

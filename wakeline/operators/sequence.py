@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
+
 BY = ("mmsi",)
 
 
@@ -17,11 +19,14 @@ def _w(by: tuple[str, ...], *order) -> Window:
 
 def latest(df: DataFrame, by: tuple[str, ...] = BY, order: str = "t", tie: str | None = None, last_wins: bool = True) -> DataFrame:
     """The newest row per key; of equal times the last or the first by ``tie``. An aggregation with partial results, so a key with very many rows is no hot spot."""
-    if tie is None:
-        tie = order
-    rank = F.struct(F.col(order), F.col(tie) if last_wins else -F.col(tie))
     rest = [c for c in df.columns if c not in by]
-    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), rank).alias("_row")).select(*by, *(F.col(f"_row.{c}").alias(c) for c in rest))
+    row = F.struct(*(F.col(f"`{c}`") for c in rest))
+    if tie is None or last_wins:
+        found = df.groupBy(*by).agg(F.max_by(row, F.struct(*dict.fromkeys([order, tie or order]))).alias("_row"))
+    else:  # the first of the newest time; ties may be of any type that can be ordered
+        newest = df.groupBy(*by, order).agg(F.min_by(row, tie).alias("_row"))
+        found = newest.groupBy(*by).agg(F.max_by("_row", order).alias("_row"))
+    return found.select(*by, *(F.col(f"_row.`{c}`").alias(c) for c in rest))
 
 
 def fresh(df: DataFrame, most_age: float, by: tuple[str, ...] = BY) -> DataFrame:
@@ -44,14 +49,14 @@ def sessions(df: DataFrame, most_gap: float, by: tuple[str, ...] = BY) -> DataFr
 
 def tail(df: DataFrame, keeps: Column, most_gap: float | None = None, near_latest: Column | None = None, same: tuple[str, ...] = (), by: tuple[str, ...] = BY) -> DataFrame:
     """The longest suffix of each key's rows in which every row ``keeps``, gaps are within ``most_gap``, ``near_latest``
-    (may use latest_<column>) holds, and the columns ``same`` equal the latest row's.
+    (may use latest_lon and latest_lat) holds, and the columns ``same`` equal the latest row's.
 
     A row breaks the suffix if it fails itself, or if the gap *after* it is too long; the suffix is all rows after the last break.
     """
     w = _w(by)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    plain = [c for c in df.columns if c not in by]
-    staged = df.withColumns({f"latest_{c}": F.last(c).over(whole) for c in plain})
+    needed = [*same, *(("lon", "lat") if near_latest is not None else ())]
+    staged = df.withColumns({f"latest_{c}": F.last(c).over(whole) for c in dict.fromkeys(needed)}) if needed else df
     fails = ~F.coalesce(keeps, F.lit(False))
     if near_latest is not None:
         fails = fails | ~F.coalesce(near_latest, F.lit(False))
@@ -109,22 +114,34 @@ def versions(df: DataFrame, changed: Column, by: tuple[str, ...] = BY) -> DataFr
     return df.withColumn("version", F.sum(F.when(F.coalesce(changed, F.lit(True)), 1).otherwise(0)).over(_w(by)))
 
 
-def interpolated(df: DataFrame, rate: Column, most_gap: float, values: tuple[str, ...] = ("lon", "lat"), circular: tuple[str, ...] = (), by: tuple[str, ...] = BY) -> DataFrame:
-    """Positions at a nominal rate (seconds, per row) between neighbouring rows at most ``most_gap`` apart.
+def interpolated(
+    df: DataFrame, rate: Column, most_gap: float, values: tuple[str, ...] = ("lon", "lat"), circular: tuple[str, ...] = (), by: tuple[str, ...] = BY, most_knots: float | None = None,
+) -> DataFrame:
+    """Positions at a nominal rate (seconds, per row) between neighbouring rows at most ``most_gap`` apart and, if given, not further than a speed allows.
 
-    Emits the row itself and the steps up to the next one; numbers in ``values`` linearly, angles in ``circular`` the short way round.
+    Emits the row itself and the steps up to the next one. Numbers in ``values`` go linearly, and stay as they are if the next
+    one is null; ``lon`` goes the short way round the globe; angles in ``circular`` the short way round, or take the side that is known.
     """
     w = _w(by)
     ahead = df.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("t", *values, *circular)}).withColumn("_rate", rate)
     span = F.col("next_t") - F.col("t")
-    steps = F.when(span.isNull() | (span > most_gap), F.lit(0)).otherwise(F.floor((span - 1) / F.col("_rate")))
+    apart = span.isNull() | (span > most_gap) | (span <= 0)
+    if most_knots is not None:
+        run = geo.haversine(F.col("lon"), F.col("lat"), F.col("next_lon"), F.col("next_lat"))
+        apart = apart | (run > most_knots * geo.KNOT_MPS * span)
+    steps = F.when(apart, F.lit(0)).otherwise(F.floor((span - 1) / F.col("_rate")))
     out = ahead.withColumn("step", F.explode(F.sequence(F.lit(0), F.greatest(steps, F.lit(0)).cast("int"))))
     part = F.when(F.col("step") == 0, F.lit(0.0)).otherwise(F.col("step") * F.col("_rate") / span)
     turn = lambda c: F.pmod(F.col(f"next_{c}") - F.col(c) + 540, F.lit(360.0)) - 180
-    moved = {c: F.when(F.col("step") == 0, F.col(c)).otherwise(F.col(c) + (F.col(f"next_{c}") - F.col(c)) * part) for c in values}
-    turned = {c: F.when(F.col("step") == 0, F.col(c)).otherwise(F.pmod(F.col(c) + turn(c) * part, F.lit(360.0))) for c in circular}
+
+    def moved(c: str) -> Column:
+        if c == "lon":
+            return F.when(F.abs(F.col("next_lon") - F.col("lon")) <= 180, F.col("lon") + (F.col("next_lon") - F.col("lon")) * part).otherwise(F.pmod(F.col("lon") + turn("lon") * part + 180, F.lit(360.0)) - 180)
+        return F.coalesce(F.col(c) + (F.col(f"next_{c}") - F.col(c)) * part, F.col(c))
+
+    between = {c: moved(c) for c in values} | {c: F.coalesce(F.pmod(F.col(c) + turn(c) * part, F.lit(360.0)), F.col(c), F.col(f"next_{c}")) for c in circular}
     at = (F.col("t") + F.col("step") * F.col("_rate")).alias("t")
-    return out.select(*by, at, "step", *(v.alias(c) for c, v in (moved | turned).items()))
+    return out.select(*by, at, "step", *(F.when(F.col("step") == 0, F.col(c)).otherwise(v).alias(c) for c, v in between.items()))
 
 
 def sliding(df: DataFrame, size: int, stride: int = 1, by: tuple[str, ...] = BY) -> DataFrame:

@@ -5,9 +5,7 @@ Nothing is broadcast by hand: the cell is an ordinary join key, so Spark broadca
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -65,42 +63,84 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: list[str], with
     return pairs.withColumn("distance", d).filter(F.col("distance") <= within).groupBy(*key).agg(F.min("distance").alias("distance"))
 
 
-def boxes_meeting(points: DataFrame, by: list[str], zones: DataFrame, key: list[str], margin: float, size: float = 1.0) -> DataFrame:
-    """(by, key) pairs where the box around a track's points meets the box around a zone's vertices, widened by a margin in metres."""
-    track = points.groupBy(*by).agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+def legs_meeting(fixes: DataFrame, zones: DataFrame, key: str, margin: float, size: float = 0.25) -> DataFrame:
+    """The fixes that matter for a zone: ends of legs whose box meets the zone's box, widened by a margin in metres, and their starts.
+
+    fixes: mmsi, t, lon, lat. Returns these, the zone's key and ``is_end``; between the rows of a zone a vessel was outside it. A leg
+    is looked up by the cells its box touches, so only zones near it are met.
+    """
+    w = Window.partitionBy("mmsi").orderBy("t")
+    legs = fixes.select("mmsi", "t", "lon", "lat", *(F.coalesce(F.lag(c).over(w), F.col(c)).alias(f"_p{c}") for c in ("t", "lon", "lat")))
+    boxed = legs.withColumns({f"_{f}{c}": g(f"_p{c}", c) for c in ("lon", "lat") for f, g in (("lo_", F.least), ("hi_", F.greatest))})
     b, up = geo.bounds(F.col("vertices")), margin / geo.METRES_PER_DEGREE
     wide = up / F.greatest(F.cos(F.radians(F.greatest(F.abs(b["min_lat"]), F.abs(b["max_lat"])))), F.lit(0.1))
-    box = zones.select(*key, (b["min_lon"] - wide).alias("zx0"), (b["max_lon"] + wide).alias("zx1"), (b["min_lat"] - up).alias("zy0"), (b["max_lat"] + up).alias("zy1"))
-    spread = lambda df, p: df.withColumn("_cx", F.explode(F.sequence(cell(F.col(f"{p}x0"), size), cell(F.col(f"{p}x1"), size)))).withColumn("_cy", F.explode(F.sequence(cell(F.col(f"{p}y0"), size), cell(F.col(f"{p}y1"), size))))
-    pairs = spread(track, "").join(spread(box, "z"), ["_cx", "_cy"]).filter("x0 <= zx1 and x1 >= zx0 and y0 <= zy1 and y1 >= zy0")
-    return pairs.select(*by, *key).distinct()
+    box = zones.select(key, (b["min_lon"] - wide).alias("zx0"), (b["max_lon"] + wide).alias("zx1"), (b["min_lat"] - up).alias("zy0"), (b["max_lat"] + up).alias("zy1"))
+
+    def spread(df: DataFrame, x0: str, x1: str, y0: str, y1: str) -> DataFrame:
+        cells = lambda a, b: F.explode(F.sequence(cell(F.col(a), size), cell(F.col(b), size)))
+        return df.withColumn("_cx", cells(x0, x1)).withColumn("_cy", cells(y0, y1))
+
+    met = spread(boxed, "_lo_lon", "_hi_lon", "_lo_lat", "_hi_lat").join(spread(box, "zx0", "zx1", "zy0", "zy1"), ["_cx", "_cy"])
+    met = met.filter("_lo_lon <= zx1 and _hi_lon >= zx0 and _lo_lat <= zy1 and _hi_lat >= zy0")
+    ends = met.select("mmsi", key, "t", "lon", "lat", F.lit(True).alias("is_end"))
+    starts = met.select("mmsi", key, F.col("_pt").alias("t"), F.col("_plon").alias("lon"), F.col("_plat").alias("lat"), (F.col("_pt") == F.col("t")).alias("is_end"))
+    both = ends.unionByName(starts)
+    return both.groupBy("mmsi", key, "t").agg(F.max("lon").alias("lon"), F.max("lat").alias("lat"), F.max("is_end").alias("is_end"))
+
+
+def _band(lat: Column, size: Column) -> Column:
+    return F.floor(lat / size).cast("long")
+
 
+def _columns_of(band: Column, size: Column) -> Column:
+    """How many cells a band of latitude has round the globe: none is narrower than ``size`` degrees of latitude are high."""
+    most = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * size, F.lit(90.0))
+    return F.greatest(F.floor(360 * F.cos(F.radians(most)) / size), F.lit(1)).cast("long")
 
-def cell_degrees(radius: float, most_lat: float) -> float:
-    """A cell no smaller than the radius, in degrees of longitude at the highest latitude, with a little slack."""
-    return 1.001 * radius / (geo.METRES_PER_DEGREE * max(math.cos(math.radians(most_lat)), 0.01)) * (geo.METRES_PER_DEGREE / (math.radians(1) * geo.EARTH_M))
 
+def with_cell(df: DataFrame, radius: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """_cy, _cx: the cell of a point for a search of so many metres; the same at every longitude and latitude."""
+    size = _degrees(radius)
+    band = _band(F.col(lat), size)
+    n = _columns_of(band, size)
+    return df.withColumns({"_cy": band, "_cx": F.pmod(F.floor((F.col(lon) + 180) * n / 360).cast("long"), n)})
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: float, most_lat: float = 60.0, on: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
-    """Pairs within ``radius`` metres: columns of both, the right's with suffix _b, and ``distance``.
 
-    The right side is repeated for the nine cells around its own; ``on`` names further equi-join columns (a frame, say).
-    Cells are sized for latitudes up to ``most_lat``; the caller filters symmetric pairs.
+def with_cells_around(df: DataFrame, radius: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """A row per cell that a circle of so many metres around the point touches, across 180 degrees too."""
+    size = _degrees(radius)
+    spread = df.withColumn("_cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _band(F.col(lat), size) + d)))
+    n = _columns_of(F.col("_cy"), size)
+    reach, up = F.sin(radius * 1.0001 / geo.EARTH_M), F.cos(F.radians(lat))
+    wide = F.when((reach < up) & (radius < geo.EARTH_M), F.degrees(F.asin(reach / F.when(reach < up, up).otherwise(1.0)))).otherwise(F.lit(180.0)) + 1e-9
+    low, high = (F.floor((F.col(lon) + 180 + d * wide) * n / 360).cast("long") for d in (-1, 1))
+    round_ = F.sequence(F.lit(0).cast("long"), n - 1)
+    some = F.transform(F.sequence(low, high), lambda i: F.pmod(i, n))
+    return spread.withColumn("_cx", F.explode(F.when(high - low + 1 >= n, round_).otherwise(some)))
+
+
+def _degrees(radius: Column) -> Column:
+    """Degrees of latitude, with a little slack."""
+    return F.degrees(radius * 1.001 / geo.EARTH_M)
+
+
+def near_pairs(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
+    """Pairs within ``radius`` metres, anywhere on the globe: columns of both, the right's with suffix _b, and ``distance``.
+
+    The right side is repeated for the cells around its own; ``on`` names further equi-join columns (a frame, say).
+    The caller filters symmetric pairs.
     """
-    size = cell_degrees(radius, most_lat)
-    a = left.withColumns({"_cx": cell(F.col("lon"), size), "_cy": cell(F.col("lat"), size)})
+    a = with_cell(left, F.lit(float(radius)))
     b = right.select(*on, *(F.col(c).alias(f"{c}_b") for c in right.columns if c not in on))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    b = b.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    b = b.withColumns({"_cx": cell(F.col("lon_b"), size) + F.col("_dx"), "_cy": cell(F.col("lat_b"), size) + F.col("_dy")}).drop("_dx", "_dy")
+    b = with_cells_around(b, F.lit(float(radius)), "lon_b", "lat_b")
     d = geo.haversine(F.col("lon"), F.col("lat"), F.col("lon_b"), F.col("lat_b"))
     pairs = a.join(b, ["_cx", "_cy", *on]).drop("_cx", "_cy").withColumn("distance", d)
     return pairs.filter(F.col("distance") <= radius) if exact else pairs
 
 
-def nearest_point(points: DataFrame, targets: DataFrame, key: list[str], within: float, most_lat: float = 60.0) -> DataFrame:
+def nearest_point(points: DataFrame, targets: DataFrame, key: list[str], within: float) -> DataFrame:
     """The nearest target within a radius, with its columns (suffix _b) and distance; ties by smallest target columns."""
-    pairs = near_pairs(points, targets, within, most_lat)
+    pairs = near_pairs(points, targets, within)
     rest = [c for c in pairs.columns if c.endswith("_b")]
     best = pairs.groupBy(*key).agg(F.min(F.struct("distance", *rest)).alias("_m"))
     return best.select(*key, F.col("_m.distance").alias("distance"), *(F.col(f"_m.{c}").alias(c) for c in rest))
@@ -122,5 +162,3 @@ def override(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     b, c = base.select(key, F.lit(True).alias("_b"), F.struct(*names).alias("_base")), changes.select(key, F.lit(True).alias("_c"), "is_active", F.struct(*names).alias("_change"))
     merged = b.join(c, key, "full_outer").filter(F.col("_c").isNull() | F.col("is_active"))
     return merged.select(key, *(F.when(F.col("_c"), F.col(f"_change.{n}")).otherwise(F.col(f"_base.{n}")).alias(n) for n in names))
-
-

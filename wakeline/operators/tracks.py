@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +35,59 @@ def shape(df: DataFrame, by: list[str], *more: Column) -> DataFrame:
     return agg.withColumn("displacement", moved).withColumn("directness", F.when(F.col("path") > 1e-6, F.col("displacement") / F.col("path"))).drop("_a", "_b")
 
 
-def diameter(df: DataFrame, by: list[str]) -> DataFrame:
-    """Largest distance between any two points of a key, exact. Only corners of the hull in 16 directions of the local
-    plane can be far apart, so points are first thinned to those within reach of the best pair found among the extremes."""
-    key = Window.partitionBy(*by)
-    x, y = geo.local_offset(F.col("lon"), F.col("lat"), F.first("lon").over(key), F.first("lat").over(key))
-    placed = df.select(*by, "lon", "lat", x.alias("_x"), y.alias("_y")).distinct()
-    spread = placed.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"), F.max("_x").alias("_x1"), F.min("_x").alias("_x0"), F.max("_y").alias("_y1"), F.min("_y").alias("_y0"))
-    centred = placed.join(spread, by).withColumn("_r", F.hypot(F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")))
-    # a pair at least as long as the box's longer side exists up to that side itself; points nearer the centre than that less the outermost radius can't beat it
-    reach = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) * 0.999
-    outer = centred.withColumn("_far", F.max("_r").over(key)).filter(F.col("_r") >= reach - F.col("_far") - 1.0)
-    points = outer.groupBy(*by).agg(F.collect_list(F.struct("lon", "lat")).alias("_p"))
-    farthest = F.array_max(F.transform("_p", lambda a: F.array_max(F.transform("_p", lambda b: geo.haversine(a["lon"], a["lat"], b["lon"], b["lat"])))))
-    return points.select(*by, farthest.alias("diameter"))
+def _hull(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """Indices of the corners of the convex hull in the plane of degrees (monotone chain)."""
+    points = np.unique(np.column_stack([lon, lat]), axis=0, return_index=True)[1]
+    if len(points) < 3:
+        return points
+    corners: list[int] = []
+    for chain in (points.tolist(), points[::-1].tolist()):
+        side: list[int] = []
+        for i in chain:
+            while len(side) > 1 and (lon[side[-1]] - lon[side[-2]]) * (lat[i] - lat[side[-2]]) <= (lat[side[-1]] - lat[side[-2]]) * (lon[i] - lon[side[-2]]):
+                side.pop()
+            side.append(i)
+        corners += side[:-1]
+    return np.array(corners)
+
+
+def diameter(df: DataFrame, by: list[str], held: int = 4096) -> DataFrame:
+    """Largest distance between any two points of a key; meant for extents up to some hundred kilometres.
+
+    Only corners of the convex hull can be farthest apart. Each task first reduces the points it has of a key to their hull,
+    so the group of a key holds the corners of partial hulls, however many points the key has.
+    """
+    own = df.select(*by, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).dropna(subset=["lon", "lat"])
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def corners(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            points = pd.concat(parts)
+            hulls = [g.iloc[_hull(g["lon"].to_numpy(), g["lat"].to_numpy())] for _, g in points.groupby(by, sort=False, dropna=False)]
+            return pd.concat(hulls) if hulls else points
+
+        parts: list[pd.DataFrame] = []
+        for batch in batches:
+            parts.append(batch)
+            if sum(map(len, parts)) > held:
+                parts = [corners(parts)]
+                if len(parts[0]) > held // 2:  # very many keys: nothing to gain from waiting
+                    yield parts.pop()
+        if parts:
+            yield corners(parts)
+
+    def farthest(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        lon, lat = group["lon"].to_numpy(), group["lat"].to_numpy()
+        at = _hull(lon, lat)
+        x, y = np.radians(lon[at]), np.radians(lat[at])
+        best = 0.0
+        for a in range(0, len(at), 512):
+            some = slice(a, a + 512)
+            h = np.sin((y[some, None] - y) / 2) ** 2 + np.cos(y[some, None]) * np.cos(y) * np.sin((x[some, None] - x) / 2) ** 2
+            best = max(best, float(2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(h.max(), 1.0)))))
+        return pd.DataFrame([[*key, best]], columns=[*by, "diameter"])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return own.mapInPandas(reduce, own.schema).groupBy(*by).applyInPandas(farthest, f"{kinds}, diameter double")
 
 
 def revisits(df: DataFrame, by: list[str], grid: float = 200.0) -> DataFrame:
@@ -62,8 +104,17 @@ def revisits(df: DataFrame, by: list[str], grid: float = 200.0) -> DataFrame:
 
 
 def heading_summary(df: DataFrame, by: list[str]) -> DataFrame:
-    headings = F.collect_list("heading")
-    return df.groupBy(*by).agg(geo.heading_arc(headings).alias("heading_arc"), F.count("heading").alias("n_headings"))
+    """heading_arc, the smallest arc that holds all headings (null below two), and n_headings.
+
+    Equal headings are counted first, and the largest gap between neighbours comes from a window over the different ones.
+    """
+    known = df.filter(F.col("heading").isNotNull())
+    counted = known.groupBy(*by, F.pmod(F.col("heading").cast("double"), F.lit(360.0)).alias("_h")).agg(F.count("*").alias("_n"))
+    ahead = F.lead("_h").over(Window.partitionBy(*by).orderBy("_h"))
+    agg = counted.withColumn("_gap", ahead - F.col("_h")).groupBy(*by).agg(F.sum("_n").alias("n_headings"), F.max("_gap").alias("_gap"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    round_ = F.col("_lo") + 360 - F.col("_hi")
+    arcs = agg.select(*by, F.when(F.col("n_headings") >= 2, 360 - F.greatest(round_, F.coalesce("_gap", F.lit(0.0)))).alias("heading_arc"), "n_headings")
+    return df.select(*by).distinct().join(arcs, by, "left").withColumn("n_headings", F.coalesce("n_headings", F.lit(0)).cast("long"))
 
 
 def share(condition: Column) -> Column:
@@ -79,8 +130,7 @@ def most_frequent(df: DataFrame, by: list[str], column: str, order: str = "t") -
 
 def nominal_interval(df: DataFrame) -> DataFrame:
     """Median step between distinct times, over the whole table."""
-    steps = df.select("t").distinct().withColumn("_lead", F.lit(0)).select("t")
-    ahead = steps.withColumn("_bucket", F.floor(F.col("t") / 86400))
+    ahead = df.select("t").distinct().withColumn("_bucket", F.floor(F.col("t") / 86400))
     w = Window.partitionBy("_bucket").orderBy("t")
     inside = ahead.withColumn("step", F.lead("t").over(w) - F.col("t")).filter("step is not null").select("step")
     ends = ahead.groupBy("_bucket").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
@@ -101,6 +151,6 @@ def pair_features(aligned: DataFrame, by: list[str], near: float = 100.0, far: f
         F.covar_pop("speed_a", "speed_b").alias("_cov"), F.stddev_pop("speed_a").alias("_sa"), F.stddev_pop("speed_b").alias("_sb"),
     )
     flat = (F.col("_sa") < 1e-9) | (F.col("_sb") < 1e-9)
-    correlation = F.when(flat, F.when(F.abs(F.col("mean_speed_a") - F.col("mean_speed_b")) <= 1e-9, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.col("_cov"), F.col("_sa") * F.col("_sb")))
+    correlation = F.when(F.col("n_points") < 2, 0.0).when(flat, F.when(F.abs(F.col("mean_speed_a") - F.col("mean_speed_b")) <= 1e-9, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.col("_cov"), F.col("_sa") * F.col("_sb")))
     together = F.col("mean_speed_a").between(slow, fast) & F.col("mean_speed_b").between(slow, fast)
     return agg.withColumns({"speed_correlation": correlation, "both_in_speed": together}).drop("_cov", "_sa", "_sb")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.records import UNKNOWN_NAME, pair_key
+from ..functions.records import UNKNOWN_NAME, at_night, identity_mismatch, pair_key
 from ..operators import folds, sequence, spatial, temporal, tracks
 
 
@@ -34,31 +34,44 @@ class CollisionConfig:
     high_now: float = 100.0
 
 
-def collision(ships: DataFrame, cfg: CollisionConfig = CollisionConfig(), most_lat: float = 60.0) -> DataFrame:
+#: Upper speeds (knots) of the classes that the pair search uses; a report can't say more than 102.2.
+SPEED_CLASSES = (2.0, 5.0, 10.0, 15.0, 20.0, 30.0, 50.0, 102.3)
+
+
+def collision(ships: DataFrame, cfg: CollisionConfig = CollisionConfig()) -> DataFrame:
     """Pairs on collision course, by closest point of approach.
 
-    A pair can only meet within the horizon if it is nearer now than safety + both speeds times the horizon, so cells of that size make
-    the pair join an equi-join; the size follows from the input's largest speed and length.
+    A pair can only meet within the horizon if it is nearer now than safety + both speeds times the horizon. A vessel looks for
+    those that are no faster, in cells of a size that follows from its own speed class, so fast reports don't widen the search
+    of the slow; a vessel is repeated for the cells of its class and the faster ones. Speeds above 102.2 knots are no speeds.
     """
-    valid = ships.filter(F.col("mmsi").isNotNull() & (F.col("speed") >= 0) & F.col("course").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    valid = ships.filter(F.col("mmsi").isNotNull() & F.col("speed").between(0, 102.2) & F.col("course").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull())
     fresh = sequence.fresh(sequence.latest(valid, last_wins=False), cfg.max_age)
-    ref = fresh.agg(F.max("t").alias("ref"), F.max("speed").alias("v"), F.max("length").alias("l")).first()
-    if ref["ref"] is None:
-        reach, now = 1.0, 0
-    else:
-        now = ref["ref"]
-        reach = max(cfg.warning, (ref["l"] or 0.0) + cfg.buffer) + 2 * (ref["v"] or 0.0) * geo.KNOT_MPS * cfg.horizon
+    ref = fresh.agg(F.max("t").alias("ref"), F.max("length").alias("l")).first()
+    now, safety = (0, cfg.warning) if ref["ref"] is None else (ref["ref"], max(cfg.warning, (ref["l"] or 0.0) + cfg.buffer))
     lon, lat = geo.dead_reckon(F.col("lon"), F.col("lat"), F.col("speed"), F.col("course"), F.lit(now) - F.col("t"))
     v = F.col("speed") * geo.KNOT_MPS
-    placed = fresh.select("mmsi", "length", lon.alias("lon"), lat.alias("lat"), (v * F.sin(F.radians("course"))).alias("vx"), (v * F.cos(F.radians("course"))).alias("vy"))
-    pairs = spatial.near_pairs(placed, placed, reach * 1.01, most_lat).filter("mmsi < mmsi_b")
+    level = F.lit(0)
+    for k, most in enumerate(SPEED_CLASSES[:-1]):
+        level = F.when(F.col("speed") > most, k + 1).otherwise(level)
+    placed = fresh.select("mmsi", "length", lon.alias("lon"), lat.alias("lat"), (v * F.sin(F.radians("course"))).alias("vx"), (v * F.cos(F.radians("course"))).alias("vy"), level.alias("level"))
+    reach = F.element_at(F.array(*(F.lit((safety + 2 * most * geo.KNOT_MPS * cfg.horizon) * 1.01) for most in SPEED_CLASSES)), F.col("level") + 1)
+    others = placed.select(*(F.col(c).alias(f"{c}_b") for c in placed.columns)).withColumn("level", F.explode(F.sequence("level_b", F.lit(len(SPEED_CLASSES) - 1))))
+    met = spatial.with_cell(placed, reach).join(spatial.with_cells_around(others, reach, "lon_b", "lat_b"), ["_cx", "_cy", "level"])
+    met = met.filter((F.col("level") > F.col("level_b")) | (F.col("mmsi") < F.col("mmsi_b"))).filter("mmsi <> mmsi_b")
+    swap = F.col("mmsi") > F.col("mmsi_b")
+    names = ("mmsi", "length", "lon", "lat", "vx", "vy")
+    pairs = met.select(*(F.when(swap, F.col(f"{c}_b")).otherwise(F.col(c)).alias(c) for c in names), *(F.when(swap, F.col(c)).otherwise(F.col(f"{c}_b")).alias(f"{c}_b") for c in names))
     mid = F.radians((F.col("lat") + F.col("lat_b")) / 2)
-    x, y = F.radians(F.col("lon_b") - F.col("lon")) * geo.EARTH_M * F.cos(mid), F.radians(F.col("lat_b") - F.col("lat")) * geo.EARTH_M
+    east = F.pmod(F.col("lon_b") - F.col("lon") + 180, F.lit(360.0)) - 180
+    wide = F.when(F.abs(F.col("lon_b") - F.col("lon")) <= 180, F.col("lon_b") - F.col("lon")).otherwise(east)
+    x, y = F.radians(wide) * geo.EARTH_M * F.cos(mid), F.radians(F.col("lat_b") - F.col("lat")) * geo.EARTH_M
     a = geo.closest_approach(x, y, F.col("vx_b") - F.col("vx"), F.col("vy_b") - F.col("vy"))
     rated = pairs.withColumns({**a, "now_distance": F.hypot(x, y), "safety": geo.safety_distance(F.col("length"), F.col("length_b"), cfg.warning, cfg.buffer)})
     alerts = rated.filter(F.col("closing") & F.col("tcpa").between(0, cfg.horizon) & (F.col("relative_speed") >= cfg.min_relative) & (F.col("dcpa") <= F.col("safety")))
     high = ((F.col("tcpa") <= cfg.high_seconds) & (F.col("dcpa") <= cfg.high_dcpa)) | (F.col("now_distance") <= cfg.high_now)
-    return alerts.select(F.col("mmsi").alias("mmsi_a"), "mmsi_b", pair_key(F.col("mmsi"), F.col("mmsi_b")).alias("pair"), "tcpa", "dcpa", "now_distance", "relative_speed", F.when(high, "high").otherwise("medium").alias("risk"))
+    risk = F.when(high, "high").otherwise("medium").alias("risk")
+    return alerts.select(F.col("mmsi").alias("mmsi_a"), "mmsi_b", pair_key(F.col("mmsi"), F.col("mmsi_b")).alias("pair"), "tcpa", "dcpa", "now_distance", "relative_speed", risk)
 
 
 @dataclass(frozen=True)
@@ -122,13 +135,13 @@ class DeviationConfig:
     off_seconds: float = 60.0
 
 
-def deviation(fixes: DataFrame, routes: DataFrame, cfg: DeviationConfig = DeviationConfig(), search: float = 20_000.0, most_lat: float = 60.0) -> DataFrame:
+def deviation(fixes: DataFrame, routes: DataFrame, cfg: DeviationConfig = DeviationConfig(), search: float = 20_000.0) -> DataFrame:
     """Vessels that were on a route and have left it. Routes: lon, lat, axis, coherence (``spatial.route_grid``)."""
     run = sequence.tail(fixes.filter("eligible"), F.col("speed") >= cfg.min_speed, cfg.max_gap)
     shape = tracks.shape(run, ["mmsi"], (F.max("t") - F.min("t")).alias("duration"))
     able = shape.filter((F.col("n_points") >= cfg.min_points) & (F.col("duration") >= cfg.min_seconds) & (F.col("displacement") >= cfg.min_displacement)).select("mmsi")
     track = run.join(able, "mmsi", "left_semi")
-    near = spatial.nearest_point(track.select("mmsi", "t", "lon", "lat"), routes.select("lon", "lat", "axis", "coherence"), ["mmsi", "t"], search, most_lat)
+    near = spatial.nearest_point(track.select("mmsi", "t", "lon", "lat"), routes.select("lon", "lat", "axis", "coherence"), ["mmsi", "t"], search)
     rated = track.join(near, ["mmsi", "t"], "left")
     axis_ok = (F.col("coherence_b") < cfg.min_coherence) | F.col("axis_b").isNull() | (geo.axial_angle_between(F.col("course"), F.col("axis_b")) <= cfg.max_axis)
     rated = rated.withColumn("distance", F.coalesce("distance", F.lit(search))).withColumn("on", (F.col("distance") <= cfg.on_route) & F.coalesce(axis_ok, F.lit(False)))
@@ -142,18 +155,19 @@ def fence_crossings(fixes: DataFrame, fences: DataFrame, tolerance: float = 10.0
     """enter, exit and transit events of vessels at fences (fence, mode, vertices): mmsi, t, fence, direction.
 
     Between stable sides the boundary keeps the last one; a first stable side is only taken note of. A leg between two outside fixes that cuts the fence twice is a transit.
-    Only fences whose box meets the box of a vessel's track are looked at.
+    Only legs near a fence are looked at: a vessel is outside wherever it has no row for it, and the start of such a leg has no event of its own.
     """
     ringed = fences.select("fence", "mode", geo.edges(F.col("vertices")).alias("ring"))
-    reachable = spatial.boxes_meeting(fixes, ["mmsi"], fences, ["fence"], tolerance)
-    sided = fixes.select("mmsi", "t", "lon", "lat").join(reachable, "mmsi").join(ringed, "fence").withColumn("side", geo.side_of_fence(F.col("lon"), F.col("lat"), F.col("ring"), tolerance))
+    near = spatial.legs_meeting(fixes, fences, "fence", tolerance)
+    sided = near.join(ringed, "fence").withColumn("side", geo.side_of_fence(F.col("lon"), F.col("lat"), F.col("ring"), tolerance))
     by = ("mmsi", "fence")
     stable = F.col("side") != "boundary"
     sided = sequence.carried(sided.withColumn("_at", F.struct("side", "lon", "lat")), "_at", stable, "_before", by)
     legs = F.size(geo.crossing_places(F.col("_before.lon"), F.col("_before.lat"), F.col("lon"), F.col("lat"), F.col("ring")))
+    was = F.col("_before.side")
     direction = (
-        F.when(~stable | F.col("_before").isNull(), None).when((F.col("_before.side") == "outside") & (F.col("side") == "inside"), "enter")
-        .when((F.col("_before.side") == "inside") & (F.col("side") == "outside"), "exit").when((F.col("_before.side") == "outside") & (F.col("side") == "outside") & (legs >= 2), "transit")
+        F.when(~stable | ~F.col("is_end") | F.col("_before").isNull(), None).when((was == "outside") & (F.col("side") == "inside"), "enter")
+        .when((was == "inside") & (F.col("side") == "outside"), "exit").when((was == "outside") & (F.col("side") == "outside") & (legs >= 2), "transit")
     )
     found = sided.withColumn("direction", direction).filter(F.col("direction").isNotNull())
     return found.filter((F.col("direction") == "transit") | (F.col("mode") == "both") | (F.col("mode") == F.col("direction"))).select("mmsi", "t", "fence", "direction")
@@ -248,10 +262,10 @@ TRANSFER = ContactConfig()
 BERTHING = ContactConfig(max_speed=2.0, max_speed_gap=0.5, course_above=None, min_frames=5, min_seconds=300.0)
 
 
-def contacts(left: DataFrame, right: DataFrame, cfg: ContactConfig, most_lat: float = 60.0) -> DataFrame:
+def contacts(left: DataFrame, right: DataFrame, cfg: ContactConfig) -> DataFrame:
     """Pairs side by side at similar slow speed, per frame. Both: frame, mmsi, t, lon, lat, speed, course, length."""
     slow = F.col("speed").between(0, cfg.max_speed)
-    pairs = spatial.near_pairs(left.filter(slow), right.filter(slow), cfg.most, most_lat, on=("frame",)).filter("mmsi <> mmsi_b")
+    pairs = spatial.near_pairs(left.filter(slow), right.filter(slow), cfg.most, ("frame",)).filter("mmsi <> mmsi_b")
     ok = (F.col("distance") <= geo.contact_distance(F.col("length"), F.col("length_b"), cfg.base, cfg.most)) & (F.abs(F.col("speed") - F.col("speed_b")) <= cfg.max_speed_gap)
     if cfg.course_above is not None:
         loose = (F.greatest("speed", "speed_b") < cfg.course_above) | F.col("course").isNull() | F.col("course_b").isNull()
@@ -259,18 +273,29 @@ def contacts(left: DataFrame, right: DataFrame, cfg: ContactConfig, most_lat: fl
     return pairs.filter(ok).select("frame", F.greatest("t", "t_b").alias("t"), F.col("mmsi").alias("mmsi_a"), "mmsi_b", "distance", "speed", "speed_b")
 
 
-def transfer_candidates(ships: DataFrame, cfg: ContactConfig = TRANSFER, most_lat: float = 60.0) -> DataFrame:
-    return contacts(ships, ships, cfg, most_lat).filter("mmsi_a < mmsi_b")
+def transfer_candidates(ships: DataFrame, cfg: ContactConfig = TRANSFER) -> DataFrame:
+    return contacts(ships, ships, cfg).filter("mmsi_a < mmsi_b")
 
 
-def berthing_candidates(chinese: DataFrame, foreign: DataFrame, cfg: ContactConfig = BERTHING, most_lat: float = 60.0) -> DataFrame:
-    return contacts(chinese, foreign, cfg, most_lat)
+def berthing_candidates(chinese: DataFrame, foreign: DataFrame, cfg: ContactConfig = BERTHING) -> DataFrame:
+    return contacts(chinese, foreign, cfg)
 
 
 def confirmed_contacts(candidates: DataFrame, cfg: ContactConfig) -> DataFrame:
-    """Runs of frames long enough to count."""
-    runs = sequence.streaks(candidates, cfg.max_gap, ("mmsi_a", "mmsi_b"))
-    return runs.filter((F.col("observations") >= cfg.min_frames) & (F.col("duration") >= cfg.min_seconds))
+    """Runs of frames long enough to count, and ``confirmed_at``, when they became so."""
+    by = ("mmsi_a", "mmsi_b")
+    frames = sequence.sessions(candidates.select(*by, "t").distinct(), cfg.max_gap, by)
+    run = Window.partitionBy(*by, "session").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    grown = frames.withColumn("_long", (F.count("*").over(run) >= cfg.min_frames) & (F.col("t") - F.min("t").over(run) >= cfg.min_seconds))
+    runs = grown.groupBy(*by, "session").agg(F.min("t").alias("first_seen"), F.max("t").alias("last_seen"), F.count("*").alias("observations"), F.min(F.when(F.col("_long"), F.col("t"))).alias("confirmed_at"))
+    return runs.filter(F.col("confirmed_at").isNotNull()).withColumn("duration", F.col("last_seen") - F.col("first_seen"))
+
+
+def alert_states(runs: DataFrame, now: float, max_gap: float) -> DataFrame:
+    """``state`` of confirmed contacts at a reference time: new when it was seen first at that time, recovered when the pair has not been seen for
+    longer than the gap, else continuing. runs: ``confirmed_contacts``, where confirmed_at is when a run became long enough."""
+    state = F.when(F.lit(now) - F.col("last_seen") > max_gap, "recovered").when(F.col("confirmed_at") == F.col("last_seen"), "new").otherwise("continuing")
+    return runs.withColumn("state", state)
 
 
 def berthing(chinese: DataFrame, foreign: DataFrame, permits: DataFrame, cfg: ContactConfig = BERTHING) -> DataFrame:
@@ -312,10 +337,10 @@ class DraggingConfig:
     max_std: float = 250.0
 
 
-def double_dragging(fixes: DataFrame, cfg: DraggingConfig = DraggingConfig(), most_lat: float = 60.0) -> DataFrame:
+def double_dragging(fixes: DataFrame, cfg: DraggingConfig = DraggingConfig()) -> DataFrame:
     """Pairs that tow together: candidates by their latest fixes, then aligned samples of the last 45 minutes."""
     newest = sequence.latest(fixes).filter(F.col("speed").between(cfg.slow, cfg.fast))
-    near = spatial.near_pairs(newest.select("mmsi", "lon", "lat", "speed", "course"), newest.select("mmsi", "lon", "lat", "speed", "course"), cfg.far + cfg.margin, most_lat).filter("mmsi < mmsi_b")
+    near = spatial.near_pairs(newest.select("mmsi", "lon", "lat", "speed", "course"), newest.select("mmsi", "lon", "lat", "speed", "course"), cfg.far + cfg.margin).filter("mmsi < mmsi_b")
     close = (F.abs(F.col("speed") - F.col("speed_b")) <= cfg.speed_gap * cfg.loose) & (geo.angle_between(F.col("course"), F.col("course_b")) <= cfg.course_gap * cfg.loose)
     pairs = near.filter(close).select(F.col("mmsi").alias("mmsi_a"), "mmsi_b")
     ref = fixes.agg(F.max("t").alias("_ref"))
@@ -331,35 +356,81 @@ def double_dragging(fixes: DataFrame, cfg: DraggingConfig = DraggingConfig(), mo
 
 
 def smuggling_risk(state: DataFrame) -> DataFrame:
-    """score (0 to 100), risk and emitted of voyages near the shore, from their facts.
+    """score (0 to 100) and risk of fixes near the shore, from the facts of their voyage.
 
-    state: voyage, night_departure, landed, at_dock, max_gap, draught_change, mismatch, length, max_speed.
+    state: night_departure, landed, at_dock, max_gap, draught_change, mismatch, length, max_speed.
     """
     part = lambda condition, points: F.when(F.coalesce(condition, F.lit(False)), points).otherwise(0)
     c = F.col
+    # Fixed values of the score: 40 for a voyage from an origin to the shore, and what each fact adds.
     score = F.least(
         F.lit(100),
-        40 + part(c("night_departure"), 15) + part(c("landed"), 20) + part(c("at_dock"), 15) + part(c("max_gap") > 180, 15) + part(F.abs(c("draught_change")) >= 0.5, 15) + part(c("mismatch"), 10) + part((c("length") <= 50) & (c("max_speed") >= 15), 10),
+        40 + part(c("night_departure"), 15) + part(c("landed"), 20) + part(c("at_dock"), 15) + part(c("max_gap") > 180, 15)
+        + part(c("draught_change") >= 0.5, 15) + part(c("mismatch"), 10) + part((c("length") <= 50) & (c("max_speed") >= 15), 10),
     )
     scored = state.withColumn("score", score)
     return scored.withColumn("risk", F.when(F.col("score") >= 80, "high").when(F.col("score") >= 60, "medium").otherwise("low"))
 
 
-def voyages(fixes: DataFrame, confirm_seconds: float = 60.0, confirm_fixes: int = 3, max_gap: float = 180.0, most_hours: float = 12.0) -> DataFrame:
-    """Voyages from an origin zone to the shore: a stay in ``origin`` long enough, its end, and later fixes near the coast away from ports.
-
-    fixes: mmsi, t, origin (zone or null), near_coast, near_port. A port call, or more than twelve hours, ends a voyage.
+@dataclass(frozen=True)
+class SmugglingConfig:
+    max_gap: float = 180.0
+    stay_seconds: float = 60.0
+    stay_fixes: int = 3
+    most_hours: float = 12.0
+    landing_speed: float = 1.5
+    landing_seconds: float = 300.0
+    landing_fixes: int = 3
+    night_start: int = 20
+    night_end: int = 6
+    utc_offset: float = 8.0
+
+
+def voyages(fixes: DataFrame, cfg: SmugglingConfig = SmugglingConfig()) -> DataFrame:
+    """The fixes near the shore of voyages from an origin zone, with the facts of their voyage so far.
+
+    fixes: mmsi, t, speed, draught, length, nav_status, at_dock, iso3, flag, origin (zone or null), near_coast, near_port. A stay in one
+    origin zone, without a long gap and long enough, then the first fix outside as the departure, then fixes near the coast; a port
+    call, a fix in an origin, or too many hours end a voyage. All of it is windows over one vessel's fixes.
     """
-    stays = sequence.islands(fixes, F.col("origin").isNotNull(), max_gap).groupBy("mmsi", "island").agg(F.first("origin").alias("origin"), F.count("*").alias("n"), F.min("t").alias("arrived"), F.max("t").alias("departed"))
-    starts = stays.filter((F.col("n") >= confirm_fixes) & (F.col("departed") - F.col("arrived") >= confirm_seconds)).select("mmsi", F.col("departed").alias("t"), "origin", F.lit(True).alias("_start"))
-    flow = fixes.filter(F.col("origin").isNull()).select("mmsi", "t", F.lit(None).cast("string").alias("origin"), F.lit(False).alias("_start"), "near_coast", "near_port").unionByName(starts, allowMissingColumns=True)
-    w = Window.partitionBy("mmsi").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    carried = flow.withColumns({
-        "departed_at": F.last(F.when(F.col("_start"), F.col("t")), ignorenulls=True).over(w), "from_origin": F.last(F.when(F.col("_start"), F.col("origin")), ignorenulls=True).over(w),
-        "_port": F.max(F.when(F.col("near_port"), F.col("t"))).over(w),
+    c, w = F.col, Window.partitionBy("mmsi").orderBy("t")
+    inside = c("origin").isNotNull()
+    marked = fixes.withColumns({"_gap": c("t") - F.lag("t").over(w), "_was": F.lag("origin").over(w)})
+    # a new stay or a new leg outside begins here
+    fresh = F.when(inside, ~c("origin").eqNullSafe(c("_was")) | (c("_gap") > cfg.max_gap)).otherwise(c("_was").isNotNull() | c("_gap").isNull())
+    runs = marked.withColumn("_run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(w))
+    run = Window.partitionBy("mmsi", "_run").orderBy("t")
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    staged = runs.withColumns({
+        "_nth": F.row_number().over(run), "_began": F.first("t").over(upto), "_fast": F.max("speed").over(upto),
+        "_draught": F.first(F.when(c("draught") > 0, c("draught")), ignorenulls=True).over(upto),
+    })
+    stay = F.struct(c("origin"), (c("_nth") >= cfg.stay_fixes) & (c("t") - c("_began") >= cfg.stay_seconds), c("_fast"), c("_draught"))
+    before = F.last(F.when(inside, stay), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    legs = staged.withColumn("_stay", before).filter(~inside & c("_stay").isNotNull()).filter(c("_stay.col2"))
+    over = (c("_nth") > 1) & (F.coalesce("near_port", F.lit(False)) | (c("t") - c("_began") > cfg.most_hours * 3600))
+    near = (c("_nth") > 1) & F.coalesce("near_coast", F.lit(False))
+    lands = near & ((c("speed") <= cfg.landing_speed) | F.coalesce("at_dock", F.lit(False)) | F.coalesce(c("nav_status").isin(1, 5), F.lit(False)))
+    legs = legs.withColumns({
+        "_over": F.max(over).over(upto), "_break": F.sum(F.when(F.coalesce(lands, F.lit(False)), 0).otherwise(1)).over(upto), "_near": near, "_lands": F.coalesce(lands, F.lit(False)),
+        "max_gap": F.max(F.when(c("_nth") > 1, c("_gap"))).over(upto), "max_speed": F.greatest("_fast", "_stay._fast"),
+        "draught_change": F.coalesce(F.max(F.when((c("_nth") > 1) & (c("draught") > 0), F.abs(c("draught") - c("_stay._draught")))).over(upto), F.lit(0.0)),
     })
-    live = carried.filter(~F.col("_start") & F.col("departed_at").isNotNull() & (F.col("t") - F.col("departed_at") <= most_hours * 3600) & F.coalesce(F.col("_port") < F.col("departed_at"), F.lit(True)) & F.coalesce("near_coast", F.lit(False)))
-    return live.groupBy("mmsi", "departed_at").agg(F.first("from_origin").alias("origin"), F.count("*").alias("n_shore"), F.min("t").alias("first_shore"), F.max("t").alias("last_shore"))
+    landing = Window.partitionBy("mmsi", "_run", "_break").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    long_enough = (c("t") - F.first(F.when(c("_lands"), c("t")), ignorenulls=True).over(landing) >= cfg.landing_seconds) & (F.sum(c("_lands").cast("int")).over(landing) >= cfg.landing_fixes)
+    facts = legs.withColumn("landed", c("_lands") & F.coalesce(long_enough, F.lit(False))).filter(c("_near") & ~c("_over"))
+    return facts.select(
+        "mmsi", "t", c("_stay.origin").alias("origin"), c("_began").alias("departed_at"), at_night(c("_began"), cfg.utc_offset, cfg.night_start, cfg.night_end).alias("night_departure"),
+        "landed", F.coalesce("at_dock", F.lit(False)).alias("at_dock"), "max_gap", "draught_change", identity_mismatch(c("mmsi"), c("iso3"), c("flag")).alias("mismatch"), "length", "max_speed",
+    )
+
+
+def smuggling(fixes: DataFrame, cfg: SmugglingConfig = SmugglingConfig()) -> DataFrame:
+    """One row per voyage that reached the shore: n_shore, first and last shore fix, the highest score and when it came, and its risk."""
+    scored = smuggling_risk(voyages(fixes, cfg))
+    best = F.max(F.struct("score", (-F.col("t")).alias("t"), "risk"))
+    found = scored.groupBy("mmsi", "departed_at").agg(F.first("origin").alias("origin"), F.count("*").alias("n_shore"), F.min("t").alias("first_shore"), F.max("t").alias("last_shore"), best.alias("_b"))
+    return found.select("mmsi", "departed_at", "origin", "n_shore", "first_shore", "last_shore", F.col("_b.score").alias("score"), (-F.col("_b.t")).alias("scored_at"), F.col("_b.risk").alias("risk"))
 
 
 def overload_state(boxes: DataFrame) -> DataFrame:

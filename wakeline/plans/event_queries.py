@@ -120,12 +120,12 @@ def violation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.page(hits, [F.desc("last_detected_at"), F.col("user_id")], 1, 20)
 
 
-@query(f"""WITH {WALK_SQL}, e AS (SELECT c_custkey % 150 AS k, c_custkey AS event FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_custkey % 150 < 20)
+@query(f"""WITH {WALK_SQL}, e AS (SELECT c_custkey % 150 AS k, c_custkey AS event FROM customer WHERE c_mktsegment = 'HOUSEHOLD')
 SELECT DISTINCT f.mmsi, f.t, f.lon, f.lat FROM fixes f JOIN e ON f.mmsi = 412000000 + e.k WHERE f.t BETWEEN 600 AND 3000 ORDER BY f.t DESC, f.mmsi DESC LIMIT 50""")
 def ship_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of the vessels of some events, distinct, the newest fifty in time order."""
-    chosen = read(spark, sf_dir, "customer").filter("c_mktsegment = 'HOUSEHOLD' and c_custkey % 150 < 20").select((F.lit(412000000) + F.col("c_custkey") % 150).cast("long").alias("mmsi"))
-    points = walk(spark, sf_dir).filter(F.col("t").between(600, 3000)).join(chosen, "mmsi").select("mmsi", "t", "lon", "lat").distinct()
+    chosen = read(spark, sf_dir, "customer").filter("c_mktsegment = 'HOUSEHOLD'").select((F.lit(412000000) + F.col("c_custkey") % 150).cast("long").alias("mmsi"))
+    points = walk(spark, sf_dir).filter(F.col("t").between(600, 3000)).join(chosen, "mmsi", "left_semi").select("mmsi", "t", "lon", "lat").distinct()
     return events.newest_page(points, 50, tie="mmsi")
 
 
@@ -144,7 +144,7 @@ def trimmed_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = walk(spark, sf_dir)
     kind = F.when(F.col("nav_status") == 0, "enter").when(F.col("nav_status") == 1, "exit").otherwise("none")
     cut = events.cutoff(w.select("mmsi", "t", kind.alias("direction"), F.lit("f").alias("fence")))
-    first = events.keep_one(cut.select("mmsi", "t", "leaves_at"), ["mmsi"], "t").select("mmsi", "leaves_at")
+    first = events.keep_one(cut.filter("direction = 'enter'").select("mmsi", "t", "leaves_at"), ["mmsi"], "t").select("mmsi", "leaves_at")
     return events.trimmed(w.select("mmsi", "t").join(first.select("mmsi"), "mmsi", "left_semi"), first, ["mmsi"])
 
 
@@ -161,44 +161,46 @@ def zone_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ais(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk(spark, sf_dir).filter("id % 3 <> 0").select(F.col("mmsi").alias("target"), "t", "lon", "lat", "speed", "course")
+    return fixes(spark, sf_dir).select(F.col("mmsi").alias("target"), "t", "lon", "lat", "speed", "course")
 
 
 def _radar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Radar sees some vessels half a minute after their reports, a little aside."""
-    return walk(spark, sf_dir).filter("id % 5 = 0").select((F.col("t") + 30).alias("frame"), F.col("id").alias("plot"), (F.col("lon") + 0.0002).alias("lon"), "lat", F.col("mmsi").alias("truth"))
+    """Radar sees every vessel half a minute after its report, a little aside; each fifth plot is half a kilometre off, where nobody reports from."""
+    aside = F.when(F.col("id") % 5 == 0, 0.005).otherwise(0.0002)
+    return fixes(spark, sf_dir).select((F.col("t") + 30).alias("frame"), F.col("id").alias("plot"), (F.col("lon") + aside).alias("lon"), "lat", F.col("mmsi").alias("truth"))
 
 
-_AIS_SQL = "ais AS (SELECT mmsi AS target, t, lon, lat, speed, course FROM fixes WHERE id % 3 <> 0), radar AS (SELECT t + 30 AS frame, id AS plot, lon + 0.0002e0 AS lon, lat, mmsi AS truth FROM fixes WHERE id % 5 = 0)"
-_STATES_SQL = f"""{_AIS_SQL}, st AS (SELECT frame, target, frame - t AS age, lon + degrees(run * sin(radians(course)) / (6371000e0 * greatest(abs(cos(radians(lat))), 1e-9))) AS lon, lat + degrees(run * cos(radians(course)) / 6371000e0) AS lat FROM
-  (SELECT f.frame, a.*, a.speed * 0.514444e0 * (f.frame - a.t) AS run, row_number() OVER (PARTITION BY f.frame, a.target ORDER BY a.t DESC) AS rn FROM (SELECT DISTINCT frame FROM radar) f JOIN ais a ON a.t <= f.frame AND f.frame - a.t <= 180) WHERE rn = 1)"""
+_AIS_SQL = "ais AS (SELECT mmsi AS target, t, lon, lat, speed, course FROM fixes), radar AS (SELECT t + 30 AS frame, id AS plot, lon + CASE WHEN id % 5 = 0 THEN 0.005e0 ELSE 0.0002e0 END AS lon, lat, mmsi AS truth FROM fixes)"
+_STATES_SQL = f"""{_AIS_SQL}, reports AS (SELECT *, lead(t) OVER (PARTITION BY target ORDER BY t) AS until FROM ais),
+st AS (SELECT frame, target, frame - t AS age, lon + degrees(run * sin(radians(course)) / (6371000e0 * greatest(abs(cos(radians(lat))), 1e-9))) AS lon, lat + degrees(run * cos(radians(course)) / 6371000e0) AS lat FROM
+  (SELECT f.frame, a.*, a.speed * 0.514444e0 * (f.frame - a.t) AS run FROM (SELECT DISTINCT frame FROM radar) f JOIN reports a ON a.t <= f.frame AND f.frame - a.t <= 180 AND (a.until IS NULL OR f.frame < a.until)))"""
+_GATE = fusion.FusionConfig(gate=300.0, max_age=180.0)
 
 
-@query(f"WITH {WALK_SQL}, {_STATES_SQL} SELECT frame, target, age, {R.format('lon')} AS lon, {R.format('lat')} AS lat FROM st")
+@query(f"WITH {FIXES_SQL}, {_STATES_SQL} SELECT frame, target, age, {R.format('lon')} AS lon, {R.format('lat')} AS lat FROM st")
 def asof_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = fusion.states_at(_ais(spark, sf_dir), _radar(spark, sf_dir).select("frame"), 180.0)
     return states.select("frame", "target", F.col("age").cast("long").alias("age"), rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"))
 
 
-_CANDIDATES_SQL = f"cand AS (SELECT r.frame, r.plot, s.target, {distance_sql('r', 's')} AS distance FROM radar r JOIN st s ON s.frame = r.frame WHERE {distance_sql('r', 's')} < 500)"
+_CANDIDATES_SQL = f"cand AS (SELECT r.frame, r.plot, s.target, {distance_sql('r', 's')} AS distance FROM radar r JOIN st s ON s.frame = r.frame WHERE {distance_sql('r', 's')} < 300)"
 
 
-@query(f"WITH {WALK_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL} SELECT frame, plot, target, round(distance, 3) AS distance FROM cand")
+@query(f"WITH {FIXES_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL} SELECT frame, plot, target, round(distance, 3) AS distance FROM cand")
 def gated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cfg = fusion.FusionConfig(gate=500.0)
     states = fusion.states_at(_ais(spark, sf_dir), _radar(spark, sf_dir).select("frame"), 180.0)
-    return fusion.candidates(states, _radar(spark, sf_dir), cfg).select("frame", "plot", "target", F.round("distance", 3).alias("distance"))
+    return fusion.candidates(states, _radar(spark, sf_dir), _GATE).select("frame", "plot", "target", F.round("distance", 3).alias("distance"))
 
 
-@query(f"WITH {WALK_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL} SELECT r.frame, r.plot FROM radar r ANTI JOIN cand c ON c.frame = r.frame AND c.plot = r.plot")
+@query(f"WITH {FIXES_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL} SELECT r.frame, r.plot FROM radar r ANTI JOIN cand c ON c.frame = r.frame AND c.plot = r.plot")
 def unmatched_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Radar plots that no reported vessel explains."""
+    """Radar plots that no reported vessel could explain."""
     return fusion.silent_targets(_radar(spark, sf_dir), gated_pairs(spark, sf_dir)).select("frame", "plot")
 
 
-@query(f"WITH {WALK_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL} SELECT s.frame, s.target FROM st s ANTI JOIN cand c ON c.frame = s.frame AND c.target = s.target")
+@query(f"WITH {FIXES_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL} SELECT s.frame, s.target FROM st s ANTI JOIN cand c ON c.frame = s.frame AND c.target = s.target")
 def unmatched_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reported vessels that radar does not see."""
+    """Reported vessels for which there is no plot near."""
     states = fusion.states_at(_ais(spark, sf_dir), _radar(spark, sf_dir).select("frame"), 180.0)
     return fusion.phantom_targets(states, gated_pairs(spark, sf_dir)).select("frame", "target")
 
@@ -206,25 +208,57 @@ def unmatched_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best one-to-one association; tested against all permutations."""
-    return fusion.associate(_ais(spark, sf_dir), _radar(spark, sf_dir), fusion.FusionConfig(gate=500.0, max_age=180.0))
+    return fusion.associate(_ais(spark, sf_dir), _radar(spark, sf_dir), _GATE)
 
 
-@query(f"""WITH {WALK_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, p AS (SELECT DISTINCT frame, plot, target FROM cand), t AS (SELECT r.frame, r.plot, r.truth AS target FROM radar r),
+@query()
+def ais_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radar plots that the association leaves over; the association is no SQL."""
+    radar = _radar(spark, sf_dir)
+    return fusion.silent_targets(radar, assignment(spark, sf_dir)).select("frame", "plot", "lon", "lat")
+
+
+@query()
+def spoofed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported vessels that the association leaves over."""
+    states = fusion.states_at(_ais(spark, sf_dir), _radar(spark, sf_dir).select("frame"), 180.0)
+    return fusion.phantom_targets(states, assignment(spark, sf_dir)).select("frame", "target", "lon", "lat")
+
+
+@query(f"""WITH {FIXES_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, p AS (SELECT DISTINCT frame, plot, target FROM cand), t AS (SELECT r.frame, r.plot, r.truth AS target FROM radar r),
 c AS (SELECT (SELECT count(*) FROM p JOIN t USING (frame, plot, target)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM t) AS nt) SELECT tp, np - tp AS fp, nt - tp AS fn, {R.format("tp / np")} AS precision, {R.format("tp / nt")} AS recall FROM c""")
+def gate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the gate alone tells the vessels."""
+    return _quality(spark, sf_dir, gated_pairs(spark, sf_dir))
+
+
+@query()
 def association_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the association does."""
+    return _quality(spark, sf_dir, assignment(spark, sf_dir))
+
+
+def _quality(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     truth = _radar(spark, sf_dir).select("frame", "plot", F.col("truth").alias("target"))
-    q = temporal.quality(gated_pairs(spark, sf_dir), truth, ["frame", "plot", "target"])
+    q = temporal.quality(found, truth, ["frame", "plot", "target"])
     return q.select("tp", "fp", "fn", rounded(F.col("precision")).alias("precision"), rounded(F.col("recall")).alias("recall"))
 
 
 # --- detectors -------------------------------------------------------------------------------------------------------
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixes with what a zone join adds: zones of kind 3 are port basins, of kind 4 berthing facilities."""
-    f = fixes(spark, sf_dir)
-    hits = spatial.in_zones(f.select("id", "lon", "lat"), zones(spark, sf_dir), CELL).groupBy("id").agg(F.max(F.col("kind") == 3).alias("in_port_basin"), F.max(F.col("kind") == 4).alias("berthing_facility"))
-    return f.join(hits, "id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_port_basin", "berthing_facility")})
+def _places(spark: SparkSession, sf_dir: str):
+    """What a zone join adds to each vessel's newest fix: zones of kind 3 are port basins, of kind 4 berthing facilities."""
+
+    def add(newest: DataFrame) -> DataFrame:
+        hits = spatial.in_zones(newest.select("id", "lon", "lat"), zones(spark, sf_dir), CELL).groupBy("id").agg(F.max(F.col("kind") == 3).alias("in_port_basin"), F.max(F.col("kind") == 4).alias("berthing_facility"))
+        return newest.join(hits, "id", "left")
+
+    return add
+
+
+def _behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return behavior.classify(fixes(spark, sf_dir), _CFG, _places(spark, sf_dir))
 
 
 _CFG = behavior.BehaviorConfig(max_gap=90.0, stay_speed=0.9)
@@ -243,7 +277,7 @@ b AS (SELECT *, CASE WHEN points IS NULL THEN CASE WHEN speed > 1 THEN 'underway
 
 @query(f"{_BEHAVIOR_SQL} SELECT mmsi, behavior, coalesce(points, 0) >= 3 AS qualified, coalesce(points, 0) AS points, coalesce(duration, 0) AS duration, round(radius, 3) AS radius, round(path, 3) AS path, arc AS heading_arc FROM b")
 def behavior_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = behavior.classify(_placed(spark, sf_dir), _CFG)
+    found = _behavior(spark, sf_dir)
     return found.select("mmsi", "behavior", "qualified", F.col("points").cast("long").alias("points"), F.col("duration").cast("long").alias("duration"), F.round("radius", 3).alias("radius"), F.round("path", 3).alias("path"), "heading_arc")
 
 
@@ -288,10 +322,56 @@ u AS (SELECT *, max(CASE WHEN NOT speed <= 1 OR place IS NULL OR place IS DISTIN
 SELECT mmsi, place, count(*) AS n_points, min(t) AS since, max(t) - min(t) AS duration FROM u WHERE t > brk2 GROUP BY mmsi, place HAVING count(*) >= 3 AND max(t) - min(t) >= 120""")
 def illegal_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchored or staying in one place: the trimming that illegal anchoring and staying share."""
-    placed = _placed(spark, sf_dir)
-    place = spatial.in_zones(placed.select("id", "lon", "lat"), zones(spark, sf_dir), CELL).groupBy("id").agg(F.min_by("zone", "rank").alias("place"))
     cfg = detectors.StayConfig(max_speed=1.0, min_seconds=120.0)
-    return detectors.stay_in(placed.join(place, "id", "left"), behavior.classify(placed, _CFG), ("anchoring", "staying"), ("place",), cfg)
+    return detectors.stay_in(_in_place(spark, sf_dir, "place"), _behavior(spark, sf_dir), ("anchoring", "staying"), ("place",), cfg)
+
+
+def _in_place(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Fixes with the first zone that holds them."""
+    f = fixes(spark, sf_dir)
+    place = spatial.in_zones(f.select("id", "lon", "lat"), zones(spark, sf_dir), CELL).groupBy("id").agg(F.min_by("zone", "rank").alias(name))
+    return f.join(place, "id", "left")
+
+
+_STAY_RUN_SQL = """, o AS (SELECT *, lead(t) OVER w AS nxt, last_value(place) OVER x AS lp, last_value(state) OVER x AS ls, last_value(lon) OVER x AS llon2, last_value(lat) OVER x AS llat2 FROM a WINDOW w AS (PARTITION BY mmsi ORDER BY t), x AS (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+u AS (SELECT *, max(CASE WHEN NOT speed <= 1 OR {null} IS NULL OR place IS DISTINCT FROM lp OR state IS DISTINCT FROM ls OR coalesce(nxt - t > 300, FALSE) {far} THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS brk2 FROM o)"""
+_PLACE_SQL = f"k AS (SELECT i.id, arg_min(i.zone, i.rank) AS place, CASE WHEN bool_or(i.kind = 0) THEN 'prohibited' WHEN bool_or(i.kind IN (1, 2)) THEN 'authorized' ELSE 'covered' END AS state FROM {INSIDE_SQL} i GROUP BY i.id)"
+
+
+@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, {_PLACE_SQL}, a AS (SELECT f.*, k.place, CASE WHEN k.state = 'authorized' THEN NULL ELSE k.state END AS state FROM fixes f JOIN b ON b.mmsi = f.mmsi AND b.behavior = 'anchoring' AND b.points >= 3 AND b.radius <= 250 LEFT JOIN k ON k.id = f.id WHERE NOT f.at_dock)
+{_STAY_RUN_SQL.format(null="state", far="")}
+SELECT mmsi, state, place, count(*) AS n_points, max(t) - min(t) AS duration, CASE WHEN state = 'prohibited' THEN 'high' ELSE 'medium' END AS risk FROM u WHERE t > brk2 GROUP BY mmsi, state, place HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
+def anchoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchored outside authorised areas; the state of a fix follows from the kinds of its zones."""
+    f = fixes(spark, sf_dir)
+    kind = F.col("kind")
+    state = F.when(F.max(kind == 0), "prohibited").when(F.max(kind.isin(1, 2)), "authorized").otherwise("covered")
+    placed = spatial.in_zones(f.select("id", "lon", "lat"), zones(spark, sf_dir), CELL).groupBy("id").agg(F.min_by("zone", "rank").alias("place"), state.alias("state"))
+    states = f.join(placed, "id", "left").withColumn("state", F.coalesce("state", F.lit("outside")))
+    cfg = detectors.StayConfig(max_speed=1.0, min_points=2, min_seconds=60.0)
+    found = detectors.anchoring(states, _behavior(spark, sf_dir).filter("points >= 3"), cfg)
+    return found.select("mmsi", "state", "place", "n_points", "duration", "risk")
+
+
+@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, {_PLACE_SQL}, a AS (SELECT f.*, k.place, 1 AS state FROM fixes f JOIN b ON b.mmsi = f.mmsi AND b.behavior IN ('anchoring', 'staying') AND b.points >= 2 AND b.radius <= 250 LEFT JOIN k ON k.id = f.id)
+{_STAY_RUN_SQL.format(null="place", far="OR NOT " + HAVERSINE_SQL.format(lon1="lon", lat1="lat", lon2="llon2", lat2="llat2") + " <= 120")}
+SELECT mmsi, place AS area, count(*) AS n_points, min(t) AS since, max(t) - min(t) AS duration FROM u WHERE t > brk2 GROUP BY mmsi, place HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
+def staying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staying or anchored in a forbidden area."""
+    cfg = detectors.StayConfig(max_speed=1.0, max_drift=120.0, min_points=2, min_seconds=60.0)
+    return detectors.staying(_in_place(spark, sf_dir, "area"), _behavior(spark, sf_dir), cfg)
+
+
+@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, f2 AS (SELECT mmsi, arg_max(id, t) % 3 <> 0 AS near_facility, arg_max(id, t) % 4 = 0 AS authorised FROM fixes GROUP BY mmsi),
+moor AS (SELECT *, lead(t) OVER (PARTITION BY mmsi ORDER BY t) AS nt2 FROM fixes), moor2 AS (SELECT *, max(CASE WHEN NOT coalesce(nav_status = 5, FALSE) OR coalesce(nt2 - t > 1200, FALSE) THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS last5 FROM moor)
+SELECT b.mmsi, 'berthed' AS reason FROM b JOIN f2 ON f2.mmsi = b.mmsi WHERE b.behavior = 'berthing' AND points >= 3 AND duration >= 60 AND mean_speed <= 0.9e0 AND radius <= 250 AND near_facility AND NOT authorised
+UNION ALL SELECT mmsi, 'moored under way' AS reason FROM moor2 WHERE t > last5 GROUP BY mmsi HAVING count(*) >= 2 AND max(t) - min(t) >= 60 AND avg(speed) >= 0.5e0""")
+def parking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Berthed too long where it is not allowed, or sailing while 'moored'."""
+    f = fixes(spark, sf_dir)
+    latest = sequence.latest(f).select("mmsi", (F.col("id") % 3 != 0).alias("near_facility"), (F.col("id") % 4 == 0).alias("authorised"))
+    sails = behavior.moored_underway(f, min_points=2, min_seconds=60.0, min_speed=0.5, min_path=0.0)
+    return detectors.parking(_behavior(spark, sf_dir), latest, sails, min_seconds=60.0, max_speed=0.9, max_radius=250.0)
 
 
 _MOORED_SQL = tail_sql(WALK_SQL, "nav_status = 5", 1200, columns="mmsi, count(*) AS n, max(t) - min(t) AS duration, avg(speed) AS s, min(t) AS a")
@@ -303,13 +383,16 @@ def moored_underway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mmsi", "n_points", "duration")
 
 
-@query()
+@query(f"""WITH RECURSIVE {WALK_SQL}, l AS (SELECT mmsi // 2 AS pair, list(t ORDER BY t) AS la FROM fixes WHERE mmsi % 2 = 0 GROUP BY 1), r AS (SELECT mmsi // 2 AS pair, list(t + 20 + id % 5 * 15 ORDER BY t + 20 + id % 5 * 15) AS lb FROM fixes WHERE mmsi % 2 = 1 GROUP BY 1),
+p AS (SELECT pair, la, lb, 1 AS i, 1 AS j, CAST(NULL AS BIGINT) AS t_a, CAST(NULL AS BIGINT) AS t_b FROM l JOIN r USING (pair) UNION ALL
+  SELECT pair, la, lb, CASE WHEN abs(d) <= 45 OR d < 0 THEN i + 1 ELSE i END, CASE WHEN abs(d) <= 45 OR d > 0 THEN j + 1 ELSE j END, CASE WHEN abs(d) <= 45 THEN la[i] END, CASE WHEN abs(d) <= 45 THEN lb[j] END FROM (SELECT *, la[i] - lb[j] AS d FROM p WHERE i <= len(la) AND j <= len(lb)))
+SELECT pair, t_a, t_b FROM p WHERE t_a IS NOT NULL""")
 def double_drag_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two pointers over both tracks; tested against a plain loop."""
+    """One-to-one pairs of the samples of two vessels' tracks."""
     w = walk(spark, sf_dir)
     pair = F.floor(F.col("mmsi") / 2).alias("pair")
-    odd = w.filter("mmsi % 2 = 1 and id % 3 <> 0").select(pair, (F.col("t") + 20).alias("t"))
-    return temporal.align(w.filter("mmsi % 2 = 0 and id % 4 <> 0").select(pair, "t"), odd, ["pair"], 45)
+    odd = w.filter("mmsi % 2 = 1").select(pair, (F.col("t") + 20 + F.col("id") % 5 * 15).alias("t"))
+    return temporal.align(w.filter("mmsi % 2 = 0").select(pair, "t"), odd, ["pair"], 45)
 
 
 @query(f"""WITH {WALK_SQL}, p AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, a.speed AS sa, b.speed AS sb, a.course AS ca, b.course AS cb, {distance_sql("a", "b")} AS d FROM fixes a JOIN fixes b ON b.mmsi = a.mmsi + 10 AND b.t = a.t)
@@ -326,9 +409,11 @@ def double_drag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def double_dragging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole detector with thresholds that random walks can meet; its parts have oracles."""
-    cfg = detectors.DraggingConfig(slow=0.0, fast=20.0, speed_gap=20.0, course_gap=180.0, min_points=5, min_seconds=120.0, max_std=1e9, near=0.0, far=2000.0, margin=0.0, loose=0.1)
-    return detectors.double_dragging(walk(spark, sf_dir), cfg)
+    """The whole detector. Every vessel tows: its partner is the same track two hundred metres to the north; parts have oracles."""
+    w = walk(spark, sf_dir).withColumn("course", F.lit(90.0))
+    partner = w.withColumns({"mmsi": F.col("mmsi") + 1_000_000, "lat": F.col("lat") + 0.0018, "t": F.col("t") + 10})
+    cfg = detectors.DraggingConfig(slow=0.0, fast=20.0, min_points=5, min_seconds=120.0, far=400.0, margin=0.0)
+    return detectors.double_dragging(w.unionByName(partner), cfg)
 
 
 @query()
@@ -346,33 +431,55 @@ def wandering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.wandering(walk(spark, sf_dir), cfg)
 
 
-@query("""WITH s AS (SELECT o_orderkey AS voyage, o_custkey % 2 = 0 AS a, o_custkey % 3 = 0 AS b, o_custkey % 5 = 0 AS c, o_custkey % 400 AS gap, CAST(o_custkey % 10 AS DOUBLE) / 10 AS dr, o_custkey % 7 = 0 AS mm, CAST(o_custkey % 90 AS DOUBLE) AS len, CAST(o_custkey % 30 AS DOUBLE) AS ms FROM orders),
-q AS (SELECT voyage, least(100, 40 + CASE WHEN a THEN 15 ELSE 0 END + CASE WHEN b THEN 20 ELSE 0 END + CASE WHEN c THEN 15 ELSE 0 END + CASE WHEN gap > 180 THEN 15 ELSE 0 END + CASE WHEN abs(dr) >= 0.5e0 THEN 15 ELSE 0 END + CASE WHEN mm THEN 10 ELSE 0 END + CASE WHEN len <= 50 AND ms >= 15 THEN 10 ELSE 0 END) AS score FROM s)
-SELECT voyage, score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' ELSE 'low' END AS risk FROM q""")
-def smuggling_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_custkey")
-    state = read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("voyage"), (k % 2 == 0).alias("night_departure"), (k % 3 == 0).alias("landed"), (k % 5 == 0).alias("at_dock"), (k % 400).alias("max_gap"), ((k % 10).cast("double") / 10).alias("draught_change"),
-        (k % 7 == 0).alias("mismatch"), (k % 90).cast("double").alias("length"), (k % 30).cast("double").alias("max_speed"),
+_VOYAGES_SQL = f"""{WALK_SQL}, {ZONES_SQL}, oz AS (SELECT i.id, min(i.zone) AS origin FROM {INSIDE_SQL} i GROUP BY i.id),
+f1 AS (SELECT f.mmsi, t, f.speed * 4 AS speed, CAST(50 + f.id % 8 AS DOUBLE) / 10 AS draught, f.length / 3 AS length, nav_status, at_dock, CASE WHEN f.id % 6 = 0 THEN 'HKG' ELSE 'CHN' END AS iso3, origin, f.id % 4 > 0 AS near_coast, f.id % 29 = 0 AS near_port FROM fixes f LEFT JOIN oz ON oz.id = f.id),
+f2 AS (SELECT *, t - lag(t) OVER w AS gap, lag(origin) OVER w AS was FROM f1 WINDOW w AS (PARTITION BY mmsi ORDER BY t)),
+f3 AS (SELECT *, sum(CASE WHEN CASE WHEN origin IS NOT NULL THEN origin IS DISTINCT FROM was OR coalesce(gap > 180, TRUE) ELSE was IS NOT NULL OR gap IS NULL END THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM f2),
+f4 AS (SELECT *, row_number() OVER x AS nth, min(t) OVER x AS began, max(speed) OVER x AS fast, first_value(draught) OVER x AS base FROM f3 WINDOW x AS (PARTITION BY mmsi, run ORDER BY t ROWS UNBOUNDED PRECEDING)),
+f5 AS (SELECT *, last_value(CASE WHEN origin IS NOT NULL THEN {{'origin': origin, 'sure': nth >= 2 AND t - began >= 60, 'fast': fast, 'base': base}} END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stay FROM f4),
+f6 AS (SELECT *, nth > 1 AND near_coast AS near, nth > 1 AND near_coast AND (speed <= 1.5e0 OR at_dock OR coalesce(nav_status IN (1, 5), FALSE)) AS lands FROM f5 WHERE origin IS NULL AND stay IS NOT NULL AND stay.sure),
+f7 AS (SELECT *, max(CASE WHEN nth > 1 AND (near_port OR t - began > 43200) THEN 1 ELSE 0 END) OVER x AS ended, sum(CASE WHEN lands THEN 0 ELSE 1 END) OVER x AS brk, max(CASE WHEN nth > 1 THEN gap END) OVER x AS max_gap,
+  max(CASE WHEN nth > 1 THEN abs(draught - stay.base) END) OVER x AS change FROM f6 WINDOW x AS (PARTITION BY mmsi, run ORDER BY t ROWS UNBOUNDED PRECEDING)),
+f8 AS (SELECT *, lands AND t - min(CASE WHEN lands THEN t END) OVER y >= 60 AND count(*) FILTER (lands) OVER y >= 2 AS landed FROM f7 WINDOW y AS (PARTITION BY mmsi, run, brk ORDER BY t ROWS UNBOUNDED PRECEDING)),
+f9 AS (SELECT mmsi, t, stay.origin AS origin, began AS departed_at, least(100, 40 + CASE WHEN (began + 28800) % 86400 // 3600 >= 20 OR (began + 28800) % 86400 // 3600 < 6 THEN 15 ELSE 0 END + CASE WHEN landed THEN 20 ELSE 0 END + CASE WHEN at_dock THEN 15 ELSE 0 END
+  + CASE WHEN max_gap > 180 THEN 15 ELSE 0 END + CASE WHEN change >= 0.5e0 THEN 15 ELSE 0 END + CASE WHEN iso3 = 'HKG' THEN 10 ELSE 0 END + CASE WHEN length <= 50 AND greatest(fast, stay.fast) >= 15 THEN 10 ELSE 0 END) AS score FROM f8 WHERE near AND ended = 0)"""
+
+
+def _voyage_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes with what the detector needs; zones are origins, and the ids say where the shore and ports are."""
+    f = walk(spark, sf_dir)
+    origin = spatial.in_zones(f.select("id", "lon", "lat"), zones(spark, sf_dir), CELL).groupBy("id").agg(F.min("zone").alias("origin"))
+    k = F.col("id")
+    return f.join(origin, "id", "left").select(
+        "mmsi", "t", (F.col("speed") * 4).alias("speed"), ((k % 8 + 50).cast("double") / 10).alias("draught"), (F.col("length") / 3).alias("length"), "nav_status", "at_dock",
+        F.when(k % 6 == 0, "HKG").otherwise("CHN").alias("iso3"), F.lit(None).cast("string").alias("flag"), "origin", (k % 4 > 0).alias("near_coast"), (k % 29 == 0).alias("near_port"),
     )
-    return detectors.smuggling_risk(state).select("voyage", "score", "risk")
 
 
-@query()
+_VOYAGE = detectors.SmugglingConfig(stay_fixes=2, landing_seconds=60.0, landing_fixes=2)
+
+
+@query(f"WITH {_VOYAGES_SQL} SELECT mmsi, t, origin, departed_at, score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' ELSE 'low' END AS risk FROM f9")
+def smuggling_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every fix near the shore, from the facts of its voyage so far."""
+    scored = detectors.smuggling_risk(detectors.voyages(_voyage_fixes(spark, sf_dir), _VOYAGE))
+    return scored.select("mmsi", "t", "origin", "departed_at", "score", "risk")
+
+
+@query(f"""WITH {_VOYAGES_SQL} SELECT mmsi, departed_at, any_value(origin) AS origin, count(*) AS n_shore, min(t) AS first_shore, max(t) AS last_shore, max(score) AS score, arg_max(t, score * 1000000 - t) AS scored_at,
+  CASE WHEN max(score) >= 80 THEN 'high' WHEN max(score) >= 60 THEN 'medium' ELSE 'low' END AS risk FROM f9 GROUP BY mmsi, departed_at""")
 def smuggling_voyages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Origin stay, departure and shore fixes; tested on a small scenario."""
-    f = walk(spark, sf_dir)
-    origin = spatial.in_zones(f.select("id", "lon", "lat"), zones(spark, sf_dir).filter("rank < 3"), CELL).groupBy("id").agg(F.min("zone").alias("origin"))
-    marked = f.join(origin, "id", "left").select("mmsi", "t", "origin", (F.col("id") % 4 == 0).alias("near_coast"), (F.col("id") % 29 == 0).alias("near_port"))
-    return detectors.voyages(marked)
+    """Voyages from an origin stay to the shore, with their highest score."""
+    return detectors.smuggling(_voyage_fixes(spark, sf_dir), _VOYAGE)
 
 
-@query(f"""WITH {FIXES_SQL}, s AS (SELECT mmsi, t, CASE WHEN v > 3000 THEN 'overload' ELSE 'normal' END AS state FROM fixes), l AS (SELECT *, lag(state) OVER (PARTITION BY mmsi ORDER BY t) AS p FROM s),
+@query(f"""WITH {FIXES_SQL}, s AS (SELECT mmsi, t, CASE WHEN id % 5 = 0 THEN CASE WHEN v > 2000 THEN 'overload' ELSE 'normal' END WHEN v > 3000 THEN 'overload' ELSE 'normal' END AS state FROM fixes), l AS (SELECT *, lag(state) OVER (PARTITION BY mmsi ORDER BY t) AS p FROM s),
 r AS (SELECT *, sum(CASE WHEN p IS DISTINCT FROM state THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM l)
 SELECT mmsi, t, state FROM (SELECT *, row_number() OVER (PARTITION BY mmsi, run ORDER BY t) AS nth FROM r) WHERE nth = 3""")
 def overload_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = fixes(spark, sf_dir).select(F.col("mmsi").alias("camera"), F.col("t").alias("frame"), F.lit("load_line").alias("kind"), F.when(F.col("v") > 3000, 1).otherwise(0).alias("class_id"), F.lit(0.9).alias("confidence"))
-    found = events.confirmed(detectors.overload_state(boxes), ["camera"], "state", "frame", 3)
+    """Boxes of a camera that sees a load line in most frames, and in the others the vessel or nothing."""
+    f = fixes(spark, sf_dir).select(F.col("mmsi").alias("camera"), F.col("t").alias("frame"), "id", "v")
+    lines = f.filter("id % 5 <> 0").select("camera", "frame", F.lit("load_line").alias("kind"), F.when(F.col("v") > 3000, 1).otherwise(0).alias("class_id"), F.lit(0.9).alias("confidence"))
+    hulls = f.select("camera", "frame", F.when((F.col("id") % 5 == 0) & (F.col("v") <= 2000), "other").otherwise("vessel").alias("kind"), F.lit(0).alias("class_id"), F.lit(0.8).alias("confidence"))
+    found = events.confirmed(detectors.overload_state(lines.unionByName(hulls)), ["camera"], "state", "frame", 3)
     return found.select(F.col("camera").alias("mmsi"), F.col("frame").alias("t"), "state")
-
-

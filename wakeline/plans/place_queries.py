@@ -23,10 +23,12 @@ def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AREA_SQL = "areas AS (SELECT zone, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edges GROUP BY zone)"
 
 
-@query(f"WITH {_BOTH}, {_AREA_SQL}, h AS (SELECT i.id, i.zone, i.rank, a.area FROM {INSIDE_SQL} i JOIN areas a USING (zone)) SELECT f.id, (SELECT arg_min(h.zone, h.rank) FROM h WHERE h.id = f.id) AS smallest FROM fixes f")
+@query(f"""WITH {_BOTH}, {_AREA_SQL}, h AS (SELECT i.id, i.zone, row_number() OVER (PARTITION BY i.id ORDER BY round(a.area * 1e9), i.zone) AS nth FROM {INSIDE_SQL} i JOIN areas a USING (zone))
+SELECT f.id, h.zone AS smallest FROM fixes f LEFT JOIN h ON h.id = f.id AND h.nth = 1""")
 def zone_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # areas grow with the rank, so the order by (area, rank) is the rank's
-    return spatial.best_zone(fixes(spark, sf_dir).select("id", "lon", "lat"), zones(spark, sf_dir), ["id"], (F.col("rank"), F.col("area")), "smallest", CELL).select("id", "smallest")
+    """The containing zone of the smallest area, ties by name."""
+    f = fixes(spark, sf_dir).select("id", "lon", "lat")
+    return spatial.best_zone(f, zones(spark, sf_dir), ["id"], (F.round(F.col("area") * 1e9), F.col("zone")), "smallest", CELL).select("id", "smallest")
 
 
 @query(f"WITH {_BOTH}, h AS {INSIDE_SQL} SELECT f.id, (SELECT arg_max(h.zone, h.kind * 100 - h.rank) FROM h WHERE h.id = f.id) AS ruled FROM fixes f")
@@ -75,7 +77,7 @@ def zone_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zones(spark, sf_dir).filter("rank < 6").select(F.col("zone").alias("fence"), F.when(F.col("rank") % 2 == 0, "both").otherwise("enter").alias("mode"), "vertices")
+    return zones(spark, sf_dir).select(F.col("zone").alias("fence"), F.when(F.col("rank") % 2 == 0, "both").otherwise("enter").alias("mode"), "vertices")
 
 
 _SIDES_SQL = f"""d AS (SELECT id, zone, min(d) AS d FROM {_SEGMENT_DISTANCE_SQL} GROUP BY id, zone), h AS {INSIDE_SQL},
@@ -83,10 +85,10 @@ sides AS (SELECT p.mmsi, p.t, p.id, p.lon, p.lat, d.zone, CASE WHEN d.d <= 10 TH
 moves AS (SELECT *, last_value(CASE WHEN side <> 'boundary' THEN side END IGNORE NULLS) OVER w AS was, last_value(CASE WHEN side <> 'boundary' THEN lon END IGNORE NULLS) OVER w AS plon, last_value(CASE WHEN side <> 'boundary' THEN lat END IGNORE NULLS) OVER w AS plat
   FROM sides WINDOW w AS (PARTITION BY mmsi, zone ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 _LEG_SQL = """cuts AS (SELECT mmsi, t, zone, count(DISTINCT round(tt, 10)) AS n FROM (SELECT m.mmsi, m.t, m.zone, rx * sy - ry * sx AS det, ((e.x1 - plon) * sy - (e.y1 - plat) * sx) / nullif(rx * sy - ry * sx, 0) AS tt, ((e.x1 - plon) * ry - (e.y1 - plat) * rx) / nullif(rx * sy - ry * sx, 0) AS uu
-  FROM (SELECT *, lon - plon AS rx, lat - plat AS ry FROM moves WHERE was = 'outside' AND side = 'outside') m JOIN (SELECT *, x2 - x1 AS sx, y2 - y1 AS sy FROM edges) e ON e.zone = m.zone) m WHERE abs(det) > 1e-18 AND tt BETWEEN 0 AND 1 AND uu BETWEEN 0 AND 1 GROUP BY mmsi, t, zone)"""
+  FROM (SELECT *, lon - plon AS rx, lat - plat AS ry FROM moves WHERE was = 'outside' AND side = 'outside') m JOIN (SELECT *, x2 - x1 AS sx, y2 - y1 AS sy FROM edges) e ON e.zone = m.zone) m WHERE abs(det) > 1e-12 AND tt BETWEEN 0 AND 1 AND uu BETWEEN 0 AND 1 GROUP BY mmsi, t, zone)"""
 
 
-@query(f"""WITH {WALK_SQL}, {ZONES_SQL.replace("FROM nation,", "FROM (SELECT * FROM nation WHERE n_nationkey < 6) nation,")}, {_SIDES_SQL}, {_LEG_SQL},
+@query(f"""WITH {WALK_SQL}, {ZONES_SQL}, {_SIDES_SQL}, {_LEG_SQL},
 e AS (SELECT m.mmsi, m.t, m.zone AS fence, CASE WHEN side = 'inside' AND was = 'outside' THEN 'enter' WHEN side = 'outside' AND was = 'inside' THEN 'exit' WHEN side = 'outside' AND was = 'outside' AND c.n >= 2 THEN 'transit' END AS direction,
   CASE WHEN (SELECT any_value(rank) FROM edges e WHERE e.zone = m.zone) % 2 = 0 THEN 'both' ELSE 'enter' END AS mode FROM moves m LEFT JOIN cuts c ON c.mmsi = m.mmsi AND c.t = m.t AND c.zone = m.zone)
 SELECT mmsi, t, fence, direction FROM e WHERE direction IS NOT NULL AND (direction = 'transit' OR mode = 'both' OR mode = direction)""")
@@ -167,6 +169,44 @@ def berthing_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.confirmed_contacts(_berths(spark, sf_dir), cfg).select("mmsi_a", "mmsi_b", "first_seen", "last_seen", "observations")
 
 
+_PLANS_SQL = "plans AS (SELECT CAST(412000000 + s_suppkey AS BIGINT) AS mmsi_a, CAST(412000000 + s_suppkey + 7 * (s_suppkey % 9) AS BIGINT) AS mmsi_b, s_suppkey % 5 * 300 AS starts_at, s_suppkey % 5 * 300 + 3000 AS ends_at, CAST(s_suppkey % 4 AS DOUBLE) / 2 AS max_speed FROM supplier WHERE s_suppkey % 9 > 0)"
+_TRANSFERS_SQL = f"""found AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, greatest(a.speed, b.speed) AS speed FROM fixes a JOIN fixes b ON a.t = b.t AND a.mmsi < b.mmsi
+  WHERE a.speed <= 20 AND b.speed <= 20 AND abs(a.speed - b.speed) <= 1 AND {distance_sql("a", "b")} <= least(greatest(100e0, 0.5e0 * greatest(a.length, b.length) + 25), 300e0)),
+gaps AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t) > 90 THEN 1 ELSE 0 END AS g FROM found),
+numbered_runs AS (SELECT *, sum(g) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM gaps),
+runs AS (SELECT mmsi_a, mmsi_b, k, min(t) AS first_seen, max(t) AS t, count(*) AS observations, arg_max(speed, t) AS speed FROM numbered_runs GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND max(t) - min(t) >= 60)"""
+
+
+@query(f"""WITH {WALK_SQL}, {_PLANS_SQL}, {_TRANSFERS_SQL},
+j AS (SELECT r.mmsi_a, r.mmsi_b, r.first_seen, r.t, any_value(r.observations) AS observations, any_value(r.speed) AS speed, count(p.max_speed) AS n, max(CASE WHEN r.t BETWEEN p.starts_at AND p.ends_at THEN p.max_speed END) AS allowed
+  FROM runs r LEFT JOIN plans p ON p.mmsi_a = r.mmsi_a AND p.mmsi_b = r.mmsi_b GROUP BY 1, 2, 3, 4)
+SELECT mmsi_a, mmsi_b, first_seen, t AS last_seen, observations, violation FROM (SELECT *, CASE WHEN n = 0 THEN 'none registered' WHEN allowed IS NULL THEN 'outside time' WHEN speed > allowed + 0.1e0 THEN 'too fast' END AS violation FROM j) WHERE violation IS NOT NULL""")
+def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts at sea against registered plans."""
+    k = F.col("s_suppkey")
+    plans = read(spark, sf_dir, "supplier").filter(k % 9 > 0).select(
+        (F.lit(412000000) + k).cast("long").alias("mmsi_a"), (F.lit(412000000) + k + 7 * (k % 9)).cast("long").alias("mmsi_b"), (k % 5 * 300).alias("starts_at"), (k % 5 * 300 + 3000).alias("ends_at"), ((k % 4).cast("double") / 2).alias("max_speed"),
+    )
+    cfg = detectors.ContactConfig(course_above=None, min_frames=2, min_seconds=60.0)
+    return detectors.transfer(_framed(walk(spark, sf_dir)), plans, cfg).select("mmsi_a", "mmsi_b", "first_seen", F.col("t").alias("last_seen"), "observations", "violation")
+
+
+@query(f"""WITH {WALK_SQL}, {_BERTH_SQL}, open AS (SELECT DISTINCT mmsi_a, mmsi_b, t FROM berths b WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE 412000000 + c_custkey * 2 = mmsi_a AND mmsi_a + 2 * (c_custkey % 4) + 1 = mmsi_b AND (c_custkey % 3 = 0 OR t >= 600))),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t) > 90 THEN 1 ELSE 0 END AS b FROM open), s AS (SELECT *, sum(b) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g),
+n AS (SELECT *, count(*) OVER x >= 2 AND t - min(t) OVER x >= 60 AS enough FROM s WINDOW x AS (PARTITION BY mmsi_a, mmsi_b, k ORDER BY t ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT mmsi_a, mmsi_b, min(t) AS first_seen, max(t) AS last_seen, count(*) AS observations, min(CASE WHEN enough THEN t END) AS confirmed_at FROM n GROUP BY mmsi_a, mmsi_b, k)
+SELECT mmsi_a, mmsi_b, first_seen, last_seen, observations, confirmed_at, CASE WHEN (SELECT max(t) FROM fixes) - last_seen > 1200 THEN 'recovered' WHEN confirmed_at = last_seen THEN 'new' ELSE 'continuing' END AS state FROM r WHERE confirmed_at IS NOT NULL""")
+def berthing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts of home and foreign vessels without a permit, with the state of their alert at the newest time."""
+    w = _framed(walk(spark, sf_dir))
+    k, home = F.col("c_custkey"), (F.lit(412000000) + F.col("c_custkey") * 2).cast("long")
+    permits = read(spark, sf_dir, "customer").select(home.alias("mmsi_a"), (home + 2 * (k % 4) + 1).alias("mmsi_b"), F.when(k % 3 != 0, 600).alias("valid_from"), F.lit(None).cast("int").alias("valid_until"))
+    cfg = detectors.ContactConfig(max_speed=2.0, max_speed_gap=0.5, course_above=None, min_frames=2, min_seconds=60.0)
+    runs = detectors.berthing(w.filter("mmsi % 2 = 0"), w.filter("mmsi % 2 = 1"), permits, cfg)
+    now = w.agg(F.max("t")).first()[0]
+    return detectors.alert_states(runs, now or 0, 1200.0).select("mmsi_a", "mmsi_b", "first_seen", "last_seen", "observations", "confirmed_at", "state")
+
+
 @query("""WITH p AS (SELECT c_custkey, CAST(8000 + c_custkey % 3000 AS BIGINT) AS t FROM customer), i AS (SELECT o_custkey, o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS a, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + 90 AS b, o_totalprice FROM orders)
 SELECT c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM p JOIN i ON i.o_custkey = p.c_custkey AND t BETWEEN a AND b) WHERE rn = 1""")
 def plan_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,4 +230,3 @@ def offsets_and_bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT e.zone, any_value(e.rank) AS rank, {R.format("abs(sum(e.x1 * e.y2 - e.x2 * e.y1)) / 2 * 1e6")} AS area_e6, {R.format("min(e.x1)")} AS min_lon, {R.format("max(e.x1)")} AS max_lon FROM edges e GROUP BY e.zone""")
 def zone_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones(spark, sf_dir).select("zone", "rank", rounded(F.col("area") * 1e6).alias("area_e6"), rounded(F.col("min_lon")).alias("min_lon"), rounded(F.col("max_lon")).alias("max_lon"))
-

@@ -14,7 +14,7 @@ from .tables import FIXES_SQL, HAVERSINE_SQL, WALK_SQL, R, distance_sql, fixes,
 @query("""
 SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(412000000 + user_id AS VARCHAR) END AS mmsi,
   CASE WHEN sp BETWEEN 0 AND 102.2e0 THEN sp END AS speed, CASE WHEN co >= 0 AND co < 360 THEN co END AS course, CASE WHEN rot <> -128 THEN rot END AS rot,
-  concat_ws(',', CASE WHEN NOT (sp BETWEEN 0 AND 102.2e0) THEN 'invalid_speed' END, CASE WHEN NOT (co >= 0 AND co < 360) THEN 'invalid_course' END, CASE WHEN rot = -128 THEN 'rot_unavailable' END) AS flags
+  concat_ws(',', CASE WHEN sp BETWEEN 0 AND 102.2e0 THEN NULL ELSE 'speed_unavailable' END, CASE WHEN co >= 0 AND co < 360 THEN NULL ELSE 'course_unavailable' END, 'heading_unavailable', CASE WHEN rot <> -128 THEN NULL ELSE 'rot_unavailable' END) AS flags
 FROM (SELECT *, value / 4 AS sp, CAST((event_id * 37) % 400 AS DOUBLE) AS co, CAST((event_id % 300) - 150 AS DOUBLE) AS rot FROM events) WHERE event_id % 11 <> 0""")
 def normalize_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
@@ -182,19 +182,47 @@ def trajectory_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.samples(walk(spark, sf_dir), 70.0, 180.0, ["mmsi"]).select("mmsi", "id")
 
 
-@query()
+def _possible_sql(a: str, b: str) -> str:
+    run = HAVERSINE_SQL.format(lon1=f"{a}.lon", lat1=f"{a}.lat", lon2=f"{b}.lon", lat2=f"{b}.lat")
+    return f"({b}.t > {a}.t AND ({run} < 500 OR {run} / nullif({b}.t - {a}.t, 0) * 1.943844492e0 <= 80))"
+
+
+_JUMP = "CASE WHEN id % 17 = 0 THEN lon + 0.5e0 ELSE lon END"
+
+
+@query(f"""WITH RECURSIVE {WALK_SQL}, tracks AS (SELECT mmsi, list({{'t': t, 'lon': {_JUMP}, 'lat': lat, 'id': id}} ORDER BY t) AS p, count(*) AS n FROM fixes GROUP BY mmsi),
+f AS (SELECT mmsi, p, n, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS sound, CAST(1 AS BIGINT) AS stayed, p[1].id AS id FROM tracks UNION ALL
+  SELECT mmsi, p, n, k, CASE WHEN spike THEN sound ELSE k END, CASE WHEN stays THEN k ELSE stayed END, CASE WHEN stays THEN p[k].id END FROM (SELECT *, NOT spike AND (n < 3 OR {_possible_sql("p[stayed]", "p[k]")}) AS stays
+    FROM (SELECT mmsi, p, n, i + 1 AS k, sound, stayed, i + 1 < n AND NOT {_possible_sql("p[sound]", "p[i + 1]")} AND NOT {_possible_sql("p[i + 1]", "p[i + 2]")} AND {_possible_sql("p[sound]", "p[i + 2]")} AS spike FROM f WHERE i < n)))
+SELECT mmsi, id FROM f WHERE id IS NOT NULL""")
 def jump_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent with two passes; tested against a plain loop."""
+    """Order-dependent: a spike depends on the last point that was none, and each point on the last that stayed."""
     spiked = walk(spark, sf_dir).withColumn("lon", F.when(F.col("id") % 17 == 0, F.col("lon") + 0.5).otherwise(F.col("lon")))
-    return folds.without_jumps(spiked.select("mmsi", "t", "id", "lon", "lat"), ["mmsi"])
+    return folds.without_jumps(spiked.select("mmsi", "t", "id", "lon", "lat"), ["mmsi"]).select("mmsi", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {WALK_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t) AS k FROM fixes WHERE speed >= 0.5e0),
+f AS (SELECT mmsi, k, t, course, TRUE AS kept FROM o WHERE k = 1 UNION ALL
+  SELECT o.mmsi, o.k, CASE WHEN o.t - f.t >= 90 THEN o.t ELSE f.t END, CASE WHEN o.t - f.t >= 90 THEN o.course ELSE f.course END, o.t - f.t >= 90 FROM f JOIN o ON o.mmsi = f.mmsi AND o.k = f.k + 1),
+d AS (SELECT mmsi, abs(course - lag(course) OVER (PARTITION BY mmsi ORDER BY t)) % 360 AS d FROM f WHERE kept)
+SELECT m.mmsi, count(*) FILTER (least(d, 360 - d) >= 30) AS n_turns FROM (SELECT DISTINCT mmsi FROM fixes) m LEFT JOIN d ON d.mmsi = m.mmsi GROUP BY m.mmsi""")
 def turn_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spacing fold and the turns after it; tested against a plain loop."""
+    """Turns between samples at least ninety seconds apart."""
     return folds.turns(walk(spark, sf_dir), ["mmsi"], 30.0, 90.0, 0.5)
 
 
+@query(f"""WITH RECURSIVE {FIXES_SQL}, o AS (SELECT mmsi, t AS a, t + v // 40 AS b, CASE WHEN id % 3 > 0 THEN id % 2 END AS e, row_number() OVER (PARTITION BY mmsi ORDER BY t) AS k FROM fixes),
+f AS (SELECT mmsi, k, a, b, e, CAST(1 AS BIGINT) AS run FROM o WHERE k = 1 UNION ALL
+  SELECT mmsi, k, a, CASE WHEN joins THEN greatest(fb, b) ELSE b END, CASE WHEN joins THEN coalesce(e, fe) ELSE e END, CASE WHEN joins THEN run ELSE run + 1 END
+  FROM (SELECT o.*, f.b AS fb, f.e AS fe, f.run, o.a - f.b <= 60 AND (o.e IS NULL OR f.e IS NULL OR o.e = f.e) AS joins FROM f JOIN o ON o.mmsi = f.mmsi AND o.k = f.k + 1))
+SELECT mmsi, min(a) AS group_start, max(b) AS group_end, count(*) AS n, max(e) AS episode FROM f GROUP BY mmsi, run""")
+def event_merge_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals that follow each other closely and name no two episodes become one."""
+    f = fixes(spark, sf_dir)
+    intervals = f.select("mmsi", F.col("t").alias("a"), (F.col("t") + F.floor(F.col("v") / 40)).alias("b"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("e"))
+    return folds.merged_episodes(intervals, "a", "b", "e", 60.0, ["mmsi"])
+
+
 @query(f"""WITH {FIXES_SQL}, i AS (SELECT mmsi, t, CASE WHEN v <= 1000 THEN 0 ELSE 1 END AS off, t - lag(t) OVER (PARTITION BY mmsi ORDER BY t) AS gap FROM fixes),
 n AS (SELECT *, sum(CASE WHEN off = 1 OR gap > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM i)
 SELECT mmsi, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM n WHERE off = 0 GROUP BY mmsi, island""")
@@ -231,10 +259,11 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FIXES_SQL}, e AS (SELECT mmsi, t, CASE nav_status WHEN 0 THEN 'enter' WHEN 1 THEN 'exit' WHEN 5 THEN 'transit' ELSE 'none' END AS d FROM fixes)
-SELECT mmsi, t, CASE WHEN leave - t <= 300 THEN leave END AS leaves_at FROM (SELECT *, min(CASE WHEN d IN ('exit', 'transit') THEN t END) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS leave FROM e) WHERE d = 'enter'""")
+SELECT mmsi, t, d AS direction, CASE WHEN d <> 'enter' THEN t WHEN leave - t <= 300 THEN leave END AS leaves_at
+FROM (SELECT *, min(CASE WHEN d IN ('exit', 'transit') THEN t END) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS leave FROM e) WHERE d <> 'none'""")
 def crossing_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("nav_status") == 0, "enter").when(F.col("nav_status") == 1, "exit").when(F.col("nav_status") == 5, "transit").otherwise("none")
-    return events.cutoff(fixes(spark, sf_dir).select("mmsi", "t", kind.alias("direction"), F.lit("f").alias("fence")), 300).select("mmsi", "t", "leaves_at")
+    return events.cutoff(fixes(spark, sf_dir).select("mmsi", "t", kind.alias("direction"), F.lit("f").alias("fence")), 300).select("mmsi", "t", "direction", "leaves_at")
 
 
 @query(f"""WITH {WALK_SQL}, l AS (SELECT *, lead(t) OVER w AS nt, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat, lead(course) OVER w AS nc FROM fixes WINDOW w AS (PARTITION BY mmsi ORDER BY t)),

@@ -1,6 +1,6 @@
 """Vessel relations derived from the given tables, and the same relations as SQL for the oracles.
 
-``events`` becomes position reports: a user is a vessel, its events in time order are fixes one minute apart; positions, speeds and
+``events`` becomes position reports: a user is a vessel, its events in time order are fixes one minute apart, with a pause of two more minutes after every ninth; positions, speeds and
 courses are integer functions of the ids, scaled once, so that two engines compute the same bits. ``nation`` becomes zones.
 """
 
@@ -37,7 +37,7 @@ def _motion(df: DataFrame) -> DataFrame:
     for kind, code in _STATUS[1:]:
         status = status.when(F.col("event_type") == kind, code)
     return df.select(
-        (F.lit(412000000) + u).cast("long").alias("mmsi"), (F.col("seq") * 60).cast("long").alias("t"), e.alias("id"), (F.col("lon_e6").cast("double") / 1e6).alias("lon"), (F.col("lat_e6").cast("double") / 1e6).alias("lat"),
+        (F.lit(412000000) + u).cast("long").alias("mmsi"), (F.col("seq") * 60 + F.floor(F.col("seq") / 9) * 120).cast("long").alias("t"), e.alias("id"), (F.col("lon_e6").cast("double") / 1e6).alias("lon"), (F.col("lat_e6").cast("double") / 1e6).alias("lat"),
         F.round(F.col("value") * 100).cast("long").alias("v"), (F.round(F.col("value") * 100) / 4000.0).alias("speed"), ((e * 37) % 360).cast("double").alias("course"), ((e * 53) % 360).cast("double").alias("heading"),
         status.cast("int").alias("nav_status"), (e % 7 == 0).alias("at_dock"), (20 + u % 180).cast("double").alias("length"), "event_type",
     )
@@ -59,7 +59,7 @@ def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _motion_sql(lon: str, lat: str) -> str:
-    return f"""SELECT CAST(412000000 + user_id AS BIGINT) AS mmsi, CAST(seq * 60 AS BIGINT) AS t, event_id AS id,
+    return f"""SELECT CAST(412000000 + user_id AS BIGINT) AS mmsi, CAST(seq * 60 + seq // 9 * 120 AS BIGINT) AS t, event_id AS id,
   CAST({lon} AS DOUBLE) / 1e6 AS lon, CAST({lat} AS DOUBLE) / 1e6 AS lat, CAST(round(value * 100) AS BIGINT) AS v, round(value * 100) / 4000e0 AS speed,
   CAST((event_id * 37) % 360 AS DOUBLE) AS course, CAST((event_id * 53) % 360 AS DOUBLE) AS heading,
   CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 1 WHEN 'click' THEN 5 WHEN 'view' THEN 15 END AS nav_status,
@@ -88,7 +88,8 @@ ZONES_SQL = f"""zone_corners AS (
   FROM nation, (VALUES {', '.join(f'({n}, {i}, {j})' for n, (i, j) in enumerate(_AROUND))}) c(i, x, y)),
 edges AS (SELECT a.zone, a.rank, a.kind, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM zone_corners a JOIN zone_corners b ON a.zone = b.zone AND b.i = (a.i + 1) % 6)"""
 
-HAVERSINE_SQL = "2 * 6371000e0 * asin(sqrt(least(1e0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
+_CHORD_SQL = "pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+HAVERSINE_SQL = f"2 * 6371000e0 * asin(sqrt(CASE WHEN {_CHORD_SQL} > 1 THEN 1e0 ELSE {_CHORD_SQL} END))"
 
 
 def distance_sql(a: str, b: str, suffix_a: str = "", suffix_b: str = "") -> str:

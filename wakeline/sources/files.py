@@ -9,9 +9,12 @@ from ..functions import geo, records
 
 #: Alias columns of raw reports, first filled one wins.
 ALIASES: dict[str, tuple[str, ...]] = {
-    "mmsi": ("mmsi", "MMSI"), "timestamp": ("timestamp", "DateTime", "time"), "lon": ("lon", "longitude", "Longitude"), "lat": ("lat", "latitude", "Latitude"), "speed": ("speed", "sog", "SOG"),
-    "course": ("course", "cog", "COG"), "heading": ("heading",), "rot": ("rot",), "name": ("name", "Name"), "nav_status": ("nav_status", "status"), "msg_type": ("msg_type",),
-    "at_dock": ("at_dock",), "port_name": ("matched_port_name", "matchedPortName"), "length": ("length",), "width": ("width",), "draught": ("draught",), "ship_type": ("ship_type",), "imo": ("imo",), "flag": ("flag",), "iso3": ("iso3",),
+    "mmsi": ("mmsi", "MMSI"), "timestamp": ("timestamp", "DateTime", "time"), "lon": ("longitude", "lon", "Y"), "lat": ("latitude", "lat", "X"),
+    "speed": ("speed", "sog"), "course": ("course", "cog"), "heading": ("heading", "true_heading"), "rot": ("rot", "rate_of_turn"),
+    "name": ("name",), "nav_status": ("status", "nav_status"), "msg_type": ("msg_type", "message_type", "type"), "at_dock": ("at_dock",),
+    "port_name": ("matchedPortName", "matched_port_name"), "length": ("length",), "width": ("width",), "draught": ("draught", "draft"),
+    "ship_type": ("ship_type", "ship_and_cargo_type", "vessel_type"), "imo": ("imo",), "flag": ("flag",), "iso3": ("iso3",),
+    "accuracy": ("accuracy", "position_accuracy"), "source": ("source", "receiver_id"), "channel": ("channel", "radio_channel"),
 }
 
 
@@ -33,7 +36,7 @@ def canonical(raw: DataFrame) -> DataFrame:
     out = raw.select(*(records.first_filled(*text(names)).alias(c) if text(names) else F.lit(None).cast("string").alias(c) for c, names in ALIASES.items()))
     return out.withColumns({
         "t": F.unix_micros(records.event_time(F.col("timestamp"))) / 1e6, "nav_status": records.whole(F.col("nav_status")), "msg_type": records.whole(F.col("msg_type")), "at_dock": records.truth(F.col("at_dock")),
-        "name": records.clean_name(F.col("name")), **{c: records.finite(F.col(c)) for c in ("length", "width", "draught")},
+        "name": records.clean_name(F.col("name")), "iso3": F.upper("iso3"), **{c: records.finite(F.col(c)) for c in ("length", "width", "draught", "accuracy")},
     })
 
 
@@ -115,19 +118,23 @@ ZONE_HEADERS: dict[str, tuple[str, ...]] = {"source_id": ("id", "source_id"), "n
 
 
 def zone_file(spark: SparkSession, path: str, encoding: str = "UTF-8", most_rows: int = 2000, most_columns: int = 32) -> DataFrame:
-    """Zones of a CSV with ``vertices`` and ``fault`` (null: usable). Formula cells, too many rows or columns are refused."""
+    """Zones of a CSV with ``vertices`` and ``fault`` (null: usable). Formula cells and too many columns are refused.
+
+    Rows beyond ``most_rows`` (in the file's order) have the fault "too many rows"; nothing runs while this is planned.
+    """
     raw = spark.read.options(header=True, encoding=encoding).csv(path)
     if len(raw.columns) > most_columns:
         raise ValueError(f"more than {most_columns} columns")
-    if raw.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"more than {most_rows} rows")
     have = {c.strip().lower(): c for c in raw.columns}
     pick = lambda names: next((F.trim(F.col(f"`{have[n]}`")) for n in names if n in have), F.lit(None).cast("string"))
-    cells = raw.select(*(pick(names).alias(c) for c, names in ZONE_HEADERS.items()))
+    cells = raw.select(*(pick(names).alias(c) for c, names in ZONE_HEADERS.items()), F.monotonically_increasing_id().alias("_place"))
+    above = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_place")) > most_rows  # a hand-made file
+    cells = cells.withColumn("_above", above)
     formula = records.any_of([F.coalesce(F.col(c).rlike(r"^[=+@]"), F.lit(False)) for c in ("name", "zone_type", "locode", "description")])
     placed = cells.withColumns({"vertices": geo.parse_ring(F.col("geometry")), "is_active": F.coalesce(records.truth(F.col("is_active")), F.lit(True))})
     fault = F.when(F.col("name").isNull() | (F.col("name") == ""), "no name").when(formula, "formula").otherwise(geo.ring_fault(F.col("vertices")))
-    return placed.withColumn("fault", fault).filter(F.col("name").isNotNull() | F.col("geometry").isNotNull()).drop("geometry")
+    fault = F.when(F.col("_above"), "too many rows").otherwise(fault)
+    return placed.withColumn("fault", fault).filter(F.col("name").isNotNull() | F.col("geometry").isNotNull()).drop("geometry", "_place", "_above")
 
 
 def _coordinate(c: Column) -> Column:

@@ -1,63 +1,166 @@
-"""Writers: idempotent upserts, appends that ignore conflicts, retention, backups and exports."""
+"""Writers: idempotent upserts, appends that ignore conflicts, retention, backups and exports.
+
+A store is a folder of generations, each the rows of some key buckets, and of numbered pointers. A pointer is a small file
+that names the generation of every bucket; it is written aside and renamed, which either happens or does not, and the one with
+the highest number counts. A write makes a generation of the buckets that change and then the next pointer, so a job that dies
+in between leaves the store as it was, and a micro-batch touches the buckets of its own keys only. Of two writers that
+meet, the second fails to rename and changes nothing.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import safe_cell
 from ..operators import events
 
+BUCKETS, KEPT_POINTERS = 64, 3
 
-def _pointer(spark: SparkSession, table: str) -> tuple[str, int] | None:
-    """(generation, number of the last micro-batch merged into it) that a store points at, if any."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/_current")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    name, number = spark.read.text(f"{table}/_current").first()["value"].split()
-    return name, int(number)
+
+@dataclass(frozen=True)
+class Pointer:
+    number: int
+    batch: int
+    key: tuple[str, ...]
+    generations: dict[int, str]  # of each bucket that has rows
+
+
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _numbers(spark: SparkSession, table: str) -> list[int]:
+    fs, folder = _fs(spark, f"{table}/_pointers")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _read(spark: SparkSession, table: str, number: int) -> Pointer:
+    found = json.loads(spark.read.text(f"{table}/_pointers/{number:012d}", wholetext=True).first()["value"])
+    return Pointer(number, found["batch"], tuple(found["key"]), {int(k): v for k, v in found["generations"].items()})
+
+
+def _pointer(spark: SparkSession, table: str) -> Pointer | None:
+    numbers = _numbers(spark, table)
+    return _read(spark, table, numbers[-1]) if numbers else None
+
+
+def _point(spark: SparkSession, table: str, pointer: Pointer) -> None:
+    """Write the pointer aside, rename it to its number, and remove what no kept pointer names."""
+    text = json.dumps({"batch": pointer.batch, "key": list(pointer.key), "generations": pointer.generations})
+    fs, aside = _fs(spark, f"{table}/_aside-{uuid.uuid4().hex}")
+    stream = fs.create(aside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    _, final = _fs(spark, f"{table}/_pointers/{pointer.number:012d}")
+    fs.mkdirs(final.getParent())
+    if fs.exists(final) or not fs.rename(aside, final):
+        fs.delete(aside, False)
+        raise RuntimeError(f"{table}: another writer was first")
+    numbers = _numbers(spark, table)
+    if len(numbers) > KEPT_POINTERS:  # readers may still be at the last few
+        live = {g for n in numbers[-KEPT_POINTERS:] for g in _read(spark, table, n).generations.values()}
+        for n in numbers[:-KEPT_POINTERS]:
+            dead = set(_read(spark, table, n).generations.values()) - live
+            for name in dead:
+                fs.delete(_fs(spark, f"{table}/{name}")[1], True)
+            fs.delete(_fs(spark, f"{table}/_pointers/{n:012d}")[1], False)
+
+
+def _bucket(key: tuple[str, ...] | list[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
+
+def _load(spark: SparkSession, table: str, pointer: Pointer, buckets: set[int] | None = None) -> DataFrame | None:
+    paths = [f"{table}/{name}/_bucket={b}" for b, name in sorted(pointer.generations.items()) if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def load(spark: SparkSession, table: str) -> DataFrame | None:
+    """All rows of the store; None if nothing was ever stored."""
     found = _pointer(spark, table)
-    return None if found is None else spark.read.parquet(f"{table}/{found[0]}")
+    if found is None:
+        return None
+    rows = _load(spark, table, found)
+    return rows if rows is not None else spark.createDataFrame([], ", ".join(f"{c} string" for c in found.key))
+
 
+def _touched(df: DataFrame, key: tuple[str, ...] | list[str]) -> set[int]:
+    return {r["b"] for r in df.select(_bucket(key).alias("b")).distinct().collect()}  # at most BUCKETS numbers
 
-def replace(df: DataFrame, table: str, batch: int | None = None) -> None:
-    """A new generation of the store, then the pointer to it: readers see the old rows or the new ones, never a mixture."""
-    spark = df.sparkSession
-    name, last = f"generation-{uuid.uuid4().hex}", _pointer(spark, table)
-    number = batch if batch is not None else last[1] if last else -1
-    df.write.parquet(f"{table}/{name}")
-    spark.createDataFrame([(f"{name} {number}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{table}/_current")
+
+def _store(spark: SparkSession, table: str, rows: DataFrame | None, old: Pointer | None, key: tuple[str, ...], changed: set[int], batch: int | None) -> None:
+    """``rows`` take the place of all rows of the changed buckets."""
+    name = f"generation-{uuid.uuid4().hex}"
+    kept = {b: g for b, g in (old.generations if old else {}).items() if b not in changed}
+    if rows is not None:
+        dealt = rows.withColumn("_bucket", _bucket(key)).repartition("_bucket", F.pmod(F.xxhash64(*key), F.lit(16 * BUCKETS)))  # a large bucket has several tasks
+        dealt.write.partitionBy("_bucket").parquet(f"{table}/{name}")
+        fs, folder = _fs(spark, f"{table}/{name}")
+        written = [f.getPath().getName() for f in fs.listStatus(folder)]
+        kept |= {int(n.partition("=")[2]): name for n in written if n.startswith("_bucket=")}
+    _point(spark, table, Pointer(old.number + 1 if old else 0, batch if batch is not None else old.batch if old else -1, tuple(key), kept))
 
 
 def upsert_events(new: DataFrame, table: str, key: list[str], latest: list[str], batch: int | None = None) -> None:
     """Merge events of the shape of ``events.deduplicated`` into a store. A micro-batch number that was merged before is skipped, so a replay counts nothing twice."""
     spark = new.sparkSession
     found = _pointer(spark, table)
-    if batch is not None and found is not None and batch <= found[1]:
+    if batch is not None and found is not None and batch <= found.batch:
         return
-    old = load(spark, table)
-    replace(new if old is None else events.upsert(old, new, key, latest), table, batch)
+    new = new.persist()
+    try:
+        changed = _touched(new, key)
+        old = _load(spark, table, found, changed) if found else None
+        _store(spark, table, new if old is None else events.upsert(old, new, key, latest), found, tuple(key), changed, batch)
+    finally:
+        new.unpersist()
 
 
 def append_new(new: DataFrame, table: str, key: list[str]) -> None:
     """Add rows whose key is not stored yet; of equal new keys one is kept."""
-    old = load(new.sparkSession, table)
-    once = new.dropDuplicates(key)
-    replace(once if old is None else old.unionByName(once.join(old.select(*key), key, "left_anti")), table)
-
-
-def retain(table: str, spark: SparkSession, seconds: float, tolerance: float = 0.0, reference: float | None = None) -> None:
-    """Keep rows no older than ``seconds`` before the reference (the newest time), and not after it by more than the tolerance."""
-    old = load(spark, table)
+    spark = new.sparkSession
+    found = _pointer(spark, table)
+    once = new.dropDuplicates(key).persist()
+    try:
+        changed = _touched(once, key)
+        old = _load(spark, table, found, changed) if found else None
+        added = once if old is None else old.unionByName(once.join(old.select(*key), key, "left_anti"))
+        _store(spark, table, added, found, tuple(key), changed, None)
+    finally:
+        once.unpersist()
+
+
+def retain(table: str, spark: SparkSession, seconds: float, tolerance: float = 0.0, reference: float | None = None, by: str | None = None) -> None:
+    """Keep rows no older than ``seconds`` before the reference, and not after it by more than the tolerance.
+
+    The reference is a given time or the newest; with ``by`` each value of that column (a vessel, say) has its own newest.
+    Only buckets that lose rows are written.
+    """
+    found = _pointer(spark, table)
+    old = _load(spark, table, found) if found else None
     if old is None:
         return
-    ref = reference if reference is not None else old.agg(F.max("t")).first()[0]
-    replace(old.filter(F.col("t").between(ref - seconds, ref + tolerance)), table)
+    if by is not None:
+        newest = old.groupBy(by).agg(F.max("t").alias("_ref"))
+        dated = old.join(newest, by)
+    else:
+        dated = old.withColumn("_ref", F.lit(reference if reference is not None else old.agg(F.max("t")).first()[0]))
+    stays = F.coalesce(F.col("t").between(F.col("_ref") - seconds, F.col("_ref") + tolerance), F.lit(False))
+    changed = _touched(dated.filter(~stays), found.key)
+    if changed:
+        here = dated.filter(stays & _bucket(found.key).isin(*changed)).select(*old.columns)
+        _store(spark, table, here, found, found.key, changed, None)
 
 
 def backup(df: DataFrame, path: str) -> None:
