@@ -217,3 +217,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
     once = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32")
     assert sorted(map(tuple, once.collect()), key=repr) == sorted(map(tuple, docs.select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=repr)
+
+
+def test_stages_on_odd_rows(spark, docs, nothing, tmp_path):
+    """Nulls, repeated rows, empty and very long texts and clashing columns pass every stage; an empty table stays empty."""
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    whole = {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r["a"] == 1 and r["a.b"] == 1 and r["_row"] == 1 for r in rows), name
+        if name in ("quality_classifier", "simhash_near_dedup"):
+            assert {(r["doc_id"], r["text"]) for r in rows} <= whole, name
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
+    packed = corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).select("doc_id", "piece").collect()
+    assert sum(r["piece"] == 0 for r in packed) == docs.count()
+    assert corpus_pipeline.packing_stage(spark, nothing, str(tmp_path)).count() == 0

@@ -101,7 +101,9 @@ def passages(bodies, docs, places, windows, times=None):
     return anchored.Passages(np.array(places, np.uint64), np.array(docs), np.ones(n, np.int64) if times is None else np.array(times), np.array(windows), bodies)
 
 
-def test_suffix_arrays_decide_as_comparing_all():
+@pytest.mark.parametrize("large", [1 << 16, 200])
+def test_suffix_arrays_decide_as_comparing_all(monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)  # beyond it passages are cut by anchors again
     rng = random.Random(3)
     shared = [bytes(rng.choices(b"abcd", k=60)) for _ in range(3)]
     bodies = [bytes(rng.choices(b"ab", k=rng.randint(0, 30))) + rng.choice(shared) + bytes(rng.choices(b"ab", k=rng.randint(0, 30))) for _ in range(120)]

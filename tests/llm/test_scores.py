@@ -146,6 +146,54 @@ def test_edited_texts(docs, nothing):
     assert fingerprints.edited(nothing).count() == 0
 
 
+def slow_fingerprint(text):
+    """From the definition, by Python's integers."""
+    points = [ord(c) + 1 for c in text]
+
+    def spans(n):
+        for i in range(len(points) - n + 1):
+            parts = [sum(c * pow(b, j, p) for j, c in enumerate(points[i : i + n])) % p for b, p in zip(fingerprints.BASES, fingerprints.MODULI, strict=True)]
+            yield parts[0] << 31 | parts[1]
+
+    def mixed(h):
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+        return h ^ h >> 31
+
+    whole = next(spans(len(points)))
+    sketch = sorted({mixed(h) for h in spans(min(8, len(points)))})[:64] if points else []
+    return f"{whole:016x}{len(points):08x}" + "".join(f"{h:016x}" for h in sketch)
+
+
+def span_set(text):
+    return {text[i : i + 8] for i in range(max(len(text) - 7, 1))} if text else set()
+
+
+def test_fingerprints_and_likeness_equal_brute_force(docs):
+    """Fingerprints by definition; likeness by whole span sets, exact while they fit the sketch; common prefixes by comparing texts."""
+    rows = sorted(((-(2**63) if r[0] is None else r[0], r[1] or "") for r in odd_rows()), key=lambda r: (-r[0], r[1]))
+    got = {(-(2**63) if r[0] is None else r[0], r["edited_sha256"]): r for r in fingerprints.edited(docs, 5).collect()}
+    exact = off = 0
+    for k, (i, t) in enumerate(rows):
+        after, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        new = t[: len(t) - half] + after[:half]
+        r = got[i, hashlib.sha256(new.encode()).hexdigest()]
+        if len(t) < 5000:
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (slow_fingerprint(t), slow_fingerprint(new))
+        for near, other in ((r["near_edited"], new), (r["near_next"], after)):
+            a, b = span_set(t), span_set(other)
+            dice = 1.0 if t == other else 2 * len(a & b) / max(len(a) + len(b), 1)
+            if len(a | b) <= fingerprints.SKETCH:
+                assert near == pytest.approx(dice)
+                exact += 1
+            else:
+                assert abs(near - dice) < 0.25
+                off += abs(near - dice)
+        if len({x for x in rows if x[0] == i}) == 1:
+            assert r["common_prefix_next"] == next((n for n, (x, y) in enumerate(zip(t, after, strict=False)) if x != y), min(len(t), len(after)))
+    assert exact > 10 and off / (2 * len(rows) - exact) < 0.06
+
+
 def test_prefix_hashes_answer_spans():
     text = "abracadabra abracadabra é"
     h = fingerprints.PrefixHash(fingerprints.code_points(text))

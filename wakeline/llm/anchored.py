@@ -497,10 +497,13 @@ class _Sent:
             self.shapes.append(np.array([[len(x[1]), x[2][3]] for x in flat], np.int64))
             self.bodies += [x[1] for x in flat]
         if self.places:
+            import zstandard
+
+            pressed = zstandard.ZstdCompressor(level=1)
             bodies = np.empty(len(self.bodies), object)
             bodies[:] = self.bodies
             place = np.concatenate(self.places)
-            shapes, join = np.concatenate(self.shapes), lambda x: b"".join(x.tolist())
+            shapes, join = np.concatenate(self.shapes), lambda x: pressed.compress(b"".join(x.tolist()))
             yield from packed_rows(PASSAGE, self.deal.hashed(place), (place, pack48), (np.concatenate(self.facts), raw64), (bodies, join), (shapes, raw32))
         if self.gone:
             doc, name, start, end = np.array(self.gone, np.int64).T
@@ -558,6 +561,8 @@ def decided(fetched: DataFrame, decide: Decide, kind: Kind, deal: Deal) -> DataF
     """``decide`` gives (passage, first, last window) to remove; they come out as verdicts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         held: list[tuple] = []
         verdicts: list[tuple] = []
         for k, a, b, c, d in _columns(batches):
@@ -568,7 +573,7 @@ def decided(fetched: DataFrame, decide: Decide, kind: Kind, deal: Deal) -> DataF
         if held:
             facts = np.concatenate([_int64(b).reshape(-1, 4) for _, b, _, _ in held])
             shapes = np.concatenate([_int32(d).reshape(-1, 2) for _, _, _, d in held])
-            flat = b"".join(c for _, _, c, _ in held)
+            flat = b"".join(zstandard.ZstdDecompressor().decompress(c, max_output_size=max(int(_int32(d)[::2].sum()), 1)) for _, _, c, d in held)
             ends = np.cumsum(shapes[:, 0])
             bodies = [flat[x:y] for x, y in zip((ends - shapes[:, 0]).tolist(), ends.tolist(), strict=True)]
             some = Passages(np.concatenate([unpack48(a) for a, _, _, _ in held]), facts[:, 0], facts[:, 3], shapes[:, 1], bodies)

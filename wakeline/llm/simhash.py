@@ -31,6 +31,7 @@ from .components import components, local_forest
 
 SHINGLE, MOST, BLOCKS, SEED = 4, 4, 4, 42
 SHARD, SAMPLE, LEAF = 16_384, 8_192, 96
+WORTH = 1.7  # copies of a shard's visitors that a split may make at most
 _U = np.uint64
 
 
@@ -168,15 +169,16 @@ class _Shard:
             if not len(residents):
                 continue
             cut = _split(part[residents], depth * 7 + 3) if len(residents) > LEAF else None
-            if cut is None and several and b == block and len(residents) > LEAF:
+            if cut is not None:
+                d = np.bitwise_count(part[at] ^ _U(cut[0])).astype(np.int16)
+                near, far = d - radius <= cut[1], d + radius > cut[1]
+                if int(near.sum()) + int(far.sum()) <= WORTH * len(at):
+                    pending += [(at[near], lives[near] & (d[near] <= cut[1]), depth + 1, b), (at[far], lives[far] & (d[far] > cut[1]), depth + 1, b)]
+                    continue
+            if several and b == block and len(residents) > LEAF:
                 pending += [(at, lives, depth, later) for later in range(block + 1, blocks)]
                 continue
-            if cut is None:
-                (self.dense if len(residents) > 512 else self.compare)(residents, at)
-                continue
-            d = np.bitwise_count(part[at] ^ _U(cut[0])).astype(np.int16)
-            near, far = d - radius <= cut[1], d + radius > cut[1]
-            pending += [(at[near], lives[near] & (d[near] <= cut[1]), depth + 1, b), (at[far], lives[far] & (d[far] > cut[1]), depth + 1, b)]
+            (self.dense if len(residents) > 512 else self.compare)(residents, at)  # small, or a cluster that no part parts
 
 
 def shard_links(fp: np.ndarray, lives: np.ndarray, block: int, most: int = MOST, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:

@@ -18,43 +18,66 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchored import Kind, Passages, remove_repeats
+from .anchored import Kind, Passages, cut, mix, remove_repeats
 from .linear_grouping import suffix_arrays
 
 LENGTH, GRAM = 50, 20
 KIND = Kind(words=False, window=LENGTH, gram=GRAM, anywhere=False, section=512)
-BATCH = 1 << 20  # bytes sorted together
+BATCH, LARGE = 1 << 20, 1 << 16  # bytes sorted together, and in one string
 _U = np.uint64
 
 
 def decide(some: Passages, kind: Kind = KIND) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(passage, first, last window) runs to remove; a meeting place of one document has none."""
+    """(passage, first, last window) runs to remove; a meeting place of one document has none.
+
+    Where a place's string would be long, its passages are cut into fragments again, and those of each anchor make a string.
+    """
     if not some.bodies:
         return
-    order = np.argsort(some.place, kind="stable")
-    place, doc = some.place[order], some.doc[order]
-    groups = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    sizes = np.diff(np.append(groups, len(order)))
-    differ = np.minimum.reduceat(doc, groups) != np.maximum.reduceat(doc, groups)
-    order, groups = order[np.repeat(differ, sizes)], np.repeat(np.arange(int(differ.sum())), sizes[differ])
+    size = np.fromiter(map(len, some.bodies), np.int64, len(some.bodies))
+    names, place = np.unique(some.place, return_inverse=True)
+    long = np.bincount(place, weights=size)[place] > LARGE
+    short = np.flatnonzero(~long)
+    yield from _sorted(names[place[short]], short, np.zeros(len(short), np.int64), size[short], some, kind)
+    at = np.flatnonzero(long)
+    for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(size[at]) // (2 * BATCH))) + 1) if len(at) else []:
+        yield from _recut(part, some, kind)
+
+
+def _recut(part: np.ndarray, some: Passages, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    bodies = [some.bodies[i] for i in part.tolist()]
+    bounds = np.cumsum([0] + [len(b) for b in bodies])
+    f = cut(kind.values(bodies), bounds, kind)
+    yield from _sorted(mix(mix(some.place[part[f.text]]) ^ f.key), part[f.text], f.first - bounds[f.text], f.last - f.first + kind.window, some, kind)
+
+
+def _sorted(name, passage, offset, size, some: Passages, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces ``size`` long at an offset of passages; those of one name make a string, whose suffix array decides them."""
+    order = np.argsort(name, kind="stable")
+    name, passage, offset, size = name[order], passage[order], offset[order], size[order]
     if not len(order):
         return
-    length = np.fromiter((len(some.bodies[i]) + 1 for i in order.tolist()), np.int64, len(order))
-    total = np.bincount(groups, weights=length).astype(np.int64)
+    doc = some.doc[passage]
+    starts = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+    counts = np.diff(np.append(starts, len(order)))
+    differ = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+    keep = np.repeat(differ, counts)
+    group = np.repeat(np.arange(int(differ.sum())), counts[differ])
+    passage, offset, size, doc = passage[keep], offset[keep], size[keep], doc[keep]
+    if not len(group):
+        return
+    total = np.bincount(group, weights=size + 1).astype(np.int64)
     nth = np.argsort(np.argsort(total, kind="stable"), kind="stable")  # strings of like length are sorted together
-    by_length = np.argsort(nth[groups], kind="stable")
-    order, names = order[by_length], nth[groups][by_length]
-    ends = np.cumsum(np.sort(total, kind="stable"))
-    batch = ((ends - 1) // BATCH)[names]
-    for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(batch)) + 1):
-        who = order[part]
-        flat = np.frombuffer(b"".join([some.bodies[i] for i in who.tolist()]), np.uint8)
-        width = length[by_length][part] - 1
-        end = np.cumsum(width)
-        at, window = repeated(flat, names[part], end - width, end, some.doc[who], kind.window)
+    order = np.argsort(nth[group], kind="stable")
+    group, passage, offset, size, doc = nth[group][order], passage[order], offset[order], size[order], doc[order]
+    batch = ((np.cumsum(np.sort(total, kind="stable")) - 1) // BATCH)[group]
+    for part in np.split(np.arange(len(group)), np.flatnonzero(np.diff(batch)) + 1):
+        pieces = [some.bodies[i][a : a + n] for i, a, n in zip(passage[part].tolist(), offset[part].tolist(), size[part].tolist(), strict=True)]
+        end = np.cumsum(size[part])
+        at, window = repeated(np.frombuffer(b"".join(pieces), np.uint8), group[part], end - size[part], end, doc[part], kind.window)
         if len(at):
-            passage, first, last = runs(at, window)
-            yield who[passage], first, last
+            piece, first, last = runs(at, window)
+            yield passage[part][piece], offset[part][piece] + first, offset[part][piece] + last
 
 
 def repeated(flat: np.ndarray, names: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
