@@ -1,7 +1,8 @@
 """Vessel state over streams: the latest report per vessel with particulars carried over, as a keyed processor with timers.
 
 Event time rules: an older report never replaces newer state (it is counted as out of order); the same time with the same payload is a
-duplicate, with another payload a correction; a vessel silent for ``expire_ms`` of event time is removed. Output rows are changes: upsert or
+duplicate, with another payload a correction; particulars are dropped once they are ``static_ms`` older than the position; a vessel
+silent for ``expire_ms`` of event time is removed. Output rows are changes: upsert or
 remove, with a version that grows by one per vessel and change. Reports older than the watermark (the delay) never reach the state; Spark counts them.
 """
 
@@ -25,8 +26,8 @@ OUTPUT = "mmsi string, change string, t timestamp, lon double, lat double, speed
 class VesselState(StatefulProcessor):
     """Input rows: mmsi, kind (dynamic, static), t, and the columns of both kinds."""
 
-    def __init__(self, expire_ms: int = 900_000):
-        self.expire_ms = expire_ms
+    def __init__(self, expire_ms: int = 900_000, static_ms: int = 7 * 86_400_000):
+        self.expire_ms, self.static_ms = expire_ms, static_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -52,6 +53,9 @@ class VesselState(StatefulProcessor):
                 changed = True
             now.update(new)
             now["t" if dynamic else "static_t"] = row["t"].to_pydatetime()
+        if now["t"] is not None and now["static_t"] is not None and pd.Timestamp(now["t"]) - pd.Timestamp(now["static_t"]) > pd.Timedelta(milliseconds=self.static_ms):
+            now |= dict.fromkeys((*PARTICULARS, "static_t"))
+            changed = True
         if now["nav_status"] is not None:
             now["nav_status"] = int(now["nav_status"])
         live = now["t"] is not None
@@ -85,9 +89,9 @@ class VesselState(StatefulProcessor):
         pass
 
 
-def vessel_changes(reports: DataFrame, expire_ms: int = 900_000, delay: str = "0 seconds") -> DataFrame:
+def vessel_changes(reports: DataFrame, expire_ms: int = 900_000, delay: str = "0 seconds", static_ms: int = 7 * 86_400_000) -> DataFrame:
     """The change stream of a stream (or batch) of reports. Needs the RocksDB state store on streams."""
-    return reports.withWatermark("t", delay).groupBy("mmsi").transformWithStateInPandas(statefulProcessor=VesselState(expire_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    return reports.withWatermark("t", delay).groupBy("mmsi").transformWithStateInPandas(statefulProcessor=VesselState(expire_ms, static_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def latest_only(batch: DataFrame) -> DataFrame:
