@@ -23,15 +23,18 @@ def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DETECTIONS_SQL = "det AS (SELECT user_id, event_type AS feature_id, event_id AS detection_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS detected_at, CAST(round(value * 100) AS BIGINT) AS v FROM events)"
 
 
-@query(f"""WITH {_DETECTIONS_SQL} SELECT sha256(user_id || chr(31) || feature_id) AS event_key, user_id, feature_id, min(detected_at) AS first_detected_at, max(detected_at) AS last_detected_at, count(*) AS occurrences,
-  arg_max(v, detected_at * 1000000 + detection_id) AS v, arg_max(detection_id, detected_at * 1000000 + detection_id) AS detection_id FROM det GROUP BY user_id, feature_id""")
+@query(f"""WITH {_DETECTIONS_SQL} SELECT sha256(user_id || chr(31) || feature_id) AS event_key, user_id, feature_id, min(detected_at) AS first_detected_at,
+  max(detected_at) AS last_detected_at, count(*) AS occurrences,
+  arg_max(v, detected_at * 1000000 + detection_id) AS v, arg_max(detection_id, detected_at * 1000000 + detection_id) AS detection_id FROM det
+  GROUP BY user_id, feature_id""")
 def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events.deduplicated(_detections(spark, sf_dir), ["user_id", "feature_id"], ["v", "detection_id"])
     return found.withColumn("event_key", events.event_key("user_id", "feature_id"))
 
 
 @query(f"""WITH {_DETECTIONS_SQL}, parts AS (SELECT user_id, feature_id, min(detected_at) AS a, max(detected_at) AS b, count(*) AS n FROM det GROUP BY 1, 2)
-SELECT user_id, feature_id, a AS first_detected_at, b AS last_detected_at, n AS occurrences, (SELECT arg_max(v, detected_at * 1000000 + detection_id) FROM det d WHERE d.user_id = p.user_id AND d.feature_id = p.feature_id) AS v FROM parts p""")
+SELECT user_id, feature_id, a AS first_detected_at, b AS last_detected_at, n AS occurrences, (SELECT arg_max(v, detected_at * 1000000 + detection_id)
+  FROM det d WHERE d.user_id = p.user_id AND d.feature_id = p.feature_id) AS v FROM parts p""")
 def event_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches merged one after the other give what one batch gives."""
     d = _detections(spark, sf_dir)
@@ -60,8 +63,10 @@ def duplicates_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.keep_one(d, ["user_id", "band"], "detection_id")
 
 
-@query(f"""WITH {_DETECTIONS_SQL}, i AS (SELECT user_id, detected_at AS a, detected_at + v AS b FROM det), r AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
-g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a - reach > 10000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM r)
+@query(f"""WITH {_DETECTIONS_SQL}, i AS (SELECT user_id, detected_at AS a, detected_at + v AS b FROM det), r AS (SELECT *, max(b) OVER (PARTITION BY user_id
+  ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a - reach > 10000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a,
+  b ROWS UNBOUNDED PRECEDING) AS k FROM r)
 SELECT user_id, min(a) AS group_start, max(b) AS group_end, count(*) AS n FROM g GROUP BY user_id, k""")
 def event_merge_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _detections(spark, sf_dir).select("user_id", F.col("detected_at").alias("a"), (F.col("detected_at") + F.col("v")).alias("b"))
@@ -112,7 +117,8 @@ def semi_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_DETECTIONS_SQL}, e AS (SELECT user_id, feature_id, max(detected_at) AS last_detected_at, count(*) AS occurrences FROM det GROUP BY 1, 2)
-SELECT user_id, feature_id, last_detected_at, occurrences FROM e WHERE feature_id = 'error' AND CAST(user_id AS VARCHAR) LIKE '%1%' AND last_detected_at >= 1704067200 AND last_detected_at < 1706659200 ORDER BY last_detected_at DESC, user_id LIMIT 20""")
+SELECT user_id, feature_id, last_detected_at, occurrences FROM e WHERE feature_id = 'error' AND CAST(user_id AS VARCHAR) LIKE '%1%'
+  AND last_detected_at >= 1704067200 AND last_detected_at < 1706659200 ORDER BY last_detected_at DESC, user_id LIMIT 20""")
 def violation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of an event search by feature, target text and time."""
     found = events.deduplicated(_detections(spark, sf_dir), ["user_id", "feature_id"], ["v"]).select("user_id", "feature_id", "last_detected_at", "occurrences")
@@ -121,7 +127,8 @@ def violation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {WALK_SQL}, e AS (SELECT c_custkey % 150 AS k, c_custkey AS event FROM customer WHERE c_mktsegment = 'HOUSEHOLD')
-SELECT DISTINCT f.mmsi, f.t, f.lon, f.lat FROM fixes f JOIN e ON f.mmsi = 412000000 + e.k WHERE f.t BETWEEN 600 AND 3000 ORDER BY f.t DESC, f.mmsi DESC LIMIT 50""")
+SELECT DISTINCT f.mmsi, f.t, f.lon, f.lat FROM fixes f JOIN e ON f.mmsi = 412000000 + e.k WHERE f.t BETWEEN 600 AND 3000 ORDER BY f.t DESC,
+  f.mmsi DESC LIMIT 50""")
 def ship_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of the vessels of some events, distinct, the newest fifty in time order."""
     chosen = read(spark, sf_dir, "customer").filter("c_mktsegment = 'HOUSEHOLD'").select((F.lit(412000000) + F.col("c_custkey") % 150).cast("long").alias("mmsi"))
@@ -129,16 +136,20 @@ def ship_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.newest_page(points, 50, tie="mmsi")
 
 
-@query(f"""WITH {FIXES_SQL} SELECT seconds, count(*) AS n FROM (SELECT CASE WHEN id % 30 = 27 THEN 180e0 WHEN id % 30 IN (18, 19) THEN CASE WHEN s <= 2 THEN 180e0 WHEN s <= 14 THEN 30e0 WHEN s <= 23 THEN CASE WHEN turning THEN 5e0 ELSE 15e0 END ELSE 5e0 END
-  WHEN nav_status IN (1, 5) AND s <= 3 THEN 180e0 WHEN s <= 14 THEN CASE WHEN turning THEN round(10e0 / 3, 3) ELSE 10e0 END WHEN s <= 23 THEN CASE WHEN turning THEN 2e0 ELSE 6e0 END ELSE 2e0 END AS seconds FROM (SELECT *, speed * 8 AS s, id % 3 = 0 AS turning FROM fixes)) GROUP BY seconds""")
+@query(f"""WITH {FIXES_SQL} SELECT seconds, count(*) AS n FROM (SELECT CASE WHEN id % 30 = 27 THEN 180e0 WHEN id % 30 IN (18, 19) THEN CASE
+  WHEN s <= 2 THEN 180e0 WHEN s <= 14 THEN 30e0 WHEN s <= 23 THEN CASE WHEN turning THEN 5e0 ELSE 15e0 END ELSE 5e0 END
+  WHEN nav_status IN (1, 5) AND s <= 3 THEN 180e0 WHEN s <= 14 THEN CASE WHEN turning THEN round(10e0 / 3, 3) ELSE 10e0 END WHEN s <= 23 THEN CASE
+  WHEN turning THEN 2e0 ELSE 6e0 END ELSE 2e0 END AS seconds FROM (SELECT *, speed * 8 AS s, id % 3 = 0 AS turning FROM fixes)) GROUP BY seconds""")
 def reporting_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixes(spark, sf_dir)
     rate = records.reporting_interval(F.col("id") % 30, F.col("speed") * 8, F.col("nav_status"), F.when(F.col("id") % 3 == 0, 4.0))
     return f.groupBy(F.round(rate, 3).alias("seconds")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {WALK_SQL}, c AS (SELECT mmsi, t, CASE nav_status WHEN 0 THEN 'enter' WHEN 1 THEN 'exit' ELSE 'none' END AS d FROM fixes), x AS (SELECT mmsi, t, (SELECT min(o.t) FROM c o WHERE o.mmsi = c.mmsi AND o.t > c.t AND o.d = 'exit' AND o.t - c.t <= 86400) AS leave FROM c WHERE d = 'enter'),
-f AS (SELECT mmsi, min(t) AS t FROM x GROUP BY mmsi), k AS (SELECT x.mmsi, x.leave FROM x JOIN f ON f.mmsi = x.mmsi AND f.t = x.t) SELECT p.mmsi, p.t FROM fixes p JOIN k ON k.mmsi = p.mmsi WHERE k.leave IS NULL OR p.t <= k.leave""")
+@query(f"""WITH {WALK_SQL}, c AS (SELECT mmsi, t, CASE nav_status WHEN 0 THEN 'enter' WHEN 1 THEN 'exit' ELSE 'none' END AS d FROM fixes), x AS (SELECT mmsi, t,
+  (SELECT min(o.t) FROM c o WHERE o.mmsi = c.mmsi AND o.t > c.t AND o.d = 'exit' AND o.t - c.t <= 86400) AS leave FROM c WHERE d = 'enter'),
+f AS (SELECT mmsi, min(t) AS t FROM x GROUP BY mmsi), k AS (SELECT x.mmsi, x.leave FROM x JOIN f ON f.mmsi = x.mmsi AND f.t = x.t) SELECT p.mmsi, p.t
+  FROM fixes p JOIN k ON k.mmsi = p.mmsi WHERE k.leave IS NULL OR p.t <= k.leave""")
 def trimmed_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points up to the exit that follows each vessel's first entry."""
     w = walk(spark, sf_dir)
@@ -172,8 +183,10 @@ def _radar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AIS_SQL = "ais AS (SELECT mmsi AS target, t, lon, lat, speed, course FROM fixes), radar AS (SELECT t + 30 AS frame, id AS plot, lon + CASE WHEN id % 5 = 0 THEN 0.005e0 ELSE 0.0002e0 END AS lon, lat, mmsi AS truth FROM fixes)"
 _STATES_SQL = f"""{_AIS_SQL}, reports AS (SELECT *, lead(t) OVER (PARTITION BY target ORDER BY t) AS until FROM ais),
-st AS (SELECT frame, target, frame - t AS age, lon + degrees(run * sin(radians(course)) / (6371000e0 * greatest(abs(cos(radians(lat))), 1e-9))) AS lon, lat + degrees(run * cos(radians(course)) / 6371000e0) AS lat FROM
-  (SELECT f.frame, a.*, a.speed * 0.514444e0 * (f.frame - a.t) AS run FROM (SELECT DISTINCT frame FROM radar) f JOIN reports a ON a.t <= f.frame AND f.frame - a.t <= 180 AND (a.until IS NULL OR f.frame < a.until)))"""
+st AS (SELECT frame, target, frame - t AS age, lon + degrees(run * sin(radians(course)) / (6371000e0 * greatest(abs(cos(radians(lat))),
+  1e-9))) AS lon, lat + degrees(run * cos(radians(course)) / 6371000e0) AS lat FROM
+  (SELECT f.frame, a.*, a.speed * 0.514444e0 * (f.frame - a.t) AS run FROM (SELECT DISTINCT frame FROM radar) f JOIN reports a ON a.t <= f.frame
+  AND f.frame - a.t <= 180 AND (a.until IS NULL OR f.frame < a.until)))"""
 _GATE = fusion.FusionConfig(gate=300.0, max_age=180.0)
 
 
@@ -225,8 +238,10 @@ def spoofed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.phantom_targets(states, assignment(spark, sf_dir)).select("frame", "target", "lon", "lat")
 
 
-@query(f"""WITH {FIXES_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, p AS (SELECT DISTINCT frame, plot, target FROM cand), t AS (SELECT r.frame, r.plot, r.truth AS target FROM radar r),
-c AS (SELECT (SELECT count(*) FROM p JOIN t USING (frame, plot, target)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM t) AS nt) SELECT tp, np - tp AS fp, nt - tp AS fn, {R.format("tp / np")} AS precision, {R.format("tp / nt")} AS recall FROM c""")
+@query(f"""WITH {FIXES_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, p AS (SELECT DISTINCT frame, plot, target FROM cand), t AS (SELECT r.frame, r.plot,
+  r.truth AS target FROM radar r),
+c AS (SELECT (SELECT count(*) FROM p JOIN t USING (frame, plot, target)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM t) AS nt)
+  SELECT tp, np - tp AS fp, nt - tp AS fn, {R.format("tp / np")} AS precision, {R.format("tp / nt")} AS recall FROM c""")
 def gate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the gate alone tells the vessels."""
     return _quality(spark, sf_dir, gated_pairs(spark, sf_dir))
@@ -263,16 +278,26 @@ def _behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CFG = behavior.BehaviorConfig(max_gap=90.0, stay_speed=0.9)
 _STAY_SQL = tail_sql(FIXES_SQL + ", " + ZONES_SQL, "speed <= 1", 90, NEAR_LATEST_SQL, "mmsi, 1 AS x").rsplit("SELECT mmsi, 1 AS x", 1)[0]
-_BEHAVIOR_SQL = f"""{_STAY_SQL}, c AS (SELECT *, avg(lon) OVER (PARTITION BY mmsi) AS clon, avg(lat) OVER (PARTITION BY mmsi) AS clat, lag(lon) OVER (PARTITION BY mmsi ORDER BY t) AS plon, lag(lat) OVER (PARTITION BY mmsi ORDER BY t) AS plat,
+_BEHAVIOR_SQL = f"""{_STAY_SQL}, c AS (SELECT *, avg(lon) OVER (PARTITION BY mmsi) AS clon, avg(lat) OVER (PARTITION BY mmsi) AS clat, lag(lon) OVER (PARTITION BY mmsi
+  ORDER BY t) AS plon, lag(lat) OVER (PARTITION BY mmsi ORDER BY t) AS plat,
   lead(heading) OVER (PARTITION BY mmsi ORDER BY heading) AS nh, min(heading) OVER (PARTITION BY mmsi) AS lo FROM tail),
-facts AS (SELECT mmsi, count(*) AS points, max(t) - min(t) AS duration, avg(speed) AS mean_speed, max({HAVERSINE_SQL.format(lon1="lon", lat1="lat", lon2="clon", lat2="clat")}) AS radius, coalesce(sum({HAVERSINE_SQL.format(lon1="plon", lat1="plat", lon2="lon", lat2="lat")}), 0) AS path,
-  {HAVERSINE_SQL.format(lon1="arg_min(lon, t)", lat1="arg_min(lat, t)", lon2="arg_max(lon, t)", lat2="arg_max(lat, t)")} AS displacement, CASE WHEN count(*) >= 2 THEN 360 - max(coalesce(nh, lo + 360) - heading) END AS arc,
-  count(*) FILTER (nav_status = 1) / count(*) AS anchored, count(*) FILTER (nav_status = 5) / count(*) AS moored, count(nav_status) AS statuses FROM c GROUP BY mmsi),
+facts AS (SELECT mmsi, count(*) AS points, max(t) - min(t) AS duration, avg(speed) AS mean_speed,
+  max({HAVERSINE_SQL.format(lon1="lon", lat1="lat", lon2="clon", lat2="clat")}) AS radius,
+  coalesce(sum({HAVERSINE_SQL.format(lon1="plon", lat1="plat", lon2="lon", lat2="lat")}), 0) AS path,
+  {HAVERSINE_SQL.format(lon1="arg_min(lon, t)", lat1="arg_min(lat, t)", lon2="arg_max(lon, t)", lat2="arg_max(lat, t)")} AS displacement, CASE
+  WHEN count(*) >= 2 THEN 360 - max(coalesce(nh, lo + 360) - heading) END AS arc,
+  count(*) FILTER (nav_status = 1) / count(*) AS anchored, count(*) FILTER (nav_status = 5) / count(*) AS moored, count(nav_status) AS statuses
+  FROM c GROUP BY mmsi),
 z AS (SELECT id, bool_or(kind = 3) AS basin, bool_or(kind = 4) AS facility FROM {INSIDE_SQL} GROUP BY id),
-n AS (SELECT f.mmsi, f.speed, f.at_dock, coalesce(z.basin, FALSE) AS basin, coalesce(z.facility, FALSE) AS facility FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC) AS rn FROM fixes) f LEFT JOIN z ON z.id = f.id WHERE rn = 1),
-s AS (SELECT n.*, facts.* EXCLUDE (mmsi), coalesce(arc >= 45, FALSE) OR (radius >= 10 AND path >= greatest(50, 4 * radius) AND CASE WHEN path > 1e-6 THEN displacement / path ELSE 1 END <= 0.35e0) AS swing, anchored >= 0.6e0 AS at_anchor, points < 2 OR arc <= 25 AS stable FROM n LEFT JOIN facts ON facts.mmsi = n.mmsi),
-b AS (SELECT *, CASE WHEN points IS NULL THEN CASE WHEN speed > 1 THEN 'underway' ELSE 'insufficient' END WHEN points < 3 THEN 'insufficient' WHEN mean_speed > 0.9e0 OR radius > 250 THEN 'underway'
-  WHEN ((facility OR (basin AND at_dock)) AND stable AND NOT at_anchor AND NOT swing) OR (basin AND stable AND NOT at_anchor AND NOT swing AND (at_dock OR moored >= 0.6e0 OR statuses = 0)) THEN 'berthing' WHEN at_anchor OR swing THEN 'anchoring' ELSE 'staying' END AS behavior FROM s)"""
+n AS (SELECT f.mmsi, f.speed, f.at_dock, coalesce(z.basin, FALSE) AS basin, coalesce(z.facility, FALSE) AS facility FROM (SELECT *,
+  row_number() OVER (PARTITION BY mmsi ORDER BY t DESC) AS rn FROM fixes) f LEFT JOIN z ON z.id = f.id WHERE rn = 1),
+s AS (SELECT n.*, facts.* EXCLUDE (mmsi), coalesce(arc >= 45, FALSE) OR (radius >= 10 AND path >= greatest(50, 4 * radius) AND CASE
+  WHEN path > 1e-6 THEN displacement / path ELSE 1 END <= 0.35e0) AS swing, anchored >= 0.6e0 AS at_anchor, points < 2 OR arc <= 25 AS stable FROM n
+  LEFT JOIN facts ON facts.mmsi = n.mmsi),
+b AS (SELECT *, CASE WHEN points IS NULL THEN CASE WHEN speed > 1 THEN 'underway' ELSE 'insufficient' END WHEN points < 3 THEN 'insufficient'
+  WHEN mean_speed > 0.9e0 OR radius > 250 THEN 'underway'
+  WHEN ((facility OR (basin AND at_dock)) AND stable AND NOT at_anchor AND NOT swing) OR (basin AND stable AND NOT at_anchor AND NOT swing
+  AND (at_dock OR moored >= 0.6e0 OR statuses = 0)) THEN 'berthing' WHEN at_anchor OR swing THEN 'anchoring' ELSE 'staying' END AS behavior FROM s)"""
 
 
 @query(f"{_BEHAVIOR_SQL} SELECT mmsi, behavior, coalesce(points, 0) >= 3 AS qualified, coalesce(points, 0) AS points, coalesce(duration, 0) AS duration, round(radius, 3) AS radius, round(path, 3) AS path, arc AS heading_arc FROM b")
@@ -281,7 +306,8 @@ def behavior_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mmsi", "behavior", "qualified", F.col("points").cast("long").alias("points"), F.col("duration").cast("long").alias("duration"), F.round("radius", 3).alias("radius"), F.round("path", 3).alias("path"), "heading_arc")
 
 
-@query("""SELECT CAST(412000000 + c_custkey AS BIGINT) AS mmsi, CASE WHEN c_custkey % 4 = 0 THEN s_name ELSE c_name END AS name, s_suppkey FROM customer JOIN supplier ON s_suppkey * 3 = c_custkey""")
+@query("""SELECT CAST(412000000 + c_custkey AS BIGINT) AS mmsi, CASE WHEN c_custkey % 4 = 0 THEN s_name ELSE c_name END AS name, s_suppkey FROM customer
+  JOIN supplier ON s_suppkey * 3 = c_custkey""")
 def blacklist_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     ships = read(spark, sf_dir, "customer").select((F.lit(412000000) + k).cast("long").alias("mmsi"), F.when(k % 4 == 0, records.UNKNOWN_NAME).otherwise(F.col("c_name")).alias("name"))
@@ -292,20 +318,28 @@ def blacklist_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECENT = "t >= (SELECT max(t) FROM fixes) - 2400 AND speed <= 102.2e0"
 
 
-@query(f"""SELECT mmsi, n AS n_points, duration, max_v, CASE WHEN max_v / 4000 - 0.3e0 >= 2 THEN 'high' ELSE 'medium' END AS risk FROM ({tail_sql(FIXES_SQL, "speed > 0.3e0", 90, where=_RECENT)}) WHERE duration >= 120""")
+@query(f"""SELECT mmsi, n AS n_points, duration, max_v, CASE WHEN max_v / 4000 - 0.3e0 >= 2 THEN 'high' ELSE 'medium' END AS risk
+  FROM ({tail_sql(FIXES_SQL, "speed > 0.3e0", 90, where=_RECENT)}) WHERE duration >= 120""")
 def high_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detectors.high_speed(fixes(spark, sf_dir), detectors.HighSpeedConfig(limit=0.3, window=2400.0, min_seconds=120.0, high_excess=2.0))
     return found.select("mmsi", "n_points", "duration", F.round(F.col("max_speed") * 4000).cast("long").alias("max_v"), "risk")
 
 
-@query(f"""WITH {FIXES_SQL}, {ZONES_SQL}, h AS {INSIDE_SQL}, u AS (SELECT f.*, (SELECT arg_max(h.zone, h.kind * 100 - h.rank) FROM h WHERE h.id = f.id) AS zone, (SELECT max(h.kind) FROM h WHERE h.id = f.id) AS kind FROM fixes f),
+@query(f"""WITH {FIXES_SQL}, {ZONES_SQL}, h AS {INSIDE_SQL}, u AS (SELECT f.*, (SELECT arg_max(h.zone, h.kind * 100 - h.rank) FROM h WHERE h.id = f.id) AS zone,
+  (SELECT max(h.kind) FROM h WHERE h.id = f.id) AS kind FROM fixes f),
 r AS (SELECT *, coalesce(2e0 + kind, 1.5e0) AS lim, NOT at_dock AND coalesce(nav_status IN (0, 15, 1, 5), TRUE) AS ok FROM u),
-l AS (SELECT *, lead(t) OVER w AS nt, last_value(zone) OVER x AS lz, last_value(lim) OVER x AS ll FROM r WINDOW w AS (PARTITION BY mmsi ORDER BY t), x AS (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-m AS (SELECT *, max(CASE WHEN NOT (ok AND speed < lim) OR coalesce(nt - t > 90, FALSE) OR zone IS DISTINCT FROM lz OR lim <> ll THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS brk FROM l), tail AS (SELECT * FROM m WHERE t > brk),
+l AS (SELECT *, lead(t) OVER w AS nt, last_value(zone) OVER x AS lz, last_value(lim) OVER x AS ll FROM r WINDOW w AS (PARTITION BY mmsi ORDER BY t),
+  x AS (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+m AS (SELECT *, max(CASE WHEN NOT (ok AND speed < lim) OR coalesce(nt - t > 90, FALSE) OR zone IS DISTINCT FROM lz OR lim <> ll THEN t
+  ELSE -1 END) OVER (PARTITION BY mmsi) AS brk FROM l), tail AS (SELECT * FROM m WHERE t > brk),
 i AS (SELECT *, sum(CASE WHEN speed > 0.5e0 THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM tail),
-d AS (SELECT mmsi, t, island, {HAVERSINE_SQL.format(lon1="flon", lat1="flat", lon2="lon", lat2="lat")} AS drift FROM (SELECT *, first_value(lon) OVER (PARTITION BY mmsi, island ORDER BY t) AS flon, first_value(lat) OVER (PARTITION BY mmsi, island ORDER BY t) AS flat FROM i WHERE speed <= 0.5e0)),
-s AS (SELECT mmsi, max(b) AS stopped FROM (SELECT mmsi, island, max(t) AS b FROM d GROUP BY 1, 2 HAVING max(t) - min(t) >= 60 AND max(drift) <= 80) GROUP BY mmsi)
-SELECT tail.mmsi, tail.zone, count(*) AS n_points, max(t) - min(t) AS duration, max(v) AS max_v FROM tail LEFT JOIN s ON s.mmsi = tail.mmsi WHERE stopped IS NULL OR t > stopped GROUP BY tail.mmsi, tail.zone HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
+d AS (SELECT mmsi, t, island, {HAVERSINE_SQL.format(lon1="flon", lat1="flat", lon2="lon", lat2="lat")} AS drift FROM (SELECT *,
+  first_value(lon) OVER (PARTITION BY mmsi, island ORDER BY t) AS flon, first_value(lat) OVER (PARTITION BY mmsi, island ORDER BY t) AS flat FROM i
+  WHERE speed <= 0.5e0)),
+s AS (SELECT mmsi, max(b) AS stopped FROM (SELECT mmsi, island, max(t) AS b FROM d GROUP BY 1, 2 HAVING max(t) - min(t) >= 60 AND max(drift) <= 80)
+  GROUP BY mmsi)
+SELECT tail.mmsi, tail.zone, count(*) AS n_points, max(t) - min(t) AS duration, max(v) AS max_v FROM tail LEFT JOIN s ON s.mmsi = tail.mmsi
+  WHERE stopped IS NULL OR t > stopped GROUP BY tail.mmsi, tail.zone HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
 def low_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixes(spark, sf_dir)
     z = zones(spark, sf_dir)
@@ -316,10 +350,15 @@ def low_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mmsi", "zone", "n_points", "duration", F.round(F.col("max_speed") * 4000).cast("long").alias("max_v"))
 
 
-@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, k AS (SELECT i.id, arg_min(i.zone, i.rank) AS place FROM {INSIDE_SQL} i GROUP BY i.id), a AS (SELECT f.*, k.place FROM fixes f JOIN b ON b.mmsi = f.mmsi AND b.behavior IN ('anchoring', 'staying') AND b.points >= 3 AND b.radius <= 250 LEFT JOIN k ON k.id = f.id),
-o AS (SELECT *, lead(t) OVER w AS nxt, last_value(place) OVER x AS lp FROM a WINDOW w AS (PARTITION BY mmsi ORDER BY t), x AS (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-u AS (SELECT *, max(CASE WHEN NOT speed <= 1 OR place IS NULL OR place IS DISTINCT FROM lp OR coalesce(nxt - t > 300, FALSE) THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS brk2 FROM o)
-SELECT mmsi, place, count(*) AS n_points, min(t) AS since, max(t) - min(t) AS duration FROM u WHERE t > brk2 GROUP BY mmsi, place HAVING count(*) >= 3 AND max(t) - min(t) >= 120""")
+@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, k AS (SELECT i.id, arg_min(i.zone, i.rank) AS place FROM {INSIDE_SQL} i GROUP BY i.id), a AS (SELECT f.*,
+  k.place FROM fixes f JOIN b ON b.mmsi = f.mmsi AND b.behavior IN ('anchoring', 'staying') AND b.points >= 3 AND b.radius <= 250 LEFT
+  JOIN k ON k.id = f.id),
+o AS (SELECT *, lead(t) OVER w AS nxt, last_value(place) OVER x AS lp FROM a WINDOW w AS (PARTITION BY mmsi ORDER BY t), x AS (PARTITION BY mmsi
+  ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+u AS (SELECT *, max(CASE WHEN NOT speed <= 1 OR place IS NULL OR place IS DISTINCT FROM lp OR coalesce(nxt - t > 300, FALSE) THEN t
+  ELSE -1 END) OVER (PARTITION BY mmsi) AS brk2 FROM o)
+SELECT mmsi, place, count(*) AS n_points, min(t) AS since, max(t) - min(t) AS duration FROM u WHERE t > brk2 GROUP BY mmsi, place
+  HAVING count(*) >= 3 AND max(t) - min(t) >= 120""")
 def illegal_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchored or staying in one place: the trimming that illegal anchoring and staying share."""
     cfg = detectors.StayConfig(max_speed=1.0, min_seconds=120.0)
@@ -333,14 +372,20 @@ def _in_place(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return f.join(place, "id", "left")
 
 
-_STAY_RUN_SQL = """, o AS (SELECT *, lead(t) OVER w AS nxt, last_value(place) OVER x AS lp, last_value(state) OVER x AS ls, last_value(lon) OVER x AS llon2, last_value(lat) OVER x AS llat2 FROM a WINDOW w AS (PARTITION BY mmsi ORDER BY t), x AS (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-u AS (SELECT *, max(CASE WHEN NOT speed <= 1 OR {null} IS NULL OR place IS DISTINCT FROM lp OR state IS DISTINCT FROM ls OR coalesce(nxt - t > 300, FALSE) {far} THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS brk2 FROM o)"""
+_STAY_RUN_SQL = """, o AS (SELECT *, lead(t) OVER w AS nxt, last_value(place) OVER x AS lp, last_value(state) OVER x AS ls, last_value(lon) OVER x AS llon2,
+  last_value(lat) OVER x AS llat2 FROM a WINDOW w AS (PARTITION BY mmsi ORDER BY t), x AS (PARTITION BY mmsi
+  ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+u AS (SELECT *, max(CASE WHEN NOT speed <= 1 OR {null} IS NULL OR place IS DISTINCT FROM lp OR state IS DISTINCT FROM ls OR coalesce(nxt - t > 300,
+  FALSE) {far} THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS brk2 FROM o)"""
 _PLACE_SQL = f"k AS (SELECT i.id, arg_min(i.zone, i.rank) AS place, CASE WHEN bool_or(i.kind = 0) THEN 'prohibited' WHEN bool_or(i.kind IN (1, 2)) THEN 'authorized' ELSE 'covered' END AS state FROM {INSIDE_SQL} i GROUP BY i.id)"
 
 
-@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, {_PLACE_SQL}, a AS (SELECT f.*, k.place, CASE WHEN k.state = 'authorized' THEN NULL ELSE k.state END AS state FROM fixes f JOIN b ON b.mmsi = f.mmsi AND b.behavior = 'anchoring' AND b.points >= 3 AND b.radius <= 250 LEFT JOIN k ON k.id = f.id WHERE NOT f.at_dock)
+@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, {_PLACE_SQL}, a AS (SELECT f.*, k.place, CASE WHEN k.state = 'authorized' THEN NULL
+  ELSE k.state END AS state FROM fixes f JOIN b ON b.mmsi = f.mmsi AND b.behavior = 'anchoring' AND b.points >= 3 AND b.radius <= 250 LEFT
+  JOIN k ON k.id = f.id WHERE NOT f.at_dock)
 {_STAY_RUN_SQL.format(null="state", far="")}
-SELECT mmsi, state, place, count(*) AS n_points, max(t) - min(t) AS duration, CASE WHEN state = 'prohibited' THEN 'high' ELSE 'medium' END AS risk FROM u WHERE t > brk2 GROUP BY mmsi, state, place HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
+SELECT mmsi, state, place, count(*) AS n_points, max(t) - min(t) AS duration, CASE WHEN state = 'prohibited' THEN 'high' ELSE 'medium' END AS risk
+  FROM u WHERE t > brk2 GROUP BY mmsi, state, place HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
 def anchoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchored outside authorised areas; the state of a fix follows from the kinds of its zones."""
     f = fixes(spark, sf_dir)
@@ -353,19 +398,25 @@ def anchoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mmsi", "state", "place", "n_points", "duration", "risk")
 
 
-@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, {_PLACE_SQL}, a AS (SELECT f.*, k.place, 1 AS state FROM fixes f JOIN b ON b.mmsi = f.mmsi AND b.behavior IN ('anchoring', 'staying') AND b.points >= 2 AND b.radius <= 250 LEFT JOIN k ON k.id = f.id)
+@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, {_PLACE_SQL}, a AS (SELECT f.*, k.place, 1 AS state FROM fixes f JOIN b ON b.mmsi = f.mmsi
+  AND b.behavior IN ('anchoring', 'staying') AND b.points >= 2 AND b.radius <= 250 LEFT JOIN k ON k.id = f.id)
 {_STAY_RUN_SQL.format(null="place", far="OR NOT " + HAVERSINE_SQL.format(lon1="lon", lat1="lat", lon2="llon2", lat2="llat2") + " <= 120")}
-SELECT mmsi, place AS area, count(*) AS n_points, min(t) AS since, max(t) - min(t) AS duration FROM u WHERE t > brk2 GROUP BY mmsi, place HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
+SELECT mmsi, place AS area, count(*) AS n_points, min(t) AS since, max(t) - min(t) AS duration FROM u WHERE t > brk2 GROUP BY mmsi, place
+  HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
 def staying(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staying or anchored in a forbidden area."""
     cfg = detectors.StayConfig(max_speed=1.0, max_drift=120.0, min_points=2, min_seconds=60.0)
     return detectors.staying(_in_place(spark, sf_dir, "area"), _behavior(spark, sf_dir), cfg)
 
 
-@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, f2 AS (SELECT mmsi, arg_max(id, t) % 3 <> 0 AS near_facility, arg_max(id, t) % 4 = 0 AS authorised FROM fixes GROUP BY mmsi),
-moor AS (SELECT *, lead(t) OVER (PARTITION BY mmsi ORDER BY t) AS nt2 FROM fixes), moor2 AS (SELECT *, max(CASE WHEN NOT coalesce(nav_status = 5, FALSE) OR coalesce(nt2 - t > 1200, FALSE) THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS last5 FROM moor)
-SELECT b.mmsi, 'berthed' AS reason FROM b JOIN f2 ON f2.mmsi = b.mmsi WHERE b.behavior = 'berthing' AND points >= 3 AND duration >= 60 AND mean_speed <= 0.9e0 AND radius <= 250 AND near_facility AND NOT authorised
-UNION ALL SELECT mmsi, 'moored under way' AS reason FROM moor2 WHERE t > last5 GROUP BY mmsi HAVING count(*) >= 2 AND max(t) - min(t) >= 60 AND avg(speed) >= 0.5e0""")
+@query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, f2 AS (SELECT mmsi, arg_max(id, t) % 3 <> 0 AS near_facility, arg_max(id, t) % 4 = 0 AS authorised
+  FROM fixes GROUP BY mmsi),
+moor AS (SELECT *, lead(t) OVER (PARTITION BY mmsi ORDER BY t) AS nt2 FROM fixes), moor2 AS (SELECT *, max(CASE WHEN NOT coalesce(nav_status = 5,
+  FALSE) OR coalesce(nt2 - t > 1200, FALSE) THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS last5 FROM moor)
+SELECT b.mmsi, 'berthed' AS reason FROM b JOIN f2 ON f2.mmsi = b.mmsi WHERE b.behavior = 'berthing' AND points >= 3 AND duration >= 60
+  AND mean_speed <= 0.9e0 AND radius <= 250 AND near_facility AND NOT authorised
+UNION ALL SELECT mmsi, 'moored under way' AS reason FROM moor2 WHERE t > last5 GROUP BY mmsi HAVING count(*) >= 2 AND max(t) - min(t) >= 60
+  AND avg(speed) >= 0.5e0""")
 def parking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Berthed too long where it is not allowed, or sailing while 'moored'."""
     f = fixes(spark, sf_dir)
@@ -383,9 +434,12 @@ def moored_underway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mmsi", "n_points", "duration")
 
 
-@query(f"""WITH RECURSIVE {WALK_SQL}, l AS (SELECT mmsi // 2 AS pair, list(t ORDER BY t) AS la FROM fixes WHERE mmsi % 2 = 0 GROUP BY 1), r AS (SELECT mmsi // 2 AS pair, list(t + 20 + id % 5 * 15 ORDER BY t + 20 + id % 5 * 15) AS lb FROM fixes WHERE mmsi % 2 = 1 GROUP BY 1),
+@query(f"""WITH RECURSIVE {WALK_SQL}, l AS (SELECT mmsi // 2 AS pair, list(t ORDER BY t) AS la FROM fixes WHERE mmsi % 2 = 0 GROUP BY 1), r AS
+  (SELECT mmsi // 2 AS pair, list(t + 20 + id % 5 * 15 ORDER BY t + 20 + id % 5 * 15) AS lb FROM fixes WHERE mmsi % 2 = 1 GROUP BY 1),
 p AS (SELECT pair, la, lb, 1 AS i, 1 AS j, CAST(NULL AS BIGINT) AS t_a, CAST(NULL AS BIGINT) AS t_b FROM l JOIN r USING (pair) UNION ALL
-  SELECT pair, la, lb, CASE WHEN abs(d) <= 45 OR d < 0 THEN i + 1 ELSE i END, CASE WHEN abs(d) <= 45 OR d > 0 THEN j + 1 ELSE j END, CASE WHEN abs(d) <= 45 THEN la[i] END, CASE WHEN abs(d) <= 45 THEN lb[j] END FROM (SELECT *, la[i] - lb[j] AS d FROM p WHERE i <= len(la) AND j <= len(lb)))
+  SELECT pair, la, lb, CASE WHEN abs(d) <= 45 OR d < 0 THEN i + 1 ELSE i END, CASE WHEN abs(d) <= 45 OR d > 0 THEN j + 1 ELSE j END, CASE
+  WHEN abs(d) <= 45 THEN la[i] END, CASE WHEN abs(d) <= 45 THEN lb[j] END FROM (SELECT *, la[i] - lb[j] AS d FROM p WHERE i <= len(la)
+  AND j <= len(lb)))
 SELECT pair, t_a, t_b FROM p WHERE t_a IS NOT NULL""")
 def double_drag_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one pairs of the samples of two vessels' tracks."""
@@ -395,9 +449,13 @@ def double_drag_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.align(w.filter("mmsi % 2 = 0").select(pair, "t"), odd, ["pair"], 45)
 
 
-@query(f"""WITH {WALK_SQL}, p AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, a.speed AS sa, b.speed AS sb, a.course AS ca, b.course AS cb, {distance_sql("a", "b")} AS d FROM fixes a JOIN fixes b ON b.mmsi = a.mmsi + 10 AND b.t = a.t)
-SELECT mmsi_a, mmsi_b, count(*) AS n_points, max(t) - min(t) AS duration, round(avg(d), 3) AS mean_distance, round(coalesce(stddev_samp(d), 0), 3) AS std_distance, {R.format("count(*) FILTER (d BETWEEN 100 AND 2000) / count(*)")} AS in_range,
-  {R.format("count(*) FILTER (least(abs(ca - cb) % 360, 360 - abs(ca - cb) % 360) <= 20) / count(*)")} AS same_course, {R.format("count(*) FILTER (abs(sa - sb) <= 1.5e0) / count(*)")} AS same_speed, {R.format("corr(sa, sb)")} AS speed_correlation FROM p GROUP BY mmsi_a, mmsi_b""")
+@query(f"""WITH {WALK_SQL}, p AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, a.speed AS sa, b.speed AS sb, a.course AS ca, b.course AS cb,
+  {distance_sql("a", "b")} AS d FROM fixes a JOIN fixes b ON b.mmsi = a.mmsi + 10 AND b.t = a.t)
+SELECT mmsi_a, mmsi_b, count(*) AS n_points, max(t) - min(t) AS duration, round(avg(d), 3) AS mean_distance, round(coalesce(stddev_samp(d), 0),
+  3) AS std_distance, {R.format("count(*) FILTER (d BETWEEN 100 AND 2000) / count(*)")} AS in_range,
+  {R.format("count(*) FILTER (least(abs(ca - cb) % 360, 360 - abs(ca - cb) % 360) <= 20) / count(*)")} AS same_course,
+  {R.format("count(*) FILTER (abs(sa - sb) <= 1.5e0) / count(*)")} AS same_speed, {R.format("corr(sa, sb)")} AS speed_correlation FROM p
+  GROUP BY mmsi_a, mmsi_b""")
 def double_drag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = walk(spark, sf_dir)
     columns = ("lon", "lat", "speed", "course")
@@ -432,17 +490,28 @@ def wandering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VOYAGES_SQL = f"""{WALK_SQL}, {ZONES_SQL}, oz AS (SELECT i.id, min(i.zone) AS origin FROM {INSIDE_SQL} i GROUP BY i.id),
-f1 AS (SELECT f.mmsi, t, f.speed * 4 AS speed, CAST(50 + f.id % 8 AS DOUBLE) / 10 AS draught, f.length / 3 AS length, nav_status, at_dock, CASE WHEN f.id % 6 = 0 THEN 'HKG' ELSE 'CHN' END AS iso3, origin, f.id % 4 > 0 AS near_coast, f.id % 29 = 0 AS near_port FROM fixes f LEFT JOIN oz ON oz.id = f.id),
+f1 AS (SELECT f.mmsi, t, f.speed * 4 AS speed, CAST(50 + f.id % 8 AS DOUBLE) / 10 AS draught, f.length / 3 AS length, nav_status, at_dock, CASE
+  WHEN f.id % 6 = 0 THEN 'HKG' ELSE 'CHN' END AS iso3, origin, f.id % 4 > 0 AS near_coast, f.id % 29 = 0 AS near_port FROM fixes f LEFT
+  JOIN oz ON oz.id = f.id),
 f2 AS (SELECT *, t - lag(t) OVER w AS gap, lag(origin) OVER w AS was FROM f1 WINDOW w AS (PARTITION BY mmsi ORDER BY t)),
-f3 AS (SELECT *, sum(CASE WHEN CASE WHEN origin IS NOT NULL THEN origin IS DISTINCT FROM was OR coalesce(gap > 180, TRUE) ELSE was IS NOT NULL OR gap IS NULL END THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM f2),
-f4 AS (SELECT *, row_number() OVER x AS nth, min(t) OVER x AS began, max(speed) OVER x AS fast, first_value(draught) OVER x AS base FROM f3 WINDOW x AS (PARTITION BY mmsi, run ORDER BY t ROWS UNBOUNDED PRECEDING)),
-f5 AS (SELECT *, last_value(CASE WHEN origin IS NOT NULL THEN {{'origin': origin, 'sure': nth >= 2 AND t - began >= 60, 'fast': fast, 'base': base}} END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stay FROM f4),
-f6 AS (SELECT *, nth > 1 AND near_coast AS near, nth > 1 AND near_coast AND (speed <= 1.5e0 OR at_dock OR coalesce(nav_status IN (1, 5), FALSE)) AS lands FROM f5 WHERE origin IS NULL AND stay IS NOT NULL AND stay.sure),
-f7 AS (SELECT *, max(CASE WHEN nth > 1 AND (near_port OR t - began > 43200) THEN 1 ELSE 0 END) OVER x AS ended, sum(CASE WHEN lands THEN 0 ELSE 1 END) OVER x AS brk, max(CASE WHEN nth > 1 THEN gap END) OVER x AS max_gap,
-  max(CASE WHEN nth > 1 THEN abs(draught - stay.base) END) OVER x AS change FROM f6 WINDOW x AS (PARTITION BY mmsi, run ORDER BY t ROWS UNBOUNDED PRECEDING)),
-f8 AS (SELECT *, lands AND t - min(CASE WHEN lands THEN t END) OVER y >= 60 AND count(*) FILTER (lands) OVER y >= 2 AS landed FROM f7 WINDOW y AS (PARTITION BY mmsi, run, brk ORDER BY t ROWS UNBOUNDED PRECEDING)),
-f9 AS (SELECT mmsi, t, stay.origin AS origin, began AS departed_at, least(100, 40 + CASE WHEN (began + 28800) % 86400 // 3600 >= 20 OR (began + 28800) % 86400 // 3600 < 6 THEN 15 ELSE 0 END + CASE WHEN landed THEN 20 ELSE 0 END + CASE WHEN at_dock THEN 15 ELSE 0 END
-  + CASE WHEN max_gap > 180 THEN 15 ELSE 0 END + CASE WHEN change >= 0.5e0 THEN 15 ELSE 0 END + CASE WHEN iso3 = 'HKG' THEN 10 ELSE 0 END + CASE WHEN length <= 50 AND greatest(fast, stay.fast) >= 15 THEN 10 ELSE 0 END) AS score FROM f8 WHERE near AND ended = 0)"""
+f3 AS (SELECT *, sum(CASE WHEN CASE WHEN origin IS NOT NULL THEN origin IS DISTINCT FROM was OR coalesce(gap > 180, TRUE) ELSE was IS NOT NULL
+  OR gap IS NULL END THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM f2),
+f4 AS (SELECT *, row_number() OVER x AS nth, min(t) OVER x AS began, max(speed) OVER x AS fast, first_value(draught) OVER x AS base FROM f3
+  WINDOW x AS (PARTITION BY mmsi, run ORDER BY t ROWS UNBOUNDED PRECEDING)),
+f5 AS (SELECT *, last_value(CASE WHEN origin IS NOT NULL THEN {{'origin': origin, 'sure': nth >= 2 AND t - began >= 60, 'fast': fast, 'base': base}}
+  END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stay FROM f4),
+f6 AS (SELECT *, nth > 1 AND near_coast AS near, nth > 1 AND near_coast AND (speed <= 1.5e0 OR at_dock OR coalesce(nav_status IN (1, 5),
+  FALSE)) AS lands FROM f5 WHERE origin IS NULL AND stay IS NOT NULL AND stay.sure),
+f7 AS (SELECT *, max(CASE WHEN nth > 1 AND (near_port OR t - began > 43200) THEN 1 ELSE 0 END) OVER x AS ended, sum(CASE WHEN lands THEN 0
+  ELSE 1 END) OVER x AS brk, max(CASE WHEN nth > 1 THEN gap END) OVER x AS max_gap,
+  max(CASE WHEN nth > 1 THEN abs(draught - stay.base) END) OVER x AS change FROM f6 WINDOW x AS (PARTITION BY mmsi, run
+  ORDER BY t ROWS UNBOUNDED PRECEDING)),
+f8 AS (SELECT *, lands AND t - min(CASE WHEN lands THEN t END) OVER y >= 60 AND count(*) FILTER (lands) OVER y >= 2 AS landed FROM f7
+  WINDOW y AS (PARTITION BY mmsi, run, brk ORDER BY t ROWS UNBOUNDED PRECEDING)),
+f9 AS (SELECT mmsi, t, stay.origin AS origin, began AS departed_at, least(100, 40 + CASE WHEN (began + 28800) % 86400 // 3600 >= 20
+  OR (began + 28800) % 86400 // 3600 < 6 THEN 15 ELSE 0 END + CASE WHEN landed THEN 20 ELSE 0 END + CASE WHEN at_dock THEN 15 ELSE 0 END
+  + CASE WHEN max_gap > 180 THEN 15 ELSE 0 END + CASE WHEN change >= 0.5e0 THEN 15 ELSE 0 END + CASE WHEN iso3 = 'HKG' THEN 10 ELSE 0 END + CASE
+  WHEN length <= 50 AND greatest(fast, stay.fast) >= 15 THEN 10 ELSE 0 END) AS score FROM f8 WHERE near AND ended = 0)"""
 
 
 def _voyage_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,14 +535,16 @@ def smuggling_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("mmsi", "t", "origin", "departed_at", "score", "risk")
 
 
-@query(f"""WITH {_VOYAGES_SQL} SELECT mmsi, departed_at, any_value(origin) AS origin, count(*) AS n_shore, min(t) AS first_shore, max(t) AS last_shore, max(score) AS score, arg_max(t, score * 1000000 - t) AS scored_at,
+@query(f"""WITH {_VOYAGES_SQL} SELECT mmsi, departed_at, any_value(origin) AS origin, count(*) AS n_shore, min(t) AS first_shore, max(t) AS last_shore,
+  max(score) AS score, arg_max(t, score * 1000000 - t) AS scored_at,
   CASE WHEN max(score) >= 80 THEN 'high' WHEN max(score) >= 60 THEN 'medium' ELSE 'low' END AS risk FROM f9 GROUP BY mmsi, departed_at""")
 def smuggling_voyages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voyages from an origin stay to the shore, with their highest score."""
     return detectors.smuggling(_voyage_fixes(spark, sf_dir), _VOYAGE)
 
 
-@query(f"""WITH {FIXES_SQL}, s AS (SELECT mmsi, t, CASE WHEN id % 5 = 0 THEN CASE WHEN v > 2000 THEN 'overload' ELSE 'normal' END WHEN v > 3000 THEN 'overload' ELSE 'normal' END AS state FROM fixes), l AS (SELECT *, lag(state) OVER (PARTITION BY mmsi ORDER BY t) AS p FROM s),
+@query(f"""WITH {FIXES_SQL}, s AS (SELECT mmsi, t, CASE WHEN id % 5 = 0 THEN CASE WHEN v > 2000 THEN 'overload' ELSE 'normal' END WHEN v > 3000 THEN 'overload'
+  ELSE 'normal' END AS state FROM fixes), l AS (SELECT *, lag(state) OVER (PARTITION BY mmsi ORDER BY t) AS p FROM s),
 r AS (SELECT *, sum(CASE WHEN p IS DISTINCT FROM state THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM l)
 SELECT mmsi, t, state FROM (SELECT *, row_number() OVER (PARTITION BY mmsi, run ORDER BY t) AS nth FROM r) WHERE nth = 3""")
 def overload_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AREA_SQL = "areas AS (SELECT zone, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edges GROUP BY zone)"
 
 
-@query(f"""WITH {_BOTH}, {_AREA_SQL}, h AS (SELECT i.id, i.zone, row_number() OVER (PARTITION BY i.id ORDER BY round(a.area * 1e9), i.zone) AS nth FROM {INSIDE_SQL} i JOIN areas a USING (zone))
+@query(f"""WITH {_BOTH}, {_AREA_SQL}, h AS (SELECT i.id, i.zone, row_number() OVER (PARTITION BY i.id ORDER BY round(a.area * 1e9), i.zone) AS nth
+  FROM {INSIDE_SQL} i JOIN areas a USING (zone))
 SELECT f.id, h.zone AS smallest FROM fixes f LEFT JOIN h ON h.id = f.id AND h.nth = 1""")
 def zone_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The containing zone of the smallest area, ties by name."""
@@ -37,7 +38,8 @@ def zone_speed_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.best_zone(fixes(spark, sf_dir).select("id", "lon", "lat"), zones(spark, sf_dir), ["id"], (-F.col("kind"), F.col("rank")), "ruled", CELL).select("id", "ruled")
 
 
-@query(f"""WITH {_BOTH}, h AS {INSIDE_SQL} SELECT f.id, CASE WHEN bool_or(h.kind = 0) THEN 'prohibited' WHEN bool_or(h.kind IN (1, 2)) THEN 'authorized' WHEN bool_or(h.kind IS NOT NULL) THEN 'covered' ELSE 'outside' END AS state
+@query(f"""WITH {_BOTH}, h AS {INSIDE_SQL} SELECT f.id, CASE WHEN bool_or(h.kind = 0) THEN 'prohibited' WHEN bool_or(h.kind IN (1, 2)) THEN 'authorized'
+  WHEN bool_or(h.kind IS NOT NULL) THEN 'covered' ELSE 'outside' END AS state
 FROM fixes f LEFT JOIN h ON h.id = f.id GROUP BY f.id""")
 def zone_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixes(spark, sf_dir).select("id", "lon", "lat")
@@ -46,8 +48,10 @@ def zone_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(kinds, "id", "left").select("id", state.alias("state"))
 
 
-_SEGMENT_DISTANCE_SQL = """(SELECT p.id, e.zone, sqrt(pow(ax + k * dx, 2) + pow(ay + k * dy, 2)) AS d FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0e0, least(1e0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) ELSE 0e0 END AS k FROM
-  (SELECT p.id, e.zone, (e.x1 - p.lon) * 111194.92664455874 * cos(radians(p.lat)) AS ax, (e.y1 - p.lat) * 111194.92664455874 AS ay, (e.x2 - e.x1) * 111194.92664455874 * cos(radians(p.lat)) AS dx, (e.y2 - e.y1) * 111194.92664455874 AS dy
+_SEGMENT_DISTANCE_SQL = """(SELECT p.id, e.zone, sqrt(pow(ax + k * dx, 2) + pow(ay + k * dy, 2)) AS d FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0e0,
+  least(1e0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) ELSE 0e0 END AS k FROM
+  (SELECT p.id, e.zone, (e.x1 - p.lon) * 111194.92664455874 * cos(radians(p.lat)) AS ax, (e.y1 - p.lat) * 111194.92664455874 AS ay,
+  (e.x2 - e.x1) * 111194.92664455874 * cos(radians(p.lat)) AS dx, (e.y2 - e.y1) * 111194.92664455874 AS dy
    FROM fixes p CROSS JOIN edges e)) q)""".replace("SELECT p.id, e.zone, sqrt", "SELECT q.id, q.zone, sqrt")
 
 
@@ -57,8 +61,10 @@ def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_segment(fixes(spark, sf_dir), segments, ["id"], 300.0, CELL).withColumn("distance", F.round("distance", 3))
 
 
-@query(f"""WITH {_BOTH}, h AS {INSIDE_SQL}, d AS (SELECT s.id, s.zone, CASE WHEN any_value(h.zone) IS NULL THEN min(s.d) ELSE 0e0 END AS d FROM {_SEGMENT_DISTANCE_SQL} s LEFT JOIN h ON h.id = s.id AND h.zone = s.zone GROUP BY s.id, s.zone)
-SELECT id, zone, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, zone) AS rn FROM d WHERE d <= 300) WHERE rn = 1""")
+@query(f"""WITH {_BOTH}, h AS {INSIDE_SQL}, d AS (SELECT s.id, s.zone, CASE WHEN any_value(h.zone) IS NULL THEN min(s.d) ELSE 0e0 END AS d
+  FROM {_SEGMENT_DISTANCE_SQL} s LEFT JOIN h ON h.id = s.id AND h.zone = s.zone GROUP BY s.id, s.zone)
+SELECT id, zone, round(d, 3) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, zone) AS rn FROM d WHERE d <= 300)
+  WHERE rn = 1""")
 def nearest_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_zone(fixes(spark, sf_dir), zones(spark, sf_dir), ["id"], 300.0, CELL).withColumn("distance", F.round("distance", 3))
 
@@ -68,8 +74,10 @@ def zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""WITH b AS (SELECT n_nationkey AS k, n_name AS name FROM nation), c AS (SELECT n_nationkey * 2 AS k, 'changed ' || n_name AS name, n_nationkey % 3 <> 0 AS is_active FROM nation)
-SELECT coalesce(c.k, b.k) AS k, CASE WHEN c.k IS NOT NULL THEN c.name ELSE b.name END AS name FROM b FULL JOIN c ON b.k = c.k WHERE c.k IS NULL OR c.is_active""")
+@query("""WITH b AS (SELECT n_nationkey AS k, n_name AS name FROM nation), c AS (SELECT n_nationkey * 2 AS k, 'changed ' || n_name AS name,
+  n_nationkey % 3 <> 0 AS is_active FROM nation)
+SELECT coalesce(c.k, b.k) AS k, CASE WHEN c.k IS NOT NULL THEN c.name ELSE b.name END AS name FROM b FULL JOIN c ON b.k = c.k WHERE c.k IS NULL
+  OR c.is_active""")
 def zone_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
     changes = n.select((F.col("n_nationkey") * 2).alias("k"), F.concat(F.lit("changed "), "n_name").alias("name"), (F.col("n_nationkey") % 3 != 0).alias("is_active"))
@@ -81,30 +89,40 @@ def _fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIDES_SQL = f"""d AS (SELECT id, zone, min(d) AS d FROM {_SEGMENT_DISTANCE_SQL} GROUP BY id, zone), h AS {INSIDE_SQL},
-sides AS (SELECT p.mmsi, p.t, p.id, p.lon, p.lat, d.zone, CASE WHEN d.d <= 10 THEN 'boundary' WHEN h.id IS NOT NULL THEN 'inside' ELSE 'outside' END AS side FROM fixes p JOIN d ON d.id = p.id LEFT JOIN h ON h.id = d.id AND h.zone = d.zone),
-moves AS (SELECT *, last_value(CASE WHEN side <> 'boundary' THEN side END IGNORE NULLS) OVER w AS was, last_value(CASE WHEN side <> 'boundary' THEN lon END IGNORE NULLS) OVER w AS plon, last_value(CASE WHEN side <> 'boundary' THEN lat END IGNORE NULLS) OVER w AS plat
+sides AS (SELECT p.mmsi, p.t, p.id, p.lon, p.lat, d.zone, CASE WHEN d.d <= 10 THEN 'boundary' WHEN h.id IS NOT NULL THEN 'inside'
+  ELSE 'outside' END AS side FROM fixes p JOIN d ON d.id = p.id LEFT JOIN h ON h.id = d.id AND h.zone = d.zone),
+moves AS (SELECT *, last_value(CASE WHEN side <> 'boundary' THEN side END IGNORE NULLS) OVER w AS was, last_value(CASE
+  WHEN side <> 'boundary' THEN lon END IGNORE NULLS) OVER w AS plon, last_value(CASE WHEN side <> 'boundary' THEN lat END IGNORE NULLS) OVER w AS plat
   FROM sides WINDOW w AS (PARTITION BY mmsi, zone ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-_LEG_SQL = """cuts AS (SELECT mmsi, t, zone, count(DISTINCT round(tt, 10)) AS n FROM (SELECT m.mmsi, m.t, m.zone, rx * sy - ry * sx AS det, ((e.x1 - plon) * sy - (e.y1 - plat) * sx) / nullif(rx * sy - ry * sx, 0) AS tt, ((e.x1 - plon) * ry - (e.y1 - plat) * rx) / nullif(rx * sy - ry * sx, 0) AS uu
-  FROM (SELECT *, lon - plon AS rx, lat - plat AS ry FROM moves WHERE was = 'outside' AND side = 'outside') m JOIN (SELECT *, x2 - x1 AS sx, y2 - y1 AS sy FROM edges) e ON e.zone = m.zone) m WHERE abs(det) > 1e-12 AND tt BETWEEN 0 AND 1 AND uu BETWEEN 0 AND 1 GROUP BY mmsi, t, zone)"""
+_LEG_SQL = """cuts AS (SELECT mmsi, t, zone, count(DISTINCT round(tt, 10)) AS n FROM (SELECT m.mmsi, m.t, m.zone, rx * sy - ry * sx AS det,
+  ((e.x1 - plon) * sy - (e.y1 - plat) * sx) / nullif(rx * sy - ry * sx, 0) AS tt,
+  ((e.x1 - plon) * ry - (e.y1 - plat) * rx) / nullif(rx * sy - ry * sx, 0) AS uu
+  FROM (SELECT *, lon - plon AS rx, lat - plat AS ry FROM moves WHERE was = 'outside' AND side = 'outside') m JOIN (SELECT *, x2 - x1 AS sx,
+  y2 - y1 AS sy FROM edges) e ON e.zone = m.zone) m WHERE abs(det) > 1e-12 AND tt BETWEEN 0 AND 1 AND uu BETWEEN 0 AND 1 GROUP BY mmsi, t, zone)"""
 
 
 @query(f"""WITH {WALK_SQL}, {ZONES_SQL}, {_SIDES_SQL}, {_LEG_SQL},
-e AS (SELECT m.mmsi, m.t, m.zone AS fence, CASE WHEN side = 'inside' AND was = 'outside' THEN 'enter' WHEN side = 'outside' AND was = 'inside' THEN 'exit' WHEN side = 'outside' AND was = 'outside' AND c.n >= 2 THEN 'transit' END AS direction,
-  CASE WHEN (SELECT any_value(rank) FROM edges e WHERE e.zone = m.zone) % 2 = 0 THEN 'both' ELSE 'enter' END AS mode FROM moves m LEFT JOIN cuts c ON c.mmsi = m.mmsi AND c.t = m.t AND c.zone = m.zone)
+e AS (SELECT m.mmsi, m.t, m.zone AS fence, CASE WHEN side = 'inside' AND was = 'outside' THEN 'enter' WHEN side = 'outside'
+  AND was = 'inside' THEN 'exit' WHEN side = 'outside' AND was = 'outside' AND c.n >= 2 THEN 'transit' END AS direction,
+  CASE WHEN (SELECT any_value(rank) FROM edges e WHERE e.zone = m.zone) % 2 = 0 THEN 'both' ELSE 'enter' END AS mode FROM moves m LEFT
+  JOIN cuts c ON c.mmsi = m.mmsi AND c.t = m.t AND c.zone = m.zone)
 SELECT mmsi, t, fence, direction FROM e WHERE direction IS NOT NULL AND (direction = 'transit' OR mode = 'both' OR mode = direction)""")
 def fence_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.fence_crossings(walk(spark, sf_dir), _fences(spark, sf_dir))
 
 
 @query(f"""WITH {FIXES_SQL}, g AS (SELECT CAST(floor(lon / 0.0002e0) AS BIGINT) AS cell_x, CAST(floor(lat / 0.0002e0) AS BIGINT) AS cell_y, * FROM fixes)
-SELECT cell_x, cell_y, count(*) AS n, {R.format("avg(lon)")} AS lon, {R.format("avg(lat)")} AS lat, round(((degrees(atan2(sum(sin(radians(course * 2))), sum(cos(radians(course * 2))))) / 2 + 360) % 180) + 3.1e-8, 4) AS axis,
-  {R.format("sqrt(pow(sum(sin(radians(course * 2))), 2) + pow(sum(cos(radians(course * 2))), 2)) / count(course)")} AS coherence FROM g GROUP BY cell_x, cell_y HAVING count(*) >= 3""")
+SELECT cell_x, cell_y, count(*) AS n, {R.format("avg(lon)")} AS lon, {R.format("avg(lat)")} AS lat,
+  round(((degrees(atan2(sum(sin(radians(course * 2))), sum(cos(radians(course * 2))))) / 2 + 360) % 180) + 3.1e-8, 4) AS axis,
+  {R.format("sqrt(pow(sum(sin(radians(course * 2))), 2) + pow(sum(cos(radians(course * 2))), 2)) / count(course)")} AS coherence FROM g
+  GROUP BY cell_x, cell_y HAVING count(*) >= 3""")
 def route_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = spatial.route_grid(fixes(spark, sf_dir), 0.0002, 3)
     return g.select("cell_x", "cell_y", "n", rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"), F.round(F.col("axis") + 3.1e-8, 4).alias("axis"), rounded(F.col("coherence")).alias("coherence"))
 
 
-@query(f"""WITH {WALK_SQL}, r AS (SELECT n_nationkey AS k, 113500000 / 1e6 + CAST(n_nationkey AS DOUBLE) * 1500 / 1e6 AS lon, 22000000 / 1e6 + CAST(n_nationkey % 5 AS DOUBLE) * 3000 / 1e6 AS lat FROM nation)
+@query(f"""WITH {WALK_SQL}, r AS (SELECT n_nationkey AS k, 113500000 / 1e6 + CAST(n_nationkey AS DOUBLE) * 1500 / 1e6 AS lon,
+  22000000 / 1e6 + CAST(n_nationkey % 5 AS DOUBLE) * 3000 / 1e6 AS lat FROM nation)
 SELECT id, round(d, 3) AS distance FROM (SELECT f.id, min({distance_sql("f", "r")}) AS d FROM fixes f CROSS JOIN r GROUP BY f.id) WHERE d <= 400""")
 def route_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey").cast("double")
@@ -112,14 +130,21 @@ def route_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_point(walk(spark, sf_dir).select("id", "lon", "lat"), points, ["id"], 400.0).select("id", F.round("distance", 3).alias("distance"))
 
 
-_CPA_SQL = f"""l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC, id) AS rn FROM fixes) WHERE rn = 1), s AS (SELECT * FROM l WHERE (SELECT max(t) FROM l) - t <= 1200),
-p AS (SELECT mmsi, length, lon + degrees(run * sin(radians(course)) / (6371000e0 * greatest(abs(cos(radians(lat))), 1e-9))) AS lon, lat + degrees(run * cos(radians(course)) / 6371000e0) AS lat, speed * 0.514444e0 * sin(radians(course)) AS vx, speed * 0.514444e0 * cos(radians(course)) AS vy
+_CPA_SQL = f"""l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC, id) AS rn FROM fixes) WHERE rn = 1), s AS (SELECT * FROM l WHERE
+  (SELECT max(t) FROM l) - t <= 1200),
+p AS (SELECT mmsi, length, lon + degrees(run * sin(radians(course)) / (6371000e0 * greatest(abs(cos(radians(lat))), 1e-9))) AS lon,
+  lat + degrees(run * cos(radians(course)) / 6371000e0) AS lat, speed * 0.514444e0 * sin(radians(course)) AS vx,
+  speed * 0.514444e0 * cos(radians(course)) AS vy
   FROM (SELECT *, speed * 0.514444e0 * ((SELECT max(t) FROM s) - t) AS run FROM s)),
-q AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, radians(b.lon - a.lon) * 6371000e0 * cos(radians((a.lat + b.lat) / 2)) AS x, radians(b.lat - a.lat) * 6371000e0 AS y, b.vx - a.vx AS vx, b.vy - a.vy AS vy, greatest(300e0, (a.length + b.length) / 2 + 50) AS safety FROM p a JOIN p b ON a.mmsi < b.mmsi),
-c AS (SELECT *, vx * vx + vy * vy AS v2, -(x * vx + y * vy) / nullif(vx * vx + vy * vy, 0) AS tcpa FROM q), d AS (SELECT *, sqrt(pow(x + vx * tcpa, 2) + pow(y + vy * tcpa, 2)) AS dcpa FROM c WHERE v2 >= 1e-12 AND x * vx + y * vy < 0)"""
+q AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, radians(b.lon - a.lon) * 6371000e0 * cos(radians((a.lat + b.lat) / 2)) AS x,
+  radians(b.lat - a.lat) * 6371000e0 AS y, b.vx - a.vx AS vx, b.vy - a.vy AS vy, greatest(300e0, (a.length + b.length) / 2 + 50) AS safety FROM p a
+  JOIN p b ON a.mmsi < b.mmsi),
+c AS (SELECT *, vx * vx + vy * vy AS v2, -(x * vx + y * vy) / nullif(vx * vx + vy * vy, 0) AS tcpa FROM q), d AS (SELECT *, sqrt(pow(x + vx * tcpa,
+  2) + pow(y + vy * tcpa, 2)) AS dcpa FROM c WHERE v2 >= 1e-12 AND x * vx + y * vy < 0)"""
 
 
-@query(f"""WITH {WALK_SQL}, {_CPA_SQL} SELECT mmsi_a, mmsi_b, round(tcpa, 3) AS tcpa, round(dcpa, 3) AS dcpa, CASE WHEN (tcpa <= 300 AND dcpa <= 150) OR sqrt(x * x + y * y) <= 100 THEN 'high' ELSE 'medium' END AS risk
+@query(f"""WITH {WALK_SQL}, {_CPA_SQL} SELECT mmsi_a, mmsi_b, round(tcpa, 3) AS tcpa, round(dcpa, 3) AS dcpa, CASE WHEN (tcpa <= 300 AND dcpa <= 150)
+  OR sqrt(x * x + y * y) <= 100 THEN 'high' ELSE 'medium' END AS risk
 FROM d WHERE tcpa BETWEEN 0 AND 900 AND sqrt(v2) >= 0.2 AND dcpa <= safety""")
 def collision_cpa(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detectors.collision(walk(spark, sf_dir), detectors.CollisionConfig(max_age=1200.0))
@@ -133,14 +158,18 @@ def _framed(df: DataFrame) -> DataFrame:
 _TURN_SQL = "least((abs(a.course - b.course)) % 360, 360 - (abs(a.course - b.course)) % 360)"
 
 
-@query(f"""WITH {WALK_SQL} SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, round({distance_sql("a", "b")}, 3) AS distance FROM fixes a JOIN fixes b ON a.t = b.t AND a.mmsi < b.mmsi
-WHERE a.speed <= 20 AND b.speed <= 20 AND abs(a.speed - b.speed) <= 1 AND (greatest(a.speed, b.speed) < 1 OR {_TURN_SQL} <= 30) AND {distance_sql("a", "b")} <= least(greatest(100e0, 0.5e0 * greatest(a.length, b.length) + 25), 300e0)""")
+@query(f"""WITH {WALK_SQL} SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, round({distance_sql("a", "b")}, 3) AS distance FROM fixes a JOIN fixes b ON a.t = b.t
+  AND a.mmsi < b.mmsi
+WHERE a.speed <= 20 AND b.speed <= 20 AND abs(a.speed - b.speed) <= 1 AND (greatest(a.speed, b.speed) < 1 OR {_TURN_SQL} <= 30)
+  AND {distance_sql("a", "b")} <= least(greatest(100e0, 0.5e0 * greatest(a.length, b.length) + 25), 300e0)""")
 def transfer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.transfer_candidates(_framed(walk(spark, sf_dir))).select("mmsi_a", "mmsi_b", "t", F.round("distance", 3).alias("distance"))
 
 
-_BERTH_SQL = f"""berths AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, {distance_sql("a", "b")} AS distance FROM fixes a JOIN fixes b ON a.t = b.t AND a.mmsi % 2 = 0 AND b.mmsi % 2 = 1
-WHERE a.speed <= 2 AND b.speed <= 2 AND abs(a.speed - b.speed) <= 0.5e0 AND {distance_sql("a", "b")} <= least(greatest(100e0, 0.5e0 * greatest(a.length, b.length) + 25), 300e0))"""
+_BERTH_SQL = f"""berths AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, {distance_sql("a", "b")} AS distance FROM fixes a JOIN fixes b ON a.t = b.t
+  AND a.mmsi % 2 = 0 AND b.mmsi % 2 = 1
+WHERE a.speed <= 2 AND b.speed <= 2 AND abs(a.speed - b.speed) <= 0.5e0 AND {distance_sql("a", "b")} <= least(greatest(100e0,
+  0.5e0 * greatest(a.length, b.length) + 25), 300e0))"""
 
 
 def _berths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +182,8 @@ def berthing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _berths(spark, sf_dir).select("mmsi_a", "mmsi_b", "t", F.round("distance", 3).alias("distance"))
 
 
-@query(f"""WITH {WALK_SQL}, {_BERTH_SQL} SELECT mmsi_a, mmsi_b, t FROM berths b WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE 412000000 + s_suppkey * 2 = mmsi_a AND (s_suppkey % 3 = 0 OR t >= 1200) AND (s_suppkey % 3 = 1 OR t <= 3000))""")
+@query(f"""WITH {WALK_SQL}, {_BERTH_SQL} SELECT mmsi_a, mmsi_b, t FROM berths b WHERE NOT EXISTS (SELECT 1 FROM supplier s
+  WHERE 412000000 + s_suppkey * 2 = mmsi_a AND (s_suppkey % 3 = 0 OR t >= 1200) AND (s_suppkey % 3 = 1 OR t <= 3000))""")
 def permit_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     permits = read(spark, sf_dir, "supplier").select((F.lit(412000000) + k * 2).cast("long").alias("mmsi_a"), F.when(k % 3 != 0, 1200).alias("valid_from"), F.when(k % 3 != 1, 3000).alias("valid_until"))
@@ -162,25 +192,33 @@ def permit_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.unmatched(found, allowed, ["mmsi_a", "mmsi_b", "t"])
 
 
-@query(f"""WITH {WALK_SQL}, {_BERTH_SQL}, d AS (SELECT DISTINCT mmsi_a, mmsi_b, t FROM berths), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t) > 90 THEN 1 ELSE 0 END AS b FROM d), s AS (SELECT *, sum(b) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT mmsi_a, mmsi_b, min(t) AS first_seen, max(t) AS last_seen, count(*) AS observations FROM s GROUP BY mmsi_a, mmsi_b, k HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
+@query(f"""WITH {WALK_SQL}, {_BERTH_SQL}, d AS (SELECT DISTINCT mmsi_a, mmsi_b, t FROM berths), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi_a,
+  mmsi_b ORDER BY t) > 90 THEN 1 ELSE 0 END AS b FROM d), s AS (SELECT *, sum(b) OVER (PARTITION BY mmsi_a, mmsi_b
+  ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT mmsi_a, mmsi_b, min(t) AS first_seen, max(t) AS last_seen, count(*) AS observations FROM s GROUP BY mmsi_a, mmsi_b, k HAVING count(*) >= 2
+  AND max(t) - min(t) >= 60""")
 def berthing_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = detectors.ContactConfig(max_speed=2.0, max_speed_gap=0.5, course_above=None, min_frames=2, min_seconds=60.0)
     return detectors.confirmed_contacts(_berths(spark, sf_dir), cfg).select("mmsi_a", "mmsi_b", "first_seen", "last_seen", "observations")
 
 
 _PLANS_SQL = "plans AS (SELECT CAST(412000000 + s_suppkey AS BIGINT) AS mmsi_a, CAST(412000000 + s_suppkey + 7 * (s_suppkey % 9) AS BIGINT) AS mmsi_b, s_suppkey % 5 * 300 AS starts_at, s_suppkey % 5 * 300 + 3000 AS ends_at, CAST(s_suppkey % 4 AS DOUBLE) / 2 AS max_speed FROM supplier WHERE s_suppkey % 9 > 0)"
-_TRANSFERS_SQL = f"""found AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, greatest(a.speed, b.speed) AS speed FROM fixes a JOIN fixes b ON a.t = b.t AND a.mmsi < b.mmsi
-  WHERE a.speed <= 20 AND b.speed <= 20 AND abs(a.speed - b.speed) <= 1 AND {distance_sql("a", "b")} <= least(greatest(100e0, 0.5e0 * greatest(a.length, b.length) + 25), 300e0)),
+_TRANSFERS_SQL = f"""found AS (SELECT a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, a.t, greatest(a.speed, b.speed) AS speed FROM fixes a JOIN fixes b ON a.t = b.t
+  AND a.mmsi < b.mmsi
+  WHERE a.speed <= 20 AND b.speed <= 20 AND abs(a.speed - b.speed) <= 1 AND {distance_sql("a", "b")} <= least(greatest(100e0,
+  0.5e0 * greatest(a.length, b.length) + 25), 300e0)),
 gaps AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t) > 90 THEN 1 ELSE 0 END AS g FROM found),
 numbered_runs AS (SELECT *, sum(g) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM gaps),
-runs AS (SELECT mmsi_a, mmsi_b, k, min(t) AS first_seen, max(t) AS t, count(*) AS observations, arg_max(speed, t) AS speed FROM numbered_runs GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND max(t) - min(t) >= 60)"""
+runs AS (SELECT mmsi_a, mmsi_b, k, min(t) AS first_seen, max(t) AS t, count(*) AS observations, arg_max(speed, t) AS speed FROM numbered_runs
+  GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND max(t) - min(t) >= 60)"""
 
 
 @query(f"""WITH {WALK_SQL}, {_PLANS_SQL}, {_TRANSFERS_SQL},
-j AS (SELECT r.mmsi_a, r.mmsi_b, r.first_seen, r.t, any_value(r.observations) AS observations, any_value(r.speed) AS speed, count(p.max_speed) AS n, max(CASE WHEN r.t BETWEEN p.starts_at AND p.ends_at THEN p.max_speed END) AS allowed
+j AS (SELECT r.mmsi_a, r.mmsi_b, r.first_seen, r.t, any_value(r.observations) AS observations, any_value(r.speed) AS speed, count(p.max_speed) AS n,
+  max(CASE WHEN r.t BETWEEN p.starts_at AND p.ends_at THEN p.max_speed END) AS allowed
   FROM runs r LEFT JOIN plans p ON p.mmsi_a = r.mmsi_a AND p.mmsi_b = r.mmsi_b GROUP BY 1, 2, 3, 4)
-SELECT mmsi_a, mmsi_b, first_seen, t AS last_seen, observations, violation FROM (SELECT *, CASE WHEN n = 0 THEN 'none registered' WHEN allowed IS NULL THEN 'outside time' WHEN speed > allowed + 0.1e0 THEN 'too fast' END AS violation FROM j) WHERE violation IS NOT NULL""")
+SELECT mmsi_a, mmsi_b, first_seen, t AS last_seen, observations, violation FROM (SELECT *, CASE WHEN n = 0 THEN 'none registered'
+  WHEN allowed IS NULL THEN 'outside time' WHEN speed > allowed + 0.1e0 THEN 'too fast' END AS violation FROM j) WHERE violation IS NOT NULL""")
 def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts at sea against registered plans."""
     k = F.col("s_suppkey")
@@ -191,11 +229,16 @@ def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.transfer(_framed(walk(spark, sf_dir)), plans, cfg).select("mmsi_a", "mmsi_b", "first_seen", F.col("t").alias("last_seen"), "observations", "violation")
 
 
-@query(f"""WITH {WALK_SQL}, {_BERTH_SQL}, open AS (SELECT DISTINCT mmsi_a, mmsi_b, t FROM berths b WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE 412000000 + c_custkey * 2 = mmsi_a AND mmsi_a + 2 * (c_custkey % 4) + 1 = mmsi_b AND (c_custkey % 3 = 0 OR t >= 600))),
-g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t) > 90 THEN 1 ELSE 0 END AS b FROM open), s AS (SELECT *, sum(b) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g),
-n AS (SELECT *, count(*) OVER x >= 2 AND t - min(t) OVER x >= 60 AS enough FROM s WINDOW x AS (PARTITION BY mmsi_a, mmsi_b, k ORDER BY t ROWS UNBOUNDED PRECEDING)),
-r AS (SELECT mmsi_a, mmsi_b, min(t) AS first_seen, max(t) AS last_seen, count(*) AS observations, min(CASE WHEN enough THEN t END) AS confirmed_at FROM n GROUP BY mmsi_a, mmsi_b, k)
-SELECT mmsi_a, mmsi_b, first_seen, last_seen, observations, confirmed_at, CASE WHEN (SELECT max(t) FROM fixes) - last_seen > 1200 THEN 'recovered' WHEN confirmed_at = last_seen THEN 'new' ELSE 'continuing' END AS state FROM r WHERE confirmed_at IS NOT NULL""")
+@query(f"""WITH {WALK_SQL}, {_BERTH_SQL}, open AS (SELECT DISTINCT mmsi_a, mmsi_b, t FROM berths b WHERE NOT EXISTS (SELECT 1 FROM customer c
+  WHERE 412000000 + c_custkey * 2 = mmsi_a AND mmsi_a + 2 * (c_custkey % 4) + 1 = mmsi_b AND (c_custkey % 3 = 0 OR t >= 600))),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t) > 90 THEN 1 ELSE 0 END AS b FROM open), s AS (SELECT *,
+  sum(b) OVER (PARTITION BY mmsi_a, mmsi_b ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g),
+n AS (SELECT *, count(*) OVER x >= 2 AND t - min(t) OVER x >= 60 AS enough FROM s WINDOW x AS (PARTITION BY mmsi_a, mmsi_b, k
+  ORDER BY t ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT mmsi_a, mmsi_b, min(t) AS first_seen, max(t) AS last_seen, count(*) AS observations, min(CASE WHEN enough THEN t END) AS confirmed_at
+  FROM n GROUP BY mmsi_a, mmsi_b, k)
+SELECT mmsi_a, mmsi_b, first_seen, last_seen, observations, confirmed_at, CASE WHEN (SELECT max(t) FROM fixes) - last_seen > 1200 THEN 'recovered'
+  WHEN confirmed_at = last_seen THEN 'new' ELSE 'continuing' END AS state FROM r WHERE confirmed_at IS NOT NULL""")
 def berthing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts of home and foreign vessels without a permit, with the state of their alert at the newest time."""
     w = _framed(walk(spark, sf_dir))
@@ -207,8 +250,10 @@ def berthing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.alert_states(runs, now or 0, 1200.0).select("mmsi_a", "mmsi_b", "first_seen", "last_seen", "observations", "confirmed_at", "state")
 
 
-@query("""WITH p AS (SELECT c_custkey, CAST(8000 + c_custkey % 3000 AS BIGINT) AS t FROM customer), i AS (SELECT o_custkey, o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS a, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + 90 AS b, o_totalprice FROM orders)
-SELECT c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM p JOIN i ON i.o_custkey = p.c_custkey AND t BETWEEN a AND b) WHERE rn = 1""")
+@query("""WITH p AS (SELECT c_custkey, CAST(8000 + c_custkey % 3000 AS BIGINT) AS t FROM customer), i AS (SELECT o_custkey, o_orderkey,
+  CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS a, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + 90 AS b, o_totalprice FROM orders)
+SELECT c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM p
+  JOIN i ON i.o_custkey = p.c_custkey AND t BETWEEN a AND b) WHERE rn = 1""")
 def plan_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the plans valid at a time the one of the highest limit; orders stand for plans."""
     day = F.floor(F.unix_timestamp("o_orderdate") / 86400)
@@ -219,7 +264,8 @@ def plan_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FIXES_SQL} SELECT id, round(6371000e0 * sqrt(pow(radians(lon - 113.5e0) * cos(radians(22e0)), 2) + pow(radians(lat - 22e0), 2)), 3) AS offset,
-  round((degrees(atan2(sin(radians(lon - 113.5e0)) * cos(radians(lat)), cos(radians(22e0)) * sin(radians(lat)) - sin(radians(22e0)) * cos(radians(lat)) * cos(radians(lon - 113.5e0)))) + 360) % 360, 4) AS bearing FROM fixes""")
+  round((degrees(atan2(sin(radians(lon - 113.5e0)) * cos(radians(lat)), cos(radians(22e0)) * sin(radians(lat)) - sin(radians(22e0)) *
+  cos(radians(lat)) * cos(radians(lon - 113.5e0)))) + 360) % 360, 4) AS bearing FROM fixes""")
 def offsets_and_bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat, lon0, lat0 = F.col("lon"), F.col("lat"), F.lit(113.5), F.lit(22.0)
     x, y = geo.local_offset(lon, lat, lon0, lat0)
@@ -227,6 +273,7 @@ def offsets_and_bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FIXES_SQL}, {ZONES_SQL}
-SELECT e.zone, any_value(e.rank) AS rank, {R.format("abs(sum(e.x1 * e.y2 - e.x2 * e.y1)) / 2 * 1e6")} AS area_e6, {R.format("min(e.x1)")} AS min_lon, {R.format("max(e.x1)")} AS max_lon FROM edges e GROUP BY e.zone""")
+SELECT e.zone, any_value(e.rank) AS rank, {R.format("abs(sum(e.x1 * e.y2 - e.x2 * e.y1)) / 2 * 1e6")} AS area_e6, {R.format("min(e.x1)")} AS min_lon,
+  {R.format("max(e.x1)")} AS max_lon FROM edges e GROUP BY e.zone""")
 def zone_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones(spark, sf_dir).select("zone", "rank", rounded(F.col("area") * 1e6).alias("area_e6"), rounded(F.col("min_lon")).alias("min_lon"), rounded(F.col("max_lon")).alias("max_lon"))

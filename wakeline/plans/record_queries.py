@@ -13,9 +13,12 @@ from .tables import FIXES_SQL, HAVERSINE_SQL, WALK_SQL, R, distance_sql, fixes,
 
 @query("""
 SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(412000000 + user_id AS VARCHAR) END AS mmsi,
-  CASE WHEN sp BETWEEN 0 AND 102.2e0 THEN sp END AS speed, CASE WHEN co >= 0 AND co < 360 THEN co END AS course, CASE WHEN rot <> -128 THEN rot END AS rot,
-  concat_ws(',', CASE WHEN sp BETWEEN 0 AND 102.2e0 THEN NULL ELSE 'speed_unavailable' END, CASE WHEN co >= 0 AND co < 360 THEN NULL ELSE 'course_unavailable' END, 'heading_unavailable', CASE WHEN rot <> -128 THEN NULL ELSE 'rot_unavailable' END) AS flags
-FROM (SELECT *, value / 4 AS sp, CAST((event_id * 37) % 400 AS DOUBLE) AS co, CAST((event_id % 300) - 150 AS DOUBLE) AS rot FROM events) WHERE event_id % 11 <> 0""")
+  CASE WHEN sp BETWEEN 0 AND 102.2e0 THEN sp END AS speed, CASE WHEN co >= 0 AND co < 360 THEN co END AS course, CASE
+  WHEN rot <> -128 THEN rot END AS rot,
+  concat_ws(',', CASE WHEN sp BETWEEN 0 AND 102.2e0 THEN NULL ELSE 'speed_unavailable' END, CASE WHEN co >= 0 AND co < 360 THEN NULL
+  ELSE 'course_unavailable' END, 'heading_unavailable', CASE WHEN rot <> -128 THEN NULL ELSE 'rot_unavailable' END) AS flags
+FROM (SELECT *, value / 4 AS sp, CAST((event_id * 37) % 400 AS DOUBLE) AS co, CAST((event_id % 300) - 150 AS DOUBLE) AS rot FROM events)
+  WHERE event_id % 11 <> 0""")
 def normalize_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     raw = read(spark, sf_dir, "events").select(
@@ -26,7 +29,8 @@ def normalize_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT kind, count(*) AS n FROM (SELECT CASE WHEN m IN (1,2,3,18,19,27) THEN 'dynamic' WHEN m IN (5,24) THEN 'static' WHEN m IS NULL AND event_id % 2 = 0 THEN 'dynamic' ELSE 'unsupported' END AS kind
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN m IN (1,2,3,18,19,27) THEN 'dynamic' WHEN m IN (5,24) THEN 'static' WHEN m IS NULL
+  AND event_id % 2 = 0 THEN 'dynamic' ELSE 'unsupported' END AS kind
   FROM (SELECT event_id, CASE WHEN event_id % 30 < 28 THEN event_id % 30 END AS m FROM events)) GROUP BY kind""")
 def classify_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
@@ -35,9 +39,11 @@ def classify_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT name, count(*) AS n, sum(chinese) AS chinese FROM (SELECT CASE WHEN lower(trim(raw)) IN ('', 'nan', 'n/a') OR raw IS NULL THEN '未知目标' ELSE trim(raw) END AS name,
+SELECT name, count(*) AS n, sum(chinese) AS chinese FROM (SELECT CASE WHEN lower(trim(raw)) IN ('', 'nan', 'n/a') OR raw IS NULL THEN '未知目标'
+  ELSE trim(raw) END AS name,
   CASE WHEN substr(CAST(m AS VARCHAR), 1, 3) IN ('412', '413', '414') THEN 1 ELSE 0 END AS chinese
-  FROM (SELECT CASE c_custkey % 5 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'n/a' WHEN 2 THEN '' ELSE ' ' || c_mktsegment || ' ' END AS raw, 411000000 + c_custkey % 5 * 1000000 AS m FROM customer)) GROUP BY name""")
+  FROM (SELECT CASE c_custkey % 5 WHEN 0 THEN ' NaN ' WHEN 1 THEN 'n/a' WHEN 2 THEN '' ELSE ' ' || c_mktsegment || ' ' END AS raw,
+  411000000 + c_custkey % 5 * 1000000 AS m FROM customer)) GROUP BY name""")
 def name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     raw = F.when(k % 5 == 0, " NaN ").when(k % 5 == 1, "n/a").when(k % 5 == 2, "").otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit(" ")))
@@ -61,8 +67,10 @@ def fresh_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.fresh(fixes(spark, sf_dir), 600).groupBy("mmsi").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {FIXES_SQL} SELECT id, last_value(CASE WHEN nav_status = 1 THEN id END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS static_id,
-  last_value(CASE WHEN nav_status = 1 THEN t END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS static_t FROM fixes""")
+@query(f"""WITH {FIXES_SQL} SELECT id, last_value(CASE WHEN nav_status = 1 THEN id END IGNORE NULLS) OVER (PARTITION BY mmsi
+  ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS static_id,
+  last_value(CASE WHEN nav_status = 1 THEN t END IGNORE NULLS) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING
+  AND CURRENT ROW) AS static_t FROM fixes""")
 def static_enrich_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixes(spark, sf_dir)
     static = f.filter("nav_status = 1").select("mmsi", "t", F.col("id").alias("static_id"))
@@ -73,14 +81,16 @@ _STATES = "SELECT mmsi, v // 100 AS v FROM (SELECT *, row_number() OVER (PARTITI
 
 
 @query(f"""WITH {FIXES_SQL}, o AS ({_STATES.format("3000 AND mmsi % 13 <> 1")}), n AS ({_STATES.format("3060 AND mmsi % 13 <> 2")})
-SELECT coalesce(n.mmsi, o.mmsi) AS mmsi, CASE WHEN n.mmsi IS NULL THEN 'remove' ELSE 'upsert' END AS change, n.v AS v FROM o FULL JOIN n ON o.mmsi = n.mmsi WHERE o.v IS DISTINCT FROM n.v""")
+SELECT coalesce(n.mmsi, o.mmsi) AS mmsi, CASE WHEN n.mmsi IS NULL THEN 'remove' ELSE 'upsert' END AS change, n.v AS v FROM o FULL
+  JOIN n ON o.mmsi = n.mmsi WHERE o.v IS DISTINCT FROM n.v""")
 def state_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixes(spark, sf_dir)
     state = lambda until, left_out: sequence.latest(f.filter((F.col("t") <= until) & (F.col("mmsi") % 13 != left_out))).select("mmsi", F.floor(F.col("v") / 100).cast("long").alias("v"))
     return events.changes(state(3000, 1), state(3060, 2), "mmsi")
 
 
-@query(f"""WITH {FIXES_SQL}, b AS (SELECT mmsi, t // 120 * 120 AS t, max(id) AS id FROM fixes GROUP BY 1, 2), w AS (SELECT *, max(t) OVER (PARTITION BY mmsi) AS newest, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC) AS rn FROM b)
+@query(f"""WITH {FIXES_SQL}, b AS (SELECT mmsi, t // 120 * 120 AS t, max(id) AS id FROM fixes GROUP BY 1, 2), w AS (SELECT *,
+  max(t) OVER (PARTITION BY mmsi) AS newest, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC) AS rn FROM b)
 SELECT mmsi, t, id FROM w WHERE t >= newest - 1800 AND rn <= 10""")
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     coarse = fixes(spark, sf_dir).select("mmsi", (F.floor(F.col("t") / 120) * 120).cast("long").alias("t"), "id")
@@ -89,7 +99,8 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tail_sql(source: str, keeps: str, gap: float, extra: str = "", columns: str = "mmsi, count(*) AS n, max(t) - min(t) AS duration, sum(v) AS sum_v, max(v) AS max_v", where: str = "TRUE") -> str:
     return f"""WITH {source}, pool AS (SELECT * FROM fixes WHERE {where}),
-l AS (SELECT *, lead(t) OVER (PARTITION BY mmsi ORDER BY t) AS nt, last_value(lon) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS llon,
+l AS (SELECT *, lead(t) OVER (PARTITION BY mmsi ORDER BY t) AS nt, last_value(lon) OVER (PARTITION BY mmsi
+  ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS llon,
   last_value(lat) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS llat FROM pool),
 m AS (SELECT *, CASE WHEN NOT coalesce({keeps}, FALSE) OR coalesce(nt - t > {gap}, FALSE) {extra} THEN t ELSE -1 END AS brk FROM l),
 tail AS (SELECT * FROM (SELECT *, max(brk) OVER (PARTITION BY mmsi) AS last FROM m) WHERE t > last)
@@ -124,9 +135,11 @@ def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {WALK_SQL}, m AS (SELECT mmsi, avg(lon) AS mx, avg(lat) AS my FROM fixes GROUP BY mmsi),
-c AS (SELECT f.mmsi, t, CAST(floor((lon - mx) * 111194.92664455874 * greatest(1e-6, cos(radians(my))) / 200) AS BIGINT) AS x, CAST(floor((lat - my) * 111194.92664455874 / 200) AS BIGINT) AS y FROM fixes f JOIN m USING (mmsi)),
+c AS (SELECT f.mmsi, t, CAST(floor((lon - mx) * 111194.92664455874 * greatest(1e-6, cos(radians(my))) / 200) AS BIGINT) AS x,
+  CAST(floor((lat - my) * 111194.92664455874 / 200) AS BIGINT) AS y FROM fixes f JOIN m USING (mmsi)),
 e AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY mmsi ORDER BY t))
-SELECT mmsi, count(*) AS n_visits, count(DISTINCT (x, y)) AS n_cells, {R.format("1 - count(DISTINCT (x, y)) / count(*)")} AS revisit_ratio FROM e WHERE x IS DISTINCT FROM px OR y IS DISTINCT FROM py GROUP BY mmsi""")
+SELECT mmsi, count(*) AS n_visits, count(DISTINCT (x, y)) AS n_cells, {R.format("1 - count(DISTINCT (x, y)) / count(*)")} AS revisit_ratio FROM e
+  WHERE x IS DISTINCT FROM px OR y IS DISTINCT FROM py GROUP BY mmsi""")
 def revisit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.revisits(walk(spark, sf_dir), ["mmsi"]).withColumn("revisit_ratio", rounded(F.col("revisit_ratio")))
 
@@ -136,15 +149,20 @@ def track_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.diameter(walk(spark, sf_dir), ["mmsi"]).withColumn("diameter", F.round("diameter", 3))
 
 
-@query(f"""WITH {WALK_SQL}, c AS (SELECT *, avg(lon) OVER (PARTITION BY mmsi) AS clon, avg(lat) OVER (PARTITION BY mmsi) AS clat, lag(lon) OVER (PARTITION BY mmsi ORDER BY t) AS plon, lag(lat) OVER (PARTITION BY mmsi ORDER BY t) AS plat FROM fixes)
-SELECT mmsi, count(*) AS n_points, round(max({HAVERSINE_SQL.format(lon1="lon", lat1="lat", lon2="clon", lat2="clat")}), 3) AS radius, round(sum({HAVERSINE_SQL.format(lon1="plon", lat1="plat", lon2="lon", lat2="lat")}), 3) AS path,
-  round({HAVERSINE_SQL.format(lon1="arg_min(lon, t)", lat1="arg_min(lat, t)", lon2="arg_max(lon, t)", lat2="arg_max(lat, t)")}, 3) AS displacement FROM c GROUP BY mmsi""")
+@query(f"""WITH {WALK_SQL}, c AS (SELECT *, avg(lon) OVER (PARTITION BY mmsi) AS clon, avg(lat) OVER (PARTITION BY mmsi) AS clat,
+  lag(lon) OVER (PARTITION BY mmsi ORDER BY t) AS plon, lag(lat) OVER (PARTITION BY mmsi ORDER BY t) AS plat FROM fixes)
+SELECT mmsi, count(*) AS n_points, round(max({HAVERSINE_SQL.format(lon1="lon", lat1="lat", lon2="clon", lat2="clat")}), 3) AS radius,
+  round(sum({HAVERSINE_SQL.format(lon1="plon", lat1="plat", lon2="lon", lat2="lat")}), 3) AS path,
+  round({HAVERSINE_SQL.format(lon1="arg_min(lon, t)", lat1="arg_min(lat, t)", lon2="arg_max(lon, t)", lat2="arg_max(lat, t)")}, 3) AS displacement
+  FROM c GROUP BY mmsi""")
 def track_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.shape(walk(spark, sf_dir), ["mmsi"]).select("mmsi", "n_points", *(F.round(c, 3).alias(c) for c in ("radius", "path", "displacement")))
 
 
-@query(f"""WITH {FIXES_SQL}, h AS (SELECT mmsi, t // 600 AS bucket, heading, lead(heading) OVER (PARTITION BY mmsi, t // 600 ORDER BY heading) AS nh, min(heading) OVER (PARTITION BY mmsi, t // 600) AS lo FROM fixes)
-SELECT mmsi, bucket, count(*) AS n_headings, CASE WHEN count(*) >= 2 THEN 360 - max(coalesce(nh, lo + 360) - heading) END AS heading_arc FROM h GROUP BY mmsi, bucket""")
+@query(f"""WITH {FIXES_SQL}, h AS (SELECT mmsi, t // 600 AS bucket, heading, lead(heading) OVER (PARTITION BY mmsi, t // 600 ORDER BY heading) AS nh,
+  min(heading) OVER (PARTITION BY mmsi, t // 600) AS lo FROM fixes)
+SELECT mmsi, bucket, count(*) AS n_headings, CASE WHEN count(*) >= 2 THEN 360 - max(coalesce(nh, lo + 360) - heading) END AS heading_arc FROM h
+  GROUP BY mmsi, bucket""")
 def heading_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.heading_summary(fixes(spark, sf_dir).withColumn("bucket", F.floor(F.col("t") / 600).cast("long")), ["mmsi", "bucket"])
 
@@ -166,8 +184,10 @@ def nominal_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {WALK_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t) AS k FROM fixes),
 f AS (SELECT mmsi, k, id, lon, lat, TRUE AS kept FROM o WHERE k = 1 UNION ALL
-  SELECT q.mmsi, q.k, CASE WHEN d >= 60 THEN q.id ELSE q.fid END, CASE WHEN d >= 60 THEN q.lon ELSE q.flon END, CASE WHEN d >= 60 THEN q.lat ELSE q.flat END, d >= 60
-  FROM (SELECT o.mmsi, o.k, o.id, o.lon, o.lat, f.id AS fid, f.lon AS flon, f.lat AS flat, {HAVERSINE_SQL.format(lon1="f.lon", lat1="f.lat", lon2="o.lon", lat2="o.lat")} AS d FROM f JOIN o ON o.mmsi = f.mmsi AND o.k = f.k + 1) q)
+  SELECT q.mmsi, q.k, CASE WHEN d >= 60 THEN q.id ELSE q.fid END, CASE WHEN d >= 60 THEN q.lon ELSE q.flon END, CASE WHEN d >= 60 THEN q.lat
+  ELSE q.flat END, d >= 60
+  FROM (SELECT o.mmsi, o.k, o.id, o.lon, o.lat, f.id AS fid, f.lon AS flon, f.lat AS flat,
+  {HAVERSINE_SQL.format(lon1="f.lon", lat1="f.lat", lon2="o.lon", lat2="o.lat")} AS d FROM f JOIN o ON o.mmsi = f.mmsi AND o.k = f.k + 1) q)
 SELECT mmsi, id FROM f WHERE kept""")
 def min_leg_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.thinned(walk(spark, sf_dir), 60.0, ["mmsi"]).select("mmsi", "id")
@@ -175,8 +195,11 @@ def min_leg_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {WALK_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t) AS k FROM fixes),
 f AS (SELECT mmsi, k, t, id, lon, lat, TRUE AS kept FROM o WHERE k = 1 UNION ALL
-  SELECT q.mmsi, q.k, CASE WHEN y THEN q.t ELSE q.ft END, CASE WHEN y THEN q.id ELSE q.fid END, CASE WHEN y THEN q.lon ELSE q.flon END, CASE WHEN y THEN q.lat ELSE q.flat END, y
-  FROM (SELECT o.mmsi, o.k, o.t, o.id, o.lon, o.lat, f.t AS ft, f.id AS fid, f.lon AS flon, f.lat AS flat, {HAVERSINE_SQL.format(lon1="f.lon", lat1="f.lat", lon2="o.lon", lat2="o.lat")} >= 70 OR o.t - f.t >= 180 AS y FROM f JOIN o ON o.mmsi = f.mmsi AND o.k = f.k + 1) q)
+  SELECT q.mmsi, q.k, CASE WHEN y THEN q.t ELSE q.ft END, CASE WHEN y THEN q.id ELSE q.fid END, CASE WHEN y THEN q.lon ELSE q.flon END, CASE
+  WHEN y THEN q.lat ELSE q.flat END, y
+  FROM (SELECT o.mmsi, o.k, o.t, o.id, o.lon, o.lat, f.t AS ft, f.id AS fid, f.lon AS flon, f.lat AS flat,
+  {HAVERSINE_SQL.format(lon1="f.lon", lat1="f.lat", lon2="o.lon", lat2="o.lat")} >= 70 OR o.t - f.t >= 180 AS y FROM f JOIN o ON o.mmsi = f.mmsi
+  AND o.k = f.k + 1) q)
 SELECT mmsi, id FROM f WHERE kept""")
 def trajectory_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.samples(walk(spark, sf_dir), 70.0, 180.0, ["mmsi"]).select("mmsi", "id")
@@ -190,10 +213,13 @@ def _possible_sql(a: str, b: str) -> str:
 _JUMP = "CASE WHEN id % 17 = 0 THEN lon + 0.5e0 ELSE lon END"
 
 
-@query(f"""WITH RECURSIVE {WALK_SQL}, tracks AS (SELECT mmsi, list({{'t': t, 'lon': {_JUMP}, 'lat': lat, 'id': id}} ORDER BY t) AS p, count(*) AS n FROM fixes GROUP BY mmsi),
+@query(f"""WITH RECURSIVE {WALK_SQL}, tracks AS (SELECT mmsi, list({{'t': t, 'lon': {_JUMP}, 'lat': lat, 'id': id}} ORDER BY t) AS p, count(*) AS n FROM fixes
+  GROUP BY mmsi),
 f AS (SELECT mmsi, p, n, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS sound, CAST(1 AS BIGINT) AS stayed, p[1].id AS id FROM tracks UNION ALL
-  SELECT mmsi, p, n, k, CASE WHEN spike THEN sound ELSE k END, CASE WHEN stays THEN k ELSE stayed END, CASE WHEN stays THEN p[k].id END FROM (SELECT *, NOT spike AND (n < 3 OR {_possible_sql("p[stayed]", "p[k]")}) AS stays
-    FROM (SELECT mmsi, p, n, i + 1 AS k, sound, stayed, i + 1 < n AND NOT {_possible_sql("p[sound]", "p[i + 1]")} AND NOT {_possible_sql("p[i + 1]", "p[i + 2]")} AND {_possible_sql("p[sound]", "p[i + 2]")} AS spike FROM f WHERE i < n)))
+  SELECT mmsi, p, n, k, CASE WHEN spike THEN sound ELSE k END, CASE WHEN stays THEN k ELSE stayed END, CASE WHEN stays THEN p[k].id END FROM
+  (SELECT *, NOT spike AND (n < 3 OR {_possible_sql("p[stayed]", "p[k]")}) AS stays
+    FROM (SELECT mmsi, p, n, i + 1 AS k, sound, stayed, i + 1 < n AND NOT {_possible_sql("p[sound]", "p[i + 1]")}
+    AND NOT {_possible_sql("p[i + 1]", "p[i + 2]")} AND {_possible_sql("p[sound]", "p[i + 2]")} AS spike FROM f WHERE i < n)))
 SELECT mmsi, id FROM f WHERE id IS NOT NULL""")
 def jump_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent: a spike depends on the last point that was none, and each point on the last that stayed."""
@@ -203,18 +229,23 @@ def jump_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {WALK_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t) AS k FROM fixes WHERE speed >= 0.5e0),
 f AS (SELECT mmsi, k, t, course, TRUE AS kept FROM o WHERE k = 1 UNION ALL
-  SELECT o.mmsi, o.k, CASE WHEN o.t - f.t >= 90 THEN o.t ELSE f.t END, CASE WHEN o.t - f.t >= 90 THEN o.course ELSE f.course END, o.t - f.t >= 90 FROM f JOIN o ON o.mmsi = f.mmsi AND o.k = f.k + 1),
+  SELECT o.mmsi, o.k, CASE WHEN o.t - f.t >= 90 THEN o.t ELSE f.t END, CASE WHEN o.t - f.t >= 90 THEN o.course ELSE f.course END, o.t - f.t >= 90
+  FROM f JOIN o ON o.mmsi = f.mmsi AND o.k = f.k + 1),
 d AS (SELECT mmsi, abs(course - lag(course) OVER (PARTITION BY mmsi ORDER BY t)) % 360 AS d FROM f WHERE kept)
-SELECT m.mmsi, count(*) FILTER (least(d, 360 - d) >= 30) AS n_turns FROM (SELECT DISTINCT mmsi FROM fixes) m LEFT JOIN d ON d.mmsi = m.mmsi GROUP BY m.mmsi""")
+SELECT m.mmsi, count(*) FILTER (least(d, 360 - d) >= 30) AS n_turns FROM (SELECT DISTINCT mmsi FROM fixes) m LEFT JOIN d ON d.mmsi = m.mmsi
+  GROUP BY m.mmsi""")
 def turn_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns between samples at least ninety seconds apart."""
     return folds.turns(walk(spark, sf_dir), ["mmsi"], 30.0, 90.0, 0.5)
 
 
-@query(f"""WITH RECURSIVE {FIXES_SQL}, o AS (SELECT mmsi, t AS a, t + v // 40 AS b, CASE WHEN id % 3 > 0 THEN id % 2 END AS e, row_number() OVER (PARTITION BY mmsi ORDER BY t) AS k FROM fixes),
+@query(f"""WITH RECURSIVE {FIXES_SQL}, o AS (SELECT mmsi, t AS a, t + v // 40 AS b, CASE WHEN id % 3 > 0 THEN id % 2 END AS e,
+  row_number() OVER (PARTITION BY mmsi ORDER BY t) AS k FROM fixes),
 f AS (SELECT mmsi, k, a, b, e, CAST(1 AS BIGINT) AS run FROM o WHERE k = 1 UNION ALL
-  SELECT mmsi, k, a, CASE WHEN joins THEN greatest(fb, b) ELSE b END, CASE WHEN joins THEN coalesce(e, fe) ELSE e END, CASE WHEN joins THEN run ELSE run + 1 END
-  FROM (SELECT o.*, f.b AS fb, f.e AS fe, f.run, o.a - f.b <= 60 AND (o.e IS NULL OR f.e IS NULL OR o.e = f.e) AS joins FROM f JOIN o ON o.mmsi = f.mmsi AND o.k = f.k + 1))
+  SELECT mmsi, k, a, CASE WHEN joins THEN greatest(fb, b) ELSE b END, CASE WHEN joins THEN coalesce(e, fe) ELSE e END, CASE WHEN joins THEN run
+  ELSE run + 1 END
+  FROM (SELECT o.*, f.b AS fb, f.e AS fe, f.run, o.a - f.b <= 60 AND (o.e IS NULL OR f.e IS NULL OR o.e = f.e) AS joins FROM f
+  JOIN o ON o.mmsi = f.mmsi AND o.k = f.k + 1))
 SELECT mmsi, min(a) AS group_start, max(b) AS group_end, count(*) AS n, max(e) AS episode FROM f GROUP BY mmsi, run""")
 def event_merge_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals that follow each other closely and name no two episodes become one."""
@@ -223,15 +254,18 @@ def event_merge_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.merged_episodes(intervals, "a", "b", "e", 60.0, ["mmsi"])
 
 
-@query(f"""WITH {FIXES_SQL}, i AS (SELECT mmsi, t, CASE WHEN v <= 1000 THEN 0 ELSE 1 END AS off, t - lag(t) OVER (PARTITION BY mmsi ORDER BY t) AS gap FROM fixes),
+@query(f"""WITH {FIXES_SQL}, i AS (SELECT mmsi, t, CASE WHEN v <= 1000 THEN 0 ELSE 1 END AS off, t - lag(t) OVER (PARTITION BY mmsi ORDER BY t) AS gap
+  FROM fixes),
 n AS (SELECT *, sum(CASE WHEN off = 1 OR gap > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM i)
 SELECT mmsi, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM n WHERE off = 0 GROUP BY mmsi, island""")
 def slow_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.islands(fixes(spark, sf_dir), F.col("v") <= 1000, 60).groupBy("mmsi", "island").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t")).drop("island")
 
 
-@query(f"""WITH {FIXES_SQL}, s AS (SELECT *, t - lag(t) OVER (PARTITION BY mmsi ORDER BY t) AS gap FROM fixes WHERE v > 2000), n AS (SELECT *, sum(CASE WHEN gap > 120 THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM s)
-SELECT mmsi, min(t) AS first_seen, max(t) AS last_seen, count(*) AS observations, max(t) - min(t) AS duration FROM n GROUP BY mmsi, k HAVING count(*) >= 3""")
+@query(f"""WITH {FIXES_SQL}, s AS (SELECT *, t - lag(t) OVER (PARTITION BY mmsi ORDER BY t) AS gap FROM fixes WHERE v > 2000), n AS (SELECT *, sum(CASE
+  WHEN gap > 120 THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT mmsi, min(t) AS first_seen, max(t) AS last_seen, count(*) AS observations, max(t) - min(t) AS duration FROM n GROUP BY mmsi, k
+  HAVING count(*) >= 3""")
 def contact_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.streaks(fixes(spark, sf_dir).filter("v > 2000"), 120, ("mmsi",)).filter("observations >= 3").drop("session")
 
@@ -243,8 +277,10 @@ def version_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.versions(marked, F.col("changed")).select("mmsi", "t", F.col("version").cast("long").alias("version"))
 
 
-@query(f"""WITH {WALK_SQL}, l AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat, lag(t) OVER w AS pt, lag(speed) OVER w AS ps, lag(course) OVER w AS pc FROM fixes WINDOW w AS (PARTITION BY mmsi ORDER BY t)),
-d AS (SELECT *, plon + degrees(ps * 0.514444e0 * (t - pt) * sin(radians(pc)) / (6371000e0 * greatest(abs(cos(radians(plat))), 1e-9))) AS elon, plat + degrees(ps * 0.514444e0 * (t - pt) * cos(radians(pc)) / 6371000e0) AS elat FROM l WHERE pt IS NOT NULL)
+@query(f"""WITH {WALK_SQL}, l AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat, lag(t) OVER w AS pt, lag(speed) OVER w AS ps,
+  lag(course) OVER w AS pc FROM fixes WINDOW w AS (PARTITION BY mmsi ORDER BY t)),
+d AS (SELECT *, plon + degrees(ps * 0.514444e0 * (t - pt) * sin(radians(pc)) / (6371000e0 * greatest(abs(cos(radians(plat))), 1e-9))) AS elon,
+  plat + degrees(ps * 0.514444e0 * (t - pt) * cos(radians(pc)) / 6371000e0) AS elat FROM l WHERE pt IS NOT NULL)
 SELECT id, round({HAVERSINE_SQL.format(lon1="elon", lat1="elat", lon2="lon", lat2="lat")}, 3) AS residual FROM d""")
 def reckoning_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("mmsi").orderBy("t")
@@ -260,15 +296,18 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FIXES_SQL}, e AS (SELECT mmsi, t, CASE nav_status WHEN 0 THEN 'enter' WHEN 1 THEN 'exit' WHEN 5 THEN 'transit' ELSE 'none' END AS d FROM fixes)
 SELECT mmsi, t, d AS direction, CASE WHEN d <> 'enter' THEN t WHEN leave - t <= 300 THEN leave END AS leaves_at
-FROM (SELECT *, min(CASE WHEN d IN ('exit', 'transit') THEN t END) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS leave FROM e) WHERE d <> 'none'""")
+FROM (SELECT *, min(CASE WHEN d IN ('exit', 'transit') THEN t END) OVER (PARTITION BY mmsi ORDER BY t ROWS BETWEEN 1 FOLLOWING
+  AND UNBOUNDED FOLLOWING) AS leave FROM e) WHERE d <> 'none'""")
 def crossing_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("nav_status") == 0, "enter").when(F.col("nav_status") == 1, "exit").when(F.col("nav_status") == 5, "transit").otherwise("none")
     return events.cutoff(fixes(spark, sf_dir).select("mmsi", "t", kind.alias("direction"), F.lit("f").alias("fence")), 300).select("mmsi", "t", "direction", "leaves_at")
 
 
-@query(f"""WITH {WALK_SQL}, l AS (SELECT *, lead(t) OVER w AS nt, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat, lead(course) OVER w AS nc FROM fixes WINDOW w AS (PARTITION BY mmsi ORDER BY t)),
+@query(f"""WITH {WALK_SQL}, l AS (SELECT *, lead(t) OVER w AS nt, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat, lead(course) OVER w AS nc FROM fixes
+  WINDOW w AS (PARTITION BY mmsi ORDER BY t)),
 s AS (SELECT *, unnest(generate_series(0, CASE WHEN nt IS NULL THEN 0 ELSE CAST(floor((nt - t - 1) / 20) AS BIGINT) END)) AS step FROM l)
-SELECT mmsi, t + step * 20 AS t, {R.format("CASE WHEN step = 0 THEN lon ELSE lon + (nlon - lon) * (step * 20 / (nt - t)) END")} AS lon, {R.format("CASE WHEN step = 0 THEN lat ELSE lat + (nlat - lat) * (step * 20 / (nt - t)) END")} AS lat,
+SELECT mmsi, t + step * 20 AS t, {R.format("CASE WHEN step = 0 THEN lon ELSE lon + (nlon - lon) * (step * 20 / (nt - t)) END")} AS lon,
+  {R.format("CASE WHEN step = 0 THEN lat ELSE lat + (nlat - lat) * (step * 20 / (nt - t)) END")} AS lat,
   round(CASE WHEN step = 0 THEN course ELSE (course + ((nc - course + 540) % 360 - 180) * (step * 20 / (nt - t)) + 360) % 360 END, 4) AS course FROM s""")
 def broadcast_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sequence.interpolated(walk(spark, sf_dir), F.lit(20), 600, circular=("course",))

@@ -60,7 +60,8 @@ def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _motion_sql(lon: str, lat: str) -> str:
     return f"""SELECT CAST(412000000 + user_id AS BIGINT) AS mmsi, CAST(seq * 60 + seq // 9 * 120 AS BIGINT) AS t, event_id AS id,
-  CAST({lon} AS DOUBLE) / 1e6 AS lon, CAST({lat} AS DOUBLE) / 1e6 AS lat, CAST(round(value * 100) AS BIGINT) AS v, round(value * 100) / 4000e0 AS speed,
+  CAST({lon} AS DOUBLE) / 1e6 AS lon, CAST({lat} AS DOUBLE) / 1e6 AS lat, CAST(round(value * 100) AS BIGINT) AS v,
+  round(value * 100) / 4000e0 AS speed,
   CAST((event_id * 37) % 360 AS DOUBLE) AS course, CAST((event_id * 53) % 360 AS DOUBLE) AS heading,
   CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 1 WHEN 'click' THEN 5 WHEN 'view' THEN 15 END AS nav_status,
   event_id % 7 = 0 AS at_dock, CAST(20 + user_id % 180 AS DOUBLE) AS length, event_type FROM numbered"""
@@ -84,9 +85,11 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ZONES_SQL = f"""zone_corners AS (
   SELECT n_name AS zone, CAST(n_nationkey AS BIGINT) AS rank, CAST(n_regionkey AS BIGINT) AS kind, c.i,
-    CAST(113500000 + CAST(n_nationkey AS BIGINT) * 40000 + 500 + (15000 + n_nationkey * 400) / 2 * c.x AS DOUBLE) / 1e6 AS x, CAST(22000500 + (300 + n_nationkey % 7 * 60) * c.y AS DOUBLE) / 1e6 AS y
+    CAST(113500000 + CAST(n_nationkey AS BIGINT) * 40000 + 500 + (15000 + n_nationkey * 400) / 2 * c.x AS DOUBLE) / 1e6 AS x,
+    CAST(22000500 + (300 + n_nationkey % 7 * 60) * c.y AS DOUBLE) / 1e6 AS y
   FROM nation, (VALUES {', '.join(f'({n}, {i}, {j})' for n, (i, j) in enumerate(_AROUND))}) c(i, x, y)),
-edges AS (SELECT a.zone, a.rank, a.kind, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM zone_corners a JOIN zone_corners b ON a.zone = b.zone AND b.i = (a.i + 1) % 6)"""
+edges AS (SELECT a.zone, a.rank, a.kind, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM zone_corners a JOIN zone_corners b ON a.zone = b.zone
+  AND b.i = (a.i + 1) % 6)"""
 
 _CHORD_SQL = "pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
 HAVERSINE_SQL = f"2 * 6371000e0 * asin(sqrt(CASE WHEN {_CHORD_SQL} > 1 THEN 1e0 ELSE {_CHORD_SQL} END))"
