@@ -139,8 +139,8 @@ def test_cutoffs_and_artifacts(spark):
     rows = [("v", "f", 0, "enter"), ("v", "f", 50, "exit"), ("v", "f", 60, "enter"), ("v", "g", 70, "transit"), ("v", "f", 80, "none")]
     got = events.cutoff(spark.createDataFrame(rows, "mmsi string, fence string, t long, direction string"))
     assert {(r["fence"], r["t"]): r["leaves_at"] for r in got.collect()} == {("f", 0): 50, ("f", 50): 50, ("f", 60): None, ("g", 70): 70}
-    points = spark.createDataFrame([(1, "CrossingBoundary", None, ""), (2, "CrossingBoundary", "t", None), (3, None, None, None)], "k int, event string, timestamp string, time string")
-    assert sorted(r["k"] for r in events.without_artifacts(points).collect()) == [2, 3]
+    points = spark.createDataFrame([(1, "crossing", None, ""), (2, "crossing", "t", None), (3, None, None, None)], "k int, event string, timestamp string, time string")
+    assert sorted(r["k"] for r in events.without_artifacts(points, "crossing").collect()) == [2, 3]
 
 
 def test_zone_search(spark):

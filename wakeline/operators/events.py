@@ -81,12 +81,12 @@ def cutoff(crossings: DataFrame, within: float = 86400.0) -> DataFrame:
     return moves.withColumn("leaves_at", F.when(out, F.col("t")).when(leave - F.col("t") <= within, leave))
 
 
-def without_artifacts(points: DataFrame, event: str = "event", times: tuple[str, ...] = ("timestamp", "time")) -> DataFrame:
-    """Trajectory points that are no detector results stored by mistake: those name a crossing event and have no report time."""
+def without_artifacts(points: DataFrame, detector: str, event: str = "event", times: tuple[str, ...] = ("timestamp", "time")) -> DataFrame:
+    """Trajectory points that are no detector results stored by mistake: those name the detector as their event and have no report time."""
     has_time = F.lit(False)
     for c in times:
         has_time = has_time | (F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
-    return points.filter(~F.coalesce(F.col(event) == "CrossingBoundary", F.lit(False)) | has_time)
+    return points.filter(~F.coalesce(F.col(event) == detector, F.lit(False)) | has_time)
 
 
 def trimmed(points: DataFrame, cutoffs: DataFrame, on: list[str]) -> DataFrame:
