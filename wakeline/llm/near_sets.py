@@ -5,8 +5,8 @@ Candidates come from two searches: the vantage-point trees over SimHash (``simha
 shares no bucket with a chance of (1 - 0.8**5)**24, about 7 * 10**-5. Each candidate is then checked by its whole sets, so
 no document goes for a fingerprint alone.
 
-A bucket is compared in rounds. In each, a few pivots are checked against the members that are not connected with them yet and
-then leave; a bucket ends once all its members are connected. A large group of near copies so takes about one check a member.
+A bucket is compared in rounds. In each, some pivots (1, 16, 256, ...) are checked against the members that are not connected with
+them yet and then leave; a bucket ends once all its members are connected. A large group of near copies so takes about one check a member.
 
 Equal sets collapse first. A null or empty text has the empty set; fewer words than a shingle are one shingle.
 """
@@ -122,7 +122,7 @@ def set_components(members: DataFrame, sets: DataFrame, more: DataFrame, alike:
         members = checkpointed(left.join(open_, "bucket", "left_semi"))
         if members.isEmpty():
             return joined
-        pivots_each = 16 if pivots_each == 1 else pivots_each * 2
+        pivots_each *= 16  # few rounds, as each is many small jobs; no pair comes twice
 
 
 def deduplicated(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
