@@ -109,6 +109,16 @@ def bounded_history(df: DataFrame, seconds: float, most: int, tie: str, by: tupl
     return kept.withColumn("_n", F.row_number().over(_w(by, F.col("t").desc()))).filter(F.col("_n") <= most).drop("_n", "_newest")
 
 
+def grown_history(stored: DataFrame, incoming: DataFrame, seconds: float, most: int, tie: str, by: tuple[str, ...] = BY) -> DataFrame:
+    """The bounded history after new rows came; at equal times a new row wins. A key whose new rows end more than ``seconds`` before its stored
+    ones is a replay that began again: its stored rows go."""
+    ends = incoming.groupBy(*by).agg(F.max("t").alias("_in")).join(stored.groupBy(*by).agg(F.max("t").alias("_was")), list(by))
+    again = ends.filter(F.col("_in") < F.col("_was") - seconds).select(*by)
+    kept = stored.join(again, list(by), "left_anti")
+    order = lambda df, age: df.withColumn("_order", F.struct(F.lit(age).alias("age"), F.col(tie).alias("tie")))
+    return bounded_history(order(kept, 0).unionByName(order(incoming, 1)), seconds, most, "_order", by).drop("_order")
+
+
 def versions(df: DataFrame, changed: Column, by: tuple[str, ...] = BY) -> DataFrame:
     """``version``: goes up by one at each row that changed anything."""
     return df.withColumn("version", F.sum(F.when(F.coalesce(changed, F.lit(True)), 1).otherwise(0)).over(_w(by)))

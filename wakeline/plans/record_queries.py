@@ -97,6 +97,18 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.bounded_history(coarse, 1800, 10, "id")
 
 
+@query(f"""WITH {FIXES_SQL}, s AS (SELECT mmsi, t, id FROM fixes WHERE t <= 3000), n AS (SELECT mmsi, t - CASE WHEN mmsi % 3 = 0 THEN 6000 ELSE 0 END AS t, id FROM fixes WHERE t > 3000),
+r AS (SELECT n.mmsi FROM (SELECT mmsi, max(t) AS a FROM n GROUP BY 1) n JOIN (SELECT mmsi, max(t) AS b FROM s GROUP BY 1) s USING (mmsi) WHERE a < b - 1800),
+u AS (SELECT *, 0 AS age FROM s WHERE mmsi NOT IN (SELECT mmsi FROM r) UNION ALL SELECT *, 1 FROM n), o AS (SELECT mmsi, t, arg_max(id, age * 1000000000 + id) AS id FROM u GROUP BY 1, 2),
+w AS (SELECT *, max(t) OVER (PARTITION BY mmsi) AS newest, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC) AS rn FROM o)
+SELECT mmsi, t, id FROM w WHERE t >= newest - 1800 AND rn <= 20""")
+def history_rewind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second batch of reports, of which a third of the vessels begins again at an earlier time."""
+    f = fixes(spark, sf_dir).select("mmsi", "t", "id")
+    later = f.filter("t > 3000").withColumn("t", (F.col("t") - F.when(F.col("mmsi") % 3 == 0, 6000).otherwise(0)).cast("long"))
+    return sequence.grown_history(f.filter("t <= 3000"), later, 1800, 20, "id")
+
+
 def tail_sql(source: str, keeps: str, gap: float, extra: str = "", columns: str = "mmsi, count(*) AS n, max(t) - min(t) AS duration, sum(v) AS sum_v, max(v) AS max_v", where: str = "TRUE") -> str:
     return f"""WITH {source}, pool AS (SELECT * FROM fixes WHERE {where}),
 l AS (SELECT *, lead(t) OVER (PARTITION BY mmsi ORDER BY t) AS nt, last_value(lon) OVER (PARTITION BY mmsi
