@@ -107,7 +107,9 @@ def test_suffix_arrays_decide_as_comparing_all(monkeypatch, large):
     rng = random.Random(3)
     shared = [bytes(rng.choices(b"abcd", k=60)) for _ in range(3)]
     bodies = [bytes(rng.choices(b"ab", k=rng.randint(0, 30))) + rng.choice(shared) + bytes(rng.choices(b"ab", k=rng.randint(0, 30))) for _ in range(120)]
+    bodies[60:75] = [bodies[3]] * 15  # equal pieces of many documents, of one twice
     some = passages(bodies, [i % 50 for i in range(120)], [i % 7 for i in range(120)], [len(b) - 49 for b in bodies])
+    some.place[60:75], some.doc[70] = some.place[3], some.doc[3]
     want = {
         (i, k) for i in range(120) for k in range(len(bodies[i]) - 49)
         if any(some.doc[j] < some.doc[i] and some.place[i] == some.place[j] and bodies[i][k : k + 50] in bodies[j] for j in range(120))

@@ -357,8 +357,8 @@ def _met(key, doc, section, flags, kind: Kind) -> tuple[np.ndarray, np.ndarray,
     wanted = hot | (n_docs > 1)
     if kind.anywhere:
         wanted |= (any_flag & 1 > 0) | (sizes > 1)
-    place = mix(mix(doc[groups].view(_U)) + section[groups].astype(_U)) & _MASK48 | _U(1)
-    place = np.where(hot, _U(HOT), place)
+    place = mix(mix(doc[groups].view(_U)) + section[groups].astype(_U)) & _MASK48
+    place = np.where(hot, _U(HOT), np.maximum(place, _U(1)))
     keep = np.repeat(wanted, sizes) & new_doc
     return doc[keep], key[keep], np.repeat(place, sizes)[keep]
 
@@ -461,7 +461,7 @@ class _Sent:
             some = np.flatnonzero(first <= last)
             at, first, last = asked[some], first[some], last[some]
             shared = f.sums.spans(f.anchor[at] - a, f.anchor[at] - b + window)
-            place = mix(shared ^ f.key[at] + _U(a)) & _MASK48 | _U(1)
+            place = np.maximum(mix(shared ^ f.key[at] + _U(a)) & _MASK48, _U(1))
             text = f.text[at]
             bodies = self._bodies(text, first, last, pieces, bounds)
             facts = zip(doc[row[text]].tolist(), name[row[text]].view(np.int64).tolist(), (first - bounds[text] + starts[text]).tolist(), (last - first + 1).tolist(), strict=True)

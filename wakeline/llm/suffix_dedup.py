@@ -52,8 +52,12 @@ def _recut(part: np.ndarray, some: Passages, kind: Kind) -> Iterator[tuple[np.nd
 
 
 def _sorted(name, passage, offset, size, some: Passages, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces ``size`` long at an offset of passages; those of one name make a string, whose suffix array decides them."""
-    order = np.argsort(name, kind="stable")
+    """Pieces ``size`` long at an offset of passages; those of one name make a string, whose suffix array decides them.
+
+    Where more than two documents have equal pieces, those of the smallest and of the next one are sorted, and the rest share
+    the next one's verdict: whatever repeats for it does for them.
+    """
+    order = np.lexsort((some.doc[passage], name))
     name, passage, offset, size = name[order], passage[order], offset[order], size[order]
     if not len(order):
         return
@@ -66,18 +70,36 @@ def _sorted(name, passage, offset, size, some: Passages, kind: Kind) -> Iterator
     passage, offset, size, doc = passage[keep], offset[keep], size[keep], doc[keep]
     if not len(group):
         return
-    total = np.bincount(group, weights=size + 1).astype(np.int64)
+    pieces = [some.bodies[i][a : a + n] for i, a, n in zip(passage.tolist(), offset.tolist(), size.tolist(), strict=True)]
+    leader = np.arange(len(group))
+    known: dict[tuple[int, bytes], list[int]] = {}
+    for i, (g, d, piece) in enumerate(zip(group.tolist(), doc.tolist(), pieces, strict=True)):
+        first = known.setdefault((g, piece), [d, -1])
+        if d > first[0] and first[1] < 0:
+            first[1] = i
+        elif d > first[0]:
+            leader[i] = first[1]
+    own = np.flatnonzero(leader == np.arange(len(leader)))
+    rest = np.flatnonzero(leader != np.arange(len(leader)))
+    rest = rest[np.argsort(leader[rest], kind="stable")]
+    total = np.bincount(group[own], weights=size[own] + 1).astype(np.int64)
     nth = np.argsort(np.argsort(total, kind="stable"), kind="stable")  # strings of like length are sorted together
-    order = np.argsort(nth[group], kind="stable")
-    group, passage, offset, size, doc = nth[group][order], passage[order], offset[order], size[order], doc[order]
-    batch = ((np.cumsum(np.sort(total, kind="stable")) - 1) // BATCH)[group]
-    for part in np.split(np.arange(len(group)), np.flatnonzero(np.diff(batch)) + 1):
-        pieces = [some.bodies[i][a : a + n] for i, a, n in zip(passage[part].tolist(), offset[part].tolist(), size[part].tolist(), strict=True)]
-        end = np.cumsum(size[part])
-        at, window = repeated(np.frombuffer(b"".join(pieces), np.uint8), group[part], end - size[part], end, doc[part], kind.window)
+    own = own[np.argsort(nth[group[own]], kind="stable")]
+    names = nth[group[own]]
+    batch = ((np.cumsum(np.sort(total, kind="stable")) - 1) // BATCH)[names]
+    for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(batch)) + 1):
+        who = own[part]
+        end = np.cumsum(size[who])
+        at, window = repeated(np.frombuffer(b"".join([pieces[i] for i in who.tolist()]), np.uint8), names[part], end - size[who], end, doc[who], kind.window)
         if len(at):
-            piece, first, last = runs(at, window)
-            yield passage[part][piece], offset[part][piece] + first, offset[part][piece] + last
+            found, first, last = runs(at, window)
+            found = who[found]
+            yield passage[found], offset[found] + first, offset[found] + last
+            low, high = np.searchsorted(leader[rest], found, "left"), np.searchsorted(leader[rest], found, "right")
+            run = np.repeat(np.arange(len(found)), high - low)
+            ends = np.cumsum(high - low)
+            also = rest[np.arange(len(run)) + np.repeat(low - (ends - (high - low)), high - low)]
+            yield passage[also], offset[also] + first[run], offset[also] + last[run]
 
 
 def repeated(flat: np.ndarray, names: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
