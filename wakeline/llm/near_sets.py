@@ -5,8 +5,9 @@ Candidates come from two searches: the vantage-point trees over SimHash (``simha
 shares no bucket with a chance of (1 - 0.8**5)**24, about 7 * 10**-5. Each candidate is then checked by its whole sets, so
 no document goes for a fingerprint alone.
 
-A bucket is compared in rounds. In each, some pivots (1, 16, 256, ...) are checked against the members that are not connected with
-them yet and then leave; a bucket ends once all its members are connected. A large group of near copies so takes about one check a member.
+A bucket is compared in rounds. In each, some pivots (1, then 16) are checked against the members that are not connected with them
+yet and then leave; a bucket ends once all its members are connected. What is still open then is dealt anew, by the rarest
+shingles of each set (a prefix filter, which loses no pair), and the rounds go on (1, 16, 256, ... pivots). A large group of near copies so takes about one check a member.
 
 Equal sets collapse first. A null or empty text has the empty set; fewer words than a shingle are one shingle.
 """
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -25,6 +26,7 @@ from .common import checkpointed, text_batches, texts
 from .components import components
 
 SHINGLE, ALIKE, BANDS, ROWS, MOST = 5, 0.8, 24, 5, 7
+PIVOTS = 16
 _U = np.uint64
 _RNG = np.random.default_rng(42)
 _TIMES, _PLUS = _RNG.integers(0, 2**64 - 1, BANDS * ROWS, _U) | _U(1), _RNG.integers(0, 2**64 - 1, BANDS * ROWS, _U)
@@ -103,9 +105,20 @@ def checked(pairs: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFram
     return both.filter(shared >= alike * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def prefixed(members: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """The members' nodes in buckets of their rarest shingles instead: of two sets with this Jaccard index, in any common order of
+    shingles, the first n - ceil(alike * n) + 1 of each have one in common, so no pair of alike nodes is lost."""
+    nodes = members.groupBy("node").agg(F.min("component").alias("component"))
+    shown = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("bucket"))
+    seen = shown.groupBy("bucket").agg(F.count("*").alias("seen"))
+    ranked = shown.join(seen, "bucket").withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("seen", "bucket")))
+    first = ranked.filter((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * alike - 1e-9) + 1) & (F.col("seen") > 1))
+    return first.join(nodes, "node").select("bucket", "node", "component")
+
+
 def set_components(members: DataFrame, sets: DataFrame, more: DataFrame, alike: float = ALIKE) -> DataFrame:
     """(node, component) of the nodes with a link; members: bucket, node; more: further candidate pairs a, b."""
-    links, pivots_each = None, 1
+    links, pivots_each, anew = None, 1, False
     members = members.withColumn("component", F.col("node"))
     while True:
         pivots = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots_each)).alias("_salt")).agg(F.min(F.struct("node", "component")).alias("_p"))
@@ -122,7 +135,11 @@ def set_components(members: DataFrame, sets: DataFrame, more: DataFrame, alike:
         members = checkpointed(left.join(open_, "bucket", "left_semi"))
         if members.isEmpty():
             return joined
-        pivots_each *= 16  # few rounds, as each is many small jobs; no pair comes twice
+        if pivots_each == PIVOTS and not anew:  # what is left in open buckets is mostly unlike
+            members, pivots_each = checkpointed(prefixed(members, sets, alike)), 1
+            anew = True
+            continue
+        pivots_each *= PIVOTS  # few rounds, as each is many small jobs; no pair comes twice
 
 
 def deduplicated(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
