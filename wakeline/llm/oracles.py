@@ -52,4 +52,16 @@ f AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size)
 j AS (SELECT k.*, f.source_size, f.target, f.epochs, CAST(floor(target) AS BIGINT) - epochs * f.source_size AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM k JOIN f ON f.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM j"""
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2, "op3_line_dedup": OP3, "op6_substring_dedup": OP6, "op7_url_filter": OP7, "op9_source_mixing": OP9}
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_TERM})"
+
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS ts FROM documents), n AS (SELECT k, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0), s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+p AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY k, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+c AS (SELECT k, t, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)) AS c FROM p JOIN n USING (k), s),
+r AS (SELECT item_id, k, CAST(sum(times * w * c) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN c USING (t) GROUP BY item_id, k),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r JOIN n USING (k) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2, "op3_line_dedup": OP3, "op6_substring_dedup": OP6, "op7_url_filter": OP7, "op9_source_mixing": OP9, "op13_lexical_search": OP13}

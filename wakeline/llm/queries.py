@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import classifier, fingerprints, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
+from . import classifier, clustering, fingerprints, lexical_search, line_dedup, mixing, packing, pieces, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import table
 from .oracles import ORACLE_SQL  # noqa: F401  read by __spark_entry__
 
@@ -61,6 +59,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_quality_rules, op3_line_dedup, op4_quality_classifier, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filter, op8_document_fingerprints, op9_source_mixing, op10_best_fit_packing)
-} | {"pipeline": corpus_pipeline.run}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.coded(table(spark, sf_dir, "documents"), columns=pieces.DIGESTS)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # here: the operators don't need it
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_OPERATORS = (
+    op1_suffix_array_dedup, op2_quality_rules, op3_line_dedup, op4_quality_classifier, op5_simhash_near_dedup, op6_substring_dedup, op7_url_filter, op8_document_fingerprints, op9_source_mixing,
+    op10_best_fit_packing, op11_sentencepiece, op12_centroid_clustering, op13_lexical_search,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS} | {"pipeline": _pipeline}
