@@ -6,12 +6,10 @@ Parquet and read again as the next one's ``docs``. All but the last return the c
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.llm import classifier, line_dedup, mixing, near_sets, packing
-from wakeline.llm.common import shared_folder, table
+from wakeline.llm.common import table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,10 +70,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents, each written to the session's shared folder and read again."""
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    """Apply STAGES to documents, each written to the session's shared folder and read again; the folders go when the driver ends."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

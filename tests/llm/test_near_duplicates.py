@@ -182,6 +182,31 @@ def test_buckets_are_compared_until_connected(spark):
     assert {(r["node"], r["component"]) for r in got} == {(i, 100) for i in range(100, 140)}
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_crowds_are_compared_by_blocks(spark, monkeypatch, block):
+    """Many sets of one bucket, most of them just below 0.8, in small blocks: the components are those of all pairs."""
+    monkeypatch.setattr(near_sets, "CROWD", block)
+    rng = random.Random(11)
+    base = list(range(1000, 1060))
+    sets = [(i, sorted(rng.sample(base, rng.choice([44, 48, 51, 54])) + [10_000 + i * 10 + k for k in range(rng.randint(0, 2))])) for i in range(1, 90)]
+    sets += [(200 + i, list(range(5000, 5000 + 4 * i))) for i in range(1, 25)]
+    linked = [(x, y) for x in range(len(sets)) for y in range(x) if 5 * len({*sets[x][1]} & {*sets[y][1]}) >= 4 * len({*sets[x][1]} | {*sets[y][1]})]
+    at = roots(len(sets), linked)
+    want = {(sets[i][0], sets[at[i]][0]) for p in linked for i in p}
+    assert 20 < len(linked) < 3000
+    df = spark.createDataFrame(sets, "node long, hashes array<long>")
+    members = spark.createDataFrame([(1, i) for i, _ in sets] + [(2, i) for i, _ in sets[::3]], "bucket long, node long")
+    got = near_sets.set_components(members, df, spark.createDataFrame([], "a long, b long"))
+    assert {(r["node"], r["component"]) for r in got.collect()} == want
+
+
+def test_near_duplicate_stage_with_columns_that_spark_does_not_compare(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", {"k": 1}), (1, "a b c d e f", {"k": 2}), (2, "a b c d e f", None)], "doc_id long, text string, tags map<string,int>")
+    docs = docs.withColumn("many", F.array("tags"))
+    got = near_sets.deduplicated(docs).collect()
+    assert [(r["doc_id"], r["tags"], r["many"]) for r in got] == [(1, {"k": 1}, [{"k": 1}])]
+
+
 def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
     rng = random.Random(6)
     a, b, c, d = (prose(rng, 80) for _ in range(4))

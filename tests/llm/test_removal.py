@@ -193,3 +193,12 @@ def test_line_dedup_survives_insertions(spark):
     df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(shifted))], "doc_id long, text string")
     removed = {r["doc_id"]: r["n_lines_removed"] for r in line_dedup.report(df).collect()}
     assert removed[1] == 0 and removed[2] >= 40
+
+
+def test_a_text_of_very_many_chunks(spark):
+    """Chunks that go are looked up in one step each: a log of 10^5 lines, twice, takes seconds."""
+    log = "\n".join(f"line {k * 7919 % 100_003} of the log" for k in range(100_000))
+    docs = spark.createDataFrame([(1, log), (2, log + "\nand one more"), (3, "short")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.report(docs).collect()}
+    assert got[1]["n_chunks_removed"] == 0 and got[1]["n_chunks"] > 10_000
+    assert got[2]["n_chunks_removed"] >= got[1]["n_chunks"] - 1 and got[2]["n_lines"] == 100_001

@@ -43,6 +43,15 @@ def test_policies_and_ablations(docs):
         assert found[rule]["n_kept_without"] == sum(not r["failed"] & whole & ~bit for r in book)
 
 
+def test_classifier_fits_one_row_an_id(spark, monkeypatch):
+    """A labelled id that comes back very often sends no more rows to the driver than any other."""
+    seen = []
+    monkeypatch.setattr(classifier, "isotonic", lambda score, label, own=classifier.isotonic: seen.append(len(score)) or own(score, label))
+    rows = [(i, f"text number {i} and more.") for i in range(40)] + [(7, f"again {k}") for k in range(500)]
+    classifier.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"), F.lit(True), max_rows=100)
+    assert seen == [40]
+
+
 def test_classifier_learns_and_is_calibrated(spark, nothing):
     rng = np.random.default_rng(1)
     good = [" ".join(rng.choice(["the", "sea", "was", "calm", "and", "grey"], rng.integers(20, 60))) + "." for _ in range(150)]

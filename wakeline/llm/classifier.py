@@ -10,7 +10,7 @@ Fitting takes a bounded sample of labelled rows: ``max_rows`` (a parameter) in e
 so the sample does not depend on partitioning. Scoring covers every row in one pass without a shuffle.
 
 Edge cases: a null text counts as empty and gets a score like any other; labels that are null, or for ids that have no
-document, are ignored; documents repeated under one id are all fitted and all scored; without usable labels every score
+document, are ignored; of documents repeated under one id the smallest text is fitted, and all are scored; without usable labels every score
 is 0.5; an empty table gives an empty result; other columns are not read.
 """
 
@@ -116,7 +116,8 @@ def sampled_labels(labels: DataFrame, learnable: Column, max_rows: int, label: s
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS, features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED) -> Model:
     """Fit on at most about ``max_rows`` labelled documents; only sums of a fixed size and the sample's scores reach the driver."""
     sample = F.broadcast(sampled_labels(labels, learnable, max_rows))  # bounded by max_rows
-    chosen = docs.select("doc_id", "text").join(sample, "doc_id")
+    # of documents repeated under one id the smallest text is fitted, so rows are bounded like ids
+    chosen = docs.select("doc_id", "text").join(sample.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)).cast("int")
     k, rng = len(STATISTICS), np.random.default_rng(seed)
     facts = statistics(chosen).join(sample, "doc_id").select("x", "y", fold.alias("fold")).persist()

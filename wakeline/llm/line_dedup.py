@@ -50,7 +50,7 @@ def chunked(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(_doc, _gone, _n): the positions of the chunks to remove, and how many chunks there are, by document."""
+    """(_doc, _gone, _n): the positions, ascending, of the chunks to remove, and how many chunks there are, by document."""
     # outer: a plain posexplode adds a filter on the array, which would be pushed down and compute the chunks a second time
     pieces = chunked(docs.select(_key(), "text")).withColumn("_n", F.size("_chunks")).select("_doc", "_n", F.posexplode_outer("_chunks").alias("k", "chunk"))
     pieces = pieces.filter((F.col("chunk.lines") > 1) & F.col("chunk.body").rlike(r"[^\x20\x09-\x0D]")).select("_doc", "_n", "k", F.col("chunk.body").alias("body"))
@@ -60,7 +60,17 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     is_first = (F.col("_doc") == F.col("first._doc")) & (F.col("k") == F.col("first.k"))
     kept = checkpointed(again.filter(is_first).groupBy("h").agg(F.min("body").alias("kept")))
     later = again.filter(~is_first).join(kept, "h").filter(F.col("body") == F.col("kept"))
-    return later.groupBy("_doc").agg(F.collect_set("k").alias("_gone"), F.max("_n").alias("_n"))  # at most a document's own chunks
+    return later.groupBy("_doc").agg(F.sort_array(F.collect_set("k")).alias("_gone"), F.max("_n").alias("_n"))  # at most a document's own chunks
+
+
+def _flags() -> Column:
+    """For the chunks up to the last that goes, whether each does: a look at any is one step, however many chunks there are."""
+    before = lambda i: F.when(i > 0, F.get("_gone", i - 1)).otherwise(F.lit(-1))
+    return F.flatten(F.transform("_gone", lambda k, i: F.concat(F.array_repeat(F.lit(False), k - before(i) - 1), F.array(F.lit(True)))))
+
+
+def _goes(k: Column) -> Column:
+    return F.coalesce(F.get("_flags", k), F.lit(False))
 
 
 def _key() -> Column:
@@ -68,22 +78,23 @@ def _key() -> Column:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, text, ``_row`` (the whole input row), ``_chunks``, ``_gone`` (never null) and ``_n`` (null if nothing goes)."""
+    """doc_id, text, ``_row`` (the whole input row), ``_chunks``, ``_gone`` and ``_flags`` (never null) and ``_n`` (null if nothing goes)."""
     own = docs.select(_key(), "doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    gone = repeated_chunks(own)
+    gone = repeated_chunks(own).withColumn("_flags", _flags())  # before the join, so that it is computed once a document
     joined = own.join(gone.hint("shuffle_hash"), "_doc", "left")
-    return chunked(joined.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))).drop("_doc")
+    none = {"_gone": F.coalesce("_gone", F.array().cast("array<int>")), "_flags": F.coalesce("_flags", F.array().cast("array<boolean>"))}
+    return chunked(joined.withColumns(none)).drop("_doc")
 
 
 def _kept_text() -> Column:
-    return F.array_join(F.transform(F.filter("_chunks", lambda c, k: ~F.array_contains(F.col("_gone"), k)), lambda c: c["body"]), "\n")
+    return F.array_join(F.transform(F.filter("_chunks", lambda c, k: ~_goes(k)), lambda c: c["body"]), "\n")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_chunks, n_chunks_removed, n_lines_removed, kept_sha256."""
     lines_in = lambda chunks: F.aggregate(chunks, F.lit(0), lambda s, c: s + c["lines"])
     found = marked(docs.select("doc_id", "text"))
-    gone = F.filter("_chunks", lambda c, k: F.array_contains(F.col("_gone"), k))
+    gone = F.filter("_chunks", lambda c, k: _goes(k))
     return found.select(
         "doc_id", lines_in(F.col("_chunks")).cast("long").alias("n_lines"), F.size("_chunks").cast("long").alias("n_chunks"), F.size("_gone").cast("long").alias("n_chunks_removed"),
         lines_in(gone).cast("long").alias("n_lines_removed"), F.sha2(F.encode(_kept_text(), "UTF-8"), 256).alias("kept_sha256"),

@@ -5,28 +5,30 @@ Candidates come from two searches: the vantage-point trees over SimHash (``simha
 shares no bucket with a chance of (1 - 0.8**5)**24, about 7 * 10**-5. Each candidate is then checked by its whole sets, so
 no document goes for a fingerprint alone.
 
-A bucket is compared in rounds. In each, some pivots (1, then 16) are checked against the members that are not connected with them
-yet and then leave; a bucket ends once all its members are connected. What is still open then is dealt anew, by the rarest
-shingles of each set (a prefix filter, which loses no pair), and the rounds go on (1, 16, 256, ... pivots). A large group of near copies so takes about one check a member.
+A bucket is compared in two rounds. In each, some pivots (1, then 16) are checked against the members that are not connected with them
+yet and then leave; a bucket ends once all its members are connected. A large group of near copies so takes about one check a member.
+What is still open then is a crowd of texts that share bands and are not alike; see ``crowd_links``. No pair of a bucket is left out.
 
 Equal sets collapse first. A null or empty text has the empty set; fewer words than a shingle are one shingle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
 from .common import checkpointed, text_batches, texts
-from .components import components
+from .components import components, local_forest
 
 SHINGLE, ALIKE, BANDS, ROWS, MOST = 5, 0.8, 24, 5, 7
-PIVOTS = 16
+PIVOTS = (1, 16)
+CROWD = 512
 _U = np.uint64
 _RNG = np.random.default_rng(42)
 _TIMES, _PLUS = _RNG.integers(0, 2**64 - 1, BANDS * ROWS, _U) | _U(1), _RNG.integers(0, 2**64 - 1, BANDS * ROWS, _U)
@@ -105,22 +107,68 @@ def checked(pairs: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFram
     return both.filter(shared >= alike * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def prefixed(members: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """The members' nodes in buckets of their rarest shingles instead: of two sets with this Jaccard index, in any common order of
-    shingles, the first n - ceil(alike * n) + 1 of each have one in common, so no pair of alike nodes is lost."""
-    nodes = members.groupBy("node").agg(F.min("component").alias("component"))
-    shown = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("bucket"))
-    seen = shown.groupBy("bucket").agg(F.count("*").alias("seen"))
-    ranked = shown.join(seen, "bucket").withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("seen", "bucket")))
-    first = ranked.filter((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * alike - 1e-9) + 1) & (F.col("seen") > 1))
-    return first.join(nodes, "node").select("bucket", "node", "component")
+def crowds(members: DataFrame) -> DataFrame:
+    """(node, crowd): nodes that a chain of common buckets connects."""
+    least = members.groupBy("bucket").agg(F.min("node").alias("b"))
+    return components(members.join(least, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "crowd")
+
+
+def crowd_links(members: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """Links (a, b) that connect all alike nodes of a crowd that are not of one component yet; members: bucket, node, component.
+
+    A crowd is cut into blocks of about ``CROWD`` nodes whose sets have like sizes: sets with this Jaccard index are of the same or of neighbouring
+    size classes. Each pair of such blocks is one task's work; it counts common shingles as a product of matrices and returns a forest, no pairs.
+    """
+    of = members.groupBy("node").agg(F.min("component").alias("component")).join(crowds(members), "node")
+    size_class = F.floor(F.log(F.greatest(F.size("hashes"), F.lit(1)).cast("double")) / math.log(1 / alike)).cast("int")
+    sized = checkpointed(sets.select("node", size_class.alias("c")).join(of, "node"))
+    counts = sized.groupBy("crowd", "c").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("n"))
+    blocks = checkpointed(counts.select("crowd", "c", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")))
+    left = blocks.select("crowd", F.col("c").alias("at"), F.col("s").alias("s_a"))
+    right = blocks.select("crowd", "c", F.col("s").alias("s_b"), F.explode(F.array(F.col("c"), F.col("c") - 1)).alias("at"))
+    both = left.join(right, ["crowd", "at"]).filter((F.col("c") > F.col("at")) | (F.col("s_b") >= F.col("s_a")))
+    task = F.struct("crowd", "at", "s_a", "c", "s_b").alias("task")
+    sides = both.select("crowd", F.explode(F.array_distinct(F.array(F.struct(F.col("at").alias("c"), F.col("s_a").alias("s")), F.struct("c", F.col("s_b").alias("s"))))).alias("_side"), task)
+    sides = sides.select("crowd", "_side.c", "_side.s", "task")
+    placed = sized.join(counts, ["crowd", "c"]).select("node", "component", "crowd", "c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("s"))
+    dealt = placed.join(sides, ["crowd", "c", "s"]).select("task", "node", "component").join(sets, "node")
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
+        lists = group.column("hashes").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        x, y = alike_pairs(lists.flatten().to_numpy(), n, alike)
+        other = component[x] != component[y]
+        a, b = local_forest(node[x[other]], node[y[other]])
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=kinds)
+
+    return dealt.select("task", "node", "component", "hashes").groupBy("task").applyInArrow(compare, "a long, b long")
+
+
+def alike_pairs(hashes: np.ndarray, n: np.ndarray, alike: float = ALIKE) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x < y) of sets, n elements each one after the other, with at least this Jaccard index."""
+    at, seen = np.unique(hashes, return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(len(n)), n)
+    shared = seen[at] > 1  # what one set alone has is in no pair
+    column = (np.cumsum(seen > 1) - 1)[at[shared]]
+    row = row[shared]
+    common = np.zeros((len(n), len(n)))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (first, first + 4096))
+        has = np.zeros((len(n), 4096), np.float32)
+        has[row[a:b], column[a:b] - first] = 1
+        common += has @ has.T
+    return np.nonzero(np.triu(common >= alike * (n[:, None] + n[None] - common), 1) & (common > 0))
 
 
 def set_components(members: DataFrame, sets: DataFrame, more: DataFrame, alike: float = ALIKE) -> DataFrame:
     """(node, component) of the nodes with a link; members: bucket, node; more: further candidate pairs a, b."""
-    links, pivots_each, anew = None, 1, False
+    links = None
     members = members.withColumn("component", F.col("node"))
-    while True:
+    for pivots_each in PIVOTS:
         pivots = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots_each)).alias("_salt")).agg(F.min(F.struct("node", "component")).alias("_p"))
         pivots = checkpointed(pivots.select("bucket", F.col("_p.node").alias("_pivot"), F.col("_p.component").alias("_of")))
         pairs = members.join(pivots, "bucket").filter("component <> _of").select(F.greatest("node", "_pivot").alias("a"), F.least("node", "_pivot").alias("b"))
@@ -135,11 +183,14 @@ def set_components(members: DataFrame, sets: DataFrame, more: DataFrame, alike:
         members = checkpointed(left.join(open_, "bucket", "left_semi"))
         if members.isEmpty():
             return joined
-        if pivots_each == PIVOTS and not anew:  # what is left in open buckets is mostly unlike
-            members, pivots_each = checkpointed(prefixed(members, sets, alike)), 1
-            anew = True
-            continue
-        pivots_each *= PIVOTS  # few rounds, as each is many small jobs; no pair comes twice
+    return components(links.unionByName(checkpointed(crowd_links(members, sets, alike))))
+
+
+def _order(docs: DataFrame) -> Column:
+    """The columns of ``_row`` in an order that any type has: what Spark does not compare (maps and the like) as JSON."""
+    plain = lambda kind: not any(x in kind for x in ("map<", "variant", "interval"))
+    field = lambda c: F.col(f"_row.`{c}`")
+    return F.struct(*(field(c) if plain(kind) else F.to_json(F.struct(field(c).alias("x"))) for c, kind in docs.dtypes))
 
 
 def deduplicated(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
@@ -157,5 +208,5 @@ def deduplicated(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     sets = checkpointed(node_sets(texts_of).dropDuplicates(["node"]))
     joined = set_components(members, sets, more, alike)
     kept = own.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("_c")).agg(F.min(F.struct("_id", "_text")).alias("_k")).select("_k._id", "_k._text")
-    rows = keyed.join(kept, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min("_row").alias("_row"))
+    rows = keyed.join(kept, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min_by("_row", _order(docs)).alias("_row"))
     return rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
