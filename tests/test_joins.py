@@ -71,9 +71,9 @@ SHIP = "mmsi long, t long, lon double, lat double, speed double, course double,
 def test_collision_scenarios(spark):
     at = lambda m, x, course, speed=10.0, t=0: (m, t, 113 + x, 22.0, speed, course, 100.0)
     ships = [at(1, 0.0, 90.0), at(2, 0.025, 270.0), at(3, 0.5, 90.0), at(4, 0.53, 90.0), at(5, 0.8, 270.0), at(6, 0.83, 90.0), at(7, 0.01, 270.0, t=-500)]
-    got = detectors.collision(spark.createDataFrame(ships, SHIP)).collect()
+    got = detectors.collision(spark.createDataFrame(ships, SHIP).withColumn("id", F.col("mmsi"))).collect()
     assert [(r["mmsi_a"], r["mmsi_b"], r["risk"]) for r in got] == [(1, 2, "high")]
-    assert detectors.collision(spark.createDataFrame([], SHIP)).count() == 0
+    assert detectors.collision(spark.createDataFrame([], SHIP).withColumn("id", F.col("mmsi"))).count() == 0
 
 
 @pytest.mark.parametrize("lat", [0.0, 60.0, 75.0, 89.5])
@@ -90,7 +90,7 @@ def test_near_pairs_anywhere_on_the_globe(spark, lat):
 def test_collision_looks_far_for_fast_vessels_only(spark):
     """Fast and slow ones meet, whichever has the larger number, also across 180 degrees."""
     rows = [(1, 0, 113.0, 22.0, 60.0, 90.0, 50.0), (2, 0, 113.2, 22.0, 0.5, 0.0, 50.0), (8, 0, 179.95, 10.0, 0.5, 0.0, 50.0), (7, 0, -179.9, 10.0, 40.0, 270.0, 50.0), (9, 0, 113.0, 22.3, 100.0, 0.0, 50.0), (10, 0, 113.0, 23.5, 3000.0, 180.0, 50.0)]
-    got = detectors.collision(spark.createDataFrame(rows, SHIP)).collect()
+    got = detectors.collision(spark.createDataFrame(rows, SHIP).withColumn("id", F.col("mmsi"))).collect()
     assert sorted((r["mmsi_a"], r["mmsi_b"]) for r in got) == [(1, 2), (7, 8)]
 
 

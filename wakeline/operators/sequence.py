@@ -18,10 +18,12 @@ def _w(by: tuple[str, ...], *order) -> Window:
 
 
 def latest(df: DataFrame, by: tuple[str, ...] = BY, order: str = "t", tie: str | None = None, last_wins: bool = True) -> DataFrame:
-    """The newest row per key; of equal times the last or the first by ``tie``. An aggregation with partial results, so a key with very many rows is no hot spot."""
+    """The newest row per key; of equal times the last or the first by ``tie``, which the first needs. An aggregation with partial results, so a key with very many rows is no hot spot."""
+    if tie is None and not last_wins:
+        raise ValueError("the first of equal times needs a column that orders them")
     rest = [c for c in df.columns if c not in by]
     row = F.struct(*(F.col(f"`{c}`") for c in rest))
-    if tie is None or last_wins:
+    if last_wins:
         found = df.groupBy(*by).agg(F.max_by(row, F.struct(*dict.fromkeys([order, tie or order]))).alias("_row"))
     else:  # the first of the newest time; ties may be of any type that can be ordered
         newest = df.groupBy(*by, order).agg(F.min_by(row, tie).alias("_row"))

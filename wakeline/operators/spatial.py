@@ -21,23 +21,76 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
+#: Levels of the grid for zones and legs: a level has 2 ** level columns round the globe.
+LEVELS = (14, 12, 10, 8, 6, 4, 2)
+#: A zone, or a leg, is put on the finest level where it is no longer than so many cells.
+MOST_CELLS = 8
+
+
+def _finest(size: float) -> tuple[int, ...]:
+    """The levels whose cells are not much smaller than ``size`` degrees."""
+    return tuple(k for k in LEVELS if 360 / 2**k >= size * 0.9) or LEVELS[-1:]
+
+
+def _level(span: Column, levels: tuple[int, ...]) -> Column:
+    out = F.lit(levels[-1])
+    for k in levels[-2::-1]:
+        out = F.when(span <= MOST_CELLS * 360 / 2**k, k).otherwise(out)
+    return out
+
+
+def _row_of(lat: Column, level: Column) -> Column:
+    return F.floor((lat + 90) * F.pow(F.lit(2.0), level) / 360).cast("long")
+
+
+def _column_of(lon: Column, level: Column) -> Column:
+    """Not yet wrapped: longitudes beyond 180 have columns beyond the last."""
+    return F.floor((lon + 180) * F.pow(F.lit(2.0), level) / 360).cast("long")
+
+
+def _wrapped(column: Column, level: Column) -> Column:
+    return F.pmod(column, F.pow(F.lit(2.0), level).cast("long"))
+
+
+def _levels_of(df: DataFrame) -> list[int]:
+    return sorted(r["_level"] for r in df.select("_level").distinct().collect())  # at most len(LEVELS) numbers
+
+
+def _box_cells(boxes: DataFrame) -> DataFrame:
+    """A row per cell of _level that the box _x0, _x1, _y0, _y1 touches: _cx, _cy."""
+    level = F.col("_level")
+    across = F.transform(F.sequence(_column_of(F.col("_x0"), level), _column_of(F.col("_x1"), level)), lambda c: _wrapped(c, level))
+    return boxes.withColumn("_cx", F.explode(F.array_distinct(across))).withColumn("_cy", F.explode(F.sequence(_row_of(F.col("_y0"), level), _row_of(F.col("_y1"), level))))
+
+
+def as_seen_from(lon: Column, low: Column, high: Column) -> Column:
+    """A longitude, or the same place a turn further, such that it lies in [low, high] if it can; a zone may so reach beyond 180 degrees."""
+    return F.when((lon < low) & (lon + 360 <= high), lon + 360).when((lon > high) & (lon - 360 >= low), lon - 360).otherwise(lon)
+
+
 def near_zones(points: DataFrame, zones: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """Pairs of a point and a zone (with ``with_ring``) whose bounding box, widened by ``margin`` metres, holds it.
+    """Pairs of a point and a zone (with ``with_ring``) whose bounding box, widened by ``margin`` metres, holds it; ``zone_lon`` is the point's longitude as the zone counts.
 
-    Each zone is repeated for the cells its box touches; a point has one cell, so a pair comes once.
+    Cells have several levels, the finest of about ``size`` degrees. A zone is repeated for the cells its box touches on the level that suits its extent, some
+    dozens at most however wide it is; a point has one cell on each level that zones are on, so a pair comes once.
     """
     up = margin / geo.METRES_PER_DEGREE
     wide = margin / (geo.METRES_PER_DEGREE * F.greatest(F.cos(F.radians(F.greatest(F.abs("min_lat"), F.abs("max_lat")))), F.lit(0.1)))
     boxed = zones.withColumns({"_x0": F.col("min_lon") - wide, "_x1": F.col("max_lon") + wide, "_y0": F.col("min_lat") - up, "_y1": F.col("max_lat") + up})
-    spread = boxed.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x0"), size), cell(F.col("_x1"), size)))).withColumn("_cy", F.explode(F.sequence(cell(F.col("_y0"), size), cell(F.col("_y1"), size))))
-    placed = points.withColumns({"_cx": cell(F.col("lon"), size), "_cy": cell(F.col("lat"), size)})
-    inside = F.col("lon").between(F.col("_x0"), F.col("_x1")) & F.col("lat").between(F.col("_y0"), F.col("_y1"))
-    return placed.join(spread, ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "_x0", "_x1", "_y0", "_y1")
+    boxed = boxed.withColumn("_level", _level(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")), _finest(size)))
+    used = _levels_of(boxed)
+    if not used:
+        used = [LEVELS[-1]]
+    placed = points.withColumn("_level", F.lit(used[0]) if len(used) == 1 else F.explode(F.array(*map(F.lit, used))))
+    placed = placed.withColumns({"_cx": _wrapped(_column_of(F.col("lon"), F.col("_level")), F.col("_level")), "_cy": _row_of(F.col("lat"), F.col("_level"))})
+    met = placed.join(_box_cells(boxed), ["_level", "_cx", "_cy"]).withColumn("zone_lon", as_seen_from(F.col("lon"), F.col("_x0"), F.col("_x1")))
+    inside = F.col("zone_lon").between(F.col("_x0"), F.col("_x1")) & F.col("lat").between(F.col("_y0"), F.col("_y1"))
+    return met.filter(inside).drop("_level", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1")
 
 
 def in_zones(points: DataFrame, zones: DataFrame, size: float, boundary: bool = True) -> DataFrame:
     """All pairs of a point and a zone that contains it."""
-    return near_zones(points, zones, size).filter(geo.in_polygon(F.col("lon"), F.col("lat"), F.col("ring"), boundary))
+    return near_zones(points, zones, size).filter(geo.in_polygon(F.col("zone_lon"), F.col("lat"), F.col("ring"), boundary)).drop("zone_lon")
 
 
 def best_zone(points: DataFrame, zones: DataFrame, key: list[str], pick: tuple, name: str, size: float) -> DataFrame:
@@ -49,7 +102,7 @@ def best_zone(points: DataFrame, zones: DataFrame, key: list[str], pick: tuple,
 
 def nearest_zone(points: DataFrame, zones: DataFrame, key: list[str], within: float, size: float) -> DataFrame:
     """The nearest zone within a distance (0 inside), ties by name."""
-    lon, lat, ring = F.col("lon"), F.col("lat"), F.col("ring")
+    lon, lat, ring = F.col("zone_lon"), F.col("lat"), F.col("ring")
     d = F.when(geo.in_polygon(lon, lat, ring), F.lit(0.0)).otherwise(geo.ring_distance(lon, lat, ring))
     hits = near_zones(points.select(*key, "lon", "lat"), zones, size, within).withColumn("distance", d).filter(F.col("distance") <= within)
     return hits.groupBy(*key).agg(F.min(F.struct("distance", "zone")).alias("_m")).select(*key, F.col("_m.zone").alias("zone"), F.col("_m.distance").alias("distance"))
@@ -59,33 +112,64 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: list[str], with
     """Distance to the nearest segment (x1, y1, x2, y2, segment) within a radius, through the cells it passes."""
     boxed = segments.withColumns({"min_lon": F.least("x1", "x2"), "max_lon": F.greatest("x1", "x2"), "min_lat": F.least("y1", "y2"), "max_lat": F.greatest("y1", "y2")})
     pairs = near_zones(points.select(*key, "lon", "lat"), boxed, size, within)
-    d = geo.segment_distance(F.col("lon"), F.col("lat"), F.struct("x1", "y1", "x2", "y2"))
+    d = geo.segment_distance(F.col("zone_lon"), F.col("lat"), F.struct("x1", "y1", "x2", "y2"))
     return pairs.withColumn("distance", d).filter(F.col("distance") <= within).groupBy(*key).agg(F.min("distance").alias("distance"))
 
 
-def legs_meeting(fixes: DataFrame, zones: DataFrame, key: str, margin: float, size: float = 0.25) -> DataFrame:
-    """The fixes that matter for a zone: ends of legs whose box meets the zone's box, widened by a margin in metres, and their starts.
+def leg_cells(legs: DataFrame, levels: list[int]) -> DataFrame:
+    """A row per cell that the line from (_plon, _plat) to (_elon, lat) passes, on each of the levels or its own if that is coarser.
 
-    fixes: mmsi, t, lon, lat. Returns these, the zone's key and ``is_end``; between the rows of a zone a vessel was outside it. A leg
-    is looked up by the cells its box touches, so only zones near it are met.
+    The cells are walked along the line, by grid column, so a leg has no more than a few for each of the ``MOST_CELLS`` columns and rows it spans.
+    """
+    span = F.greatest(F.abs(F.col("_elon") - F.col("_plon")), F.abs(F.col("lat") - F.col("_plat")))
+    own = _level(span, LEVELS)
+    at = F.array_distinct(F.array(*(F.least(F.lit(k), own) for k in levels)))
+    spread = legs.withColumn("_level", F.explode(at))
+    level, width = F.col("_level"), F.lit(360.0) / F.pow(F.lit(2.0), F.col("_level"))
+    west, east = F.least("_plon", "_elon"), F.greatest("_plon", "_elon")
+    spread = spread.withColumn("_c", F.explode(F.sequence(_column_of(west, level), _column_of(east, level))))
+    a, b = F.greatest(west, F.col("_c") * width - 180), F.least(east, (F.col("_c") + 1) * width - 180)  # the part within the column
+    slope = (F.col("lat") - F.col("_plat")) / F.when(F.col("_elon") != F.col("_plon"), F.col("_elon") - F.col("_plon")).otherwise(1.0)
+    steep = F.col("_elon") == F.col("_plon")
+    y = [F.when(steep, end).otherwise(F.col("_plat") + (x - F.col("_plon")) * slope) for x, end in ((a, F.col("_plat")), (b, F.col("lat")))]
+    slack = F.lit(1e-9)
+    spread = spread.withColumn("_cy", F.explode(F.sequence(_row_of(F.least(*y) - slack, level), _row_of(F.greatest(*y) + slack, level))))
+    return spread.withColumn("_cx", _wrapped(F.col("_c"), level)).drop("_c")
+
+
+def legs_meeting(fixes: DataFrame, zones: DataFrame, key: str, margin: float, size: float = 0.1) -> DataFrame:
+    """The fixes that matter for a zone: ends of legs that pass its box, widened by a margin in metres, and their starts.
+
+    fixes: mmsi, t, lon, lat. Zones (key, vertices) may hold from ``from_t`` to before ``until_t`` (null: open). Returns mmsi, key, t, lon, lat, ``is_end``
+    and ``is_first`` (the vessel's first fix, or its first since the zone holds); between the rows of a zone a vessel was outside it. A leg goes the short
+    way round the globe and is looked up by the cells along its line, of a level that suits its length.
     """
     w = Window.partitionBy("mmsi").orderBy("t")
-    legs = fixes.select("mmsi", "t", "lon", "lat", *(F.coalesce(F.lag(c).over(w), F.col(c)).alias(f"_p{c}") for c in ("t", "lon", "lat")))
-    boxed = legs.withColumns({f"_{f}{c}": g(f"_p{c}", c) for c in ("lon", "lat") for f, g in (("lo_", F.least), ("hi_", F.greatest))})
+    legs = fixes.select("mmsi", "t", "lon", "lat", *(F.lag(c).over(w).alias(f"_p{c}") for c in ("t", "lon", "lat")))
+    legs = legs.withColumns({c: F.coalesce(c, c[2:]) for c in ("_plon", "_plat")})
+    turn = F.when(F.col("lon") - F.col("_plon") > 180, F.col("lon") - 360).when(F.col("lon") - F.col("_plon") < -180, F.col("lon") + 360).otherwise(F.col("lon"))
+    legs = legs.withColumn("_elon", turn)
     b, up = geo.bounds(F.col("vertices")), margin / geo.METRES_PER_DEGREE
     wide = up / F.greatest(F.cos(F.radians(F.greatest(F.abs(b["min_lat"]), F.abs(b["max_lat"])))), F.lit(0.1))
-    box = zones.select(key, (b["min_lon"] - wide).alias("zx0"), (b["max_lon"] + wide).alias("zx1"), (b["min_lat"] - up).alias("zy0"), (b["max_lat"] + up).alias("zy1"))
-
-    def spread(df: DataFrame, x0: str, x1: str, y0: str, y1: str) -> DataFrame:
-        cells = lambda a, b: F.explode(F.sequence(cell(F.col(a), size), cell(F.col(b), size)))
-        return df.withColumn("_cx", cells(x0, x1)).withColumn("_cy", cells(y0, y1))
-
-    met = spread(boxed, "_lo_lon", "_hi_lon", "_lo_lat", "_hi_lat").join(spread(box, "zx0", "zx1", "zy0", "zy1"), ["_cx", "_cy"])
-    met = met.filter("_lo_lon <= zx1 and _hi_lon >= zx0 and _lo_lat <= zy1 and _hi_lat >= zy0")
-    ends = met.select("mmsi", key, "t", "lon", "lat", F.lit(True).alias("is_end"))
-    starts = met.select("mmsi", key, F.col("_pt").alias("t"), F.col("_plon").alias("lon"), F.col("_plat").alias("lat"), (F.col("_pt") == F.col("t")).alias("is_end"))
+    held = [F.col(c).cast("double").alias(c) if c in zones.columns else F.lit(None).cast("double").alias(c) for c in ("from_t", "until_t")]
+    box = zones.select(key, *held, (b["min_lon"] - wide).alias("_x0"), (b["max_lon"] + wide).alias("_x1"), (b["min_lat"] - up).alias("_y0"), (b["max_lat"] + up).alias("_y1"))
+    levels = _finest(size)
+    box = box.withColumn("_level", _level(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")), levels))
+    used = _levels_of(box) or [LEVELS[-1]]
+    # a leg that is too long for a zone's level looks for it on its own, coarser one, so zones are there too
+    zones_at = box.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda k: k <= F.col("_level"))))
+    met = leg_cells(legs, used).join(_box_cells(zones_at), ["_level", "_cx", "_cy"])
+    west, east = F.least("_plon", "_elon"), F.greatest("_plon", "_elon")
+    low, high = F.least("_plat", "lat"), F.greatest("_plat", "lat")
+    beside = F.exists(F.array(*(F.lit(float(d)) for d in (0, 360, -360))), lambda d: (west + d <= F.col("_x1")) & (east + d >= F.col("_x0")))
+    met = met.filter(beside & (low <= F.col("_y1")) & (high >= F.col("_y0")))
+    met = met.filter((F.col("from_t").isNull() | (F.col("t") >= F.col("from_t"))) & (F.col("until_t").isNull() | (F.col("t") < F.col("until_t"))))
+    opens = F.col("_pt").isNull() | F.coalesce(F.col("_pt") < F.col("from_t"), F.lit(False))
+    met = met.withColumn("_opens", opens)
+    ends = met.select("mmsi", key, "t", "lon", "lat", F.lit(True).alias("is_end"), F.col("_opens").alias("is_first"))
+    starts = met.filter(~F.col("_opens")).select("mmsi", key, F.col("_pt").alias("t"), F.col("_plon").alias("lon"), F.col("_plat").alias("lat"), F.lit(False).alias("is_end"), F.lit(False).alias("is_first"))
     both = ends.unionByName(starts)
-    return both.groupBy("mmsi", key, "t").agg(F.max("lon").alias("lon"), F.max("lat").alias("lat"), F.max("is_end").alias("is_end"))
+    return both.groupBy("mmsi", key, "t").agg(F.max("lon").alias("lon"), F.max("lat").alias("lat"), F.max("is_end").alias("is_end"), F.max("is_first").alias("is_first"))
 
 
 def _band(lat: Column, size: Column) -> Column:

@@ -38,15 +38,16 @@ class CollisionConfig:
 SPEED_CLASSES = (2.0, 5.0, 10.0, 15.0, 20.0, 30.0, 50.0, 102.3)
 
 
-def collision(ships: DataFrame, cfg: CollisionConfig = CollisionConfig()) -> DataFrame:
-    """Pairs on collision course, by closest point of approach.
+def collision(ships: DataFrame, cfg: CollisionConfig = CollisionConfig(), order: str = "id") -> DataFrame:
+    """Pairs on collision course, by closest point of approach. Of a vessel's reports of its newest time the first by ``order`` counts.
 
     A pair can only meet within the horizon if it is nearer now than safety + both speeds times the horizon. A vessel looks for
     those that are no faster, in cells of a size that follows from its own speed class, so fast reports don't widen the search
     of the slow; a vessel is repeated for the cells of its class and the faster ones. Speeds above 102.2 knots are no speeds.
     """
     valid = ships.filter(F.col("mmsi").isNotNull() & F.col("speed").between(0, 102.2) & F.col("course").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    fresh = sequence.fresh(sequence.latest(valid, last_wins=False), cfg.max_age)
+    rows = sequence.latest(valid.select("mmsi", "t", "lon", "lat", "speed", "course", "length", order), tie=order, last_wins=False)
+    fresh = sequence.fresh(rows, cfg.max_age).persist()  # one row a vessel, needed three times
     ref = fresh.agg(F.max("t").alias("ref"), F.max("length").alias("l")).first()
     now, safety = (0, cfg.warning) if ref["ref"] is None else (ref["ref"], max(cfg.warning, (ref["l"] or 0.0) + cfg.buffer))
     lon, lat = geo.dead_reckon(F.col("lon"), F.col("lat"), F.col("speed"), F.col("course"), F.lit(now) - F.col("t"))
@@ -151,26 +152,49 @@ def deviation(fixes: DataFrame, routes: DataFrame, cfg: DeviationConfig = Deviat
     return found.filter((F.col("n_points") >= cfg.off_points) & (F.col("off_seconds") >= cfg.off_seconds)).withColumn("risk", F.when(F.col("distance") >= cfg.high, "high").otherwise("to verify"))
 
 
+def fence_versions(history: DataFrame) -> DataFrame:
+    """What a fence was when: fence, version, mode, vertices, from_t, until_t (null: still so), from its rows over time (fence, t, mode, vertices, and others).
+
+    Another geometry begins a version; a row that changes only the name or the mode does not. Of a version the last row's mode counts.
+    """
+    shape = F.sha2(F.to_json("vertices"), 256)
+    w = Window.partitionBy("fence").orderBy("t")
+    runs = history.withColumn("_shape", shape).withColumn("_new", (~F.col("_shape").eqNullSafe(F.lag("_shape").over(w))).cast("int"))
+    numbered = runs.withColumn("version", F.sum("_new").over(w) - 1)
+    each = numbered.groupBy("fence", "version").agg(F.min("t").alias("from_t"), F.max_by("mode", "t").alias("mode"), F.min_by("vertices", "t").alias("vertices"))
+    return each.withColumn("until_t", F.lead("from_t").over(Window.partitionBy("fence").orderBy("version"))).withColumn("from_t", F.when(F.col("version") > 0, F.col("from_t")))
+
+
 def fence_crossings(fixes: DataFrame, fences: DataFrame, tolerance: float = 10.0) -> DataFrame:
     """enter, exit and transit events of vessels at fences (fence, mode, vertices): mmsi, t, fence, direction.
 
-    Between stable sides the boundary keeps the last one; a first stable side is only taken note of. A leg between two outside fixes that cuts the fence twice is a transit.
+    Between stable sides the boundary keeps the last one; a first stable side is only taken note of, unless the first fix was on the line: then it is an
+    enter or an exit. A leg between two outside fixes that cuts the fence twice is a transit. With ``fence_versions`` each version of a
+    fence (version, from_t, until_t) begins anew with a vessel's first fix in its time.
     Only legs near a fence are looked at: a vessel is outside wherever it has no row for it, and the start of such a leg has no event of its own.
     """
-    ringed = fences.select("fence", "mode", geo.edges(F.col("vertices")).alias("ring"))
-    near = spatial.legs_meeting(fixes, fences, "fence", tolerance)
-    sided = near.join(ringed, "fence").withColumn("side", geo.side_of_fence(F.col("lon"), F.col("lat"), F.col("ring"), tolerance))
-    by = ("mmsi", "fence")
+    own = [c for c in ("version", "from_t", "until_t") if c in fences.columns]
+    keyed = fences.select("fence", "mode", "vertices", *own).withColumn("_fence", F.struct("fence", *own[:1]))
+    west = F.array_min(F.transform("vertices", lambda v: v["lon"]))
+    ringed = keyed.select("_fence", "mode", geo.edges(F.col("vertices")).alias("ring"), west.alias("_west"))
+    near = spatial.legs_meeting(fixes, keyed, "_fence", tolerance)
+    turned = F.when(F.col("lon") < F.col("_west") - 180, F.col("lon") + 360).when(F.col("lon") > F.col("_west") + 180, F.col("lon") - 360).otherwise(F.col("lon"))
+    sided = near.join(ringed, "_fence").withColumn("lon", turned).withColumn("side", geo.side_of_fence(F.col("lon"), F.col("lat"), F.col("ring"), tolerance))
+    by = ("mmsi", "_fence")
     stable = F.col("side") != "boundary"
     sided = sequence.carried(sided.withColumn("_at", F.struct("side", "lon", "lat")), "_at", stable, "_before", by)
-    legs = F.size(geo.crossing_places(F.col("_before.lon"), F.col("_before.lat"), F.col("lon"), F.col("lat"), F.col("ring")))
-    was = F.col("_before.side")
+    begun = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    on_line = F.first(F.col("is_first") & ~stable).over(begun)
+    cuts = F.size(geo.crossing_places(F.col("_before.lon"), F.col("_before.lat"), F.col("lon"), F.col("lat"), F.col("ring")))
+    near_leg = F.abs(F.col("lon") - F.col("_before.lon")) <= 180
+    was = F.when(F.col("_before").isNotNull(), F.col("_before.side")).when(on_line, F.when(F.col("side") == "inside", "outside").otherwise("inside"))
     direction = (
-        F.when(~stable | ~F.col("is_end") | F.col("_before").isNull(), None).when((was == "outside") & (F.col("side") == "inside"), "enter")
-        .when((was == "inside") & (F.col("side") == "outside"), "exit").when((was == "outside") & (F.col("side") == "outside") & (legs >= 2), "transit")
+        F.when(~stable | ~F.col("is_end") | was.isNull(), None).when((was == "outside") & (F.col("side") == "inside"), "enter")
+        .when((was == "inside") & (F.col("side") == "outside"), "exit").when((was == "outside") & (F.col("side") == "outside") & near_leg & (cuts >= 2), "transit")
     )
     found = sided.withColumn("direction", direction).filter(F.col("direction").isNotNull())
-    return found.filter((F.col("direction") == "transit") | (F.col("mode") == "both") | (F.col("mode") == F.col("direction"))).select("mmsi", "t", "fence", "direction")
+    found = found.filter((F.col("direction") == "transit") | (F.col("mode") == "both") | (F.col("mode") == F.col("direction")))
+    return found.select("mmsi", "t", F.col("_fence.fence").alias("fence"), *(F.col(f"_fence.{c}").alias(c) for c in own[:1]), "direction")
 
 
 @dataclass(frozen=True)

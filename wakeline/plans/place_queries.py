@@ -9,7 +9,7 @@ from ..functions import geo
 from ..operators import spatial, temporal
 from . import detectors
 from .catalogue import query
-from .tables import FIXES_SQL, INSIDE_SQL, WALK_SQL, ZONES_SQL, R, distance_sql, fixes, read, rounded, walk, zones
+from .tables import CROSSES_SQL, FIXES_SQL, INSIDE_SQL, ON_EDGE_SQL, WALK_SQL, ZONES_SQL, R, distance_sql, fixes, read, rounded, walk, zones
 
 CELL = 0.02
 _BOTH = f"{FIXES_SQL}, {ZONES_SQL}"
@@ -88,12 +88,24 @@ def _fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones(spark, sf_dir).select(F.col("zone").alias("fence"), F.when(F.col("rank") % 2 == 0, "both").otherwise("enter").alias("mode"), "vertices")
 
 
-_SIDES_SQL = f"""d AS (SELECT id, zone, min(d) AS d FROM {_SEGMENT_DISTANCE_SQL} GROUP BY id, zone), h AS {INSIDE_SQL},
-sides AS (SELECT p.mmsi, p.t, p.id, p.lon, p.lat, d.zone, CASE WHEN d.d <= 10 THEN 'boundary' WHEN h.id IS NOT NULL THEN 'inside'
-  ELSE 'outside' END AS side FROM fixes p JOIN d ON d.id = p.id LEFT JOIN h ON h.id = d.id AND h.zone = d.zone),
-moves AS (SELECT *, last_value(CASE WHEN side <> 'boundary' THEN side END IGNORE NULLS) OVER w AS was, last_value(CASE
-  WHEN side <> 'boundary' THEN lon END IGNORE NULLS) OVER w AS plon, last_value(CASE WHEN side <> 'boundary' THEN lat END IGNORE NULLS) OVER w AS plat
-  FROM sides WINDOW w AS (PARTITION BY mmsi, zone ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+# Pairs of a fix and a fence: those where a leg that ends or begins at the fix has a box that meets the fence's, a little widened.
+_MOVES_SQL = """box AS (SELECT zone, any_value(rank) AS rank, min(x1) - 0.0002e0 AS bx0, max(x1) + 0.0002e0 AS bx1, min(y1) - 0.0002e0 AS by0,
+  max(y1) + 0.0002e0 AS by1 FROM edges GROUP BY zone),
+legs AS MATERIALIZED (SELECT mmsi, t, id, lon, lat, row_number() OVER w AS nth, coalesce(lag(lon) OVER w, lon) AS plon, coalesce(lag(lat) OVER w, lat) AS plat,
+  coalesce(lead(lon) OVER w, lon) AS nlon, coalesce(lead(lat) OVER w, lat) AS nlat FROM fixes WINDOW w AS (PARTITION BY mmsi ORDER BY t)),
+near AS MATERIALIZED (SELECT l.*, b.zone, b.rank FROM legs l JOIN box b ON (least(lon, plon) <= bx1 AND greatest(lon, plon) >= bx0 AND least(lat, plat) <= by1
+  AND greatest(lat, plat) >= by0) OR (least(lon, nlon) <= bx1 AND greatest(lon, nlon) >= bx0 AND least(lat, nlat) <= by1 AND greatest(lat, nlat) >= by0)),
+parts AS (SELECT p.mmsi, p.t, p.zone, p.rank, p.nth, p.lon, p.lat, CASE WHEN {crosses} THEN 1 ELSE 0 END AS hit, {on_edge} AS edge,
+  (e.x1 - p.lon) * 111194.92664455874 * cos(radians(p.lat)) AS ax, (e.y1 - p.lat) * 111194.92664455874 AS ay,
+  (e.x2 - e.x1) * 111194.92664455874 * cos(radians(p.lat)) AS dx, (e.y2 - e.y1) * 111194.92664455874 AS dy FROM near p JOIN edges e ON e.zone = p.zone),
+sides AS MATERIALIZED (SELECT mmsi, t, zone, any_value(rank) AS rank, any_value(nth) AS nth, any_value(lon) AS lon, any_value(lat) AS lat,
+  CASE WHEN min(sqrt(pow(ax + k * dx, 2) + pow(ay + k * dy, 2))) <= 10 THEN 'boundary' WHEN sum(hit) % 2 = 1 OR bool_or(edge) THEN 'inside' ELSE 'outside' END AS side
+  FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0e0, least(1e0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) ELSE 0e0 END AS k FROM parts)
+  GROUP BY mmsi, t, zone),
+held AS (SELECT *, count(*) FILTER (side <> 'boundary') OVER w AS n_stable, first_value(side = 'boundary' AND nth = 1) OVER x AS on_line FROM sides
+  WINDOW w AS (PARTITION BY mmsi, zone ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), x AS (PARTITION BY mmsi, zone ORDER BY t)),
+moves AS (SELECT h.*, b.lon AS plon, b.lat AS plat, coalesce(b.side, CASE WHEN h.on_line THEN CASE WHEN h.side = 'inside' THEN 'outside' ELSE 'inside' END END) AS was
+  FROM held h LEFT JOIN (SELECT *, n_stable + 1 AS place FROM held WHERE side <> 'boundary') b ON b.mmsi = h.mmsi AND b.zone = h.zone AND b.place = h.n_stable)""".format(crosses=CROSSES_SQL, on_edge=ON_EDGE_SQL)
 _LEG_SQL = """cuts AS (SELECT mmsi, t, zone, count(DISTINCT round(tt, 10)) AS n FROM (SELECT m.mmsi, m.t, m.zone, rx * sy - ry * sx AS det,
   ((e.x1 - plon) * sy - (e.y1 - plat) * sx) / nullif(rx * sy - ry * sx, 0) AS tt,
   ((e.x1 - plon) * ry - (e.y1 - plat) * rx) / nullif(rx * sy - ry * sx, 0) AS uu
@@ -101,10 +113,10 @@ _LEG_SQL = """cuts AS (SELECT mmsi, t, zone, count(DISTINCT round(tt, 10)) AS n
   y2 - y1 AS sy FROM edges) e ON e.zone = m.zone) m WHERE abs(det) > 1e-12 AND tt BETWEEN 0 AND 1 AND uu BETWEEN 0 AND 1 GROUP BY mmsi, t, zone)"""
 
 
-@query(f"""WITH {WALK_SQL}, {ZONES_SQL}, {_SIDES_SQL}, {_LEG_SQL},
+@query(f"""WITH {WALK_SQL}, {ZONES_SQL}, {_MOVES_SQL}, {_LEG_SQL},
 e AS (SELECT m.mmsi, m.t, m.zone AS fence, CASE WHEN side = 'inside' AND was = 'outside' THEN 'enter' WHEN side = 'outside'
   AND was = 'inside' THEN 'exit' WHEN side = 'outside' AND was = 'outside' AND c.n >= 2 THEN 'transit' END AS direction,
-  CASE WHEN (SELECT any_value(rank) FROM edges e WHERE e.zone = m.zone) % 2 = 0 THEN 'both' ELSE 'enter' END AS mode FROM moves m LEFT
+  CASE WHEN rank % 2 = 0 THEN 'both' ELSE 'enter' END AS mode FROM moves m LEFT
   JOIN cuts c ON c.mmsi = m.mmsi AND c.t = m.t AND c.zone = m.zone)
 SELECT mmsi, t, fence, direction FROM e WHERE direction IS NOT NULL AND (direction = 'transit' OR mode = 'both' OR mode = direction)""")
 def fence_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +159,10 @@ c AS (SELECT *, vx * vx + vy * vy AS v2, -(x * vx + y * vy) / nullif(vx * vx + v
   OR sqrt(x * x + y * y) <= 100 THEN 'high' ELSE 'medium' END AS risk
 FROM d WHERE tcpa BETWEEN 0 AND 900 AND sqrt(v2) >= 0.2 AND dcpa <= safety""")
 def collision_cpa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detectors.collision(walk(spark, sf_dir), detectors.CollisionConfig(max_age=1200.0))
+    """Each third vessel repeats its newest report, a little later by id and on another course, which must not count."""
+    w = walk(spark, sf_dir)
+    again = w.filter("mmsi % 3 = 0").withColumns({"id": F.col("id") + 100_000_000, "course": F.pmod(F.col("course") + 180, F.lit(360.0))})
+    found = detectors.collision(w.unionByName(again), detectors.CollisionConfig(max_age=1200.0))
     return found.select("mmsi_a", "mmsi_b", F.round("tcpa", 3).alias("tcpa"), F.round("dcpa", 3).alias("dcpa"), "risk")
 
 
