@@ -119,13 +119,61 @@ def test_store_survives_a_write_that_dies(spark, tmp_path, monkeypatch):
     sinks.upsert_events(one(("k1", 99, 99, 99)), table, ["k"], ["v"], batch=1)
     assert rows() - before == {("k1", 1, 99, 2, 99)} and len(rows()) == 40
     now = sinks._pointer(spark, table).generations
-    assert sum(now[b] != g for b, g in stale.generations.items()) == 1  # one bucket was written
-    with pytest.raises(RuntimeError):
-        sinks._store(spark, table, None, stale, ("k",), set(), 1)  # another writer was first
+    assert now[: len(stale.generations)] == stale.generations and len(now) == 2  # nothing was rewritten
+    with pytest.raises(sinks.Conflict):
+        sinks._add(one(("k1", 5, 5, 5)), table, ["k"], "events", ["v"], 1, stale)  # another writer was first
     for n in range(2, 8):
         sinks.upsert_events(one(("k2", 100 + n, n, n)), table, ["k"], ["v"], batch=n)
     assert len(list((tmp_path / "store" / "_pointers").glob("[0-9]*"))) == sinks.KEPT_POINTERS
-    assert len(rows()) == 40 and len(list((tmp_path / "store").glob("generation-*"))) <= 6
+    left = {p.name for p in (tmp_path / "store").glob("generation-*")}
+    named = {n for k in sinks._numbers(spark, table) for n, _ in sinks._read(spark, table, k).generations}
+    assert len(left - named) == 2  # of the write that died and of the one that was second
+    sinks._clean(spark, table, grace=-60.0)
+    assert {p.name for p in (tmp_path / "store").glob("generation-*")} == named and len(rows()) == 40
+    with pytest.raises(ValueError):
+        sinks.append_new(spark.createDataFrame([("k1",)], "k string"), table, ["k"])
+
+
+def test_a_write_costs_what_it_brings(spark, tmp_path):
+    """Sixteen micro-batches into a large store leave its large generation alone; merged on read all equals one batch."""
+    table = str(tmp_path / "store")
+    schema = "k string, detected_at long, detection_id long, v long"
+    whole = [(f"k{i}", i, i, i) for i in range(20_000)]
+    sinks.upsert_events(events.deduplicated(spark.createDataFrame(whole, schema), ["k"], ["v"]), table, ["k"], ["v"], batch=0)
+    first = sinks._pointer(spark, table).generations[0]
+    for n in range(1, 17):
+        rows = [(f"k{(n * 37 + i * 101) % 20_000}", 50_000 + n, n * 100 + i, n) for i in range(20)]
+        whole += rows
+        sinks.upsert_events(events.deduplicated(spark.createDataFrame(rows, schema).coalesce(1), ["k"], ["v"]), table, ["k"], ["v"], batch=n)
+        now = sinks._pointer(spark, table).generations
+        assert now[0] == first and len(now) <= 1 + sinks.FANOUT and sum(size for _, size in now[1:]) < first[1] / 4
+    want = {tuple(r) for r in events.deduplicated(spark.createDataFrame(whole, schema), ["k"], ["v"]).collect()}
+    assert {tuple(r) for r in sinks.load(spark, table).collect()} == want
+    sinks.compact(spark, table)
+    assert len(sinks._pointer(spark, table).generations) == 1 and {tuple(r) for r in sinks.load(spark, table).collect()} == want
+
+
+def test_revisions_of_rows(spark, tmp_path, monkeypatch):
+    """Two editors change one zone: the first is taken, the second refused, also when they meet; a preview writes nothing."""
+    table, shape = str(tmp_path / "zones"), "zone string, revision long, name string"
+    frame = lambda *rows: spark.createDataFrame(list(rows), shape)
+    rows = lambda: {tuple(r) for r in sinks.load(spark, table).select("zone", "revision", "name").collect()}
+    assert sinks.revise(frame(("a", None, "A"), ("b", 0, "B"), ("c", 3, "C")), table, ["zone"]).select("zone", "revision", "current").collect() == [("c", 3, None)]
+    assert rows() == {("a", 1, "A"), ("b", 1, "B")}
+    seen = sinks.previewed(frame(("a", 1, "A2"), ("b", 1, "B"), ("b", 7, "B7"), ("d", None, "D")), table, ["zone"])
+    assert {(r["zone"], r["revision"], r["action"]) for r in seen.collect()} == {("a", 1, "change"), ("b", 1, "unchanged"), ("b", 7, "refused"), ("d", None, "create")}
+    assert rows() == {("a", 1, "A"), ("b", 1, "B")}
+    own = sinks._add
+
+    def meets(*args, **kwargs):  # another editor comes between reading and writing
+        monkeypatch.setattr(sinks, "_add", own)
+        sinks.revise(frame(("a", 1, "other")), table, ["zone"])
+        return own(*args, **kwargs)
+
+    monkeypatch.setattr(sinks, "_add", meets)
+    refused = sinks.revise(frame(("a", 1, "mine"), ("b", 1, "B2")), table, ["zone"]).collect()
+    assert [(r["zone"], r["current"]) for r in refused] == [("a", 2)]
+    assert rows() == {("a", 2, "other"), ("b", 2, "B2")}
 
 
 def test_retention_by_vessel(spark, tmp_path):
