@@ -62,19 +62,22 @@ class VesselState(StatefulProcessor):
         if changed and live:
             now["version"] += 1
         self.state.update(tuple(now[n] for n in names))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if live:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
             self.handle.registerTimer(int(pd.Timestamp(now["t"]).timestamp() * 1000) + self.expire_ms)
+        elif now["static_t"] is not None:  # particulars without a position go too
+            self.handle.registerTimer(int(pd.Timestamp(now["static_t"]).timestamp() * 1000) + self.static_ms)
         if changed and live:
             yield self._row(key, "upsert", now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in STATE.split(", ")]
         now = dict(zip(names, self.state.get(), strict=True))
-        now["version"] += 1
         self.state.clear()
-        yield self._row(key, "remove", now)
+        if now["t"] is not None:  # else nobody has been told of the vessel
+            now["version"] += 1
+            yield self._row(key, "remove", now)
 
     def _row(self, key, change: str, now: dict) -> pd.DataFrame:
         out = {"mmsi": key[0], "change": change, **{c: now[c] for c in ("t", *POSITION, *PARTICULARS, "version", "late")}}
