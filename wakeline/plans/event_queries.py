@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records
-from ..operators import behavior, events, sequence, spatial, temporal, tracks
+from ..operators import behavior, events, lifecycle, sequence, spatial, temporal, tracks
 from . import detectors, fusion
 from .catalogue import query
 from .place_queries import CELL
@@ -168,11 +168,24 @@ def zone_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature.select(parsed.alias("p"), F.substring("feature", 1, 63).alias("head")).select(F.col("p.properties.rank").alias("rank"), "head", F.size(F.col("p.geometry.coordinates")[0]).cast("long").alias("n_points"))
 
 
+@query(f"""WITH {FIXES_SQL}, d AS (SELECT mmsi, nav_status AS status, t FROM fixes WHERE v > 4000), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi, status ORDER BY t) > 600
+  THEN 1 ELSE 0 END AS b FROM d), r AS (SELECT *, sum(b) OVER (PARTITION BY mmsi, status ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g),
+a AS (SELECT mmsi, status, k, min(t) AS first_seen, max(t) AS last_seen, count(*) AS observations FROM r GROUP BY 1, 2, 3), n AS (SELECT max(t) AS now FROM d)
+SELECT mmsi, status, first_seen, last_seen, observations, CASE WHEN over THEN 'recovered' WHEN first_seen = last_seen AND last_seen = now THEN 'new' ELSE 'continuing' END AS state,
+  CASE WHEN over THEN CAST(last_seen + 600 AS DOUBLE) END AS ended_at FROM (SELECT *, lead(first_seen) OVER (PARTITION BY mmsi, status ORDER BY k) IS NOT NULL OR now - last_seen > 600 AS over FROM a, n)""")
+def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of fast reports by vessel and status: those that go on over reports in between, and those that are over."""
+    found = fixes(spark, sf_dir).filter("v > 4000").select("mmsi", F.col("nav_status").alias("status"), "t")
+    return lifecycle.alerts(found, ["mmsi", "status"], 600.0).withColumn("ended_at", F.col("ended_at").cast("double"))
+
+
 # --- association of two sensors -------------------------------------------------------------------------------------
 
 
 def _ais(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixes(spark, sf_dir).select(F.col("mmsi").alias("target"), "t", "lon", "lat", "speed", "course")
+    """Each eleventh report has no speed and each thirteenth no course."""
+    k = F.col("id")
+    return fixes(spark, sf_dir).select(F.col("mmsi").alias("target"), "t", "lon", "lat", F.when(k % 11 != 0, F.col("speed")).alias("speed"), F.when(k % 13 != 0, F.col("course")).alias("course"))
 
 
 def _radar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,28 +194,35 @@ def _radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixes(spark, sf_dir).select((F.col("t") + 30).alias("frame"), F.col("id").alias("plot"), (F.col("lon") + aside).alias("lon"), "lat", F.col("mmsi").alias("truth"))
 
 
-_AIS_SQL = "ais AS (SELECT mmsi AS target, t, lon, lat, speed, course FROM fixes), radar AS (SELECT t + 30 AS frame, id AS plot, lon + CASE WHEN id % 5 = 0 THEN 0.005e0 ELSE 0.0002e0 END AS lon, lat, mmsi AS truth FROM fixes)"
-_STATES_SQL = f"""{_AIS_SQL}, reports AS (SELECT *, lead(t) OVER (PARTITION BY target ORDER BY t) AS until FROM ais),
-st AS (SELECT frame, target, frame - t AS age, lon + degrees(run * sin(radians(course)) / (6371000e0 * greatest(abs(cos(radians(lat))),
-  1e-9))) AS lon, lat + degrees(run * cos(radians(course)) / 6371000e0) AS lat FROM
-  (SELECT f.frame, a.*, a.speed * 0.514444e0 * (f.frame - a.t) AS run FROM (SELECT DISTINCT frame FROM radar) f JOIN reports a ON a.t <= f.frame
-  AND f.frame - a.t <= 180 AND (a.until IS NULL OR f.frame < a.until)))"""
+_AIS_SQL = """ais AS (SELECT mmsi AS target, t, lon, lat, CASE WHEN id % 11 <> 0 THEN speed END AS speed, CASE WHEN id % 13 <> 0 THEN course END AS course FROM fixes),
+radar AS MATERIALIZED (SELECT t + 30 AS frame, id AS plot, lon + CASE WHEN id % 5 = 0 THEN 0.005e0 ELSE 0.0002e0 END AS lon, lat, mmsi AS truth FROM fixes)"""
+_STATES_SQL = f"""{_AIS_SQL}, steps AS (SELECT *, lead(t) OVER w AS until, radians(lon - lag(lon) OVER w) * 6371000e0 * cos(radians(lag(lat) OVER w)) / nullif(t - lag(t) OVER w, 0) AS x,
+  radians(lat - lag(lat) OVER w) * 6371000e0 / nullif(t - lag(t) OVER w, 0) AS y, lag(speed) OVER w * 0.514444e0 * sin(radians(lag(course) OVER w)) AS px,
+  lag(speed) OVER w * 0.514444e0 * cos(radians(lag(course) OVER w)) AS py FROM ais WINDOW w AS (PARTITION BY target ORDER BY t)),
+reports AS MATERIALIZED (SELECT target, t, lon, lat, until, coalesce(speed * 0.514444e0 * sin(radians(course)), x, 0e0) AS east, coalesce(speed * 0.514444e0 * cos(radians(course)), y, 0e0) AS north,
+  coalesce(sqrt(pow(x - px, 2) + pow(y - py, 2)), 0e0) AS rate FROM steps),
+served AS (SELECT *, unnest(generate_series(t // 180, CASE WHEN until < t + 180 THEN until ELSE t + 180 END // 180)) AS bucket FROM reports),
+st AS MATERIALIZED (SELECT frame, target, frame - t AS age, lon + degrees(east * (frame - t) / (6371000e0 * greatest(abs(cos(radians(lat))), 1e-9))) AS lon,
+  lat + degrees(north * (frame - t) / 6371000e0) AS lat, rate * (frame - t) AS sigma FROM (SELECT DISTINCT frame, frame // 180 AS bucket FROM radar) f JOIN served a USING (bucket)
+  WHERE a.t <= f.frame AND f.frame - a.t <= 180 AND (a.until IS NULL OR f.frame < a.until))"""
 _GATE = fusion.FusionConfig(gate=300.0, max_age=180.0)
 
 
-@query(f"WITH {FIXES_SQL}, {_STATES_SQL} SELECT frame, target, age, {R.format('lon')} AS lon, {R.format('lat')} AS lat FROM st")
+@query(f"WITH {FIXES_SQL}, {_STATES_SQL} SELECT frame, target, age, {R.format('lon')} AS lon, {R.format('lat')} AS lat, round(sigma, 3) AS sigma FROM st")
 def asof_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = fusion.states_at(_ais(spark, sf_dir), _radar(spark, sf_dir).select("frame"), 180.0)
-    return states.select("frame", "target", F.col("age").cast("long").alias("age"), rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"))
+    return states.select("frame", "target", F.col("age").cast("long").alias("age"), rounded(F.col("lon")).alias("lon"), rounded(F.col("lat")).alias("lat"), F.round("sigma", 3).alias("sigma"))
 
 
-_CANDIDATES_SQL = f"cand AS (SELECT r.frame, r.plot, s.target, {distance_sql('r', 's')} AS distance FROM radar r JOIN st s ON s.frame = r.frame WHERE {distance_sql('r', 's')} < 300)"
+_CANDIDATES_SQL = f"""cand AS MATERIALIZED (SELECT * FROM (SELECT r.frame, r.plot, s.target, {distance_sql('r', 's')} AS distance, 300 + 3 * sigma AS gate, 500 + sigma AS scale
+  FROM radar r JOIN st s ON s.frame = r.frame) WHERE distance < gate)"""
 
 
-@query(f"WITH {FIXES_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL} SELECT frame, plot, target, round(distance, 3) AS distance FROM cand")
+@query(f"WITH {FIXES_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL} SELECT frame, plot, target, round(distance, 3) AS distance, round(gate, 3) AS gate, {R.format('1 - exp(-distance / scale)')} AS cost FROM cand")
 def gated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = fusion.states_at(_ais(spark, sf_dir), _radar(spark, sf_dir).select("frame"), 180.0)
-    return fusion.candidates(states, _radar(spark, sf_dir), _GATE).select("frame", "plot", "target", F.round("distance", 3).alias("distance"))
+    """Plots and targets within the gate of the pair, which grows with the target's uncertainty."""
+    found = fusion.candidates(_ais(spark, sf_dir), _radar(spark, sf_dir), 180.0, _GATE)
+    return found.select("frame", "plot", "target", F.round("distance", 3).alias("distance"), F.round("gate", 3).alias("gate"), rounded(F.col("cost")).alias("cost"))
 
 
 @query(f"WITH {FIXES_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL} SELECT r.frame, r.plot FROM radar r ANTI JOIN cand c ON c.frame = r.frame AND c.plot = r.plot")
