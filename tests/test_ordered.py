@@ -5,10 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wakeline.operators import lifecycle, sequence
+from wakeline.plans import fusion
 from wakeline.streaming import ordered, state
 
 
@@ -21,7 +21,7 @@ def streamed(spark, folder, rows, schema, build, shuffled=3, seed=1, end=10**6):
         rng.shuffle(part)
         rows[at : at + shuffled] = part
     size = max(1, len(rows) // 5)
-    last = [tuple(end if c == "t" else "end" if k == "string" else None for c, k in (f.split() for f in schema.split(", ")))]
+    last = [tuple(end if c == "t" else "end" if k == "string" else 0.0 if k == "double" else None for c, k in (f.split() for f in schema.split(", ")))]
     for k, part in enumerate([rows[i : i + size] for i in range(0, len(rows), size)] + [last]):
         df = spark.createDataFrame(part, schema).withColumn("t", F.timestamp_seconds("t"))
         df.coalesce(1).write.parquet(str(folder / "parts" / str(k)))
@@ -89,6 +89,26 @@ def test_tails_on_a_stream(spark, tmp_path, window):
     assert got.count() > 10
 
 
+def test_two_sensors_on_a_stream(spark, tmp_path):
+    """Reports and plots in shuffled micro-batches give the gated pairs of the batch."""
+    rng = random.Random(8)
+    rows = []
+    for t in range(100, 1300, 20):
+        for v in range(4):
+            if rng.random() < 0.8:
+                rows.append((f"v{v}", None, t, 113.0 + 0.02 * v + t * 1e-5, 22.0 + rng.uniform(0, 1e-3), rng.choice([None, 3.0, 6.0]), rng.choice([None, 90.0, 80.0])))
+        rows += [(None, t * 10 + k, t + 7, 113.0 + 0.02 * k + t * 1e-5 + rng.uniform(-2e-3, 2e-3), 22.0, None, None) for k in range(3)]
+    rows.sort(key=lambda r: r[2])
+    schema = "target string, plot long, t long, lon double, lat double, speed double, course double"
+    cfg = fusion.FusionConfig(gate=300.0, max_age=60.0)
+    build = lambda s: ordered.gated_stream(s.filter("target is not null"), s.filter("plot is not null"), 60.0, 300.0, delay="10 minutes")
+    got = streamed(spark, tmp_path, rows, schema, build)
+    whole = spark.createDataFrame(rows, schema)
+    want = fusion.candidates(whole.filter("target is not null"), whole.filter("plot is not null").select(F.col("t").alias("frame"), "plot", "lon", "lat"), 60.0, cfg)
+    plain = lambda r: (r["plot"], r["target"], round(r["distance"], 3), round(r["gate"], 3), round(r["cost"], 6))
+    assert sorted(map(plain, got.collect())) == sorted(map(plain, want.collect())) and want.count() > 100
+
+
 def test_particulars_alone_expire(spark, tmp_path):
     """A vessel that never sends a position does not stay in state for ever, and nobody is told of it."""
     names = "mmsi string, kind string, t long, lon double, lat double, speed double, course double, nav_status int, name string, ship_type string, length double"

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..functions import geo
+from ..operators import spatial
+
 
 def _packed(frame: pd.DataFrame) -> bytes:
     table = pa.Table.from_pandas(frame, preserve_index=False)
@@ -171,3 +174,74 @@ def tails(fixes: DataFrame, column: str, low: float | None = None, high: float |
     processor = Tail(window, column, -np.inf if low is None else low, np.inf if high is None else high, max_gap, min_points, min_seconds)
     own = fixes.select("mmsi", "t", F.col(column).cast("double").alias(column))
     return in_order(own, ["mmsi"], processor, f"mmsi {fixes.schema['mmsi'].dataType.simpleString()}, t timestamp, since timestamp, n_points long, duration double", delay)
+
+
+class TwoSensors(InOrder):
+    """Radar plots of a region against the reports that can reach it: of each target the last two reports at or before a plot's time, as ``plans.fusion`` takes them."""
+
+    def __init__(self, max_age: float, gate: float, scale: float, sigma_multiplier: float):
+        self.max_age, self.gate, self.scale, self.sigma_multiplier = max_age, gate, scale, sigma_multiplier
+
+    def advance(self, key, due, past, memo, clock):
+        rows = pd.concat([past, due], ignore_index=True) if len(past) else due
+        if not len(rows):
+            return None, rows, {}, None
+        rows = rows.assign(fresh_=np.arange(len(rows)) >= len(past), plot_=rows["plot"].notna()).sort_values(["t", "plot_"], kind="stable")  # a report of a plot's time serves it
+        out, last, before = [], {}, {}
+        for r in rows.itertuples(index=False):
+            if not r.plot_:
+                before[r.target], last[r.target] = last.get(r.target), r
+            elif r.fresh_:
+                out += self._gated(r, last, before)
+        reports = rows[~rows["plot_"]]
+        kept = reports.groupby("target", sort=False).tail(2)
+        newest = kept.groupby("target")["t"].transform("max") if len(kept) else None
+        old = clock - self.max_age
+        kept = kept[_seconds(newest) >= old] if len(kept) else kept  # a target that is silent too long is forgotten
+        kept = kept[list(due.columns)]
+        again = float(_seconds(kept["t"]).max()) + self.max_age + 0.001 if len(kept) else None
+        return pd.DataFrame(out) if out else None, kept, {}, again
+
+    def _gated(self, plot, last, before):
+        at = plot.t.timestamp()
+        near = [(k, r) for k, r in last.items() if at - r.t.timestamp() <= self.max_age]
+        if not near:
+            return []
+        k = geo.KNOT_MPS
+        names = ("lon", "lat", "speed", "course")
+        now = {c: np.array([getattr(r, c) for _, r in near], float) for c in names}
+        was = {c: np.array([np.nan if (b := before.get(target)) is None else getattr(b, c) for target, _ in near], float) for c in names}
+        t = np.array([r.t.timestamp() for _, r in near])
+        dt = t - np.array([np.nan if (b := before.get(target)) is None else b.t.timestamp() for target, _ in near])
+        dt = np.where(dt > 0, dt, np.nan)
+        x = np.radians(now["lon"] - was["lon"]) * geo.EARTH_M * np.cos(np.radians(was["lat"])) / dt
+        y = np.radians(now["lat"] - was["lat"]) * geo.EARTH_M / dt
+        first = lambda *choices: np.where(np.isnan(choices[0]), np.where(np.isnan(choices[1]), 0.0, choices[1]), choices[0])
+        own = lambda of, part: of["speed"] * k * part(np.radians(of["course"]))
+        rate = np.nan_to_num(np.hypot(x - own(was, np.sin), y - own(was, np.cos)), nan=0.0)
+        age = at - t
+        lon = now["lon"] + np.degrees(first(own(now, np.sin), x) * age / (geo.EARTH_M * np.maximum(np.abs(np.cos(np.radians(now["lat"]))), 1e-9)))
+        lat = now["lat"] + np.degrees(first(own(now, np.cos), y) * age / geo.EARTH_M)
+        a, b = np.radians(plot.lat), np.radians(lat)
+        h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon - plot.lon) / 2) ** 2
+        distance = 2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+        gate, scale = self.gate + self.sigma_multiplier * rate * age, self.scale + rate * age
+        return [{"frame": plot.t, "plot": int(plot.plot), "target": near[i][0], "distance": distance[i], "gate": gate[i], "cost": 1 - np.exp(-distance[i] / scale[i])} for i in np.flatnonzero(distance < gate)]
+
+
+def gated_stream(ais: DataFrame, radar: DataFrame, max_age: float, gate: float = 2000.0, scale: float = 500.0, sigma_multiplier: float = 3.0, reach: float = 50_000.0, delay: str = "0 seconds") -> DataFrame:
+    """Both sensors on one clock: frame, plot, target, distance, gate and cost of the pairs within their gate, as ``plans.fusion.candidates`` finds them.
+
+    ais: target, t (timestamp), lon, lat, speed, course; radar: plot, t, lon, lat. The union is dealt by region, cells of ``reach`` metres: a plot to its own, a report to
+    those it may be in while it serves. State holds two reports for each target of a region. A target is found within ``reach`` metres of its last report,
+    so that must be more than what a vessel sails within ``max_age`` plus the widest gate.
+    """
+    size = F.lit(float(reach))
+    numbers = {c: F.col(c).cast("double").alias(c) for c in ("lon", "lat", "speed", "course")}
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kind = ais.schema["target"].dataType.simpleString()
+    reports = spatial.with_cells_around(ais.select("target", none("long", "plot"), "t", *numbers.values()), size)
+    plots = spatial.with_cell(radar.select(none(kind, "target"), F.col("plot").cast("long").alias("plot"), "t", numbers["lon"], numbers["lat"], none("double", "speed"), none("double", "course")), size)
+    names = ["_cx", "_cy", "t", "target", "plot", "lon", "lat", "speed", "course"]
+    both = reports.select(*names).unionByName(plots.select(*names))
+    return in_order(both, ["_cx", "_cy"], TwoSensors(max_age, gate, scale, sigma_multiplier), f"frame timestamp, plot long, target {kind}, distance double, gate double, cost double", delay)
