@@ -230,6 +230,22 @@ def nearest_point(points: DataFrame, targets: DataFrame, key: list[str], within:
     return best.select(*key, F.col("_m.distance").alias("distance"), *(F.col(f"_m.{c}").alias(c) for c in rest))
 
 
+def nearest_anywhere(points: DataFrame, targets: DataFrame, key: list[str], first: float = 1000.0, widen: float = 8.0) -> DataFrame:
+    """The nearest target of each point, however far, with its columns (suffix _b) and distance; no rows if there are no targets.
+
+    Rings: points that have a target within the radius are done, as all targets within it have been met; the others go on with a wider one, until it is the whole
+    globe. So only points with nothing near pay for a wide search, and each round is a join on cells of its radius.
+    """
+    open_, found, radius, half = points, None, first, 3.15 * geo.EARTH_M
+    while True:
+        hit = nearest_point(open_, targets, key, min(radius, half)).persist()
+        found = hit if found is None else found.unionByName(hit)
+        open_ = open_.join(hit.select(*key), key, "left_anti")
+        if radius >= half or open_.isEmpty():
+            return found
+        radius *= widen
+
+
 def route_grid(points: DataFrame, grid: float, at_least: int) -> DataFrame:
     """Cells with many points: count, mean position, mean axis of the courses (double-angle) and its coherence."""
     two = F.radians(F.col("course") * 2)

@@ -215,26 +215,73 @@ class WanderingConfig:
     turn_seconds: float = 30.0
     min_revisit: float = 0.4
     grid: float = 200.0
+    monitored_only: bool = False
+    min_area_share: float = 0.8
+    normal_share: float = 0.8
+    port_speed: float = 3.0
+    port_diameter: float = 1000.0
+    anchorage_speed: float = 2.0
+    anchorage_diameter: float = 1500.0
+
+
+#: What ``wandering`` takes of a fix besides its motion, where it is given.
+PLACES = {"at_dock": "boolean", "port_name": "string", "authorised": "boolean", "legal": "boolean", "area": "string"}
 
 
 def wandering(fixes: DataFrame, cfg: WanderingConfig = WanderingConfig()) -> DataFrame:
-    """Segments of going back and forth: enough turns, and little progress or repeated visits."""
+    """Segments of going back and forth: enough turns, and little progress or repeated visits, where that is not normal.
+
+    Fixes may say where they are: at_dock, port_name, authorised (an anchorage), legal (an area of lawful work), area (a monitored one). A vessel at its dock, slow in a port
+    basin, drifting in an anchorage it may use, or in a lawful area is normal; with ``monitored_only`` enough fixes must lie in monitored areas. ``area`` is the commonest of a segment.
+    """
     newest = fixes.groupBy("mmsi").agg(F.max("t").alias("_newest"))
-    recent = fixes.join(newest, "mmsi").filter(F.col("t") >= F.col("_newest") - cfg.window).drop("_newest")
+    given = fixes.withColumns({c: F.lit(None).cast(kind) for c, kind in PLACES.items() if c not in fixes.columns})
+    recent = given.join(newest, "mmsi").filter(F.col("t") >= F.col("_newest") - cfg.window).drop("_newest")
     key = ["mmsi", "session"]
     clean = folds.without_jumps(sequence.sessions(recent, cfg.max_gap), key, cfg.jump_metres, cfg.jump_knots)
     raw = tracks.speed_summary(clean, key).join(tracks.diameter(clean, key), key)
     raw = raw.filter((F.col("n_points") >= cfg.min_points) & (F.col("duration") >= cfg.min_seconds) & (F.col("diameter") <= cfg.max_diameter) & (F.coalesce("mean_speed", F.lit(cfg.min_speed)) >= cfg.min_speed))
+    raw = raw.join(_whereabouts(clean, key), key)
+    c, slow = F.col, lambda most: F.coalesce(F.col("mean_speed") <= most, F.lit(False))
+    normal = c("docked") | (c("in_port") & slow(cfg.port_speed) & (c("diameter") <= cfg.port_diameter)) | (c("lawful") >= cfg.normal_share)
+    normal = normal | ((c("anchorage") >= cfg.normal_share) & slow(cfg.anchorage_speed) & (c("diameter") <= cfg.anchorage_diameter))
+    raw = raw.filter(~normal & ((c("monitored") >= cfg.min_area_share) if cfg.monitored_only else F.lit(True))).drop("docked", "in_port", "lawful", "anchorage", "monitored")
     track = folds.thinned(clean.join(raw.select(*key), key, "left_semi"), cfg.min_leg, key)
     facts = tracks.shape(track, key).select(*key, "path", "displacement", "directness").join(folds.turns(track, key, cfg.turn_degrees, cfg.turn_seconds, cfg.min_speed), key).join(tracks.revisits(track, key, cfg.grid), key)
     support = (F.coalesce("directness", F.lit(1.0)) <= cfg.max_directness) | (F.col("revisit_ratio") >= cfg.min_revisit)
     return raw.join(facts, key).filter((F.col("path") >= cfg.min_path) & (F.col("n_turns") >= cfg.min_turns) & support)
 
 
-def parking(behavior: DataFrame, latest: DataFrame, underway: DataFrame, min_seconds: float = 1800.0, max_speed: float = 0.5, max_radius: float = 50.0) -> DataFrame:
-    """Vessels berthed too long where they may not, and those that sail while 'moored'. latest: mmsi, near_facility, authorised."""
+def _whereabouts(fixes: DataFrame, key: list[str]) -> DataFrame:
+    """Of each segment: docked and in_port by its last fix, the shares of fixes in lawful areas, anchorages and monitored areas, and the commonest of these."""
+    share = lambda flag: F.avg(F.when(F.coalesce(flag, F.lit(False)), 1.0).otherwise(0.0))
+    last = F.max_by(F.struct(F.coalesce("at_dock", F.lit(False)).alias("d"), F.col("port_name").isNotNull().alias("p")), "t")
+    facts = fixes.groupBy(*key).agg(last.alias("_l"), share(F.col("legal")).alias("lawful"), share(F.col("authorised")).alias("anchorage"), share(F.col("area").isNotNull()).alias("monitored"), F.min("t").alias("_t"))
+    area = tracks.most_frequent(fixes.filter(F.col("area").isNotNull()), key, "area")
+    return facts.join(area, key, "left").select(*key, F.col("_l.d").alias("docked"), F.col("_l.p").alias("in_port"), "lawful", "anchorage", "monitored", "area")
+
+
+def berth_facts(latest: DataFrame) -> DataFrame:
+    """near_facility, facility, authorised and legal_area of each vessel's newest fix, from what a zone join found there, by precedence.
+
+    latest: mmsi and, null where there is none, configured_facility, legal_berth (areas that are set up by hand), port_name (the report's), port_zone. A facility set up by hand comes before
+    the report's port, that before a port zone; the coast alone is no facility. A berth is lawful in a legal area, then in a named port, then in a port zone.
+    """
+    c = F.col
+    facility = F.coalesce("configured_facility", "port_name", "port_zone")
+    legal = F.coalesce("legal_berth", "port_name", "port_zone")
+    return latest.withColumns({"near_facility": facility.isNotNull(), "facility": facility, "authorised": legal.isNotNull(), "legal_area": legal, "by_hand": c("configured_facility").isNotNull()})
+
+
+def parking(behavior: DataFrame, latest: DataFrame, underway: DataFrame, min_seconds: float = 1800.0, max_speed: float = 0.5, max_radius: float = 50.0, legal_limit: float = 0.0) -> DataFrame:
+    """Vessels berthed too long where they may not, or beyond the limit where they may (0: none), and those that sail while 'moored'.
+
+    latest: mmsi, near_facility, authorised (``berth_facts``).
+    """
     berthed = behavior.filter((F.col("behavior") == "berthing") & (F.col("points") >= 3) & (F.col("duration") >= min_seconds) & (F.col("mean_speed") <= max_speed) & (F.col("radius") <= max_radius))
-    stay = berthed.join(latest.filter("near_facility and not authorised").select("mmsi"), "mmsi", "left_semi").select("mmsi", F.lit("berthed").alias("reason"))
+    judged = berthed.join(latest.filter("near_facility").select("mmsi", "authorised"), "mmsi")
+    over = F.lit(legal_limit > 0) & (F.col("duration") > legal_limit)
+    stay = judged.filter(~F.col("authorised") | over).select("mmsi", F.when(F.col("authorised"), "over time").otherwise("berthed").alias("reason"))
     return stay.unionByName(underway.select("mmsi", F.lit("moored under way").alias("reason")))
 
 
@@ -449,12 +496,34 @@ def voyages(fixes: DataFrame, cfg: SmugglingConfig = SmugglingConfig()) -> DataF
     )
 
 
-def smuggling(fixes: DataFrame, cfg: SmugglingConfig = SmugglingConfig()) -> DataFrame:
-    """One row per voyage that reached the shore: n_shore, first and last shore fix, the highest score and when it came, and its risk."""
+def shore_flags(fixes: DataFrame, coast: DataFrame, ports: DataFrame, key: list[str], near_coast: float = 5000.0, near_port: float = 3000.0, size: float = 0.1) -> DataFrame:
+    """Fixes with near_coast, near_port and port (the nearest within reach), from coast segments and port zones (``with_ring``) instead of given flags."""
+    shore = spatial.nearest_segment(fixes, coast, key, near_coast, size).select(*key, F.lit(True).alias("near_coast"))
+    port = spatial.nearest_zone(fixes, ports, key, near_port, size).select(*key, F.col("zone").alias("port"))
+    rest = fixes.drop("near_coast", "near_port", "port")
+    return rest.join(shore, key, "left").join(port, key, "left").withColumns({"near_coast": F.coalesce("near_coast", F.lit(False)), "near_port": F.col("port").isNotNull()})
+
+
+def smuggling(fixes: DataFrame, cfg: SmugglingConfig = SmugglingConfig(), permits: DataFrame | None = None) -> DataFrame:
+    """One row per voyage that reached the shore: n_shore, first and last shore fix, the highest score and when it came, its risk.
+
+    permits: permit_id, mmsi, origin, port (null: any), valid_from, valid_until. Shore fixes that a permit covers are ``n_authorized`` and count for nothing else; a voyage
+    with no others is left out. The port of a fix is that of the column ``port``, if there is one.
+    """
     scored = smuggling_risk(voyages(fixes, cfg))
-    best = F.max(F.struct("score", (-F.col("t")).alias("t"), "risk"))
-    found = scored.groupBy("mmsi", "departed_at").agg(F.first("origin").alias("origin"), F.count("*").alias("n_shore"), F.min("t").alias("first_shore"), F.max("t").alias("last_shore"), best.alias("_b"))
-    return found.select("mmsi", "departed_at", "origin", "n_shore", "first_shore", "last_shore", F.col("_b.score").alias("score"), (-F.col("_b.t")).alias("scored_at"), F.col("_b.risk").alias("risk"))
+    if permits is None:
+        marked = scored.withColumn("permit_id", F.lit(None).cast("long"))
+    else:
+        port = fixes.groupBy("mmsi", "t").agg(F.max("port").alias("port")) if "port" in fixes.columns else None
+        asked = scored.join(port, ["mmsi", "t"], "left") if port is not None else scored.withColumn("port", F.lit(None).cast("string"))
+        marked = temporal.best_valid(asked, permits, ["mmsi"], ["origin", "port"], "valid_from", "valid_until", "permit_id", ["permit_id"], ["mmsi", "t"])
+    open_ = F.col("permit_id").isNull()
+    only = lambda c: F.when(open_, c)
+    best = F.max(only(F.struct("score", (-F.col("t")).alias("t"), "risk")))
+    found = marked.groupBy("mmsi", "departed_at").agg(
+        F.first("origin").alias("origin"), F.count_if(open_).alias("n_shore"), F.count_if(~open_).alias("n_authorized"), F.min(only(F.col("t"))).alias("first_shore"), F.max(only(F.col("t"))).alias("last_shore"), best.alias("_b"),
+    ).filter("n_shore > 0")
+    return found.select("mmsi", "departed_at", "origin", "n_shore", "n_authorized", "first_shore", "last_shore", F.col("_b.score").alias("score"), (-F.col("_b.t")).alias("scored_at"), F.col("_b.risk").alias("risk"))
 
 
 def overload_state(boxes: DataFrame) -> DataFrame:

@@ -555,7 +555,7 @@ def smuggling_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("mmsi", "t", "origin", "departed_at", "score", "risk")
 
 
-@query(f"""WITH {_VOYAGES_SQL} SELECT mmsi, departed_at, any_value(origin) AS origin, count(*) AS n_shore, min(t) AS first_shore, max(t) AS last_shore,
+@query(f"""WITH {_VOYAGES_SQL} SELECT mmsi, departed_at, any_value(origin) AS origin, count(*) AS n_shore, 0 AS n_authorized, min(t) AS first_shore, max(t) AS last_shore,
   max(score) AS score, arg_max(t, score * 1000000 - t) AS scored_at,
   CASE WHEN max(score) >= 80 THEN 'high' WHEN max(score) >= 60 THEN 'medium' ELSE 'low' END AS risk FROM f9 GROUP BY mmsi, departed_at""")
 def smuggling_voyages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,6 +563,26 @@ def smuggling_voyages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.smuggling(_voyage_fixes(spark, sf_dir), _VOYAGE)
 
 
+@query(f"""WITH {_VOYAGES_SQL}, ports AS (SELECT mmsi, t, CASE WHEN id % 3 > 0 THEN 'P' || id % 3 END AS port FROM fixes),
+permits AS (SELECT c_custkey AS permit_id, CAST(412000000 + c_custkey % 150 AS BIGINT) AS mmsi, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS origin, CASE WHEN c_custkey % 3 > 0 THEN 'P' || c_custkey % 3 END AS port,
+  c_custkey % 7 * 300 AS valid_from, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 7 * 300 + 1500 END AS valid_until FROM customer JOIN nation ON n_nationkey = c_custkey % 25 WHERE c_custkey % 4 = 0),
+j AS (SELECT f9.*, p.permit_id, row_number() OVER (PARTITION BY f9.mmsi, f9.t ORDER BY CAST(p.origin IS NOT NULL AS INT) + CAST(p.port IS NOT NULL AS INT) DESC, p.origin IS NOT NULL DESC, p.permit_id) AS nth
+  FROM f9 JOIN ports ON ports.mmsi = f9.mmsi AND ports.t = f9.t LEFT JOIN permits p ON p.mmsi = f9.mmsi AND (p.origin IS NULL OR p.origin = f9.origin) AND (p.port IS NULL OR p.port = ports.port)
+  AND f9.t >= p.valid_from AND (p.valid_until IS NULL OR f9.t <= p.valid_until))
+SELECT mmsi, departed_at, any_value(origin) AS origin, count(*) FILTER (permit_id IS NULL) AS n_shore, count(permit_id) AS n_authorized, min(t) FILTER (permit_id IS NULL) AS first_shore,
+  max(score) FILTER (permit_id IS NULL) AS score FROM j WHERE nth = 1 GROUP BY mmsi, departed_at HAVING count(*) FILTER (permit_id IS NULL) > 0""")
+def permitted_voyages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voyages to the shore whose fixes no permit covers; permits may leave open the origin and the port."""
+    k, text = F.col("c_custkey"), lambda n: F.when(n % 3 > 0, F.concat(F.lit("P"), (n % 3).cast("string")))
+    names = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_n"), "n_name")
+    permits = read(spark, sf_dir, "customer").filter(k % 4 == 0).withColumn("_n", k % 25).join(names, "_n").select(
+        k.alias("permit_id"), (F.lit(412000000) + k % 150).cast("long").alias("mmsi"), F.when(k % 2 == 0, F.col("n_name")).alias("origin"), text(k).alias("port"), (k % 7 * 300).alias("valid_from"), F.when(k % 5 > 0, k % 7 * 300 + 1500).alias("valid_until"),
+    )
+    ports = walk(spark, sf_dir).select("mmsi", "t", text(F.col("id")).alias("port"))
+    found = detectors.smuggling(_voyage_fixes(spark, sf_dir).join(ports, ["mmsi", "t"]), _VOYAGE, permits)
+    return found.select("mmsi", "departed_at", "origin", "n_shore", "n_authorized", "first_shore", "score")
+
+
 @query(f"""WITH {FIXES_SQL}, s AS (SELECT mmsi, t, CASE WHEN id % 5 = 0 THEN CASE WHEN v > 2000 THEN 'overload' ELSE 'normal' END WHEN v > 3000 THEN 'overload'
   ELSE 'normal' END AS state FROM fixes), l AS (SELECT *, lag(state) OVER (PARTITION BY mmsi ORDER BY t) AS p FROM s),
 r AS (SELECT *, sum(CASE WHEN p IS DISTINCT FROM state THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM l)

@@ -142,6 +142,16 @@ def route_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_point(walk(spark, sf_dir).select("id", "lon", "lat"), points, ["id"], 400.0).select("id", F.round("distance", 3).alias("distance"))
 
 
+@query(f"""WITH {WALK_SQL}, r AS (SELECT n_nationkey AS k, 113500000 / 1e6 + CAST(n_nationkey AS DOUBLE) * n_nationkey * 4000 / 1e6 AS lon,
+  22000000 / 1e6 + CAST(n_nationkey % 5 AS DOUBLE) * 90000 / 1e6 AS lat FROM nation WHERE n_nationkey > 2)
+SELECT id, round(d, 3) AS distance FROM (SELECT f.id, min({distance_sql("f", "r")}) AS d FROM fixes f CROSS JOIN r GROUP BY f.id)""")
+def nearest_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance to the nearest of some far points, without a radius."""
+    k = F.col("n_nationkey").cast("double")
+    points = read(spark, sf_dir, "nation").filter("n_nationkey > 2").select(F.col("n_nationkey").alias("k"), (F.lit(113500000) / 1e6 + k * F.col("n_nationkey") * 4000 / 1e6).alias("lon"), (F.lit(22000000) / 1e6 + (F.col("n_nationkey") % 5).cast("double") * 90000 / 1e6).alias("lat"))
+    return spatial.nearest_anywhere(walk(spark, sf_dir).select("id", "lon", "lat"), points, ["id"], 500.0).select("id", F.round("distance", 3).alias("distance"))
+
+
 _CPA_SQL = f"""l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY t DESC, id) AS rn FROM fixes) WHERE rn = 1), s AS (SELECT * FROM l WHERE
   (SELECT max(t) FROM l) - t <= 1200),
 p AS (SELECT mmsi, length, lon + degrees(run * sin(radians(course)) / (6371000e0 * greatest(abs(cos(radians(lat))), 1e-9))) AS lon,

@@ -113,6 +113,27 @@ def in_needed_buckets(points: DataFrame, windows: DataFrame, seconds: int = 30)
     return points.withColumn("_bucket", time_bucket(F.col("t"), seconds)).join(spread, ["mmsi", "_bucket"]).filter(F.col("t").between(F.col("start"), F.col("end"))).drop("_bucket")
 
 
+def timed_files(spark: SparkSession, folder: str, glob: str = "*.csv", pattern: str = r"(\d{14})[^/]*$", form: str = "yyyyMMddHHmmss", seconds: int = 30) -> DataFrame:
+    """(path, bucket) of the files of a folder that have their time in their name; nothing of them is read."""
+    named = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder).select("path")
+    stamp = F.regexp_extract("path", pattern, 1)
+    return named.filter(stamp != "").select("path", time_bucket(F.unix_timestamp(stamp, form), seconds).alias("bucket"))
+
+
+def needed_files(files: DataFrame, windows: DataFrame, seconds: int = 30) -> list[str]:
+    """The paths whose bucket lies in a window (start, end); files: path, bucket. One path a file that will be read."""
+    spread = windows.select(F.explode(F.sequence(time_bucket(F.col("start"), seconds), time_bucket(F.col("end"), seconds), F.lit(seconds).cast("long"))).alias("bucket")).distinct()
+    return [r["path"] for r in files.join(spread, "bucket", "left_semi").orderBy("bucket", "path").toLocalIterator()]
+
+
+def read_windows(spark: SparkSession, folder: str, windows: DataFrame, seconds: int = 30, **named: str) -> DataFrame:
+    """The reports (canonical columns) of windows (event, mmsi, start, end), from the files of the buckets they need and no others."""
+    paths = needed_files(timed_files(spark, folder, seconds=seconds, **named), windows, seconds)
+    if not paths:
+        return in_needed_buckets(canonical(spark.createDataFrame([], "mmsi string, timestamp string")), windows, seconds)
+    return in_needed_buckets(canonical(spark.read.options(header=True).csv(paths)), windows, seconds)
+
+
 #: Header aliases of zone files, lower-cased.
 ZONE_HEADERS: dict[str, tuple[str, ...]] = {"source_id": ("id", "source_id"), "name": ("aoi_name", "name"), "zone_type": ("type", "zone_type"), "locode": ("locode",), "description": ("aoi_description", "description"), "geometry": ("geometry", "points", "wkt"), "is_active": ("is_active", "active")}
 
