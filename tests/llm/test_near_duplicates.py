@@ -177,7 +177,7 @@ def test_buckets_are_compared_until_connected(spark):
     """A chain in one bucket, where each is alike its neighbours only, and a bucket of unlike sets."""
     sets = [(i, list(range(i, i + 10))) for i in range(100, 140)] + [(i, [i]) for i in range(60)]
     df = spark.createDataFrame(sets, "node long, hashes array<long>")
-    members = spark.createDataFrame([(1, i) for i, _ in sets] + [(2, i) for i in range(60)], "bucket long, node long")
+    members = spark.createDataFrame([(1, i, len(h)) for i, h in sets] + [(2, i, 1) for i in range(60)], "bucket long, node long, n int")
     got = near_sets.set_components(members, df, spark.createDataFrame([], "a long, b long")).collect()
     assert {(r["node"], r["component"]) for r in got} == {(i, 100) for i in range(100, 140)}
 
@@ -195,7 +195,7 @@ def test_crowds_are_compared_by_blocks(spark, monkeypatch, block):
     want = {(sets[i][0], sets[at[i]][0]) for p in linked for i in p}
     assert 20 < len(linked) < 3000
     df = spark.createDataFrame(sets, "node long, hashes array<long>")
-    members = spark.createDataFrame([(1, i) for i, _ in sets] + [(2, i) for i, _ in sets[::3]], "bucket long, node long")
+    members = spark.createDataFrame([(1, i, len(h)) for i, h in sets] + [(2, i, len(h)) for i, h in sets[::3]], "bucket long, node long, n int")
     got = near_sets.set_components(members, df, spark.createDataFrame([], "a long, b long"))
     assert {(r["node"], r["component"]) for r in got.collect()} == want
 

@@ -5,7 +5,7 @@ Candidates come from two searches: the vantage-point trees over SimHash (``simha
 shares no bucket with a chance of (1 - 0.8**5)**24, about 7 * 10**-5. Each candidate is then checked by its whole sets, so
 no document goes for a fingerprint alone.
 
-A bucket is compared in two rounds. In each, some pivots (1, then 16) are checked against the members that are not connected with them
+A bucket is compared in two rounds. In each, some pivots (1, then 4) are checked against the members that are not connected with them
 yet and then leave; a bucket ends once all its members are connected. A large group of near copies so takes about one check a member.
 What is still open then is a crowd of texts that share bands and are not alike; see ``crowd_links``. No pair of a bucket is left out.
 
@@ -27,7 +27,7 @@ from .common import checkpointed, text_batches, texts
 from .components import components, local_forest
 
 SHINGLE, ALIKE, BANDS, ROWS, MOST = 5, 0.8, 24, 5, 7
-PIVOTS = (1, 16)
+PIVOTS = (1, 4)
 CROWD = 512
 _U = np.uint64
 _RNG = np.random.default_rng(42)
@@ -69,8 +69,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """_id, _text, node (hash of the set), fp (SimHash) and bands."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """_id, _text, node (hash of the set), n (its size), fp (SimHash) and bands."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -79,11 +79,11 @@ def described(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(r) for r in raws]
             text = np.array([xxhash.xxh64_intdigest(r, 42) for r in raws], _U).view(np.int64)  # Spark's xxhash64
             fp = np.array([simhash.text_fingerprint(r, SHINGLE) for r in raws], _U).view(np.int64)
-            columns = ids, text, [_node(s) for s in sets], fp, [band_keys(s) for s in sets]
+            columns = ids, text, [_node(s) for s in sets], [len(s) for s in sets], fp, [band_keys(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    found = texts(docs).mapInArrow(run, "doc_id long, hash long, node long, fp long, bands array<long>")
-    return found.select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("_id"), F.col("hash").alias("_text"), "node", "fp", "bands")
+    found = texts(docs).mapInArrow(run, "doc_id long, hash long, node long, n int, fp long, bands array<long>")
+    return found.select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("_id"), F.col("hash").alias("_text"), "node", "n", "fp", "bands")
 
 
 def node_sets(docs: DataFrame) -> DataFrame:
@@ -100,9 +100,7 @@ def node_sets(docs: DataFrame) -> DataFrame:
 
 def checked(pairs: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have at least this Jaccard index."""
-    size = sets.select("node", F.size("hashes").alias("n"))
-    sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").filter(F.least("n_a", "n_b") >= alike * F.greatest("n_a", "n_b")).select("a", "b")
-    both = sized.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(shared >= alike * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
@@ -165,20 +163,21 @@ def alike_pairs(hashes: np.ndarray, n: np.ndarray, alike: float = ALIKE) -> tupl
 
 
 def set_components(members: DataFrame, sets: DataFrame, more: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """(node, component) of the nodes with a link; members: bucket, node; more: further candidate pairs a, b."""
+    """(node, component) of the nodes with a link; members: bucket, node, n (size of its set); more: further candidate pairs a, b."""
     links = None
     members = members.withColumn("component", F.col("node"))
     for pivots_each in PIVOTS:
-        pivots = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots_each)).alias("_salt")).agg(F.min(F.struct("node", "component")).alias("_p"))
-        pivots = checkpointed(pivots.select("bucket", F.col("_p.node").alias("_pivot"), F.col("_p.component").alias("_of")))
-        pairs = members.join(pivots, "bucket").filter("component <> _of").select(F.greatest("node", "_pivot").alias("a"), F.least("node", "_pivot").alias("b"))
+        pivots = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots_each)).alias("_salt")).agg(F.min(F.struct("node", "component", "n")).alias("_p"))
+        pivots = checkpointed(pivots.select("bucket", F.col("_p.node").alias("_pivot"), F.col("_p.component").alias("_of"), F.col("_p.n").alias("_n")))
+        like = F.least("n", "_n") >= alike * F.greatest("n", "_n")  # sets of other sizes can't be alike
+        pairs = members.join(pivots, "bucket").filter(F.col("component") != F.col("_of")).filter(like).select(F.greatest("node", "_pivot").alias("a"), F.least("node", "_pivot").alias("b"))
         if links is None:
             pairs = pairs.unionByName(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         good = checked(checkpointed(pairs.distinct()), sets, alike)
         links = checkpointed(good if links is None else links.unionByName(good))
         joined = checkpointed(components(links))
-        left = members.select("bucket", "node").join(pivots.select("bucket", F.col("_pivot").alias("node")), ["bucket", "node"], "left_anti")
-        left = left.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        left = members.select("bucket", "node", "n").join(pivots.select("bucket", F.col("_pivot").alias("node")), ["bucket", "node"], "left_anti")
+        left = left.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
         open_ = left.groupBy("bucket").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("bucket")
         members = checkpointed(left.join(open_, "bucket", "left_semi"))
         if members.isEmpty():
@@ -196,7 +195,7 @@ def _order(docs: DataFrame) -> Column:
 def deduplicated(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     """One row of each group: that with the smallest doc_id (a null one counts as the smallest), ties by a hash of the text, then by the row."""
     own = checkpointed(described(docs))
-    bands = own.select("node", F.explode("bands").alias("bucket")).unionByName(own.select("node", F.xxhash64(F.lit("fp"), "fp").alias("bucket")))
+    bands = own.select("node", "n", F.explode("bands").alias("bucket")).unionByName(own.select("node", "n", F.xxhash64(F.lit("fp"), "fp").alias("bucket")))
     several = bands.groupBy("bucket").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x <> _y").select("bucket")
     members = checkpointed(bands.join(several, "bucket", "left_semi").distinct())
     marks = checkpointed(own.groupBy("fp").agg(F.min("node").alias("node")))
