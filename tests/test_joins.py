@@ -140,14 +140,17 @@ def test_crossings_after_time_far_away(spark):
 
 
 def test_transfer_and_plans(spark):
-    frames = [(60 * i, m, 60 * i, 113.0 + 0.0001 * (m - 1), 22.0, 3.0, 90.0, 100.0) for i in range(4) for m in (1, 2)]
+    frames = [(60 * i, m, 60 * i, 113.0 + 0.0001 * (m - 412000001), 22.0, 3.0, 90.0, 100.0) for i in range(4) for m in (412000001, 412000002)]
     ships = spark.createDataFrame(frames, "frame long, mmsi long, t long, lon double, lat double, speed double, course double, length double")
-    plans = lambda rows: spark.createDataFrame(rows, "mmsi_a long, mmsi_b long, starts_at long, ends_at long, max_speed double")
+    plans = lambda rows: spark.createDataFrame([(412000000 + a, 412000000 + b, *rest) for a, b, *rest in rows], "mmsi_a long, mmsi_b long, starts_at long, ends_at long, max_speed double")
     why = lambda rows: [r["violation"] for r in detectors.transfer(ships, plans(rows)).collect()]
     assert why([]) == ["none registered"]
     assert why([(1, 2, 0, 100, 5.0)]) == ["outside time"]
     assert why([(1, 2, 0, 200, 2.0)]) == ["too fast"]
     assert why([(1, 2, 0, 200, 2.0), (1, 2, 0, 300, 5.0)]) == []
+    assert why([(1, 2, 0, 100, 2.0), (1, 2, 9000, 9100, 9.0)]) == ["outside time, too fast"]  # the nearest plan's speed
+    coast_station = ships.withColumn("mmsi", F.when(F.col("mmsi") == 412000002, F.lit(4120002)).otherwise(F.col("mmsi")))
+    assert detectors.transfer(coast_station, plans([])).count() == 0
 
 
 def test_berthing_permits(spark):

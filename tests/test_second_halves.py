@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_ordered import streamed
+from wakeline.functions import records
 from wakeline.operators import folds, spatial, temporal
 from wakeline.plans import detectors
 from wakeline.sources import files
@@ -168,3 +170,36 @@ def test_shore_flags(spark):
     fixes = spark.createDataFrame([(1, 113.5, 22.04, True), (2, 113.5, 22.06, True), (3, 113.035, 22.0, False), (4, 113.045, 22.0, False), (5, 113.005, 22.005, None)], "id long, lon double, lat double, near_port boolean")
     got = {r["id"]: (r["near_coast"], r["near_port"], r["port"]) for r in detectors.shore_flags(fixes, coast, ports, ["id"]).collect()}
     assert got == {1: (True, False, None), 2: (False, False, None), 3: (True, True, "P"), 4: (True, False, None), 5: (True, True, "P")}
+
+
+def test_static_reports_are_normalised(spark):
+    rows = [("412000001", 5.0, "5", " ANN  LEE ", "chn", " 9 ", "", "12.5", "nan"), ("412000001", None, "5", "X", None, None, None, None, None), ("12", 5.0, "5", "X", None, None, None, None, None), ("412000002", 5.0, "1", "X", None, None, None, None, None), ("412000003", 6.0, "24", None, None, None, "cargo", "x", "3")]
+    got = {r["mmsi"]: r for r in records.normalise_static(spark.createDataFrame(rows, "mmsi string, t double, msg_type string, name string, iso3 string, imo string, ship_type string, draught string, length string")).collect()}
+    assert set(got) == {"412000001", "412000003"}
+    assert (got["412000001"]["iso3"], got["412000001"]["imo"], got["412000001"]["ship_type"], got["412000001"]["draught"], got["412000001"]["length"], got["412000001"]["to_bow"]) == ("CHN", "9", None, 12.5, None, None)
+    assert (got["412000003"]["ship_type"], got["412000003"]["draught"], got["412000003"]["length"]) == ("cargo", None, 3.0)
+
+
+def test_filter_times():
+    assert records.filter_time("2026-01-31").isoformat() == "2026-01-31T00:00:00+00:00"
+    assert records.filter_time("2026-01-31", end=True).isoformat() == "2026-02-01T00:00:00+00:00"
+    assert records.filter_time("2026-01-31T10:00:00", end=True).isoformat() == "2026-01-31T10:00:00+00:00"
+    assert records.filter_time(None) is None and records.filter_time("") is None
+    with pytest.raises(ValueError):
+        records.filter_time("soon")
+
+
+def test_deviation_only_where_routes_are_known(spark):
+    """A vessel leaves its route and is far off within the box of all routes; another leaves that box, where nothing is known."""
+    routes = spark.createDataFrame([(113.0 + 0.002 * k, 22.0, 90.0, 1.0) for k in range(60)] + [(113.0, 22.2, 0.0, 1.0)], "lon double, lat double, axis double, coherence double")
+    on = [(60 * k, 113.0 + 0.003 * k, 22.0) for k in range(8)]
+    tracks_ = {1: on + [(480 + 60 * k, 113.03, 22.03 + 0.003 * k) for k in range(5)], 2: on + [(480 + 60 * k, 113.03, 21.9 - 0.003 * k) for k in range(5)], 3: on}
+    fixes = spark.createDataFrame([(m, float(t), x, y, 8.0, 90.0, True) for m, rows in tracks_.items() for t, x, y in rows], "mmsi long, t double, lon double, lat double, speed double, course double, eligible boolean")
+    assert [(r["mmsi"], r["n_points"], r["off_since"], r["risk"]) for r in detectors.deviation(fixes, routes, margin=0.0).collect()] == [(1, 5, 480.0, "high")]
+    assert sorted(r["mmsi"] for r in detectors.deviation(fixes, routes, margin=30_000.0).collect()) == [1, 2]
+
+
+def test_port_work_is_no_illegal_anchoring(spark):
+    fixes = spark.createDataFrame([(m, float(60 * k), 113.0, 22.0, 0.1, state_, "p", False, port, False) for m, state_, port in ((1, "covered", None), (2, "covered", "Port"), (3, "prohibited", "Port"), (4, "outside", None)) for k in range(8)], "mmsi long, t double, lon double, lat double, speed double, state string, place string, at_dock boolean, port_name string, in_port boolean")
+    behaviour = spark.createDataFrame([(m, "anchoring", 8, 10.0) for m in (1, 2, 3, 4)], "mmsi long, behavior string, points long, radius double")
+    assert {(r["mmsi"], r["risk"]) for r in detectors.anchoring(fixes, behaviour).collect()} == {(1, "medium"), (3, "high")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +75,33 @@ def event_time(c: Column) -> Column:
     return F.coalesce(F.timestamp_micros((seconds * 1e6).cast("long")), F.try_to_timestamp(c.cast("string")))
 
 
+def filter_time(text: str | None, end: bool = False) -> datetime | None:
+    """The moment that a filter's text means, naive ones in UTC; the end of a bare date is the next day's start. None for no text; what is no time raises."""
+    if not text:
+        return None
+    found = datetime.fromisoformat(text)
+    if len(text.strip()) <= 10:
+        found += timedelta(days=int(end))
+    return found if found.tzinfo else found.replace(tzinfo=UTC)
+
+
+#: The particulars that a static report may bring, besides its name: text and numbers.
+STATIC_TEXT, STATIC_NUMBERS = ("imo", "flag", "ship_type", "source"), ("draught", "length", "width", "to_bow", "to_stern", "to_port", "to_starboard")
+
+
+def normalise_static(reports: DataFrame) -> DataFrame:
+    """Static reports (mmsi, t, msg_type, name, iso3 and any of the particulars) with coerced fields; those without a valid mmsi or time go, and others than static ones.
+
+    Text is trimmed and empty text is null, numbers must be finite, iso3 is upper case; particulars that the input has no column for are null.
+    """
+    have = set(reports.columns)
+    get = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    text = lambda c: F.nullif(F.trim(get(c).cast("string")), F.lit(""))
+    kind = message_kind(whole(get("msg_type")), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    own = reports.filter(kind == "static").withColumn("mmsi", valid_mmsi(F.col("mmsi"))).filter("mmsi is not null and t is not null")
+    return own.select("mmsi", "t", clean_name(get("name")).alias("name"), F.upper(text("iso3")).alias("iso3"), *(text(c).alias(c) for c in STATIC_TEXT), *(finite(get(c)).alias(c) for c in STATIC_NUMBERS))
+
+
 def normalise(reports: DataFrame) -> DataFrame:
     """Position reports with coerced fields; a value that is missing or out of range is null and leaves a flag. Needs mmsi, t, lon, lat, speed, course, heading, rot.
 

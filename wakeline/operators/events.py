@@ -52,6 +52,14 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_facts(df: DataFrame, number: int, size: int) -> DataFrame:
+    """One row on a page as ``page`` takes it: count, page, page_size, total_pages, has_previous, has_next."""
+    size = max(1, min(100, size))
+    last = F.greatest(F.ceil(F.col("count") / size), F.lit(1)).cast("int")
+    out = df.agg(F.count("*").alias("count")).withColumn("total_pages", last).withColumn("page", F.greatest(F.least(F.lit(number), F.col("total_pages")), F.lit(1)))
+    return out.select("count", "page", F.lit(size).alias("page_size"), "total_pages", (F.col("page") > 1).alias("has_previous"), (F.col("page") < F.col("total_pages")).alias("has_next"))
+
+
 def newest_page(df: DataFrame, most: int, order: str = "t", tie: str | None = None) -> DataFrame:
     """The newest rows, emitted in time order."""
     down = [F.desc(order), *([F.desc(tie)] if tie else [])]
@@ -59,7 +67,7 @@ def newest_page(df: DataFrame, most: int, order: str = "t", tie: str | None = No
 
 
 def search(events: DataFrame, feature: str | None = None, text: str | None = None, columns: tuple[str, ...] = (), start: Column | None = None, end: Column | None = None) -> DataFrame:
-    """Filters of the event list; the end is exclusive."""
+    """Filters of the event list; the end is exclusive (``records.filter_time`` makes it the next day's start for a bare date)."""
     out = events if feature is None else events.filter(F.col("feature_id") == feature)
     if text:
         hit = F.lit(False)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.records import UNKNOWN_NAME, at_night, identity_mismatch, pair_key
+from ..functions.records import UNKNOWN_NAME, at_night, identity_mismatch, pair_key, registry, ship_mmsi
 from ..operators import folds, sequence, spatial, temporal, tracks
 
 
@@ -136,8 +136,11 @@ class DeviationConfig:
     off_seconds: float = 60.0
 
 
-def deviation(fixes: DataFrame, routes: DataFrame, cfg: DeviationConfig = DeviationConfig(), search: float = 20_000.0) -> DataFrame:
-    """Vessels that were on a route and have left it. Routes: lon, lat, axis, coherence (``spatial.route_grid``)."""
+def deviation(fixes: DataFrame, routes: DataFrame, cfg: DeviationConfig = DeviationConfig(), search: float = 20_000.0, margin: float = 20_000.0) -> DataFrame:
+    """Vessels that were on a route and have left it. Routes: lon, lat, axis, coherence (``spatial.route_grid``).
+
+    Fixes outside the box of all routes, widened by ``margin`` metres, are not covered: nothing is known of them, so they are neither on a route nor off.
+    """
     run = sequence.tail(fixes.filter("eligible"), F.col("speed") >= cfg.min_speed, cfg.max_gap)
     shape = tracks.shape(run, ["mmsi"], (F.max("t") - F.min("t")).alias("duration"))
     able = shape.filter((F.col("n_points") >= cfg.min_points) & (F.col("duration") >= cfg.min_seconds) & (F.col("displacement") >= cfg.min_displacement)).select("mmsi")
@@ -146,8 +149,10 @@ def deviation(fixes: DataFrame, routes: DataFrame, cfg: DeviationConfig = Deviat
     rated = track.join(near, ["mmsi", "t"], "left")
     axis_ok = (F.col("coherence_b") < cfg.min_coherence) | F.col("axis_b").isNull() | (geo.axial_angle_between(F.col("course"), F.col("axis_b")) <= cfg.max_axis)
     rated = rated.withColumn("distance", F.coalesce("distance", F.lit(search))).withColumn("on", (F.col("distance") <= cfg.on_route) & F.coalesce(axis_ok, F.lit(False)))
+    box = F.broadcast(routes.agg(F.min("lon").alias("_w"), F.min("lat").alias("_s"), F.max("lon").alias("_e"), F.max("lat").alias("_n")))  # one row
+    rated = rated.crossJoin(box).withColumn("_covered", geo.in_box(F.col("lon"), F.col("lat"), F.col("_w"), F.col("_s"), F.col("_e"), F.col("_n"), margin)).drop("_w", "_s", "_e", "_n")
     seen = sequence.ever(rated, F.col("on"), "seen")
-    away = sequence.tail(seen, F.col("seen") & (F.col("distance") >= cfg.off_route) & ~F.col("on"))
+    away = sequence.tail(seen, F.col("seen") & F.coalesce("_covered", F.lit(False)) & (F.col("distance") >= cfg.off_route) & ~F.col("on"))
     found = away.groupBy("mmsi").agg(F.count("*").alias("n_points"), F.min("t").alias("off_since"), (F.max("t") - F.min("t")).alias("off_seconds"), F.max_by("distance", "t").alias("distance"))
     return found.filter((F.col("n_points") >= cfg.off_points) & (F.col("off_seconds") >= cfg.off_seconds)).withColumn("risk", F.when(F.col("distance") >= cfg.high, "high").otherwise("to verify"))
 
@@ -304,10 +309,20 @@ def stay_in(fixes: DataFrame, behavior: DataFrame, kinds: tuple[str, ...], same:
     return found.filter((F.col("n_points") >= cfg.min_points) & (F.col("duration") >= cfg.min_seconds))
 
 
+def port_operation(fixes: DataFrame) -> Column:
+    """Normal work of a port: in a named port (port_name) or a port zone (in_port), as far as these columns are there, and not where anchoring is forbidden."""
+    there = [F.col("port_name").isNotNull()] * ("port_name" in fixes.columns) + [F.coalesce("in_port", F.lit(False))] * ("in_port" in fixes.columns)
+    port = F.lit(False)
+    for c in there:
+        port = port | c
+    return port & ~F.col("state").eqNullSafe("prohibited")
+
+
 def anchoring(fixes: DataFrame, behavior: DataFrame, cfg: StayConfig = StayConfig()) -> DataFrame:
-    """Anchored outside authorised areas. Fixes carry state (prohibited, authorized, covered, outside) and place."""
-    open_ = fixes.withColumn("state", F.when(F.col("state").isin("authorized", "outside"), None).otherwise(F.col("state")))
-    found = stay_in(open_.filter(~F.coalesce("at_dock", F.lit(False))), behavior, ("anchoring",), ("state", "place"), cfg)
+    """Anchored outside authorised areas, but for docked vessels and the normal work of a port. Fixes carry state (prohibited, authorized, covered, outside) and place."""
+    busy = F.coalesce("at_dock", F.lit(False)) | port_operation(fixes)
+    open_ = fixes.filter(~busy).withColumn("state", F.when(F.col("state").isin("authorized", "outside"), None).otherwise(F.col("state")))
+    found = stay_in(open_, behavior, ("anchoring",), ("state", "place"), cfg)
     return found.withColumn("risk", F.when(F.col("state") == "prohibited", "high").otherwise("medium"))
 
 
@@ -348,6 +363,13 @@ def transfer_candidates(ships: DataFrame, cfg: ContactConfig = TRANSFER) -> Data
     return contacts(ships, ships, cfg).filter("mmsi_a < mmsi_b")
 
 
+def by_registry(ships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The home and the foreign vessels, by the country digits of their number; what is no ship station is neither."""
+    own = ships.withColumn("_registry", registry(F.col("mmsi").cast("string")))
+    home, foreign = (own.filter(F.col("_registry") == side).drop("_registry") for side in ("chinese", "foreign"))
+    return home, foreign
+
+
 def berthing_candidates(chinese: DataFrame, foreign: DataFrame, cfg: ContactConfig = BERTHING) -> DataFrame:
     return contacts(chinese, foreign, cfg)
 
@@ -377,18 +399,24 @@ def berthing(chinese: DataFrame, foreign: DataFrame, permits: DataFrame, cfg: Co
 
 
 def transfer(ships: DataFrame, plans: DataFrame, cfg: ContactConfig = TRANSFER, slack: float = 0.1) -> DataFrame:
-    """Confirmed contacts against registered plans (mmsi_a < mmsi_b, starts_at, ends_at, max_speed): violation by the contact's last time.
+    """Confirmed contacts of ship stations against registered plans (mmsi_a < mmsi_b, starts_at, ends_at, max_speed): violation by the contact's last time.
 
-    In time the plan with the highest speed counts; otherwise 'outside time' if there is any plan of the pair, else 'none registered'.
+    In time the plan with the highest speed counts, otherwise the one nearest in time: 'outside time', and 'too fast' too if that plan's speed is exceeded;
+    'none registered' without a plan of the pair.
     """
-    found = transfer_candidates(ships, cfg)
+    found = transfer_candidates(ships.filter(ship_mmsi(F.col("mmsi").cast("string")).isNotNull()), cfg)
     runs = confirmed_contacts(found, cfg).withColumnRenamed("last_seen", "t")
     last = found.groupBy("mmsi_a", "mmsi_b", "t").agg(F.max(F.greatest("speed", "speed_b")).alias("speed"))
     dated = runs.join(last, ["mmsi_a", "mmsi_b", "t"])
-    joined = dated.join(plans, ["mmsi_a", "mmsi_b"], "left").withColumn("_in", F.coalesce(F.col("t").between(F.col("starts_at"), F.col("ends_at")), F.lit(False)))
-    best = joined.groupBy("mmsi_a", "mmsi_b", "session", "first_seen", "t", "observations", "duration", "speed").agg(F.max(F.when(F.col("_in"), F.col("max_speed"))).alias("allowed"), F.count("max_speed").alias("_plans"))
-    why = F.when(F.col("_plans") == 0, "none registered").when(F.col("allowed").isNull(), "outside time").when(F.col("speed") > F.col("allowed") + slack, "too fast")
-    return best.withColumn("violation", why).filter("violation is not null").drop("_plans")
+    inside = F.coalesce(F.col("t").between(F.col("starts_at"), F.col("ends_at")), F.lit(False))
+    off = F.when(F.col("t") < F.col("starts_at"), F.col("starts_at") - F.col("t")).otherwise(F.col("t") - F.col("ends_at"))
+    joined = dated.join(plans, ["mmsi_a", "mmsi_b"], "left").withColumns({"_in": inside, "_off": off})
+    best = joined.groupBy("mmsi_a", "mmsi_b", "session", "first_seen", "t", "observations", "duration", "speed").agg(
+        F.max(F.when(F.col("_in"), F.col("max_speed"))).alias("_valid"), F.min_by("max_speed", F.struct("_off", "starts_at", "max_speed")).alias("_near"), F.count("max_speed").alias("_plans"),
+    ).withColumn("allowed", F.coalesce("_valid", "_near"))
+    fast = F.when(F.col("speed") > F.col("allowed") + slack, "too fast")
+    why = F.when(F.col("_plans") == 0, "none registered").otherwise(F.concat_ws(", ", F.when(F.col("_valid").isNull(), "outside time"), fast))
+    return best.withColumn("violation", why).filter("violation <> ''").drop("_plans", "_valid", "_near")
 
 
 @dataclass(frozen=True)

@@ -84,6 +84,13 @@ def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.page(d, [F.desc("detected_at"), F.col("detection_id")], 3, 20).select("user_id", "detection_id")
 
 
+@query(f"""WITH {_DETECTIONS_SQL}, n AS (SELECT count(*) AS n FROM det WHERE feature_id = 'view') SELECT n AS count, CAST(least(7, greatest(1, (n + 19) // 20)) AS INT) AS page, 20 AS page_size,
+  CAST(greatest(1, (n + 19) // 20) AS INT) AS total_pages, least(7, greatest(1, (n + 19) // 20)) > 1 AS has_previous, 7 < greatest(1, (n + 19) // 20) AS has_next FROM n""")
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a list says of its seventh page besides its rows."""
+    return events.page_facts(_detections(spark, sf_dir).filter("feature_id = 'view'"), 7, 20)
+
+
 @query(f"WITH {_DETECTIONS_SQL} SELECT user_id, detection_id, detected_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY detected_at DESC, detection_id DESC) AS rn FROM det) WHERE rn <= 5")
 def recent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest few rows of each target."""
@@ -159,13 +166,14 @@ def trimmed_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.trimmed(w.select("mmsi", "t").join(first.select("mmsi"), "mmsi", "left_semi"), first, ["mmsi"])
 
 
-@query(f"""WITH {ZONES_SQL} SELECT rank, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' AS head, count(*) + 1 AS n_points FROM edges GROUP BY rank""")
+@query(f"""WITH {ZONES_SQL} SELECT rank, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' AS head, list_concat(list({{'x': x1, 'y': y1}} ORDER BY i),
+  [{{'x': first(x1 ORDER BY i), 'y': first(y1 ORDER BY i)}}]).list_transform(lambda p: CAST(round(p.x * 1e6) AS BIGINT) || ' ' || CAST(round(p.y * 1e6) AS BIGINT)).array_to_string(',') AS ring FROM edges GROUP BY rank""")
 def zone_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GeoJSON features; the oracle compares how they begin and how many points their ring has."""
+    """GeoJSON features: how they begin, and the points of their ring in millionths of a degree."""
     z = zones(spark, sf_dir).select("rank", "zone", "vertices")
     feature = events.geojson(z)
     parsed = F.from_json("feature", "geometry struct<coordinates: array<array<array<double>>>>, properties struct<rank: bigint>")
-    return feature.select(parsed.alias("p"), F.substring("feature", 1, 63).alias("head")).select(F.col("p.properties.rank").alias("rank"), "head", F.size(F.col("p.geometry.coordinates")[0]).cast("long").alias("n_points"))
+    return feature.select(parsed.alias("p"), F.substring("feature", 1, 63).alias("head")).select(F.col("p.properties.rank").alias("rank"), "head", F.array_join(F.transform(F.col("p.geometry.coordinates")[0], lambda v: F.concat_ws(" ", *(F.round(v[i] * 1e6).cast("long").cast("string") for i in (0, 1)))), ",").alias("ring"))
 
 
 @query(f"""WITH {FIXES_SQL}, d AS (SELECT mmsi, nav_status AS status, t FROM fixes WHERE v > 4000), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY mmsi, status ORDER BY t) > 600
@@ -397,12 +405,12 @@ _STAY_RUN_SQL = """, o AS (SELECT *, lead(t) OVER w AS nxt, last_value(place) OV
   ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 u AS (SELECT *, max(CASE WHEN NOT speed <= 1 OR {null} IS NULL OR place IS DISTINCT FROM lp OR state IS DISTINCT FROM ls OR coalesce(nxt - t > 300,
   FALSE) {far} THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS brk2 FROM o)"""
-_PLACE_SQL = f"k AS (SELECT i.id, arg_min(i.zone, i.rank) AS place, CASE WHEN bool_or(i.kind = 0) THEN 'prohibited' WHEN bool_or(i.kind IN (1, 2)) THEN 'authorized' ELSE 'covered' END AS state FROM {INSIDE_SQL} i GROUP BY i.id)"
+_PLACE_SQL = f"k AS (SELECT i.id, arg_min(i.zone, i.rank) AS place, CASE WHEN bool_or(i.kind = 0) THEN 'prohibited' WHEN bool_or(i.kind IN (1, 2)) THEN 'authorized' ELSE 'covered' END AS state, bool_or(i.kind = 3) AS in_port FROM {INSIDE_SQL} i GROUP BY i.id)"
 
 
 @query(f"""WITH {_BEHAVIOR_SQL.removeprefix("WITH ")}, {_PLACE_SQL}, a AS (SELECT f.*, k.place, CASE WHEN k.state = 'authorized' THEN NULL
   ELSE k.state END AS state FROM fixes f JOIN b ON b.mmsi = f.mmsi AND b.behavior = 'anchoring' AND b.points >= 3 AND b.radius <= 250 LEFT
-  JOIN k ON k.id = f.id WHERE NOT f.at_dock)
+  JOIN k ON k.id = f.id WHERE NOT f.at_dock AND NOT (coalesce(k.in_port, FALSE) AND k.state <> 'prohibited'))
 {_STAY_RUN_SQL.format(null="state", far="")}
 SELECT mmsi, state, place, count(*) AS n_points, max(t) - min(t) AS duration, CASE WHEN state = 'prohibited' THEN 'high' ELSE 'medium' END AS risk
   FROM u WHERE t > brk2 GROUP BY mmsi, state, place HAVING count(*) >= 2 AND max(t) - min(t) >= 60""")
@@ -411,7 +419,7 @@ def anchoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixes(spark, sf_dir)
     kind = F.col("kind")
     state = F.when(F.max(kind == 0), "prohibited").when(F.max(kind.isin(1, 2)), "authorized").otherwise("covered")
-    placed = spatial.in_zones(f.select("id", "lon", "lat"), zones(spark, sf_dir), CELL).groupBy("id").agg(F.min_by("zone", "rank").alias("place"), state.alias("state"))
+    placed = spatial.in_zones(f.select("id", "lon", "lat"), zones(spark, sf_dir), CELL).groupBy("id").agg(F.min_by("zone", "rank").alias("place"), state.alias("state"), F.max(kind == 3).alias("in_port"))
     states = f.join(placed, "id", "left").withColumn("state", F.coalesce("state", F.lit("outside")))
     cfg = detectors.StayConfig(max_speed=1.0, min_points=2, min_seconds=60.0)
     found = detectors.anchoring(states, _behavior(spark, sf_dir).filter("points >= 3"), cfg)

@@ -197,9 +197,17 @@ WHERE a.speed <= 2 AND b.speed <= 2 AND abs(a.speed - b.speed) <= 0.5e0 AND {dis
   0.5e0 * greatest(a.length, b.length) + 25), 300e0))"""
 
 
+_ABROAD = 477_000_000 - 412_000_000
+
+
+def _flagged(df: DataFrame) -> DataFrame:
+    """Vessels of odd numbers get those of another country."""
+    return _framed(df.withColumn("mmsi", F.col("mmsi") + F.col("mmsi") % 2 * _ABROAD))
+
+
 def _berths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _framed(walk(spark, sf_dir))
-    return detectors.berthing_candidates(w.filter("mmsi % 2 = 0"), w.filter("mmsi % 2 = 1"))
+    found = detectors.berthing_candidates(*detectors.by_registry(_flagged(walk(spark, sf_dir))))
+    return found.withColumn("mmsi_b", F.col("mmsi_b") - _ABROAD)
 
 
 @query(f"WITH {WALK_SQL}, {_BERTH_SQL} SELECT mmsi_a, mmsi_b, t, round(distance, 3) AS distance FROM berths")
@@ -240,10 +248,10 @@ runs AS (SELECT mmsi_a, mmsi_b, k, min(t) AS first_seen, max(t) AS t, count(*) A
 
 @query(f"""WITH {WALK_SQL}, {_PLANS_SQL}, {_TRANSFERS_SQL},
 j AS (SELECT r.mmsi_a, r.mmsi_b, r.first_seen, r.t, any_value(r.observations) AS observations, any_value(r.speed) AS speed, count(p.max_speed) AS n,
-  max(CASE WHEN r.t BETWEEN p.starts_at AND p.ends_at THEN p.max_speed END) AS allowed
+  max(CASE WHEN r.t BETWEEN p.starts_at AND p.ends_at THEN p.max_speed END) AS valid, arg_min(p.max_speed, CASE WHEN r.t < p.starts_at THEN p.starts_at - r.t ELSE r.t - p.ends_at END) AS near
   FROM runs r LEFT JOIN plans p ON p.mmsi_a = r.mmsi_a AND p.mmsi_b = r.mmsi_b GROUP BY 1, 2, 3, 4)
-SELECT mmsi_a, mmsi_b, first_seen, t AS last_seen, observations, violation FROM (SELECT *, CASE WHEN n = 0 THEN 'none registered'
-  WHEN allowed IS NULL THEN 'outside time' WHEN speed > allowed + 0.1e0 THEN 'too fast' END AS violation FROM j) WHERE violation IS NOT NULL""")
+SELECT mmsi_a, mmsi_b, first_seen, t AS last_seen, observations, violation FROM (SELECT *, CASE WHEN n = 0 THEN 'none registered' ELSE concat_ws(', ',
+  CASE WHEN valid IS NULL THEN 'outside time' END, CASE WHEN speed > coalesce(valid, near) + 0.1e0 THEN 'too fast' END) END AS violation FROM j) WHERE violation <> ''""")
 def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts at sea against registered plans."""
     k = F.col("s_suppkey")
@@ -266,11 +274,11 @@ SELECT mmsi_a, mmsi_b, first_seen, last_seen, observations, confirmed_at, CASE W
   WHEN confirmed_at = last_seen THEN 'new' ELSE 'continuing' END AS state FROM r WHERE confirmed_at IS NOT NULL""")
 def berthing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contacts of home and foreign vessels without a permit, with the state of their alert at the newest time."""
-    w = _framed(walk(spark, sf_dir))
+    w = _flagged(walk(spark, sf_dir))
     k, home = F.col("c_custkey"), (F.lit(412000000) + F.col("c_custkey") * 2).cast("long")
-    permits = read(spark, sf_dir, "customer").select(home.alias("mmsi_a"), (home + 2 * (k % 4) + 1).alias("mmsi_b"), F.when(k % 3 != 0, 600).alias("valid_from"), F.lit(None).cast("int").alias("valid_until"))
+    permits = read(spark, sf_dir, "customer").select(home.alias("mmsi_a"), (home + 2 * (k % 4) + 1 + _ABROAD).alias("mmsi_b"), F.when(k % 3 != 0, 600).alias("valid_from"), F.lit(None).cast("int").alias("valid_until"))
     cfg = detectors.ContactConfig(max_speed=2.0, max_speed_gap=0.5, course_above=None, min_frames=2, min_seconds=60.0)
-    runs = detectors.berthing(w.filter("mmsi % 2 = 0"), w.filter("mmsi % 2 = 1"), permits, cfg)
+    runs = detectors.berthing(*detectors.by_registry(w), permits, cfg).withColumn("mmsi_b", F.col("mmsi_b") - _ABROAD)
     now = w.agg(F.max("t")).first()[0]
     return detectors.alert_states(runs, now or 0, 1200.0).select("mmsi_a", "mmsi_b", "first_seen", "last_seen", "observations", "confirmed_at", "state")
 
