@@ -502,12 +502,22 @@ def double_dragging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.double_dragging(w.unionByName(partner), cfg)
 
 
-@query()
+@query(f"""WITH {WALK_SQL}, routes AS (SELECT avg(lon) AS lon, avg(lat) AS lat FROM fixes GROUP BY floor(lon / 0.002e0), floor(lat / 0.002e0) HAVING count(*) >= 20),
+e AS (SELECT mmsi, t, lon, lat, lead(t) OVER (PARTITION BY mmsi ORDER BY t) AS nt FROM fixes WHERE NOT at_dock),
+l AS (SELECT *, max(CASE WHEN nt - t > 400 THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS brk FROM e), run AS (SELECT * FROM l WHERE t > brk),
+ends AS (SELECT mmsi, count(*) AS n, max(t) - min(t) AS seconds, arg_min(lon, t) AS lon_a, arg_min(lat, t) AS lat_a, arg_max(lon, t) AS lon_b, arg_max(lat, t) AS lat_b FROM run GROUP BY mmsi),
+able AS (SELECT mmsi FROM ends p WHERE n >= 3 AND seconds >= 120 AND {distance_sql("p", "p", "_a", "_b")} >= 50),
+near AS (SELECT f.mmsi, f.t, least(min({distance_sql("f", "r")}), 2000) AS d FROM run f JOIN able USING (mmsi) CROSS JOIN routes r GROUP BY f.mmsi, f.t),
+s AS (SELECT *, bool_or(d <= 60) OVER (PARTITION BY mmsi ORDER BY t) AS seen FROM near),
+a AS (SELECT *, max(CASE WHEN NOT (seen AND d >= 120) THEN t ELSE -1 END) OVER (PARTITION BY mmsi) AS kept FROM s)
+SELECT mmsi, count(*) AS n_points, min(t) AS off_since, max(t) - min(t) AS off_seconds, round(arg_max(d, t), 3) AS distance, CASE WHEN arg_max(d, t) >= 400 THEN 'high' ELSE 'to verify' END AS risk
+  FROM a WHERE t > kept GROUP BY mmsi HAVING count(*) >= 2""")
 def deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaving the routes of a grid learned from the same table."""
+    """Leaving the routes of a grid learned from the same table; each fix is judged by the nearest route point."""
     w = walk(spark, sf_dir)
-    cfg = detectors.DeviationConfig(min_speed=0.0, min_points=3, min_displacement=50.0, on_route=60.0, off_route=120.0, off_points=1, off_seconds=0.0, min_coherence=2.0)
-    return detectors.deviation(w.withColumn("eligible", ~F.col("at_dock")), spatial.route_grid(w, 0.002, 5), cfg, 2000.0)
+    cfg = detectors.DeviationConfig(min_speed=0.0, max_gap=400.0, min_points=3, min_displacement=50.0, on_route=60.0, off_route=120.0, high=400.0, off_points=2, off_seconds=0.0, min_coherence=2.0)
+    found = detectors.deviation(w.withColumn("eligible", ~F.col("at_dock")), spatial.route_grid(w, 0.002, 20), cfg, 2000.0)
+    return found.select("mmsi", "n_points", "off_since", "off_seconds", F.round("distance", 3).alias("distance"), "risk")
 
 
 @query()
