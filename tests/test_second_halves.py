@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_ordered import streamed
 from wakeline.functions import records
-from wakeline.operators import folds, spatial, temporal
+from wakeline.operators import events, folds, sequence, spatial, temporal
 from wakeline.plans import detectors
 from wakeline.sources import files
 from wakeline.streaming import changelog, sources, state
@@ -203,3 +204,24 @@ def test_port_work_is_no_illegal_anchoring(spark):
     fixes = spark.createDataFrame([(m, float(60 * k), 113.0, 22.0, 0.1, state_, "p", False, port, False) for m, state_, port in ((1, "covered", None), (2, "covered", "Port"), (3, "prohibited", "Port"), (4, "outside", None)) for k in range(8)], "mmsi long, t double, lon double, lat double, speed double, state string, place string, at_dock boolean, port_name string, in_port boolean")
     behaviour = spark.createDataFrame([(m, "anchoring", 8, 10.0) for m in (1, 2, 3, 4)], "mmsi long, behavior string, points long, radius double")
     assert {(r["mmsi"], r["risk"]) for r in detectors.anchoring(fixes, behaviour).collect()} == {(1, "medium"), (3, "high")}
+
+
+def test_window_paths(spark):
+    """Places between samples lie on a line, those outside stay; two samples are too few; the latest window is the end of the scene's times."""
+    rows = [("s", t, v, x, y, k) for t, v, x, y, k in ((0, "a", 1.0, 1.0, 0), (20, "a", 3.0, 5.0, 0), (20, "a", 9.0, 9.0, 1), (30, "a", 4.0, 5.0, 0), (10, "b", 1.0, 1.0, 0), (20, "b", 1.0, None, 0), (30, "b", 2.0, 1.0, 0), (40, "c", 7.0, 7.0, 0), (50, "c", 8.0, 8.0, 0))]
+    df = spark.createDataFrame(rows, "scene string, t long, v string, lon double, lat double, k long")
+    times = df.select("scene", "t").distinct()
+    got = sequence.window_paths(df, sequence.sliding(times, 6, 1, ("scene",)), "v", ("scene",), tie="k").orderBy("place").collect()
+    assert [(r["v"], r["t"], r["lon"], r["lat"], r["known"]) for r in got] == [("a", 0, 1.0, 1.0, True), ("a", 10, 2.0, 3.0, False), ("a", 20, 3.0, 5.0, True), ("a", 30, 4.0, 5.0, True), ("a", 40, 4.0, 5.0, False), ("a", 50, 4.0, 5.0, False)]
+    last = sequence.latest_window(times, 3, ("scene",)).collect()
+    assert [(r["first_t"], r["last_t"], r["times"]) for r in last] == [(30, 50, [30, 40, 50])]
+    assert sequence.latest_window(times, 7, ("scene",)).count() == 0
+
+
+def test_spans_of_trajectories():
+    at = lambda h: datetime(2026, 1, 1, h, tzinfo=UTC)
+    assert events.trajectory_span(None, None, at(12)) == (at(7), at(12)) and events.trajectory_span(at(3), at(8), at(12)) == (at(3), at(8))
+    assert events.trajectory_span(None, None, at(12), event_specific=True) is None
+    for start, end in ((at(8), at(8)), (at(1), at(7))):
+        with pytest.raises(ValueError):
+            events.trajectory_span(start, end, at(12))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,19 @@ def newest_page(df: DataFrame, most: int, order: str = "t", tie: str | None = No
     return df.orderBy(*down).limit(most).orderBy(order, *([tie] if tie else []))
 
 
+def trajectory_span(start: datetime | None, end: datetime | None, now: datetime, event_specific: bool = False, most: timedelta = timedelta(hours=5)) -> tuple[datetime, datetime] | None:
+    """The times that a trajectory is asked for: up to now and ``most`` long if nothing else is said; a longer or empty span raises. One event's trajectory has no limits (None)."""
+    if event_specific:
+        return None
+    end = now if end is None else end
+    start = end - most if start is None else start
+    if start >= end:
+        raise ValueError("the start must come before the end")
+    if end - start > most:
+        raise ValueError(f"a trajectory is given for {most} at most")
+    return start, end
+
+
 def search(events: DataFrame, feature: str | None = None, text: str | None = None, columns: tuple[str, ...] = (), start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Filters of the event list; the end is exclusive (``records.filter_time`` makes it the next day's start for a bare date)."""
     out = events if feature is None else events.filter(F.col("feature_id") == feature)

@@ -166,6 +166,34 @@ def sliding(df: DataFrame, size: int, stride: int = 1, by: tuple[str, ...] = BY)
     )
 
 
+def latest_window(df: DataFrame, size: int, by: tuple[str, ...] = BY) -> DataFrame:
+    """The last ``size`` rows of each key as one window of the shape of ``sliding``; keys with fewer rows have none."""
+    w = Window.partitionBy(*by).orderBy(F.desc("t"))
+    last = df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size).groupBy(*by).agg(F.sort_array(F.collect_list("t")).alias("times"))
+    return last.filter(F.size("times") == size).select(*by, F.lit(0).cast("long").alias("window"), F.col("times")[0].alias("first_t"), F.element_at("times", -1).alias("last_t"), "times")
+
+
+def window_paths(samples: DataFrame, windows: DataFrame, target: str, by: tuple[str, ...], values: tuple[str, ...] = ("lon", "lat"), least: int = 3, tie: str | None = None) -> DataFrame:
+    """Each target's path through windows of times (``sliding`` over the distinct times of a scene): by, window, target, place (from 0), t, the values, ``known``.
+
+    A target needs ``least`` samples with all values in a window. Between two of them the others lie on a line by place, before the first and after the last they stay as that
+    is; of samples of one time the first by ``tie`` counts.
+    """
+    once = samples.groupBy(*by, target, "t").agg(F.min_by(F.struct(*values), tie or F.struct(*values)).alias("_v"))
+    placed = windows.select(*by, "window", "times", F.posexplode("times").alias("place", "t"))
+    whole = F.lit(True)
+    for c in values:
+        whole = whole & F.col(f"_v.{c}").isNotNull() & ~F.isnan(F.col(f"_v.{c}").cast("double"))
+    known = placed.join(once.filter(whole), [*by, "t"]).groupBy(*by, "window", target).agg(F.sort_array(F.collect_list(F.struct("place", *(F.col(f"_v.{c}").cast("double").alias(c) for c in values)))).alias("_k"))
+    paths = known.filter(F.size("_k") >= least).join(placed, [*by, "window"])
+    at = F.col("place")
+    before, after = F.element_at(F.filter("_k", lambda k: k["place"] <= at), -1), F.get(F.filter("_k", lambda k: k["place"] >= at), 0)
+    sided = paths.withColumns({"_a": F.when(F.col("_k")[0]["place"] <= at, before).otherwise(F.col("_k")[0]), "_b": F.coalesce(after, F.element_at("_k", -1))})
+    part = F.when(F.col("_b.place") > F.col("_a.place"), (at - F.col("_a.place")) / (F.col("_b.place") - F.col("_a.place"))).otherwise(0.0)
+    line = {c: F.col(f"_a.{c}") + (F.col(f"_b.{c}") - F.col(f"_a.{c}")) * part for c in values}
+    return sided.select(*by, "window", target, "place", "t", *(v.alias(c) for c, v in line.items()), ((F.col("_a.place") == at) | (F.col("_b.place") == at)).alias("known"))
+
+
 def merged_intervals(df: DataFrame, start: str, end: str, slack: float, by: tuple[str, ...]) -> DataFrame:
     """Intervals of a key that overlap or lie within ``slack`` of each other become one: group_start, group_end, n."""
     w = Window.partitionBy(*by).orderBy(start, end)

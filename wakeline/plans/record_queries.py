@@ -301,6 +301,24 @@ def reckoning_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lagged.select("id", F.round(geo.haversine(lon, lat, F.col("lon"), F.col("lat")), 3).alias("residual"))
 
 
+@query(f"""WITH {FIXES_SQL}, given AS (SELECT mmsi % 10 AS scene, mmsi, t, lon, lat FROM fixes WHERE id % 4 > 0),
+tm AS (SELECT scene, t, row_number() OVER (PARTITION BY scene ORDER BY t) - 1 AS n, count(*) OVER (PARTITION BY scene) AS total FROM (SELECT DISTINCT scene, t FROM given)),
+w AS (SELECT scene, n // 3 AS k, n AS s FROM tm WHERE n % 3 = 0 AND n + 6 <= total), p AS (SELECT w.scene, w.k, tm.n - w.s AS place, tm.t FROM w JOIN tm ON tm.scene = w.scene AND tm.n BETWEEN w.s AND w.s + 5),
+g AS (SELECT p.scene, p.k, mmsi FROM p JOIN given ON given.scene = p.scene AND given.t = p.t GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+a AS (SELECT p.scene, p.k, g.mmsi, p.place, p.t, given.lon, given.lat, CASE WHEN given.lon IS NOT NULL THEN place END AS here FROM p JOIN g ON g.scene = p.scene AND g.k = p.k LEFT JOIN given ON given.mmsi = g.mmsi AND given.t = p.t),
+b AS (SELECT *, last_value(here IGNORE NULLS) OVER w AS pa, last_value(lon IGNORE NULLS) OVER w AS xa, last_value(lat IGNORE NULLS) OVER w AS ya, first_value(here IGNORE NULLS) OVER v AS pb,
+  first_value(lon IGNORE NULLS) OVER v AS xb, first_value(lat IGNORE NULLS) OVER v AS yb FROM a WINDOW w AS (PARTITION BY scene, k, mmsi ORDER BY place ROWS UNBOUNDED PRECEDING),
+  v AS (PARTITION BY scene, k, mmsi ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+c AS (SELECT *, CASE WHEN pb > pa THEN (place - pa) / (pb - pa) ELSE 0 END AS part FROM b)
+SELECT scene, k AS "window", mmsi, CAST(place AS INT) AS place, t, {R.format("coalesce(xa + (xb - xa) * part, xa, xb)")} AS lon, {R.format("coalesce(ya + (yb - ya) * part, ya, yb)")} AS lat, here IS NOT NULL AS known FROM c""")
+def window_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the vessels of a scene through windows of six report times, every third; a fourth of the reports is missing."""
+    some = fixes(spark, sf_dir).filter("id % 4 > 0").withColumn("scene", F.col("mmsi") % 10)
+    windows = sequence.sliding(some.select("scene", "t").distinct(), 6, 3, ("scene",))
+    found = sequence.window_paths(some, windows, "mmsi", ("scene",))
+    return found.withColumns({"lon": rounded(F.col("lon")), "lat": rounded(F.col("lat"))})
+
+
 @query(f"WITH {FIXES_SQL}, o AS (SELECT mmsi, t, lead(t, 5) OVER w AS last_t, row_number() OVER w - 1 AS k FROM fixes WINDOW w AS (PARTITION BY mmsi ORDER BY t)) SELECT mmsi, CAST(k // 2 AS BIGINT) AS \"window\", t AS first_t, last_t FROM o WHERE last_t IS NOT NULL AND k % 2 = 0")
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.sliding(fixes(spark, sf_dir), 6, 2).drop("times")
