@@ -5,7 +5,7 @@ Candidates come from two searches: the vantage-point trees over SimHash (``simha
 shares no bucket with a chance of (1 - 0.8**5)**24, about 7 * 10**-5. Each candidate is then checked by its whole sets, so
 no document goes for a fingerprint alone.
 
-A bucket is compared in two rounds. In each, some pivots (1, then 4) are checked against the members that are not connected with them
+A bucket is compared in two rounds. In each, some pivots (1, then 16) are checked against the members that are not connected with them
 yet and then leave; a bucket ends once all its members are connected. A large group of near copies so takes about one check a member.
 What is still open then is a crowd of texts that share bands and are not alike; see ``crowd_links``. No pair of a bucket is left out.
 
@@ -27,8 +27,8 @@ from .common import checkpointed, text_batches, texts
 from .components import components, local_forest
 
 SHINGLE, ALIKE, BANDS, ROWS, MOST = 5, 0.8, 24, 5, 7
-PIVOTS = (1, 4)
-CROWD = 512
+PIVOTS = (1, 16)
+CROWD = 1024
 _U = np.uint64
 _RNG = np.random.default_rng(42)
 _TIMES, _PLUS = _RNG.integers(0, 2**64 - 1, BANDS * ROWS, _U) | _U(1), _RNG.integers(0, 2**64 - 1, BANDS * ROWS, _U)
