@@ -200,6 +200,39 @@ def test_crowds_are_compared_by_blocks(spark, monkeypatch, block):
     assert {(r["node"], r["component"]) for r in got.collect()} == want
 
 
+def test_a_crowd_of_unlike_sets_makes_few_pairs(spark, monkeypatch):
+    """Sets that share a bucket and most of their elements, all below 0.8 but one pair: hardly any pair is made and checked, and the pair is found."""
+    seen = []
+    monkeypatch.setattr(near_sets, "checked", lambda pairs, sets, alike, own=near_sets.checked: seen.append(pairs.count()) or own(pairs, sets, alike))
+    rng = random.Random(12)
+    base = [rng.getrandbits(62) for _ in range(60)]
+    sets = [(i, sorted(rng.sample(base, 40) + [rng.getrandbits(62) for _ in range(15)])) for i in range(1, 300)]
+    sets.append((300, sets[150][1][1:]))
+    df = spark.createDataFrame(sets, "node long, hashes array<long>")
+    members = spark.createDataFrame([(b, i, len(h)) for i, h in sets for b in (1, 2)], "bucket long, node long, n int")
+    got = near_sets.set_components(members, df, spark.createDataFrame([], "a long, b long")).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(151, 151), (300, 151)}
+    assert sum(seen) < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 9, 45, 300, 3000])
+def test_signatures_reject_no_alike_pair(spark, n):
+    """Sets at and just above 0.8, whatever elements they have, pass; so do sets beyond what the signature tells apart."""
+    rng = random.Random(n)
+    rows = []
+    for k in range(30):
+        own = [rng.getrandbits(63) if k % 2 else rng.randrange(10**5) * 512 + rng.randrange(3) for _ in range(n)]
+        own = sorted(set(own))
+        fresh = [rng.getrandbits(63) for _ in range(len(own) // 9)]
+        rows.append((2 * k, own, 2 * k + 1, sorted({*own[len(own) // 9 :], *fresh})))
+    both = [(a, b) for _, a, _, b in rows]
+    assert all(alike({*a}, {*b}) for a, b in both)
+    sig = near_sets.signatures(spark.createDataFrame([(i, h) for r in rows for i, h in (r[:2], r[2:])], "node long, hashes array<long>"))
+    pairs = spark.createDataFrame([(r[0], len(r[1]), r[2], len(r[3])) for r in rows], "node long, n int, _node long, _n int")
+    pairs = pairs.join(sig, "node").join(sig.toDF("_node", "_sig"), "_node")
+    assert pairs.filter(near_sets.may_be_alike()).count() == len(rows)
+
+
 def test_near_duplicate_stage_with_columns_that_spark_does_not_compare(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", {"k": 1}), (1, "a b c d e f", {"k": 2}), (2, "a b c d e f", None)], "doc_id long, text string, tags map<string,int>")
     docs = docs.withColumn("many", F.array("tags"))

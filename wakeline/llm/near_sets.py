@@ -5,9 +5,10 @@ Candidates come from two searches: the vantage-point trees over SimHash (``simha
 shares no bucket with a chance of (1 - 0.8**5)**24, about 7 * 10**-5. Each candidate is then checked by its whole sets, so
 no document goes for a fingerprint alone.
 
-A bucket is compared in two rounds. In each, some pivots (1, then 16) are checked against the members that are not connected with them
-yet and then leave; a bucket ends once all its members are connected. A large group of near copies so takes about one check a member.
-What is still open then is a crowd of texts that share bands and are not alike; see ``crowd_links``. No pair of a bucket is left out.
+A bucket is compared in two steps. First one pivot is checked against the other members and leaves; a large group of near copies so
+takes about one check a member. Then members go that can't be alike any other of their bucket, unless they are connected with it already; what
+is still open is compared in blocks, see ``crowd_links``. Both steps first reject pairs by their signatures, a bound that no alike pair
+fails (``may_be_alike``), so a crowd of texts that share bands and are not alike makes few pairs. No pair of a bucket is left out.
 
 Equal sets collapse first. A null or empty text has the empty set; fewer words than a shingle are one shingle.
 """
@@ -27,8 +28,7 @@ from .common import checkpointed, text_batches, texts
 from .components import components, local_forest
 
 SHINGLE, ALIKE, BANDS, ROWS, MOST = 5, 0.8, 24, 5, 7
-PIVOTS = (1, 16)
-CROWD = 1024
+CROWD, SIGNATURE = 1024, 512
 _U = np.uint64
 _RNG = np.random.default_rng(42)
 _TIMES, _PLUS = _RNG.integers(0, 2**64 - 1, BANDS * ROWS, _U) | _U(1), _RNG.integers(0, 2**64 - 1, BANDS * ROWS, _U)
@@ -105,31 +105,58 @@ def checked(pairs: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFram
     return both.filter(shared >= alike * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def crowds(members: DataFrame) -> DataFrame:
-    """(node, crowd): nodes that a chain of common buckets connects."""
-    least = members.groupBy("bucket").agg(F.min("node").alias("b"))
-    return components(members.join(least, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "crowd")
+def signatures(sets: DataFrame) -> DataFrame:
+    """node and sig, ``SIGNATURE`` bits of its set: each is the parity of the elements that fall on it."""
+    kinds = pa.schema([("node", pa.int64()), ("sig", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                node, lists = batch.slice(start, 1024).columns
+                size = np.diff(lists.offsets.to_numpy())
+                at = np.repeat(np.arange(len(size)), size) * SIGNATURE + (lists.flatten().to_numpy() & (SIGNATURE - 1))
+                odd = (np.bincount(at, minlength=len(size) * SIGNATURE) & 1).astype(np.uint8)
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (SIGNATURE // 64), pa.int32()), pa.array(np.packbits(odd).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([node, words], schema=kinds)
+
+    return sets.select("node", "hashes").mapInArrow(run, "node long, sig array<long>")
+
+
+def may_be_alike(alike: float = ALIKE) -> Column:
+    """False only for sets (n, sig and _n, _sig) below this Jaccard index.
+
+    Sets of other sizes can't be alike. Bits in which two signatures differ are at most the elements that one set alone has, and at this index those
+    are at most (1 - alike) / (1 + alike) of both sizes. Far below it nearly every pair is told apart, up to some thousand elements; beyond, the sets decide.
+    """
+    differ = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("_sig")[i])) for i in range(1, SIGNATURE // 64)), F.bit_count(F.col("sig")[0].bitwiseXOR(F.col("_sig")[0])))
+    return (F.least("n", "_n") >= alike * F.greatest("n", "_n")) & (differ * F.lit(1 + alike) <= (F.col("n") + F.col("_n")) * F.lit(1 - alike) + 1e-6)
+
+
+def undecided(members: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """The members that may be alike another one of their bucket that they are not connected with; one row a member at most."""
+    other = members.select(F.col("bucket").alias("_bucket"), F.col("component").alias("_of"), F.col("n").alias("_n"), F.col("sig").alias("_sig"))
+    return members.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("component") != F.col("_of")) & may_be_alike(alike), "left_semi")
 
 
 def crowd_links(members: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """Links (a, b) that connect all alike nodes of a crowd that are not of one component yet; members: bucket, node, component.
+    """Links (a, b) that connect all alike nodes of a bucket that are not of one component yet; members: bucket, node, n, component.
 
-    A crowd is cut into blocks of about ``CROWD`` nodes whose sets have like sizes: sets with this Jaccard index are of the same or of neighbouring
-    size classes. Each pair of such blocks is one task's work; it counts common shingles as a product of matrices and returns a forest, no pairs.
+    A bucket of more than ``CROWD`` nodes is cut into blocks of about that many whose sets have like sizes: sets with this Jaccard index are of the same or
+    of neighbouring size classes. Each pair of such blocks is one task's work; it counts common shingles as a product of matrices and returns a forest, no pairs.
     """
-    of = members.groupBy("node").agg(F.min("component").alias("component")).join(crowds(members), "node")
-    size_class = F.floor(F.log(F.greatest(F.size("hashes"), F.lit(1)).cast("double")) / math.log(1 / alike)).cast("int")
-    sized = checkpointed(sets.select("node", size_class.alias("c")).join(of, "node"))
-    counts = sized.groupBy("crowd", "c").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("n"))
-    blocks = checkpointed(counts.select("crowd", "c", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")))
-    left = blocks.select("crowd", F.col("c").alias("at"), F.col("s").alias("s_a"))
-    right = blocks.select("crowd", "c", F.col("s").alias("s_b"), F.explode(F.array(F.col("c"), F.col("c") - 1)).alias("at"))
-    both = left.join(right, ["crowd", "at"]).filter((F.col("c") > F.col("at")) | (F.col("s_b") >= F.col("s_a")))
-    task = F.struct("crowd", "at", "s_a", "c", "s_b").alias("task")
-    sides = both.select("crowd", F.explode(F.array_distinct(F.array(F.struct(F.col("at").alias("c"), F.col("s_a").alias("s")), F.struct("c", F.col("s_b").alias("s"))))).alias("_side"), task)
-    sides = sides.select("crowd", "_side.c", "_side.s", "task")
-    placed = sized.join(counts, ["crowd", "c"]).select("node", "component", "crowd", "c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("s"))
-    dealt = placed.join(sides, ["crowd", "c", "s"]).select("task", "node", "component").join(sets, "node")
+    size_class = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / math.log(1 / alike)).cast("int")
+    large = members.groupBy("bucket").agg((F.count("*") > CROWD).alias("_large"))
+    sized = checkpointed(members.join(large, "bucket").select("bucket", "node", "component", F.when(F.col("_large"), size_class).otherwise(0).alias("c")))
+    counts = sized.groupBy("bucket", "c").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("n"))
+    blocks = checkpointed(counts.select("bucket", "c", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")))
+    left = blocks.select("bucket", F.col("c").alias("at"), F.col("s").alias("s_a"))
+    right = blocks.select("bucket", "c", F.col("s").alias("s_b"), F.explode(F.array(F.col("c"), F.col("c") - 1)).alias("at"))
+    both = left.join(right, ["bucket", "at"]).filter((F.col("c") > F.col("at")) | (F.col("s_b") >= F.col("s_a")))
+    task = F.struct("bucket", "at", "s_a", "c", "s_b").alias("task")
+    sides = both.select("bucket", F.explode(F.array_distinct(F.array(F.struct(F.col("at").alias("c"), F.col("s_a").alias("s")), F.struct("c", F.col("s_b").alias("s"))))).alias("_side"), task)
+    sides = sides.select("bucket", "_side.c", "_side.s", "task")
+    placed = sized.join(blocks.filter("s = 0").drop("s"), ["bucket", "c"]).select("node", "component", "bucket", "c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("s"))
+    dealt = placed.join(sides, ["bucket", "c", "s"]).select("task", "node", "component").join(sets, "node")
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(group: pa.Table) -> pa.Table:
@@ -164,24 +191,18 @@ def alike_pairs(hashes: np.ndarray, n: np.ndarray, alike: float = ALIKE) -> tupl
 
 def set_components(members: DataFrame, sets: DataFrame, more: DataFrame, alike: float = ALIKE) -> DataFrame:
     """(node, component) of the nodes with a link; members: bucket, node, n (size of its set); more: further candidate pairs a, b."""
-    links = None
-    members = members.withColumn("component", F.col("node"))
-    for pivots_each in PIVOTS:
-        pivots = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(pivots_each)).alias("_salt")).agg(F.min(F.struct("node", "component", "n")).alias("_p"))
-        pivots = checkpointed(pivots.select("bucket", F.col("_p.node").alias("_pivot"), F.col("_p.component").alias("_of"), F.col("_p.n").alias("_n")))
-        like = F.least("n", "_n") >= alike * F.greatest("n", "_n")  # sets of other sizes can't be alike
-        pairs = members.join(pivots, "bucket").filter(F.col("component") != F.col("_of")).filter(like).select(F.greatest("node", "_pivot").alias("a"), F.least("node", "_pivot").alias("b"))
-        if links is None:
-            pairs = pairs.unionByName(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        good = checked(checkpointed(pairs.distinct()), sets, alike)
-        links = checkpointed(good if links is None else links.unionByName(good))
-        joined = checkpointed(components(links))
-        left = members.select("bucket", "node", "n").join(pivots.select("bucket", F.col("_pivot").alias("node")), ["bucket", "node"], "left_anti")
-        left = left.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        open_ = left.groupBy("bucket").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("bucket")
-        members = checkpointed(left.join(open_, "bucket", "left_semi"))
-        if members.isEmpty():
-            return joined
+    members = checkpointed(members.select("bucket", "node", "n").join(signatures(sets), "node"))
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "n", "sig")).alias("_p"))
+    pivots = checkpointed(pivots.select("bucket", F.col("_p.node").alias("_pivot"), F.col("_p.n").alias("_n"), F.col("_p.sig").alias("_sig")))
+    pairs = members.join(pivots, "bucket").filter(F.col("node") != F.col("_pivot")).filter(may_be_alike(alike)).select(F.col("node").alias("a"), F.col("_pivot").alias("b"))
+    pairs = pairs.unionByName(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    links = checkpointed(checked(checkpointed(pairs.distinct()), sets, alike))
+    joined = checkpointed(components(links))
+    left = members.join(pivots.select("bucket", F.col("_pivot").alias("node")), ["bucket", "node"], "left_anti")
+    left = left.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = checkpointed(undecided(left, alike))
+    if members.isEmpty():
+        return joined
     return components(links.unionByName(checkpointed(crowd_links(members, sets, alike))))
 
 
