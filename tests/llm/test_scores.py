@@ -107,6 +107,19 @@ def test_scores_of_odd_rows(docs, nothing, spark):
     assert classifier.scored_rows(nothing, model).count() == 0
 
 
+def test_a_score_does_not_depend_on_the_rows_beside():
+    """Each row alone, in any slice and at any place scores to the last bit what it scores among all."""
+    rng = np.random.default_rng(3)
+    k, wide = len(classifier.STATISTICS), 256
+    model = classifier.Model(rng.normal(size=k), rng.uniform(0.5, 2, k), rng.normal(size=(k, wide)), rng.uniform(0, 6, wide), rng.normal(size=wide + 1), np.array([-40.0, 40.0]), np.array([0.0, 1.0]))
+    x = rng.normal(size=(97, k))
+    whole = model.score(x)
+    assert len(set(whole.tolist())) == 97
+    for size in (1, 2, 3, 5, 8, 31, 64):
+        for first in (0, 1, 2):
+            assert np.concatenate([model.score(x[i : i + size]) for i in range(first, len(x), size)]).tolist() == whole[first:].tolist(), (size, first)
+
+
 def test_isotonic_is_the_best_monotone_fit():
     steps, levels = classifier.isotonic(np.array([1.0, 2, 3, 3, 4, 5]), np.array([0.0, 1, 0, 0, 1, 1]))
     assert (np.diff(levels) > 0).all() and (np.diff(steps) > 0).all()

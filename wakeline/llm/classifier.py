@@ -78,13 +78,16 @@ class Model:
     levels: np.ndarray  # calibrated values there
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        z = np.cos(((x - self.mean) / self.scale) @ self.weights + self.phases) * math.sqrt(2 / len(self.phases))
-        return np.hstack([z, np.ones((len(z), 1))])
+        """Term by term: a product of matrices rounds a row by its place among the others, so equal texts would differ in the last bits."""
+        at = np.tile(self.phases, (len(x), 1))
+        for column, weights in zip(((x - self.mean) / self.scale).T, self.weights, strict=True):
+            at += column[:, None] * weights
+        return np.hstack([np.cos(at) * math.sqrt(2 / len(self.phases)), np.ones((len(x), 1))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.steps):
             return np.full(len(x), 0.5)
-        return np.clip(np.interp(self.features(x) @ self.beta, self.steps, self.levels), 0.0, 1.0)
+        return np.clip(np.interp((self.features(x) * self.beta).sum(axis=1), self.steps, self.levels), 0.0, 1.0)
 
 
 def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
