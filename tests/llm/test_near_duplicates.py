@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import SCHEMA, odd_rows, prose
-from wakeline.llm import near_sets, simhash
+from wakeline.llm import common, near_sets, simhash
 from wakeline.llm.components import components, local_forest
 
 
@@ -250,6 +251,17 @@ def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_a_written_stage_frees_the_shuffle_files_of_what_is_done(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    for _ in range(5):
+        spark.range(1000).repartition(64, "id").collect()
+    before = files()
+    for _ in range(5):  # the last query's plan may still be held when the driver collects
+        assert common.written(spark.range(3), "small").count() == 3
+        time.sleep(1)  # Spark deletes in the background
+    assert files() <= before // 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on all its predecessor kept; columns stay; the result holds every kept word's tokens."""
     rng = random.Random(9)

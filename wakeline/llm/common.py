@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished steps when the driver collects garbage, which may come too late for the disk: have it done now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, if it is there."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,6 +69,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove_at_end, spark, path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, text_batches, texts
+from .common import checkpointed, release, text_batches, texts
 from .components import components, local_forest
 
 SHINGLE, ALIKE, BANDS, ROWS, MOST = 5, 0.8, 24, 5, 7
@@ -198,12 +198,15 @@ def set_components(members: DataFrame, sets: DataFrame, more: DataFrame, alike:
     pairs = pairs.unionByName(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     links = checkpointed(checked(checkpointed(pairs.distinct()), sets, alike))
     joined = checkpointed(components(links))
+    release(sets.sparkSession)
     left = members.join(pivots.select("bucket", F.col("_pivot").alias("node")), ["bucket", "node"], "left_anti")
     left = left.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = checkpointed(undecided(left, alike))
     if members.isEmpty():
         return joined
-    return components(links.unionByName(checkpointed(crowd_links(members, sets, alike))))
+    links = checkpointed(links.unionByName(crowd_links(members, sets, alike)))
+    release(sets.sparkSession)
+    return components(links)
 
 
 def _order(docs: DataFrame) -> Column:
@@ -226,7 +229,9 @@ def deduplicated(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     keyed = _keyed(docs)
     texts_of = keyed.join(shown, ["_id", "_text"], "left_semi").select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text"))
     sets = checkpointed(node_sets(texts_of).dropDuplicates(["node"]))
-    joined = set_components(members, sets, more, alike)
+    release(docs.sparkSession)
+    joined = checkpointed(set_components(members, sets, more, alike))
+    release(docs.sparkSession)
     kept = own.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("_c")).agg(F.min(F.struct("_id", "_text")).alias("_k")).select("_k._id", "_k._text")
     rows = keyed.join(kept, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min_by("_row", _order(docs)).alias("_row"))
     return rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
