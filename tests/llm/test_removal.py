@@ -12,6 +12,7 @@ import pytest
 from tests.llm.conftest import odd_rows
 from wakeline.llm import anchored, line_dedup, substring_dedup, suffix_dedup
 from wakeline.llm.linear_grouping import suffix_arrays
+from wakeline.llm.sorting import grouped_order, packed_order
 
 
 def least_ids(rows):
@@ -119,6 +120,49 @@ def test_suffix_arrays_decide_as_comparing_all(monkeypatch, large):
     assert not list(suffix_dedup.decide(passages([], [], [], [])))
 
 
+def test_parts_of_a_large_place_meet(monkeypatch):
+    """Passages of one place are compared although they are cut in different parts."""
+    monkeypatch.setattr(suffix_dedup, "LARGE", 500)
+    for name in ("BATCH", "PART"):  # bytes sorted and cut together
+        monkeypatch.setattr(suffix_dedup, name, 400, raising=False)
+    rng = random.Random(5)
+    shared = bytes(rng.choices(b"abcd", k=60))
+    bodies = [bytes(rng.choices(b"ab", k=200)) + shared + bytes(rng.choices(b"cd", k=200)) for _ in range(12)]
+    some = passages(bodies, list(range(12)), [3] * 12, [len(b) - 49 for b in bodies])
+    got = {(int(i), int(w)) for at, first, last in suffix_dedup.decide(some) for i, a, b in zip(at, first, last, strict=True) for w in range(a, b + 1)}
+    assert {(i, k) for i in range(1, 12) for k in range(200, 211)} <= got
+
+
+@pytest.mark.parametrize("wide", [1, 1 << 40, 1 << 62])
+def test_packed_orders_equal_lexsort(wide):
+    """Also where keys don't fit one number, or agree in their upper bits."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 5, 3000), rng.integers(0, 7, 3000) * wide // 7
+    for keys in ((a, b), (b, a), (b - 3, a), (a[:0], b[:0])):
+        assert packed_order(*keys).tolist() == np.lexsort(keys[::-1]).tolist()
+    close = (b + a).astype(np.uint64)
+    for key in (close, close[:0], close + np.uint64(1 << 63)):
+        assert grouped_order(key).tolist() == np.argsort(key, kind="stable").tolist()
+
+
+def test_places_are_found_by_document_and_anchor():
+    """Whether documents and anchors fit one number or not, and for anchors that only other documents have."""
+    rng = np.random.default_rng(2)
+    for n in (50, 70_000):
+        doc, key = rng.permutation(np.arange(-n, n, 2)), rng.integers(0, 9, n).astype(np.uint64)
+        places = anchored.Asked(doc, key, np.arange(n, dtype=np.uint64))
+        assert places.exact == (n < 1 << 16)
+        assert places.those(np.arange(-n - 3, n + 3)).tolist() == list(range(3, 2 * n + 3, 2))
+        asked = np.repeat(doc, 2)
+        found, at = places.find(asked, np.column_stack([key, key + np.uint64(9)]).ravel())
+        assert found.tolist() == list(range(0, 2 * n, 2)) and at.tolist() == list(range(n))
+
+
+def test_slices_fit_a_core_s_cache():
+    """The time of hashing doubles where a slice's arrays of 64-bit hashes don't fit; what is sent together stays large."""
+    assert 8 * anchored.SLICE <= 1 << 20 < anchored.CHUNK
+
+
 def test_levels_decide_as_comparing_all():
     rng = random.Random(4)
     shared = [[rng.choice([b"a", b"b", b"c"]) for _ in range(40)] for _ in range(3)]

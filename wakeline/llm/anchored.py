@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for, texts
+from .sorting import grouped_order, packed_order
 
 _U = np.uint64
-SLICE = 1 << 21  # bytes of text handled at once
+CHUNK = 1 << 21  # bytes of text sent together
+SLICE = 1 << 17  # symbols handled at once: their hashes should stay in a core's cache
 HELD = 1 << 20  # entries gathered before they are sent
 FEW = 64  # documents of an anchor that meet at one of them
 PLACES = 4  # neighbouring places of a hot anchor that are dealt together
@@ -176,10 +178,10 @@ def slices(raws: list[bytes], kind: Kind) -> Iterator[tuple[np.ndarray, list, np
 
 
 def arrow_texts(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(ids, texts) of a batch, a slice's bytes at a time."""
+    """(ids, texts) of a batch, a chunk's bytes at a time."""
     ids, column = batch.column("doc_id"), batch.column("text").cast(pa.large_binary())
     sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    parts = np.cumsum(sizes) // SLICE
+    parts = np.cumsum(sizes) // CHUNK
     for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(parts)) + 1) if len(ids) else []:
         take = pa.array(part)
         yield ids.take(take).to_pylist(), column.take(take).to_pylist()
@@ -212,7 +214,7 @@ def packed_rows(kind: int, to: np.ndarray, *columns: tuple[np.ndarray, Callable[
     """One row per destination, each column's part turned to bytes."""
     if not len(to):
         return
-    order = np.argsort(to, kind="stable")
+    order = packed_order(to)
     dest = to[order]
     cutoff = np.append(np.flatnonzero(np.append(True, dest[1:] != dest[:-1])), len(dest))
     spans = list(zip(cutoff[:-1].tolist(), cutoff[1:].tolist(), strict=True))
@@ -291,6 +293,18 @@ def _counts(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(new)))
 
 
+def _ranks(doc: np.ndarray) -> np.ndarray:
+    """The rank of each document; those of one stand together, mostly."""
+    at, lengths = _counts(_starts(doc))
+    return np.repeat(np.unique(doc[at], return_inverse=True)[1], lengths)
+
+
+def _by_anchor(key: np.ndarray, rank: np.ndarray, section: np.ndarray) -> np.ndarray:
+    """The order that brings entries of an anchor together, by document and section."""
+    order = packed_order(rank, section)
+    return order[grouped_order(key[order])]
+
+
 def scan(docs: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
     """ENTRY rows (a anchor, b document, c section, d flags: 1 more than once in the document, 2 hot), to the anchor's partition."""
 
@@ -313,17 +327,19 @@ def scan(docs: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
 
 
 def _scanned(key, doc, section, deal: Deal) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((section, doc, key))
-    key, doc, section = key[order], doc[order], section[order]
-    once, times = _counts(_starts(key, doc))
-    key, doc, section = key[once], doc[once], section[once]
+    rank = _ranks(doc)
+    order = _by_anchor(key, rank, section)
+    key, rank = key[order], rank[order]
+    once, times = _counts(_starts(key, rank))
+    order = order[once]
+    key, rank, doc, section = key[once], rank[once], doc[order], section[order]
     groups, sizes = _counts(_starts(key))
     hot = np.repeat(sizes > FEW, sizes)
     yield from deal.wanted(doc[hot], key[hot], np.full(int(hot.sum()), HOT, _U))  # known here already
     flags = (times > 1) + 2 * hot
     hot[groups] = False  # one entry tells the others
     send = np.flatnonzero(~hot)
-    send = send[np.argsort(doc[send], kind="stable")]  # runs of a document compress well
+    send = send[packed_order(rank[send])]  # runs of a document compress well
     yield from packed_rows(ENTRY, deal.hashed(key[send]), (key[send], pack48), (doc[send], raw64), (section[send], raw32), (flags[send], raw8))
 
 
@@ -347,7 +363,7 @@ def meet(scanned: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
 
 
 def _met(key, doc, section, flags, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((section, doc, key))
+    order = _by_anchor(key, _ranks(doc), section)
     key, doc, section, flags = key[order], doc[order], section[order], flags[order]
     groups, sizes = _counts(_starts(key))
     new_doc = _starts(key, doc)
@@ -408,6 +424,35 @@ def _doc_key(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.int64).view(_U)) ^ key * _U(0xBF58476D1CE4E5B9))
 
 
+class Asked:
+    """The meeting places that documents were told of, by document and anchor."""
+
+    def __init__(self, doc: np.ndarray, key: np.ndarray, place: np.ndarray):
+        self.docs = np.unique(doc)
+        self.exact = len(self.docs) <= 1 << 16
+        names = self._names(doc, key)
+        order = np.argsort(names)  # who was told twice was told the same
+        self.names, self.places = names[order], place[order]
+
+    def _names(self, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+        if not self.exact:
+            return _doc_key(doc, key)
+        at, lengths = _counts(_starts(doc))
+        return np.repeat(np.searchsorted(self.docs, doc[at]).astype(_U) << _U(48), lengths) | key  # those of a document side by side
+
+    def those(self, doc: np.ndarray) -> np.ndarray:
+        """Which of the documents were told anything."""
+        at = np.minimum(np.searchsorted(self.docs, doc), len(self.docs) - 1)
+        return np.flatnonzero(self.docs[at] == doc)
+
+    def find(self, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, meeting place) of the pairs that were told of, for documents that were."""
+        names = self._names(doc, key)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        found = np.flatnonzero(self.names[at] == names)
+        return found, self.places[at[found]]
+
+
 class _Sent:
     """Passages on their way to their meeting places; equal ones of hot anchors are combined until the next flush."""
 
@@ -465,26 +510,25 @@ class _Sent:
             text = f.text[at]
             bodies = self._bodies(text, first, last, pieces, bounds)
             facts = zip(doc[row[text]].tolist(), name[row[text]].view(np.int64).tolist(), (first - bounds[text] + starts[text]).tolist(), (last - first + 1).tolist(), strict=True)
-            for key, (d, n, s, w) in zip(zip(place.tolist(), bodies, strict=True), facts, strict=True):
-                self._combine(key, d, n, s, w)
+            self._combine(zip(place.tolist(), bodies, strict=True), facts)
 
-    def _combine(self, key: tuple[int, bytes], doc: int, name: int, start: int, windows: int) -> None:
+    def _combine(self, keys: Iterator[tuple[int, bytes]], facts: Iterator[tuple[int, int, int, int]]) -> None:
         """Of equal pieces the smallest document's are sent on (anywhere: the first, as two); the rest go."""
-        mine = [doc, name, start, windows, 1]
-        kept = self.hot.setdefault(key, [])
-        span = lambda x: (x[0], x[1], x[2], x[2] + x[3] + self.kind.window - 1)
-        if not kept:
-            kept.append(mine)
-        elif self.kind.anywhere:
-            kept[0][4] = 2
-            self.gone.append(span(mine))
-        elif doc == kept[0][0]:
-            kept.append(mine)
-        elif doc > kept[0][0]:
-            self.gone.append(span(mine))
-        else:
-            self.gone += map(span, kept)
-            self.hot[key] = [mine]
+        hot, gone, more, anywhere = self.hot, self.gone, self.kind.window - 1, self.kind.anywhere
+        for key, (doc, name, start, windows) in zip(keys, facts, strict=True):
+            kept = hot.get(key)
+            if kept is None:
+                hot[key] = [[doc, name, start, windows, 1]]
+            elif anywhere:
+                kept[0][4] = 2
+                gone.append((doc, name, start, start + windows + more))
+            elif doc > kept[0][0]:
+                gone.append((doc, name, start, start + windows + more))
+            elif doc == kept[0][0]:
+                kept.append([doc, name, start, windows, 1])
+            else:
+                gone += [(d, n, s, s + w + more) for d, n, s, w, _ in kept]
+                hot[key] = [[doc, name, start, windows, 1]]
 
     def size(self) -> int:
         return len(self.bodies) + len(self.hot) + len(self.gone)
@@ -514,28 +558,37 @@ class _Sent:
 def fetch(met: DataFrame, docs: DataFrame, kind: Kind, deal: Deal) -> DataFrame:
     """PASSAGE rows (a meeting places, b document, row name, start and times, c symbols, d sizes), and verdicts on combined ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: list[tuple] = []
-        lookup = places = asking = None
-        sent = _Sent(kind, deal)
+    def wanted_texts(batches: Iterator[pa.RecordBatch], told: list[tuple]) -> Iterator[tuple[list[int], list[bytes]]]:
+        """First fills ``told``, then gives the texts, some rows together; none if nothing is wanted."""
+        ids, raws, size, any_ = [], [], 0, False
         for k, a, b, c, _ in _columns(batches):
             if k == WANTED:
                 told.append((_int64(a), unpack48(b), unpack48(c)))
-                continue
-            if not told:
-                continue
-            if lookup is None:  # texts come after all that is wanted of them
-                doc, key, place = _joined(told)
-                names, at = np.unique(_doc_key(doc, key), return_index=True)
-                lookup, places, asking = Lookup(names), place[at], np.unique(doc)
-            ids, raws = _unpacked_text(a, b, c)
-            mine = np.flatnonzero(np.isin(np.array(ids, np.int64), asking)).tolist()
+                any_ = True
+            elif any_:
+                some, bodies = _unpacked_text(a, b, c)
+                ids, raws, size = ids + some, raws + bodies, size + sum(map(len, bodies))
+                if size >= SLICE:
+                    yield ids, raws
+                    ids, raws, size = [], [], 0
+        if ids:
+            yield ids, raws
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: list[tuple] = []
+        places: Asked | None = None
+        sent = _Sent(kind, deal)
+        for ids, raws in wanted_texts(batches, told):
+            if places is None:  # texts come after all that is wanted of them
+                places = Asked(*_joined(told))
+                told.clear()
+            mine = places.those(np.array(ids, np.int64)).tolist()
             ids, raws = [ids[i] for i in mine], [raws[i] for i in mine]
             doc, name = np.array(ids, np.int64), row_names(ids, raws)
             for row, pieces, bounds, starts in slices(raws, kind):
                 f = cut(kind.values(pieces), bounds, kind)
-                asked, named = lookup.pairs(_doc_key(doc[row[f.text]], f.key))
-                sent.add(f, asked, places[named], row, doc, name, pieces, bounds, starts)
+                asked, place = places.find(doc[row[f.text]], f.key)
+                sent.add(f, asked, place, row, doc, name, pieces, bounds, starts)
             if sent.size() >= HELD // 4:
                 yield from sent.flush()
         yield from sent.flush()

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .sorting import packed_order
+
 
 def _ramps(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... for counts[0] numbers, then starts[1], ..."""
@@ -39,13 +41,14 @@ def suffix_arrays(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _lyndon_groups(flat: np.ndarray, base: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     string = np.repeat(np.arange(len(base)), lengths)
-    order = np.lexsort((flat, string))
+    order = packed_order(string, flat)
     new = np.ones(n, bool)
     new[1:] = (flat[order[1:]] != flat[order[:-1]]) | (string[order[1:]] != string[order[:-1]])
     firsts = np.flatnonzero(new)
     counts = np.diff(np.append(firsts, n))
-    label = np.empty(n, np.int64)
+    label = np.empty(n + 1, np.int64)
     label[order] = np.repeat(firsts, counts)
+    label[n] = -1  # where pointers out of the string lead
     size, seg_start, seg_count, ends_at = (np.zeros(n, np.int64) for _ in range(4))
     size[firsts], seg_start[firsts], seg_count[firsts], ends_at[firsts + counts - 1] = counts, firsts, counts, firsts
     members = np.empty(2 * n, np.int64)  # as groups were formed; who has moved on is skipped
@@ -57,57 +60,89 @@ def _lyndon_groups(flat: np.ndarray, base: np.ndarray, lengths: np.ndarray, n: i
     floor, current = base, ends_at[base + lengths - 1]
     while True:
         open_ = current > floor  # the lowest group is the end symbol alone
-        floor, current = floor[open_], current[open_]
+        if not open_.all():
+            floor, current = floor[open_], current[open_]
         if not len(current):
-            return label, prefix
+            return label[:n], prefix
         counts = seg_count[current]
-        who = members[_ramps(seg_start[current], counts)]
-        who = who[label[who] == np.repeat(current, counts)]
-        mine, to = label[who], previous[who]
-        walking = np.flatnonzero((to >= 0) & (label[to] >= mine))
-        while len(walking):
-            to[walking] = previous[to[walking]]
-            previous[who[walking]] = to[walking]
-            walking = walking[(to[walking] >= 0) & (label[to[walking]] >= mine[walking])]
-        previous[who] = to
+        who, mine = members[_ramps(seg_start[current], counts)], np.repeat(current, counts)
+        here = label[who] == mine
+        who, mine = who[here], mine[here]
+        to = previous[who]
+        walking = np.flatnonzero(label[to] >= mine)
+        if len(walking):
+            walker, own, on = who[walking], mine[walking], to[walking]
+            while len(walking):
+                on = previous[on]
+                to[walking] = previous[walker] = on
+                left = label[on] >= own
+                walking, walker, own, on = walking[left], walker[left], own[left], on[left]
+            previous[who] = to
         pointing = to >= 0
-        if pointing.any():
-            top = _append(to[pointing], prefix[who[pointing]], label, prefix, size, seg_start, seg_count, ends_at, members, top)
+        if not pointing.all():
+            to, who = to[pointing], who[pointing]
+        if len(to):
+            top = _append(to, prefix[who], label, prefix, size, seg_start, seg_count, ends_at, members, top)
         current = np.where(current > floor, ends_at[current - 1], floor)
 
 
 def _append(to, added, label, prefix, size, seg_start, seg_count, ends_at, members, top) -> int:
-    """The suffixes ``to`` (with repetitions) get the prefixes of length ``added`` appended and move up."""
-    moved, at, times = np.unique(to, return_index=True, return_counts=True)
-    prefix[moved] += times * added[at]
-    order = np.lexsort((times, label[moved]))
-    moved, times = moved[order], times[order]
+    """The suffixes ``to`` (with repetitions) get the prefixes of length ``added``, the same for each of one string, appended and move up."""
+    bits = len(prefix).bit_length()
+    mask = (1 << bits) - 1
+    pairs = to << bits | added  # both below 2**31
+    pairs.sort()
+    at = _changes(pairs)
+    times = _lengths(at, len(pairs))
+    pairs = pairs[at]
+    moved = pairs >> bits
+    prefix[moved] += times * (pairs & mask)
     old = label[moved]
-    run = np.ones(len(old), bool)
-    run[1:] = old[1:] != old[:-1]
-    run_at = np.flatnonzero(run)
-    leaving = np.diff(np.append(run_at, len(old)))
-    held = size[old[run_at]]
-    slot = np.arange(len(old)) + np.repeat(old[run_at] + held - leaving - run_at, leaving)
-    group = run.copy()
-    group[1:] |= times[1:] != times[:-1]
-    group_at = np.flatnonzero(group)
-    group_size = np.diff(np.append(group_at, len(old)))
-    names = slot[group_at]
-    staying = held > leaving
-    size[old[run_at]] = held - leaving
-    ends_at[(old[run_at] + held - leaving - 1)[staying]] = old[run_at][staying]
+    if 3 * bits <= 63:
+        keys = (old << bits | times) << bits | moved
+        keys.sort()
+        moved, keys = keys & mask, keys >> bits
+        old, group_at = keys >> bits, _changes(keys)
+    else:
+        order = np.lexsort((times, old))
+        moved, old = moved[order], old[order]
+        group_at = _changes(old << bits | times[order])
+    run_at = _changes(old)
+    leaving = _lengths(run_at, len(old))
+    group = old[run_at]
+    held = size[group]
+    rest = held - leaving
+    names = (np.repeat(group + rest - run_at, leaving))[group_at] + group_at
+    group_size = _lengths(group_at, len(old))
+    staying = rest > 0
+    size[group] = rest
+    ends_at[(group + rest - 1)[staying]] = group[staying]
     size[names], seg_count[names], seg_start[names], ends_at[names + group_size - 1] = group_size, group_size, top + group_at, names
     label[moved] = np.repeat(names, group_size)
     members[top : top + len(moved)] = moved
     return top + len(moved)
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a number differs from the one before, and the first place."""
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _lengths(starts: np.ndarray, end: int) -> np.ndarray:
+    out = np.empty_like(starts)
+    np.subtract(starts[1:], starts[:-1], out=out[:-1])
+    out[-1:] = end - starts[-1:]
+    return out
+
+
 def _fill(label: np.ndarray, prefix: np.ndarray, base: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     last = base + lengths - 1
     after = np.arange(n) + prefix
     after[last] = n  # follows nothing
-    by_after = np.argsort(after, kind="stable")
+    by_after = packed_order(after)
     first = np.zeros(n + 2, np.int64)
     np.cumsum(np.bincount(after, minlength=n + 1), out=first[1:])
     size = np.bincount(label, minlength=n)
@@ -115,19 +150,25 @@ def _fill(label: np.ndarray, prefix: np.ndarray, base: np.ndarray, lengths: np.n
     found[base] = last
     front[base] += 1
     group, slot, end = base.copy(), base.copy(), base + lengths
+    bits = n.bit_length()
     while len(slot):
         # all that stand in the current groups so far; followers of theirs may come behind them in the same group
-        here = found[_ramps(slot, front[group] - slot)]
-        slot = front[group]
-        new = by_after[_ramps(first[here], first[here + 1] - first[here])]
-        new = new[np.argsort(label[new], kind="stable")]
-        to = label[new]
-        begin = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else to
-        rank = np.arange(len(to)) - np.repeat(begin, np.diff(np.append(begin, len(to))))
-        place = front[to] + rank
-        found[place] = new
-        front[to] = place + 1  # of equal indices the last counts
+        upto = front[group]
+        here = found[_ramps(slot, upto - slot)]
+        slot = upto
+        begin = first[here]
+        new = by_after[_ramps(begin, first[here + 1] - begin)]
+        if len(new):
+            keys = label[new] << bits | np.arange(len(new))
+            keys.sort()
+            to, new = keys >> bits, new[keys & ((1 << bits) - 1)]
+            at = _changes(to)
+            counts = _lengths(at, len(to))
+            begin = front[to[at]]
+            found[np.repeat(begin - at, counts) + np.arange(len(to))] = new
+            front[to[at]] = begin + counts
         group = np.where(slot == group + size[group], slot, group)
         left = slot < end
-        group, slot, end = group[left], slot[left], end[left]
+        if not left.all():
+            group, slot, end = group[left], slot[left], end[left]
     return found

@@ -23,7 +23,7 @@ from .linear_grouping import suffix_arrays
 
 LENGTH, GRAM = 50, 20
 KIND = Kind(words=False, window=LENGTH, gram=GRAM, anywhere=False, section=512)
-BATCH, LARGE = 1 << 20, 1 << 16  # bytes sorted together, and in one string
+BATCH, LARGE, PART = 1 << 19, 1 << 16, 1 << 17  # bytes sorted together (what fits the caches), in one string, and cut together
 _U = np.uint64
 
 
@@ -40,15 +40,18 @@ def decide(some: Passages, kind: Kind = KIND) -> Iterator[tuple[np.ndarray, np.n
     short = np.flatnonzero(~long)
     yield from _sorted(names[place[short]], short, np.zeros(len(short), np.int64), size[short], some, kind)
     at = np.flatnonzero(long)
-    for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(size[at]) // (2 * BATCH))) + 1) if len(at) else []:
-        yield from _recut(part, some, kind)
+    if len(at):  # cut a part at a time, but sorted together: passages of one place may be in several parts
+        parts = np.split(at, np.flatnonzero(np.diff(np.cumsum(size[at]) // PART)) + 1)
+        pieces = [_recut(part, some, kind) for part in parts]
+        yield from _sorted(*(np.concatenate(x) for x in zip(*pieces, strict=True)), some, kind)
 
 
-def _recut(part: np.ndarray, some: Passages, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _recut(part: np.ndarray, some: Passages, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, passage, offset, size) of the fragments of some passages."""
     bodies = [some.bodies[i] for i in part.tolist()]
     bounds = np.cumsum([0] + [len(b) for b in bodies])
     f = cut(kind.values(bodies), bounds, kind)
-    yield from _sorted(mix(mix(some.place[part[f.text]]) ^ f.key), part[f.text], f.first - bounds[f.text], f.last - f.first + kind.window, some, kind)
+    return mix(mix(some.place[part[f.text]]) ^ f.key), part[f.text], f.first - bounds[f.text], f.last - f.first + kind.window
 
 
 def _sorted(name, passage, offset, size, some: Passages, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,30 +106,34 @@ def _sorted(name, passage, offset, size, some: Passages, kind: Kind) -> Iterator
 
 
 def repeated(flat: np.ndarray, names: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Among pieces ``flat[start:end]`` of equal (sorted) names: (piece, offset) of the windows that a smaller document has too."""
+    """Among pieces ``flat[start:end]``, one after another, of equal (sorted) names: (piece, offset) of the windows that a smaller document has too."""
     n = len(names)
     new = np.append(True, names[1:] != names[:-1])
     last = np.append(new[1:], True)
     width = end - start + 1 + last  # a separator after each piece, an end symbol after each string
     piece = np.repeat(np.arange(n), width)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(width) - width, width)
-    inside = offset < (end - start)[piece]
+    left = np.repeat(end - start, width) - offset  # symbols up to the separator
+    inside = left > 0
     byte = np.zeros(len(piece) + 8, np.uint8)
-    byte[: len(piece)][inside] = flat[(start[piece] + offset)[inside]]
-    symbol = np.where(inside, byte[: len(piece)].astype(np.int64) + 2, np.where(offset == (end - start)[piece], 1, 0))
+    byte[: len(piece)][inside] = flat
+    symbol = np.where(inside, byte[: len(piece)].astype(np.int64) + 2, left + 1)
     order = suffix_arrays(symbol, np.add.reduceat(width, np.flatnonzero(new)))
-    order = order[offset[order] + window <= (end - start)[piece[order]]]
+    order = order[left[order] >= window]
     eight = np.zeros(len(piece), _U)
     for i in range(8):
         eight |= byte[i : i + len(piece)].astype(_U) << _U(8 * i)
-    same = names[piece[order[1:]]] == names[piece[order[:-1]]]
+    if not len(order):
+        return order, order
+    of = piece[order]
+    same = names[of[1:]] == names[of[:-1]]
     for i in (*range(0, window - 8, 8), window - 8):
-        same &= eight[order[1:] + i] == eight[order[:-1] + i]
-    firsts = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
-    if not len(firsts):
-        return firsts, firsts
-    least = np.repeat(np.minimum.reduceat(doc[piece[order]], firsts), np.diff(np.append(firsts, len(order))))
-    gone = order[doc[piece[order]] > least]
+        there = eight[order + i]
+        same &= there[1:] == there[:-1]
+    firsts = np.flatnonzero(np.append(True, ~same))
+    of_doc = doc[of]
+    least = np.repeat(np.minimum.reduceat(of_doc, firsts), np.diff(np.append(firsts, len(order))))
+    gone = order[of_doc > least]
     return piece[gone], offset[gone]
 
 
