@@ -71,8 +71,9 @@ class _Tables:
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> _U(31))
-    h = h * _U(0xD6E8FEB86659FD93)
-    return h ^ (h >> _U(29))
+    h *= _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(29)
+    return h
 
 
 class Sums:
@@ -136,22 +137,28 @@ def cut(values: np.ndarray, bounds: np.ndarray, kind: Kind) -> Fragments:
     sums = Sums(values)
     if n < w:
         return Fragments(none, none, none, none.astype(_U), none, sums)
-    grams = mix((sums.sums[k:] - sums.sums[:-k]) * sums.inverse[: n - k + 1])
-    least = (grams & ~_U(_LOW)) | np.arange(len(grams), dtype=_U)
+    grams = sums.sums[k:] - sums.sums[:-k]
+    grams *= sums.inverse[: n - k + 1]
+    grams = mix(grams)
+    least = grams & ~_U(_LOW)
+    least |= np.arange(len(grams), dtype=_U)
     reach, wide = 1, w - k + 1
     while reach * 2 <= wide:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if reach < wide:
         least = np.minimum(least[: len(least) - (wide - reach)], least[wide - reach :])
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
-    start = np.flatnonzero(np.arange(len(least)) + w <= bounds[1:][text])
-    at = (least[start] & _U(_LOW)).astype(np.int64)
-    new = np.ones(len(start), bool)
-    new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
-    begin = np.flatnonzero(new)
-    first, last, anchor = start[begin], start[np.append(begin[1:], len(start)) - 1] if len(start) else none, at[begin]
-    return Fragments(first, last, anchor, grams[anchor] & _MASK48, text[first] if len(first) else none, sums)
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    for edges in (bounds[:-1], np.maximum(bounds[1:] - w + 1, bounds[:-1])):  # where a text's windows begin and end
+        new[edges[edges < len(new)]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(least)) - 1
+    text = np.searchsorted(bounds, first, "right") - 1
+    inside = first + w <= bounds[text + 1]
+    first, last, text = first[inside], last[inside], text[inside]
+    anchor = (least[first] & _U(_LOW)).astype(np.int64)
+    return Fragments(first, last, anchor, grams[anchor] & _MASK48, text, sums)
 
 
 def slices(raws: list[bytes], kind: Kind) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray]]:

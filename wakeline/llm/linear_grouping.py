@@ -55,7 +55,7 @@ def _lyndon_groups(flat: np.ndarray, base: np.ndarray, lengths: np.ndarray, n: i
     members[:n] = order
     top = n
     previous = np.arange(n) - 1
-    previous[base] = -1
+    previous[base] = n
     prefix = np.ones(n, np.int64)
     floor, current = base, ends_at[base + lengths - 1]
     while True:
@@ -64,26 +64,27 @@ def _lyndon_groups(flat: np.ndarray, base: np.ndarray, lengths: np.ndarray, n: i
             floor, current = floor[open_], current[open_]
         if not len(current):
             return label[:n], prefix
-        counts = seg_count[current]
-        who, mine = members[_ramps(seg_start[current], counts)], np.repeat(current, counts)
-        here = label[who] == mine
-        who, mine = who[here], mine[here]
-        to = previous[who]
-        walking = np.flatnonzero(label[to] >= mine)
+        counts = seg_count.take(current)
+        who, mine = members.take(_ramps(seg_start.take(current), counts)), np.repeat(current, counts)
+        here = label.take(who) == mine
+        if not here.all():
+            who, mine = who[here], mine[here]
+        to = previous.take(who)
+        walking = np.flatnonzero(label.take(to) >= mine)
         if len(walking):
             walker, own, on = who[walking], mine[walking], to[walking]
-            while len(walking):
-                on = previous[on]
-                to[walking] = previous[walker] = on
-                left = label[on] >= own
-                walking, walker, own, on = walking[left], walker[left], own[left], on[left]
-            previous[who] = to
-        pointing = to >= 0
+            while len(walker):
+                on = previous.take(on)
+                previous[walker] = on
+                left = label.take(on) >= own
+                walker, own, on = walker[left], own[left], on[left]
+            to = previous.take(who)
+        pointing = to < n
         if not pointing.all():
             to, who = to[pointing], who[pointing]
         if len(to):
-            top = _append(to, prefix[who], label, prefix, size, seg_start, seg_count, ends_at, members, top)
-        current = np.where(current > floor, ends_at[current - 1], floor)
+            top = _append(to, prefix.take(who), label, prefix, size, seg_start, seg_count, ends_at, members, top)
+        current = np.where(current > floor, ends_at.take(current - 1), floor)
 
 
 def _append(to, added, label, prefix, size, seg_start, seg_count, ends_at, members, top) -> int:
@@ -97,7 +98,7 @@ def _append(to, added, label, prefix, size, seg_start, seg_count, ends_at, membe
     pairs = pairs[at]
     moved = pairs >> bits
     prefix[moved] += times * (pairs & mask)
-    old = label[moved]
+    old = label.take(moved)
     if 3 * bits <= 63:
         keys = (old << bits | times) << bits | moved
         keys.sort()
@@ -110,7 +111,7 @@ def _append(to, added, label, prefix, size, seg_start, seg_count, ends_at, membe
     run_at = _changes(old)
     leaving = _lengths(run_at, len(old))
     group = old[run_at]
-    held = size[group]
+    held = size.take(group)
     rest = held - leaving
     names = (np.repeat(group + rest - run_at, leaving))[group_at] + group_at
     group_size = _lengths(group_at, len(old))
@@ -153,21 +154,22 @@ def _fill(label: np.ndarray, prefix: np.ndarray, base: np.ndarray, lengths: np.n
     bits = n.bit_length()
     while len(slot):
         # all that stand in the current groups so far; followers of theirs may come behind them in the same group
-        upto = front[group]
-        here = found[_ramps(slot, upto - slot)]
+        upto = front.take(group)
+        here = found.take(_ramps(slot, upto - slot))
         slot = upto
-        begin = first[here]
-        new = by_after[_ramps(begin, first[here + 1] - begin)]
+        begin = first.take(here)
+        new = by_after.take(_ramps(begin, first.take(here + 1) - begin))
         if len(new):
-            keys = label[new] << bits | np.arange(len(new))
+            keys = label.take(new) << bits
+            keys |= np.arange(len(new))
             keys.sort()
-            to, new = keys >> bits, new[keys & ((1 << bits) - 1)]
+            to, new = keys >> bits, new.take(keys & ((1 << bits) - 1))
             at = _changes(to)
             counts = _lengths(at, len(to))
             begin = front[to[at]]
             found[np.repeat(begin - at, counts) + np.arange(len(to))] = new
             front[to[at]] = begin + counts
-        group = np.where(slot == group + size[group], slot, group)
+        group = np.where(slot == group + size.take(group), slot, group)
         left = slot < end
         if not left.all():
             group, slot, end = group[left], slot[left], end[left]
