@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -136,3 +137,16 @@ def test_first_of_equal_times(spark, flip):
     assert detectors.collision(spark.createDataFrame(swapped, names)).count() == 0
     with pytest.raises(ValueError):
         sequence.latest(spark.createDataFrame(rows, names), last_wins=False)
+
+
+def test_a_place_between_two_zones_and_zones_at_the_edge_of_the_radius(spark):
+    """Fix 84700 of sf0.1 lies as far from one zone as from the other but for the last bits, which decide as in the SQL; up to the very radius a zone is found."""
+    hexagon = lambda k: [((113500000 + k * 40000 + 500 + (15000 + k * 400) / 2 * i) / 1e6, (22000500 + (300 + k % 7 * 60) * j) / 1e6) for i, j in ((-2, 0), (-1, 1), (1, 1), (2, 0), (1, -1), (-1, -1))]
+    zones = spatial.with_ring(spark.createDataFrame([(f"NATION_{k}", hexagon(k)) for k in (11, 12)], f"zone string, vertices {RING}"))
+    lon, lat = (113500000 + 1446 % 100 * 10000 + 84700 * 7919 % 1000) / 1e6, (22000000 + 84700 * 104729 % 1000) / 1e6
+    got = spatial.nearest_zone(spark.createDataFrame([(84700, lon, lat)], "id long, lon double, lat double"), zones, ["id"], 300.0, 0.02).first()
+    assert (got["zone"], round(got["distance"], 3)) == ("NATION_12", 46.853)
+    flat = spatial.with_ring(spark.createDataFrame([("low", box(113.0, 22.0, 113.01, 22.01)), ("high", box(10.0, 86.0, 10.01, 86.001))], f"zone string, vertices {RING}"))
+    up = 299.9 / (math.radians(1) * geo.EARTH_M)
+    beside = spark.createDataFrame([(1, 113.005, 22.01 + up), (2, 113.01 + up / math.cos(math.radians(22.005)), 22.005), (3, 10.01 + up / math.cos(math.radians(86.0005)), 86.0005)], "id long, lon double, lat double")
+    assert {r["id"]: round(r["distance"], 1) for r in spatial.nearest_zone(beside, flat, ["id"], 300.0, 0.02).collect()} == {1: 299.9, 2: 299.9, 3: 299.9}
