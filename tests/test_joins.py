@@ -219,6 +219,18 @@ def test_deviation_after_route(spark):
     assert [(r["mmsi"], r["risk"]) for r in detectors.deviation(df, routes).collect()] == [(1, "high")]
 
 
+def test_nearest_of_lists_equals_nearest_point(spark):
+    """Near and far targets, equal distances and none at all, also across 180 degrees; a point stays one row."""
+    rng = random.Random(6)
+    spot = lambda: ((rng.choice([179.999, 20.0, -179.999]) + rng.uniform(-0.03, 0.03) + 180) % 360 - 180, 10 + rng.uniform(-0.03, 0.03))
+    points = spark.createDataFrame([(i, *spot()) for i in range(150)] + [(999, 0.0, 0.0), (1000, 50.0, 0.0)], "id long, lon double, lat double")
+    targets = spark.createDataFrame([(*spot(), float(i)) for i in range(60)] + [(50.001, 0.0, 2.0), (49.999, 0.0, 1.0), (50.0, 0.001, 1.0)], "lon double, lat double, axis double")
+    found = spatial.nearest_listed(points, targets, 2000.0, "m")
+    assert found.count() == 152
+    want = {r["id"]: (r["distance"], r["lon_b"], r["lat_b"], r["axis_b"]) for r in spatial.nearest_point(points, targets, ["id"], 2000.0).collect()}
+    assert {r["id"]: tuple(r["m"]) for r in found.filter("m is not null").collect()} == want and 50 < len(want) < 152
+
+
 def test_parking_anchoring_and_staying(spark):
     rows = [(m, 60 * i, 113.0, 22.0, 0.1, 10.0 + turn * i, nav, False, m == 1, False) for m, turn, nav in ((1, 0.0, None), (2, 0.0, 1), (3, 0.0, None)) for i in range(40)]
     fixes = spark.createDataFrame(rows, FIX)
