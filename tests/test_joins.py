@@ -243,3 +243,22 @@ def test_parking_anchoring_and_staying(spark):
     assert [(r["mmsi"], r["risk"]) for r in detectors.anchoring(placed, kinds).collect()] == [(2, "high")]
     assert detectors.anchoring(placed.withColumn("state", F.lit("outside")), kinds).count() == 0
     assert sorted(r["mmsi"] for r in detectors.staying(placed, kinds).collect()) == [2, 3]
+
+
+def test_contacts_equal_brute_force_and_are_not_broadcast(spark):
+    """Cells are as wide as the longest vessel needs, each pair of ``once`` comes once, runs have the speed of their last time, and no side is broadcast for looking small."""
+    rng = random.Random(8)
+    rows = [(f, m, f, 113 + rng.uniform(0, 0.004), 22 + rng.uniform(0, 0.004), rng.uniform(0, 3), rng.choice([0.0, 90.0, None]), rng.choice([30.0, 400.0, None])) for f in (0, 60, 120) for m in range(40)]
+    ships = spark.createDataFrame(rows, "frame long, mmsi long, t long, lon double, lat double, speed double, course double, length double")
+    near = lambda a, b: metres(a[3:5], b[3:5]) <= min(max(100.0, 0.5 * max(a[7] or 0, b[7] or 0) + 25), 300.0) and abs(a[5] - b[5]) <= 1.0
+    turn = lambda a, b: max(a[5], b[5]) < 1 or a[6] is None or b[6] is None or a[6] == b[6]
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and near(a, b) and turn(a, b))
+    found = detectors.transfer_candidates(ships)
+    assert sorted((r["frame"], r["mmsi_a"], r["mmsi_b"]) for r in found.collect()) == want and len(want) > 100
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    short = ships.withColumn("length", F.lit(30.0))
+    assert detectors._reach(short, short, detectors.TRANSFER) == 100.0 and detectors._reach(ships, ships.limit(0), detectors.TRANSFER) == 225.0
+    runs = detectors.confirmed_contacts(found, detectors.ContactConfig(min_frames=2, min_seconds=60.0))
+    last = {(r["mmsi_a"], r["mmsi_b"], r["last_seen"]): r["speed"] for r in runs.collect()}
+    fast = {(a, b, f): max(x[5] for x in rows if x[0] == f and x[1] in (a, b)) for a, b, f in last}
+    assert last and last == fast
